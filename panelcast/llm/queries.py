@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panelcast.llm import jaccard_join
+from panelcast.llm import bpe, jaccard_join, langid, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +15,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL_OP1 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op2_language_id_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
-_SQL: dict[str, str] = {}
+def op5_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_warc_capture_index,
+        op2_language_id_ecoc,
+        op4_ngram_jaccard_join,
+        op5_quality_bradley_terry,
+        op7_byte_bpe_round_trip,
+    )
+}
+_SQL: dict[str, str] = {"op1_warc_capture_index": SQL_OP1}
 
 
 def queries() -> dict[str, Query]:
