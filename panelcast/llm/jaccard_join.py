@@ -6,11 +6,13 @@ of size n and a partner at or above the threshold share at least m shingles
 within their m-prefixes, the first ``n - ceil(num * n / den) + m`` shingles. Each
 text picks its m (``ell``) by estimated cost: the postings that the longer prefix
 adds against the candidates that need m hits. A pair becomes a candidate with
-``min(ell, ell')`` common prefix shingles.
+``min(ell, ell')`` common prefix shingles, if these and the rest of the sets can
+still reach the threshold.
 
 Steps: (1) one pass gives each text's set size and signature (texts with equal
 sets form one class) and counts of shingles that repeat within a task, which give
-the order; (2) a second pass gives each class's prefix; (3) postings with one class
+the order; (2) a second pass finds the shingles that many prefixes hold, which move
+back in the order, and a third gives each class's prefix; (3) postings with one class
 go, short posting lists give pairs, each counted; members of long lists go to the
 list's hub (its smallest class), so that no list is multiplied out; (4) sets of the
 classes concerned are sent to their hub's group, large groups being cut into
@@ -36,7 +38,7 @@ BUCKET_BITS, LEAST = 22, 6
 #: Posting lists up to this many classes give pairs; longer ones go to hubs.
 SHORT = 16
 #: Most classes and shingles of a block of a group, and most prefix matches asked for.
-BLOCK, BLOCK_SHINGLES, MOST_ELL = 2048, 2_000_000, 4
+BLOCK, BLOCK_SHINGLES, MOST_ELL = 2048, 2_000_000, 16
 #: Cost of one verification in postings, for each 100 shingles.
 VERIFY = 4.0
 #: Bits of the filter of texts whose sets are wanted.
@@ -113,7 +115,7 @@ def _prefixes(k: int, num: int, den: int, classes: np.ndarray):
                     p = n - need + ell
                     toks.append(own[:p])
                     nodes.append(np.full(p, s))
-                    metas.append(np.full(p, n * 8 + ell))
+                    metas.append(np.full(p, n * 128 + ell))
                 if toks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (toks, nodes, metas)], names=["token", "node", "meta"])
 
@@ -209,9 +211,9 @@ def _verify(num: int, den: int):
     return run
 
 
-def frequency_classes(profile: DataFrame) -> np.ndarray:
-    """log2 of the count of each bucket of shingles that repeat within tasks; at most 2**BUCKET_BITS bytes at any input."""
-    got = profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= LEAST)
+def frequency_classes(counts: DataFrame) -> np.ndarray:
+    """log2 of the sum of ``cnt`` of each ``bucket``, 0 below LEAST; 2**BUCKET_BITS bytes at any input."""
+    got = counts.groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= LEAST)
     got = got.select("bucket", F.floor(F.log2("c")).cast("tinyint").alias("c")).toPandas()
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     out[got["bucket"].to_numpy(np.int64)] = got["c"].to_numpy(np.uint8)
@@ -231,20 +233,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prof = stage(d.mapInArrow(_profile(k), "id long, n long, sig long, bucket long, cnt long"), "profile")
     rows = prof.where("bucket IS NULL").select("id", "n", "sig")
-    classes = spark.sparkContext.broadcast(frequency_classes(prof))
-    posts = d.select("text").mapInArrow(lambda it: _prefixes(k, num, den, classes.value)(it), "token long, node long, meta long")
+    table = frequency_classes(prof.where("bucket IS NOT NULL").select("bucket", "cnt"))
+
+    def postings(classes: np.ndarray) -> DataFrame:
+        held = spark.sparkContext.broadcast(classes)
+        return d.select("text").mapInArrow(lambda it: _prefixes(k, num, den, held.value)(it), "token long, node long, meta long")
+
+    # shingles found in many prefixes of a first order go back in the second
+    often = postings(table).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > SHORT // 2)
+    often = often.select(F.shiftright(F.col("token").bitwiseAND((1 << 58) - 1), 58 - BUCKET_BITS).alias("bucket"), (F.col("m") * den / (den - num)).cast("long").alias("cnt"))
+    posts = postings(np.maximum(table, frequency_classes(often)))
     lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("m")).where("hub <> top").drop("top")
     many = stage(posts.join(lists, "token").dropDuplicates(["token", "node"]), "postings")
     short = many.where(F.col("m") <= SHORT).select("token", "node", "meta")
     other = short.select("token", F.col("node").alias("b"), F.col("meta").alias("mb"))
-    n, n2, need = F.expr("meta div 8"), F.expr("mb div 8"), F.least(F.expr("meta % 8"), F.expr("mb % 8"))
+    n, n2, need = F.expr("meta div 128"), F.expr("mb div 128"), F.least(F.expr("meta % 128"), F.expr("mb % 128"))
+    # Common shingles beyond both prefixes lie behind the shorter-reaching one. Pairs
+    # that also meet in a long list are verified there, so c is whole where it decides.
+    behind = F.greatest(F.ceil(num * n / den) - F.expr("meta % 128"), F.ceil(num * n2 / den) - F.expr("mb % 128"))
     pairs = (
         short.join(other, "token")
         .where("node < b")
         .where((den * n >= num * n2) & (den * n2 >= num * n))
         .groupBy(F.col("node").alias("hub"), F.col("b").alias("node"))
-        .agg(F.count("*").alias("c"), F.max(need).alias("need"))
-        .where("c >= need")
+        .agg(F.count("*").alias("c"), F.max(need).alias("need"), F.max(behind).alias("behind"), F.max(n + n2).alias("both"))
+        .where((F.col("c") >= F.col("need")) & ((num + den) * (F.col("c") + F.col("behind")) >= num * F.col("both")))
         .select("hub", "node")
     )
     long = many.where(F.col("m") > SHORT).select("hub", "node")
