@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     down = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / F.sum("weight").over(down))
-    # the first source whose cap the level does not reach fixes the level of all after it
-    s = s.withColumn("final", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    # the level rises while sources stop and falls after; at its top it is the level of all that do not stop
+    s = s.withColumn("final", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     return s.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.coalesce("final", F.lit(float("inf"))))).drop("weight", "cap", "ratio", "level", "final")
 
 
@@ -70,7 +70,7 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
     )
     d = stage(d.withColumn("u", uniform(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "text_key"))).withColumn("len", F.log1p("size")), "sized")
-    s = d.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("len")) / F.sum("size")).alias("mid"), F.min("len").alias("lo"), F.max("len").alias("hi"))
+    s = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("size") * F.col("len")), F.sum("size")).alias("mid"), F.min("len").alias("lo"), F.max("len").alias("hi"))
     s = targets(s, weights, most)
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     s = s.withColumn("whole", F.floor(ratio)).withColumn("f", ratio - F.floor(ratio)).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
