@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, covertree, jaccard_join, langid, mixing, quality, topk, warc
+from panelcast.llm import bpe, chat, covertree, jaccard_join, langid, mixing, pii, quality, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP4 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n, s FROM s),
 e AS (SELECT doc_id, n, unnest(s) AS g FROM n),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
@@ -81,9 +81,9 @@ def op6_embedding_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-_VALID = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 SQL_OP6 = f"""
-WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE {_VALID} AND label IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0),
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE {_VALID} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
@@ -119,12 +119,22 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
 SQL_OP10 = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 1024)) AS x FROM embeddings WHERE {_VALID}),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS x FROM embeddings WHERE {_VALID}),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
@@ -142,7 +152,9 @@ _QUERIES: dict[str, Query] = {
         op6_embedding_cover_tree,
         op7_byte_bpe_round_trip,
         op8_reply_tree_chat,
+        op9_pii_surrogates,
         op10_block_max_top_k,
+        pipeline,
     )
 }
 _SQL: dict[str, str] = {"op1_warc_capture_index": SQL_OP1, "op3_pareto_mixing": SQL_OP3, "op4_ngram_jaccard_join": SQL_OP4, "op6_embedding_cover_tree": SQL_OP6, "op10_block_max_top_k": SQL_OP10, "op8_reply_tree_chat": SQL_OP8}
