@@ -35,3 +35,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from panelcast.plans import cleaning  # noqa: E402,F401  registers its queries
