@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -118,15 +118,19 @@ def _invariant(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return med, np.where(mad == 0, 1.0, mad)
 
 
-def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int], begin: str, end: str, block: int = 14, dummies: int = 7, longest_lag: int = 7) -> DataFrame:
+def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int], begin: str, end: str, block: int = 14, dummies: int = 7, longest_lag: int = 7, cadence: int = 1) -> DataFrame:
     """(keys, window, day, slot, forecast) of each test day from a fit on the days of the calibration window before it.
 
     ``features`` has one row for each key and day: features (the last ``dummies`` are
-    not scaled) and target arrays. A group is one key, window and block of ``block``
+    not scaled) and target arrays. With a ``cadence`` (a divisor of ``block``) one fit
+    serves that many days, on a grid that starts with ``begin``; features stay those
+    of each day. A group is one key, window and block of ``block``
     test days; it gets the rows of its windows once and slides inside the task, so
     rows are copied about window / block times, not window times, and a group is as
     large as one window whatever the panel's length.
     """
+    if block % cadence:
+        raise ValueError("the cadence must divide the block")
     first, last = F.lit(begin).cast("date"), F.lit(end).cast("date")
     w = F.explode(F.array(*[F.lit(x) for x in windows])).alias("window")
     r = features.select(*keys, "day", "features", "target", w)
@@ -141,18 +145,44 @@ def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int],
         window, b = int(pdf["window"].iloc[0]), int(pdf["block"].iloc[0])
         start = np.datetime64(begin) + b * block
         cont, out = x.shape[1] - dummies, []
+        fits: dict = {}
         for day in days[(days >= start) & (days < start + block) & (days <= np.datetime64(end))]:
-            at = (days < day) & (days >= day - window + longest_lag)
-            if at.sum() < 2:
+            refit = start + int((day - start).astype(int)) // cadence * cadence
+            if refit not in fits:
+                at = (days < refit) & (days >= refit - window + longest_lag)
+                if at.sum() < 2:
+                    fits[refit] = None
+                    continue
+                (mx, sx), (my, sy) = _invariant(x[at][:, :cont]), _invariant(y[at])
+                scaled = np.concatenate([np.arcsinh((x[at][:, :cont] - mx) / sx), x[at][:, cont:]], 1)
+                ys = np.arcsinh((y[at] - my) / sy)
+                fits[refit] = (mx, sx, my, sy, [lasso_by_aic(scaled, ys[:, h]) for h in range(y.shape[1])])
+            if fits[refit] is None:
                 continue
-            (mx, sx), (my, sy) = _invariant(x[at][:, :cont]), _invariant(y[at])
-            scale = lambda v: np.concatenate([np.arcsinh((v[:, :cont] - mx) / sx), v[:, cont:]], 1)
-            xs, ys, now = scale(x[at]), np.arcsinh((y[at] - my) / sy), scale(x[days == day])[0]
-            for h in range(y.shape[1]):
-                coef, icpt = lasso_by_aic(xs, ys[:, h])
+            mx, sx, my, sy, models = fits[refit]
+            raw = x[days == day][0]
+            now = np.concatenate([np.arcsinh((raw[:cont] - mx) / sx), raw[cont:]])
+            for h, (coef, icpt) in enumerate(models):
                 out.append((*[pdf[k].iloc[0] for k in keys], window, day.astype(object), h, float(np.sinh(now @ coef + icpt) * sy[h] + my[h])))
         return pd.DataFrame(out, columns=[*keys, "window", "day", "slot", "forecast"])
 
     kinds = dict(features.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "window int, day date, slot int, forecast double"])
     return r.groupBy(*keys, "window", "block").applyInPandas(run, schema)
+
+
+def walk_forward_ols(df: DataFrame, keys: list[str], x: str, y: str, window: int, day: str = "day", at: str = "slot") -> DataFrame:
+    """Adds ``forecast``: y on x by least squares over the ``window`` days before each row's day.
+
+    Sums of products are formed by day and then over a range of days, so no row is
+    copied for the windows it lies in.
+    """
+    cx, cy = F.col(x), F.col(y)
+    both = cx.isNotNull() & cy.isNotNull()
+    s = df.where(both).groupBy(*keys, day).agg(F.count("*").alias("_n"), F.sum(cx).alias("_x"), F.sum(cy).alias("_y"), F.sum(cx * cx).alias("_xx"), F.sum(cx * cy).alias("_xy"))
+    days = df.select(*keys, day).distinct().join(s, [*keys, day], "left").withColumn("_d", F.datediff(day, F.lit("1970-01-01")))
+    w = Window.partitionBy(*keys).orderBy("_d").rangeBetween(-window, -1)
+    t = {c: F.sum(c).over(w) for c in ("_n", "_x", "_y", "_xx", "_xy")}
+    slope = (t["_n"] * t["_xy"] - t["_x"] * t["_y"]) / F.nullif(t["_n"] * t["_xx"] - t["_x"] * t["_x"], F.lit(0.0))
+    fit = days.withColumn("_slope", slope).withColumn("_icpt", (t["_y"] - F.col("_slope") * t["_x"]) / t["_n"]).select(*keys, day, "_slope", "_icpt")
+    return df.join(fit, [*keys, day]).withColumn("forecast", F.col("_icpt") + F.col("_slope") * cx).drop("_slope", "_icpt")

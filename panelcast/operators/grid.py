@@ -148,3 +148,26 @@ def dst_calendar(spark, first: int, last: int) -> DataFrame:
         return F.next_day(F.date_sub(F.last_day(F.make_date(F.col("year").cast("int"), F.lit(m), F.lit(1))), 7), "Sun")
 
     return y.select(F.col("year").cast("int").alias("year"), sunday(3).alias("spring"), sunday(10).alias("autumn"))
+
+
+def local_day_normalize(df: DataFrame, keys: list[str], tz: str, flags: list[str], firsts: dict[str, str], ts: str = "ts", value: str = "value") -> DataFrame:
+    """Strict local days: the skipped hour the mean of its neighbours, the repeated one averaged; ``violation`` marks any other missing hour.
+
+    ``flags`` are true if true in any hour merged; ``firsts`` keep the first value that
+    differs from their default.
+    """
+    aggs = [F.bool_or(c).alias(c) for c in flags] + [F.min_by(F.when(F.col(c) != d, F.col(c)), F.when(F.col(c) != d, F.col(ts))).alias(c) for c, d in firsts.items()]
+    loc = df.groupBy(*keys, to_local(F.col(ts), tz).alias("local")).agg(F.avg(value).alias(value), F.count("*").alias("n_utc"), *aggs)
+    d = fill_skipped_hours(on_grid(loc, keys, "local"), keys, tz, "local", value)
+    d = d.withColumns({**{c: F.coalesce(c, F.lit(False)) for c in flags}, **{c: F.coalesce(F.col(c), F.lit(v)) for c, v in firsts.items()}})
+    return d.withColumn("violation", F.col(value).isNull()).drop("n_utc")
+
+
+def coverage_vs_grid(df: DataFrame, keys: list[str], tz: str, ts: str = "ts", max_gap: int = 3) -> DataFrame:
+    """Hours of the local grid, those missing (without hours that do not exist) and runs longer than ``max_gap``."""
+    g = on_grid(df.groupBy(*keys, to_local(F.col(ts), tz).alias("local")).agg(F.lit(1).alias("_there")), keys, "local").where(~is_skipped(F.col("local"), tz))
+    w = Window.partitionBy(*keys).orderBy("local")
+    g = g.withColumn("_run", F.sum("_there").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = g.where("_there IS NULL").groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
+    s = runs.groupBy(*keys).agg(F.sum("_n").alias("missing"), F.sum((F.col("_n") > max_gap).cast("int")).alias("oversized"))
+    return g.groupBy(*keys).agg(F.count("*").alias("hours")).join(s, keys, "left").na.fill(0, ["missing", "oversized"])

@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from panelcast.plans import cleaning, ingest, modelling  # noqa: E402,F401  registers its queries
+from panelcast.plans import cleaning, ingest, modelling, runs  # noqa: E402,F401  registers its queries

@@ -8,7 +8,7 @@ import pytest
 from panelcast.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-NO_SQL = {"i2_cross_series_ols_fill", "m3_walk_forward_lasso"}
+NO_SQL = {"i10_build_model_panel", "m6_forecast_with_cadence", "i2_cross_series_ols_fill", "m3_walk_forward_lasso"}
 
 
 @pytest.fixture(scope="module")
