@@ -63,8 +63,9 @@ def best_paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     jumps = [jump]
     while jumps[-1].where("up IS NOT NULL").limit(1).count():
         j = jumps[-1]
-        far = j.alias("a").join(j.alias("b"), _same("a", "b") & (F.col("a.up") == F.col("b.id")), "left")
-        jumps.append(stage(far.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), f"jump-{len(jumps)}"))
+        far = j.where("up IS NOT NULL").alias("a").join(j.alias("b"), _same("a", "b") & (F.col("a.up") == F.col("b.id")))
+        far = far.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        jumps.append(stage(far.unionByName(j.where("up IS NULL")), f"jump-{len(jumps)}"))
     parents = jump.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     leaves = jumps[-1].alias("l").join(parents.alias("p"), _same("l", "p") & (F.col("l.id") == F.col("p.id")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
