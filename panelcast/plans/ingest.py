@@ -186,3 +186,29 @@ def _(spark, d):
 def _(spark, d):
     out = stream.run_once(stream.rolling_week(_events(spark, d), ["event_type"], slide="1 day"))
     return r6(out.withColumn("end", F.col("end").cast("timestamp_ntz")), "mean", "std")
+
+
+@register("t3_stream_insert_only_merge", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'conflict' ELSE 'added' END AS outcome FROM events WHERE event_id % 4 <> 1")
+def _(spark, d):
+    e = V.table(spark, d, "events")
+    base = e.where("event_id % 4 < 2").select("event_id", F.when(F.col("event_id") % 4 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    merged, conflicts = new_path(spark, "merged"), new_path(spark, "conflicts")
+    q = _events(spark, d).select("event_id", "value").writeStream.foreachBatch(stream.insert_only_merge(base, ["event_id"], merged, conflicts))
+    q.option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    added = spark.read.parquet(merged).select("event_id", F.lit("added").alias("outcome"))
+    return added.unionByName(spark.read.parquet(conflicts).select("event_id", F.lit("conflict").alias("outcome")))
+
+
+@register("t4_stream_running_mae", "SELECT event_type, round(avg(abs(value * 0.25)), 6) AS mae, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1")
+def _(spark, d):
+    f = _events(spark, d).where("event_id % 2 = 0").select("event_type", "event_id", "ts", (F.col("value") * 1.25).alias("forecast"))
+    o = _events(spark, d).select("event_type", "event_id", "ts", F.col("value").alias("observed"))
+    j = stream.run_once(stream.running_mae(f, o, ["event_type", "event_id"]))
+    return r6(j.groupBy("event_type").agg(F.avg("error").alias("mae"), F.count("*").alias("n")), "mae")
+
+
+@register("t5_stream_step_hold", "SELECT event_type, ts, last_value(CASE WHEN event_id % 10 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM events")
+def _(spark, d):
+    e = _events(spark, d).select("event_type", "ts", F.when(F.col("event_id") % 10 == 0, F.col("value")).alias("level"))
+    out = stream.run_once(stream.step_hold(e, "event_type"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
