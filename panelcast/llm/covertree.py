@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from panelcast.llm.util import connected_components, stage
 
 #: Classes of a chunk; sampled vectors and pivots of a label; vectors of a leaf; slack of the bounds.
-CHUNK, SAMPLE, PIVOTS, LEAF, SLACK = 1024, 512, 64, 48, 1e-9
+CHUNK, SAMPLE, PIVOTS, LEAF, SLACK = 1024, 512, 64, 128, 1e-9
+#: Centres tried for a level, and vectors near one that make it a node of its own.
+TRIES, DENSE = 32, 8
 
 
 class CoverTree:
@@ -48,21 +50,27 @@ class CoverTree:
             return me
         while scale / 2 >= radius:
             scale /= 2
-        kids, left, at = [], rows, a
-        while len(left):  # greedy net: whatever is within half the radius of the next centre
+        kids, rest, left = [], [], rows
+        for _ in range(TRIES):  # greedy net: a centre takes what lies within half the radius
+            if not len(left):
+                break
             near = np.sqrt(np.maximum(0, 2 - 2 * self.x[left] @ self.x[left[0]])) <= scale / 2
             near[0] = True
-            part = left[near]
+            (kids if near.sum() >= DENSE else rest).append(left[near])
+            left = left[~near]
+        if not kids:
+            return me  # too scattered for this radius to tell apart
+        rest.append(left)
+        at = a
+        for part in [*kids, np.concatenate(rest)]:
             self.order[at : at + len(part)] = part
-            kids.append((at, at + len(part)))
             at += len(part)
-            left = left[~near]
-            if len(kids) >= 64 and len(left):  # too scattered for this radius to tell apart
-                self.order[at:e] = left
-                kids.append((at, e))
-                break
-        if len(kids) > 1:
-            self.nodes[me][4].extend(self._build(s, t, scale / 2) if t - s < e - a else self._leaf(s, t) for s, t in kids)
+        at = a
+        for part in kids:
+            self.nodes[me][4].append(self._build(at, at + len(part), scale / 2) if len(part) < e - a else self._leaf(at, at + len(part)))
+            at += len(part)
+        if at < e:
+            self.nodes[me][4].append(self._leaf(at, e))
         return me
 
     def _leaf(self, s: int, t: int) -> int:
@@ -103,12 +111,10 @@ def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, c
             if whole:
                 np.fill_diagonal(m, False)
                 na[ra] += m @ wa[ra]
-                left, right = np.nonzero(np.triu(m))
             else:
                 na[ra] += m @ wb[rb]
                 nb[rb] += m.T @ wa[ra]
-                left, right = np.nonzero(m)
-            edges += _forest(len(ra), len(rb), left, right, ra, rb, whole)
+            edges += _forest(m, ra, rb, whole)
         elif whole:
             todo += [(p, q) for n, p in enumerate(ki) for q in ki[n:]]
         elif ki and (not kj or t - s >= v - u):
@@ -118,21 +124,22 @@ def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, c
     return na, nb, edges
 
 
-def _forest(n: int, m: int, left: np.ndarray, right: np.ndarray, ra: np.ndarray, rb: np.ndarray, whole: bool) -> list[tuple[int, int]]:
-    root = list(range(n if whole else n + m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def _forest(m: np.ndarray, ra: np.ndarray, rb: np.ndarray, whole: bool) -> list[tuple[int, int]]:
+    """Edges that connect what the links connect; ``whole``: rows and columns are the same vectors."""
+    todo_a = m.any(1)
+    todo_b = todo_a if whole else m.any(0)
     out = []
-    for p, q in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = find(p), find(q if whole else n + q)
-        if x != y:
-            root[x] = y
-            out.append((int(ra[p]), int(rb[q])))
+    for root in np.flatnonzero(todo_a).tolist():
+        if not todo_a[root]:
+            continue
+        todo_a[root], stack = False, [(root, True)]
+        while stack:
+            x, row = stack.pop()
+            todo = todo_b if row else todo_a
+            new = np.flatnonzero((m[x] if row else m[:, x]) & todo)
+            todo[new] = False
+            out += [(int(ra[x]), int(rb[y])) if row else (int(ra[y]), int(rb[x])) for y in new.tolist()]
+            stack += [(y, whole or not row) for y in new.tolist()]
     return out
 
 
@@ -151,24 +158,25 @@ def _vectors(col: pa.Array) -> np.ndarray:
 
 
 def _net(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pivots of each (label, dim): a net of the sample at the smallest of the halving radii that needs at most PIVOTS."""
+    """Pivots of each (label, dim): a net of the sample at the smallest of the halving radii that needs few enough."""
     held: dict[tuple, list] = {}
     for batch in batches:
-        for label, dim, vec in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            held.setdefault((label, dim), []).append(vec)
+        for label, dim, n, vec in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            held.setdefault((label, dim, n), []).append(vec)
     rows = []
-    for (label, dim), vecs in held.items():
+    for (label, dim, n), vecs in held.items():
+        most = max(1, min(PIVOTS, n // CHUNK))  # cells of about a chunk, or more
         x, r, best = _unit(np.array(vecs, np.float64)), 2.0, None
         while r > 0.05:
             left, net = np.arange(len(x)), []
-            while len(left) and len(net) <= PIVOTS:
+            while len(left) and len(net) <= most:
                 net.append(left[0])
                 left = left[2 - 2 * x[left] @ x[left[0]] > r * r]
-            if len(net) > PIVOTS:
+            if len(net) > most:
                 break
             best, r = net, r / 2
         best = [0] if best is None else best
-        rows += [(label, dim, n, x[i].tolist()) for n, i in enumerate(best)]
+        rows += [(label, dim, c, x[i].tolist()) for c, i in enumerate(best)]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["label", "dim", "cell", "centre"])
 
 
@@ -235,7 +243,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     # a bounded sample of each label: its smallest hashes, cut by the label's size so that few rows compete
     n = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     near = classes.join(n, ["label", "dim"]).where(F.pmod(F.col("key"), F.lit(1 << 20)) * F.col("n") <= F.lit(SAMPLE * float(1 << 20)))
-    net = stage(near.select("label", "dim", "vec").repartition("label", "dim").mapInArrow(_net, "label long, dim long, cell long, centre array<double>"), "net")
+    net = stage(near.select("label", "dim", "n", "vec").repartition("label", "dim").mapInArrow(_net, "label long, dim long, cell long, centre array<double>"), "net")
     packed = net.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("cell", "centre"))).alias("net"))
 
     @F.arrow_udf("long")

@@ -52,7 +52,7 @@ def run(spark, data):
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", 40)
     monkeypatch.setattr(C, "LEAF", 4)
-    monkeypatch.setattr(C, "PIVOTS", 6)
+    monkeypatch.setattr(C, "DENSE", 3)
     data = rows(400)
     assert run(spark, data) == brute(data)
 
