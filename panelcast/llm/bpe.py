@@ -14,7 +14,6 @@ encoded alone. Pieces that are tokens themselves are taken whole.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -24,9 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.util import release_memory
+
 NONE = np.int32(2**31 - 1)
 #: Ranks scanned for at once; bytes of text of a block; distinct pieces kept between blocks.
-BAND, BLOCK_BYTES, MOST_PIECES = 1024, 24 << 20, 1_000_000
+BAND, BLOCK_BYTES, MOST_PIECES = 1024, 4 << 20, 200_000
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -183,14 +184,15 @@ class Encoder:
     def __init__(self, raw: bytes, pattern: str):
         self.replay = MergeReplay(load_ranks(raw))
         self.find = piece_pattern(pattern).findall
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the pieces seen so far."""
         self.index, self.toks, self.counts = _Index(), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > MOST_PIECES:
-            self._forget()
+            self.forget()
         known = len(self.index)
         number = self.index.__getitem__
         docs = []
@@ -210,19 +212,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
-
-
-def _encoder(raw: bytes, pattern: str) -> Encoder:
-    key = hashlib.sha256(raw + pattern.encode()).digest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(raw, pattern)
-    return _ENCODERS[key]
-
-
 def _encode(raw, pattern: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(raw.value, pattern)
+        enc = Encoder(raw.value, pattern)
 
         def flush(ids: list, texts: list) -> pa.RecordBatch:
             got = enc.encode(texts)
@@ -232,8 +224,8 @@ def _encode(raw, pattern: str, decode: bool):
             return pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "decoded"][: len(cols)])
 
         ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for rows in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
+            for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t)
                 size += len(t or "")
@@ -242,6 +234,8 @@ def _encode(raw, pattern: str, decode: bool):
                     ids, texts, size = [], [], 0
         if ids:
             yield flush(ids, texts)
+        enc.forget()
+        release_memory()
 
     return run
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.shingles import mix, pieces, shingle_sets, text_buffers
-from panelcast.llm.util import connected_components, stage
+from panelcast.llm.util import connected_components, release_memory, stage
 
 #: Buckets of the table of frequent shingles (one byte each in every task), and the least count kept there.
 BUCKET_BITS, LEAST = 22, 6
@@ -77,11 +77,13 @@ def _profile(k: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(_signature(sets, sizes)), none, none], names=names)
                 held.append(sets)
                 n += len(sets)
-                if n > 4_000_000:
+                if n > 2_000_000:
                     yield counts()
                     held, n = [], 0
         if n:
             yield counts()
+        held.clear()
+        release_memory()
 
     return run
 
@@ -105,7 +107,7 @@ def _prefixes(k: int, num: int, den: int, classes: np.ndarray):
                 for s, n, e in zip(sig.tolist(), sizes.tolist(), ends.tolist(), strict=True):
                     if not n or s in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(s)
                     own = np.sort(key[e - n : e])
                     need = -(-num * n // den)
@@ -118,6 +120,7 @@ def _prefixes(k: int, num: int, den: int, classes: np.ndarray):
                     metas.append(np.full(p, n * 128 + ell))
                 if toks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (toks, nodes, metas)], names=["token", "node", "meta"])
+        release_memory()
 
     return run
 
@@ -136,7 +139,7 @@ def _wanted_sets(k: int, bits: np.ndarray):
                 sets, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 sig, ends = _signature(sets, sizes).tolist(), np.cumsum(sizes)
                 rows = [(s, sets[e - n : e].tobytes()) for s, n, e in zip(sig, sizes.tolist(), ends.tolist(), strict=True) if n and s not in seen]
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.update(s for s, _ in rows)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["node", "shingles"])

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.util import release_memory
+
 KEY = b"panelcast-surrogates-1"
 ROUNDS = 6
 DIGITS = "0123456789"
@@ -214,16 +216,22 @@ def canonical(kind: str, s: str) -> str:
 
 
 def _run(key: bytes):
-    def run(col: pa.Array) -> pa.Array:
-        cache: dict = {}
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
+
+    def part(col: pa.Array, cache: dict) -> pa.StructArray:
         texts, kinds = [], []
         for t in col.to_pylist():
             new, found = (None, []) if t is None else replace(t, key, cache)
             texts.append(new)
             kinds.append([{"kind": k, "entity": e, "surrogate": s} for k, e, s in found])
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(kinds, kind)], ["text", "entities"])
 
+    def run(col: pa.Array) -> pa.Array:
+        cache: dict = {}
+        out = pa.concat_arrays([part(col.slice(i, 500), cache) for i in range(0, max(len(col), 1), 500)])
+        release_memory()
+        return out
+
     return run
 
 
