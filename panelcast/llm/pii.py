@@ -52,6 +52,8 @@ _ALPHABETS = {"latin": LOWER, "cyrillic": "абвгдежзийклмнопрс
 _FAMILY = r"(?:\p{Lu}[\p{Ll}]+(?:[-']\p{Lu}?\p{Ll}+)?)"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(sorted(_OF, key=len, reverse=True))
+#: Capitalised words and initials before them; a title before another name is not one of them.
+_WORD = rf"(?:(?P<name>\p{{Lu}})\.? )*(?!(?:{_TITLE})\.? \p{{Lu}})(?P<name>{_FAMILY})"
 _PATTERN = regex.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
     r"|(?P<access_key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
@@ -59,12 +61,10 @@ _PATTERN = regex.compile(
     r"|(?P<ip>(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\.?[0-9]))"
     r"|(?P<card>(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-]))"
     r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.])\+[0-9][0-9 ]{7,16}[0-9](?!\w))"
-    rf"|(?P<person>\b(?:(?P<title>{_TITLE})\.? (?:(?P<g1>{_GIVEN}) )?(?P<fam1>{_FAMILY})|(?P<g2>{_GIVEN}) (?P<fam2>{_FAMILY}))\b)"
+    rf"|(?P<person>\b(?:(?:(?:{_TITLE})\.? )+|(?P<name>{_GIVEN}) ){_WORD}(?: {_WORD})*\b)"
 )
-#: A text without these signs and words holds nothing.
-_SIGNS = re.compile(r"[@0-9]|A[KS]IA")
-_EDGES = re.compile(r"[^\w\s.]+")
-_NAME_WORDS = frozenset(_OF) | {x for t in _TITLE.split("|") for x in (t, t + ".")}
+#: Each entity holds one of these pieces wherever it stands, so a text without them holds nothing.
+_SIGNS = re.compile(rf"[@0-9]|A[KS]IA|(?:{_TITLE})\.? |(?:{_GIVEN}) ")
 
 
 def _round(key: bytes, tag: str, i: int, value: int) -> int:
@@ -174,14 +174,14 @@ def surrogate(kind: str, s: str, key: bytes = KEY, gender: str = "") -> str:
 
 def find(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, int, int]]]]:
     """(kind, start, end, parts) of every entity; parts are the pieces to replace."""
-    if not _SIGNS.search(text) and _NAME_WORDS.isdisjoint(_EDGES.sub(" ", text).split()):
+    if not _SIGNS.search(text):
         return
     for m in _PATTERN.finditer(text):
         kind = next(k for k in ("email", "access_key", "ssn", "ip", "card", "phone", "person") if m[k] is not None)
         if kind != "person":
             yield kind, m.start(), m.end(), [(kind, m.start(), m.end())]
         else:
-            yield kind, m.start(), m.end(), [("given" if g[0] == "g" else "family", *m.span(g)) for g in ("g1", "fam1", "g2", "fam2") if m[g] is not None]
+            yield kind, m.start(), m.end(), [("given" if text[a:b] in _OF else "family", a, b) for a, b in sorted(m.spans("name"))]
 
 
 def replace(text: str, key: bytes, cache: dict) -> tuple[str, list[tuple[str, str, str]]]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from panelcast.llm import pii as P
 
@@ -26,6 +27,26 @@ def test_clean_texts_stay():
         assert P.replace(t, P.KEY, {}) == (t, [])
 
 
+def test_fast_path_agrees_with_the_pattern(monkeypatch):
+    for t in ("It ended.Anna Smith left", "...Anna Smith", "Prof.Dr. Jones", "x²Anna Smith", "(Mr Jones)", "*Иван Петров*"):
+        assert [k for k, *_ in P.find(t)] == ["person"], t
+    r = random.Random(5)
+    bits = [*P._OF, *P._TITLE.split("|"), "Smith", "Jones", "Петров", "word", "I", "AKIA", "ASIA" + "A" * 16, "@", "a@b.example.com", "10.2.33.4", "²", "_", *" .,-…'\n\t()" * 4, *" " * 40]
+    texts = ["".join(r.choices(bits, k=r.randrange(1, 12))) for _ in range(20_000)]
+    fast = [list(P.find(t)) for t in texts]
+    monkeypatch.setattr(P, "_SIGNS", re.compile(""))
+    assert fast == [list(P.find(t)) for t in texts] and sum(map(bool, fast)) > 1000
+
+
+def test_every_word_of_a_name_is_replaced():
+    for t in ("Anna Maria Smith", "Dr. John F. Kennedy", "Prof. Dr. Jones", "Frau Dr. Schmidt", "Anna Smith Jones Brown", "Mr J. R. Smith"):
+        new, found = P.replace(f"so {t} left", P.KEY, {})
+        assert len(found) == 1 and new.startswith("so ") and new.endswith(" left"), t
+        left = {w.strip(".") for w in new.split()} & {w.strip(".") for w in t.split()}
+        assert left <= set(P._TITLE.split("|")), (t, new)
+    assert [e for _, e, _ in P.replace("Anna Smith met Mrs Maria Jones. I saw", P.KEY, {})[1]] == ["Anna Smith", "Maria Jones"]
+
+
 def test_distinct_entities_stay_distinct():
     r = random.Random(3)
     for kind, make in {
