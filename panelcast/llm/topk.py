@@ -24,6 +24,8 @@ from panelcast.llm.util import stage
 #: Vectors of a block, queries of a pack, blocks of a share and packs of a group (they meet in one task), blocks of the first round.
 BLOCK, PACK, SHARE, PACKS, FIRST = 256, 256, 64, 8, 2
 SCALE = 1024
+#: Large leads are numbered in so many buckets.
+BUCKETS = 4096
 
 
 def usable(vec: Column) -> Column:
@@ -57,11 +59,24 @@ def _pack(group: str):
     return run
 
 
-def pack(vectors: DataFrame, rows: int, name: str, order: Column) -> DataFrame:
-    """Pack (id, vec) into rows of about ``rows`` vectors of one dimension, neighbours by ``order`` together."""
-    v = vectors.select("id", "vec", F.size("vec").cast("long").alias("dim"), order.alias("at"))
-    n = v.count()
-    v = v.withColumn(name, F.floor(F.col("at") * max(1, -(-n // rows))).cast("long"))
+def pack(vectors: DataFrame, rows: int, name: str) -> DataFrame:
+    """Pack (id, vec, lead) into rows of about ``rows`` vectors of one dimension, those of one lead together.
+
+    A lead of more vectors than ``rows`` has row numbers of its own, one for every
+    ``rows`` vectors, dealt by a hash; the others share rows, whole leads in each.
+    """
+    v = vectors.select("id", "vec", F.size("vec").cast("long").alias("dim"), "lead")
+    leads = stage(v.groupBy("lead").agg(F.count("*").alias("n")), "leads")
+    count = leads.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") <= rows, F.col("n"))).alias("small")).first()
+    n, shared = count["n"] or 0, -(-(count["small"] or 0) // rows)
+    large = leads.where(F.col("n") > rows).select("lead", F.ceil(F.col("n") / rows).alias("parts"), F.pmod("lead", F.lit(BUCKETS)).alias("bucket"))
+    # running sums in two steps: over the fixed number of buckets, and within each
+    before = lambda w: F.coalesce(F.sum("parts").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = large.groupBy("bucket").agg(F.sum("parts").alias("parts")).select("bucket", before(Window.orderBy("bucket")).alias("base"))
+    first = F.lit(shared) + F.col("base") + before(Window.partitionBy("bucket").orderBy("lead"))
+    large = stage(large.join(base, "bucket").select("lead", "parts", first.alias("first")), "large-leads")
+    own = F.col("first") + F.pmod(F.xxhash64("id", "vec"), F.col("parts"))
+    v = v.join(large, "lead", "left").withColumn(name, F.coalesce(own, F.pmod("lead", F.lit(max(1, shared)))).cast("long"))
     v = v.select(name, "dim", "id", "vec").repartition(max(1, min(-(-n // rows), 4 * vectors.sparkSession.sparkContext.defaultParallelism)), name, "dim").sortWithinPartitions(name, "dim", "id")
     return stage(v.mapInArrow(_pack(name), f"{name} long, dim long, ids binary, vecs binary, hi binary, lo binary"), name)
 
@@ -196,14 +211,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """
     v = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
     v = v.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("vec"), is_query.alias("is_query"))
-    v = stage(v.distinct(), "vectors")
     # vectors whose largest components agree in place and sign stand in one block: tight extremes
     signs = F.transform("vec", lambda x, i: F.struct((-F.abs(x)).alias("a"), i.alias("i"), (x > 0).alias("s")))
     lead = F.slice(F.transform(F.array_sort(signs), lambda t: F.concat(t["i"].cast("string"), t["s"].cast("string"))), 1, 2)
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)) / float(1 << 20)
-    order = (F.pmod(F.xxhash64(F.array_join(lead, ",")), F.lit(1 << 20)) + part(F.col("id"))) / float(1 << 20)
-    blocks = pack(v, BLOCK, "block", order)
-    packs = pack(v.where("is_query"), PACK, "pack", order)
+    v = stage(v.distinct().withColumn("lead", F.xxhash64(F.size("vec"), F.array_join(lead, ","))), "vectors")
+    blocks = pack(v, BLOCK, "block")
+    packs = pack(v.where("is_query"), PACK, "pack")
     top = blocks.agg(F.max("block").alias("b")).first()["b"]
     last = packs.agg(F.max("pack").alias("p")).first()["p"]
     spread = lambda df, col, n: df.withColumn(col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n)).cast("long"))))

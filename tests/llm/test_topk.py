@@ -43,6 +43,25 @@ def test_equals_brute_force(spark, monkeypatch):
     assert run(spark, data) == brute(data, 10)
 
 
+def test_blocks_and_packs_are_bounded_under_skew(spark, monkeypatch):
+    for name, n in (("BLOCK", 16), ("PACK", 8), ("SHARE", 8), ("PACKS", 2)):
+        monkeypatch.setattr(K, name, n)
+    r = random.Random(8)
+    hot = [r.gauss(0, 1) for _ in range(8)]
+    data = [(i, [x + r.choice((0, 0.001)) for x in hot] if i % 3 == 0 else [r.gauss(0, 1) for _ in range(8)], 0, 1, "x") for i in range(1500)]
+    pack, most = K.pack, {}
+
+    def spy(v, n, name, *more):
+        out = pack(v, n, name, *more)
+        most[name] = out.agg(F.max(F.length("ids"))).first()[0] / 8 / n
+        assert out.groupBy(name, "dim").count().where("count > 1").count() == 0
+        return out
+
+    monkeypatch.setattr(K, "pack", spy)
+    assert run(spark, data) == brute(data, 10)
+    assert max(most.values()) <= 6, most
+
+
 def test_few_candidates_and_empty(spark):
     data = rows(15)[:15]
     assert run(spark, data, 30) == brute(data, 30)
