@@ -13,8 +13,10 @@ one entity has one surrogate everywhere and two never share one:
   and script, family names through one of all capitalised letter runs of their
   script and length;
 
-A permutation keeps distinct entities distinct; ``collisions`` checks this on the
-whole corpus, as well as that no surrogate is an entity found in it.
+A permutation keeps distinct entities distinct and changes each. ``checked`` verifies
+on the whole corpus that an entity has one surrogate and a surrogate one entity, and
+repairs what is not so (hosts of addresses are hashed). A surrogate may by chance be
+another entity of the corpus; ``collisions`` lists these.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import release_memory
+from panelcast.llm.util import release_memory, stage
 
 KEY = b"panelcast-surrogates-1"
 ROUNDS = 6
+#: Turns in which entities that share a surrogate draw again.
+TURNS = 20
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
@@ -49,6 +53,9 @@ NAMES = {
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora", "Madame"], "m": ["Mr", "Sir", "Herr", "Sr", "Señor", "Monsieur"], "": ["Dr", "Prof"]}
 _OF = {n: k for k, v in NAMES.items() for n in v}
 _ALPHABETS = {"latin": LOWER, "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: Calling codes: North America, Russia, those of two digits, and all others of three.
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+_LISTED = frozenset(n.lower() for n in _OF)
 _FAMILY = r"(?:\p{Lu}[\p{Ll}]+(?:[-']\p{Lu}?\p{Ll}+)?)"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(sorted(_OF, key=len, reverse=True))
@@ -64,27 +71,38 @@ _PATTERN = regex.compile(
     rf"|(?P<person>\b(?:(?:(?:{_TITLE})\.? )+|(?P<name>{_GIVEN}) ){_WORD}(?: {_WORD})*\b)"
 )
 #: Each entity holds one of these pieces wherever it stands, so a text without them holds nothing.
-_SIGNS = re.compile(rf"[@0-9]|A[KS]IA|(?:{_TITLE})\.? |(?:{_GIVEN}) ")
+_SIGNS = re.compile(r"[@0-9]|A[KS]IA")
+_HEADS = re.compile("|".join(f"{c}(?:{'|'.join(w[1:] for w in ws if w[0] == c)})" for ws in [[t + r"\.? " for t in _TITLE.split("|")] + [g + " " for g in _OF]] for c in sorted({w[0] for w in ws})))
 
 
 def _round(key: bytes, tag: str, i: int, value: int) -> int:
     return int.from_bytes(hmac.digest(key, f"{tag}|{i}|{value}".encode(), "sha256")[:16], "big")
 
 
-def permute(value: int, size: int, tag: str, key: bytes = KEY) -> int:
-    """A keyed permutation of range(size): a Feistel network on the next square, walked back into the range."""
+def permute(value: int, size: int, tag: str, key: bytes = KEY, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a Feistel network on the next square, walked back into the range."""
     if size < 2:
         return value
     side = math.isqrt(size - 1) + 1
     while True:
         a, b = divmod(value, side)
         for i in range(ROUNDS):
-            a, b = b, (a + _round(key, tag, i, b)) % side
+            if back:
+                a, b = (b - _round(key, tag, ROUNDS - 1 - i, a)) % side, a
+            else:
+                a, b = b, (a + _round(key, tag, i, b)) % side
         value = a * side + b
         if value < size:
             return value
 
 
+def others(value: int, size: int, tag: str, key: bytes = KEY) -> Iterator[int]:
+    """All other values of range(size) in the keyed order after ``value``, then ``value``: the first is a permutation without fixed points."""
+    at = permute(value, size, tag, key)
+    for i in range(1, size + 1):
+        yield permute((at + i) % size, size, tag, key, back=True)
+
+
 def _number(s: str, alphabet: str) -> int:
     v = 0
     for c in s:
@@ -101,14 +119,9 @@ def _string(v: int, n: int, alphabet: str) -> str:
 
 
 def permute_run(s: str, alphabet: str, tag: str, key: bytes = KEY, ok=lambda s: True) -> str:
-    """A run of the same length over ``alphabet``; walked on while not ``ok`` (then ``s`` must be ok) or unchanged."""
-    size, v, steps = len(alphabet) ** len(s), _number(s, alphabet), 0
-    while True:
-        v = permute(v, size, f"{tag}|{len(s)}", key)
-        out = _string(v, len(s), alphabet)
-        steps += 1
-        if ok(out) or steps > 10_000:
-            return out
+    """The next run of the same length over ``alphabet`` that is ``ok``, as ``s`` must be; ``s`` itself only if no other is."""
+    runs = others(_number(s, alphabet), len(alphabet) ** len(s), f"{tag}|{len(s)}", key)
+    return next(r for r in (_string(v, len(s), alphabet) for v in runs) if ok(r))
 
 
 def _luhn(s: str) -> bool:
@@ -153,20 +166,20 @@ def surrogate(kind: str, s: str, key: bytes = KEY, gender: str = "") -> str:
         v = 0
         for part in s.split("."):
             v = v * 256 + int(part)
-        v = permute(v, 1 << 32, "ip", key)
+        v = next(others(v, 1 << 32, "ip", key))
         return ".".join(str(v >> b & 255) for b in (24, 16, 8, 0))
     if kind == "phone":
-        head = regex.match(r"\+\d{1,3}(?=\D)", s)
-        keep = len(head[0]) - 1 if head else 0
-        return _fill(s, digits[:keep] + permute_run(digits[keep:], DIGITS, f"phone|{digits[:keep]}", key), str.isdigit)
+        # country codes are free of prefixes, so permutations of different tags do not overlap
+        code = _COUNTRY.match(digits)[0] if s[0] == "+" and len(digits) >= 7 else ""
+        return _fill(s, code + permute_run(digits[len(code) :], DIGITS, f"phone|{s[0] == '+'}|{code}", key), str.isdigit)
     if kind == "given":
         k = _OF[s]
         names = NAMES[k]
-        return names[permute(names.index(s), len(names), f"given|{k}", key)]
+        return names[next(others(names.index(s), len(names), f"given|{k}", key))]
     low = s.lower()
     script = next((n for n, a in _ALPHABETS.items() if all(c in a for c in low)), None)
     if script:
-        out = permute_run(low, _ALPHABETS[script], f"family|{script}", key)
+        out = permute_run(low, _ALPHABETS[script], f"family|{script}", key, lambda o: o not in _LISTED)
     else:  # letters outside the plain alphabets: all of their run goes to Latin letters by a keyed hash
         out = _string(int.from_bytes(hmac.digest(key, f"family|{low}".encode(), "sha256"), "big"), max(len(low), 12), LOWER)
     return "".join(c.upper() if i < len(s) and s[i].isupper() else c for i, c in enumerate(out))
@@ -174,7 +187,7 @@ def surrogate(kind: str, s: str, key: bytes = KEY, gender: str = "") -> str:
 
 def find(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, int, int]]]]:
     """(kind, start, end, parts) of every entity; parts are the pieces to replace."""
-    if not _SIGNS.search(text):
+    if not _SIGNS.search(text) and not _HEADS.search(text):
         return
     for m in _PATTERN.finditer(text):
         kind = next(k for k in ("email", "access_key", "ssn", "ip", "card", "phone", "person") if m[k] is not None)
@@ -184,66 +197,155 @@ def find(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, int, int]]]
             yield kind, m.start(), m.end(), [("given" if text[a:b] in _OF else "family", a, b) for a, b in sorted(m.spans("name"))]
 
 
-def replace(text: str, key: bytes, cache: dict) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates and (kind, canonical entity, canonical surrogate) of each entity."""
+def _part(kind: str, own: str, key: bytes, cache: dict) -> str:
+    if (kind, own) not in cache:
+        if len(cache) > 100_000:
+            cache.clear()
+        cache[kind, own] = surrogate(kind, own, key)
+    return cache[kind, own]
+
+
+def replace(text: str, key: bytes, cache: dict, repairs: dict | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates and (kind, canonical entity, canonical surrogate) of each entity.
+
+    ``repairs``: canonical surrogates by (kind, canonical entity) that go before the entity's own.
+    """
     out, at, found = [], 0, []
     for kind, s, e, parts in find(text):
-        piece, p = [], s
-        for k, a, b in parts:
-            own = text[a:b]
-            if (k, own) not in cache:
-                if len(cache) > 100_000:
-                    cache.clear()
-                cache[k, own] = surrogate(k, own, key)
-            piece += [text[p:a], cache[k, own]]
-            p = b
-        piece.append(text[p:e])
-        new = "".join(piece)
-        out += [text[at:s], new]
+        own = [text[a:b] for _, a, b in parts]
+        entity = canonical(kind, " ".join(own))
+        fixed = (repairs or {}).get((kind, entity))
+        new = [_part(k, o, key, cache) for (k, *_), o in zip(parts, own, strict=True)] if fixed is None else laid_out(kind, own, fixed)
+        p = s
+        for (_, a, b), n in zip(parts, new, strict=True):
+            out += [text[at:p], text[p:a], n]
+            at = p = b
+        out.append(text[p:e])
         at = e
-        found.append((kind, canonical(kind, text[s:e]), canonical(kind, new)))
+        found.append((kind, entity, canonical(kind, " ".join(new))))
     out.append(text[at:])
     return "".join(out), found
 
 
+def laid_out(kind: str, own: list[str], fixed: str) -> list[str]:
+    """A canonical surrogate in the layout of a mention's parts."""
+    if kind == "person":
+        return fixed.split(" ")
+    if kind in ("phone", "card", "ssn"):
+        return [_fill(own[0], "".join(c for c in fixed if c.isdigit()), str.isdigit)]
+    if kind == "email":
+        local, host = fixed.rsplit("@", 1)
+        return ["".join(c.upper() if o.isupper() else c for c, o in zip(local, own[0], strict=False)) + "@" + host]
+    return [fixed]
+
+
 def canonical(kind: str, s: str) -> str:
-    """What makes two mentions one entity."""
+    """What makes two mentions one entity; of a person, the words of the name without titles."""
     if kind in ("phone", "card", "ssn"):
         return ("+" if s[0] == "+" else "") + "".join(c for c in s if c.isdigit())
-    if kind == "person":
-        return " ".join(w for w in s.split() if w.rstrip(".") not in _TITLE.split("|"))
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in s.split("."))
     return s.lower() if kind == "email" else s
 
 
+_ENTITIES = "array<struct<kind:string,entity:string,surrogate:string>>"
+
+
 def _run(key: bytes):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
-    def part(col: pa.Array, cache: dict) -> pa.StructArray:
+    def part(col: pa.Array, repairs: pa.Array | None, cache: dict) -> pa.StructArray:
         texts, kinds = [], []
-        for t in col.to_pylist():
-            new, found = (None, []) if t is None else replace(t, key, cache)
+        for t, r in zip(col.to_pylist(), [None] * len(col) if repairs is None else repairs.to_pylist(), strict=True):
+            fixed = {(x["kind"], x["entity"]): x["surrogate"] for x in r or []}
+            new, found = (None, []) if t is None else replace(t, key, cache, fixed)
             texts.append(new)
             kinds.append([{"kind": k, "entity": e, "surrogate": s} for k, e, s in found])
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(kinds, kind)], ["text", "entities"])
 
-    def run(col: pa.Array) -> pa.Array:
+    def run(col: pa.Array, repairs: pa.Array | None = None) -> pa.Array:
         cache: dict = {}
-        out = pa.concat_arrays([part(col.slice(i, 500), cache) for i in range(0, max(len(col), 1), 500)])
+        out = pa.concat_arrays([part(col.slice(i, 500), None if repairs is None else repairs.slice(i, 500), cache) for i in range(0, max(len(col), 1), 500)])
         release_memory()
         return out
 
     return run
 
 
-def pseudonymise(text: Column, key: bytes = KEY) -> Column:
+def pseudonymise(text: Column, key: bytes = KEY, repairs: Column | None = None) -> Column:
     """struct(text, entities) of a whole text; a null text stays null and has no entities."""
     run = _run(key)
+    kind = f"struct<text:string,entities:{_ENTITIES}>"
 
-    @F.arrow_udf("struct<text:string,entities:array<struct<kind:string,entity:string,surrogate:string>>>")
+    @F.arrow_udf(kind)
     def apply(col: pa.Array) -> pa.Array:
         return run(col)
 
-    return apply(text)
+    @F.arrow_udf(kind)
+    def repaired(col: pa.Array, fixed: pa.Array) -> pa.Array:
+        return run(col, fixed)
+
+    return apply(text) if repairs is None else repaired(text, repairs)
+
+
+def _again(kind: str, entity: str, key: bytes, turn: int) -> str:
+    """Another canonical surrogate of a canonical entity, by a key of this turn."""
+    k = hmac.digest(key, f"repair|{turn}".encode(), "sha256")
+    if kind == "person":
+        return " ".join(surrogate("given" if w in _OF else "family", w, k) for w in entity.split(" "))
+    return canonical(kind, surrogate(kind, entity, k))
+
+
+def conflicts(e: DataFrame) -> DataFrame:
+    """Of distinct (kind, entity, surrogate): entities of several surrogates and surrogates of several entities, (kind, what, value, n)."""
+    of = lambda c: e.groupBy("kind", F.col(c).alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit(c).alias("what"), "value", "n")
+    return of("entity").unionByName(of("surrogate"))
+
+
+def repairs(e: DataFrame, key: bytes = KEY) -> DataFrame | None:
+    """(kind, entity, surrogate) of the entities whose surrogate must change, None if there is no conflict.
+
+    An entity of several surrogates gets the smallest of them. Of the entities that
+    share a surrogate the smallest keeps it, the others draw again by other keys until
+    theirs is free; an error is raised if some find none in TURNS turns.
+    """
+    if not conflicts(e).limit(1).count():
+        return None
+    m = e.groupBy("kind", "entity").agg(F.min("surrogate").alias("surrogate"), F.count("*").alias("n")).withColumn("turn", F.lit(0))
+    for turn in range(1, TURNS + 1):
+        keeps = m.groupBy("kind", "surrogate").agg(F.min(F.struct("turn", "entity"))["entity"].alias("keeper"))
+        m = stage(m.join(keeps, ["kind", "surrogate"]), "mapping")
+        lost = F.col("entity") != F.col("keeper")
+        if not m.where(lost).limit(1).count():
+            return m.where("n > 1 OR turn > 0").select("kind", "entity", "surrogate")
+
+        @F.udf("string")
+        def again(kind: str, entity: str, turn: int = turn) -> str:
+            return _again(kind, entity, key, turn)
+
+        kept = m.where(~lost).select("kind", "entity", "surrogate", "n", "turn")
+        m = kept.unionByName(m.where(lost).select("kind", "entity", again("kind", "entity").alias("surrogate"), "n", F.lit(turn).alias("turn")))
+    raise RuntimeError(f"entities without a surrogate of their own after {TURNS} turns")
+
+
+def checked(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+    """``docs`` with the personal data of ``text_col`` replaced, and ``pii_entities``.
+
+    All distinct (kind, entity, surrogate) are checked in both directions; texts that
+    hold an entity of ``repairs`` are replaced again by these.
+    """
+    text = F.col(text_col).cast("string")
+    new = lambda df, p: df.withColumn("pii", p).withColumns({text_col: F.col("pii.text"), "pii_entities": F.col("pii.entities")}).drop("pii")
+    keyed = docs.withColumn("pii_key", F.sha2(text, 256))
+    d = stage(new(keyed, pseudonymise(text, key)), "surrogates")
+    mentions = d.select("pii_key", F.explode("pii_entities").alias("e")).select("pii_key", "e.*")
+    fixes = repairs(stage(mentions.drop("pii_key").distinct(), "entities"), key)
+    if fixes is None:
+        return d.drop("pii_key")
+    hit = mentions.select("pii_key", "kind", "entity").distinct().join(fixes, ["kind", "entity"])
+    hit = stage(hit.groupBy("pii_key").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("pii_repairs")), "repairs")
+    d = new(keyed.join(hit, "pii_key", "left"), pseudonymise(text, key, F.col("pii_repairs")))
+    return d.select(*docs.columns, "pii_entities")
 
 
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
@@ -252,19 +354,15 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without entities come back unchanged; null texts stay null; repeated rows
     get equal texts; an empty table gives no rows; other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("id"), pseudonymise(F.col(text_col).cast("string"), key).alias("p"))
-    kinds = F.transform("p.entities", lambda e: e["kind"])
+    d = checked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", key)
+    kinds = F.transform("pii_entities", lambda e: e["kind"])
     counts = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.concat(k, F.lit(":"), F.size(F.filter(kinds, lambda x: x == k)).cast("string")))
-    return d.select(F.col("id").alias(id_col), F.col("p.text").alias("text"), F.size("p.entities").alias("n_entities"), F.array_join(counts, ",").alias("kinds"))
+    return d.select(F.col("id").alias(id_col), "text", F.size("pii_entities").alias("n_entities"), F.array_join(counts, ",").alias("kinds"))
 
 
 def collisions(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """Surrogates that stand for several entities of the corpus, or that are one of its entities: (kind, surrogate, n).
-
-    Entities are made distinct within tasks and by partial aggregation, so the rows
-    shuffled are those of different entities.
-    """
+    """What ``checked`` repairs, and surrogates that are another entity of the corpus (n = 0), which it leaves: (kind, what, value, n)."""
     e = docs.select(F.explode(pseudonymise(F.col(text_col).cast("string"), key)["entities"]).alias("e")).select("e.*").distinct()
-    shared = e.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
     real = e.select("kind", F.col("entity").alias("surrogate")).distinct()
-    return shared.unionByName(e.select("kind", "surrogate").distinct().join(real, ["kind", "surrogate"], "left_semi").withColumn("n", F.lit(0).cast("long")))
+    met = e.select("kind", "surrogate").distinct().join(real, ["kind", "surrogate"], "left_semi")
+    return conflicts(e).unionByName(met.select("kind", F.lit("surrogate").alias("what"), F.col("surrogate").alias("value"), F.lit(0).cast("long").alias("n")))

@@ -42,7 +42,7 @@ def test_every_word_of_a_name_is_replaced():
     for t in ("Anna Maria Smith", "Dr. John F. Kennedy", "Prof. Dr. Jones", "Frau Dr. Schmidt", "Anna Smith Jones Brown", "Mr J. R. Smith"):
         new, found = P.replace(f"so {t} left", P.KEY, {})
         assert len(found) == 1 and new.startswith("so ") and new.endswith(" left"), t
-        left = {w.strip(".") for w in new.split()} & {w.strip(".") for w in t.split()}
+        left = {a.strip(".") for a, b in zip(new.split(), f"so {t} left".split(), strict=True) if a == b} - {"so", "left"}
         assert left <= set(P._TITLE.split("|")), (t, new)
     assert [e for _, e, _ in P.replace("Anna Smith met Mrs Maria Jones. I saw", P.KEY, {})[1]] == ["Anna Smith", "Maria Jones"]
 
@@ -71,3 +71,28 @@ def test_rows(spark):
     assert by[1]["text"][5:22] == by[2]["text"][6:] and by[3]["text"] is None and by[1]["kinds"] == "phone:1"
     assert P.collisions(df).count() == 0
     assert P.surrogates(df.limit(0)).count() == 0
+
+
+def test_mentions_of_one_phone_share_a_surrogate_and_nothing_stays():
+    found = P.replace("+1 212 555 0199, +12125550199, +1 (212) 555-0199 and 10.02.33.4, 10.2.33.4", P.KEY, {})[1]
+    assert len({f for f in found if f[0] == "phone"}) == 1 and len(found) == 5
+    phones = [f"+{c}{n:07d}" for c in ("1", "12", "121", "20", "211", "7") for n in range(0, 9_999_999, 9973)]
+    assert len({P.surrogate("phone", x) for x in phones}) == len(set(phones))
+    for n in (2, 3, 10, 100):
+        assert sorted(next(P.others(i, n, "t")) for i in range(n)) == list(range(n)) and all(next(P.others(i, n, "t")) != i for i in range(n))
+    assert all(P.permute(P.permute(i, 1000, "t"), 1000, "t", back=True) == i for i in range(1000))
+
+
+def test_conflicts_are_repaired(spark, monkeypatch):
+    e = [("ip", "1.1.1.1", "9.9.9.9"), ("ip", "2.2.2.2", "9.9.9.9"), ("phone", "+12125550199", "+13"), ("phone", "+12125550199", "+14"), ("ip", "3.3.3.3", "8.8.8.8"), ("person", "Anna Smith", "Nina Q"), ("person", "Anna Jones", "Nina Q")]
+    df = spark.createDataFrame(e, "kind string, entity string, surrogate string")
+    assert P.conflicts(df).count() == 3
+    got = {(r["kind"], r["entity"]): r["surrogate"] for r in P.repairs(df).collect()}
+    assert set(got) == {("ip", "2.2.2.2"), ("phone", "+12125550199"), ("person", "Anna Smith")} and got["phone", "+12125550199"] == "+13"
+    assert got["ip", "2.2.2.2"] not in ("9.9.9.9", "8.8.8.8") and P.repairs(df.where("entity = '3.3.3.3'")) is None
+    docs = spark.createDataFrame([(1, "at 2.2.2.2"), (2, "at 3.3.3.3, call (212) 555-0199"), (3, None), (1, "at 2.2.2.2")], "doc_id long, text string")
+    fix = spark.createDataFrame([("ip", "2.2.2.2", "7.7.7.7"), ("phone", "2125550199", "1234567890")], df.schema)
+    monkeypatch.setattr(P, "repairs", lambda e, key: fix)
+    rows = P.surrogates(docs).collect()
+    assert [r["text"] for r in rows if r["doc_id"] == 1] == ["at 7.7.7.7"] * 2 and len(rows) == 4
+    assert [r["text"].endswith("call (123) 456-7890") for r in rows if r["doc_id"] == 2] == [True]
