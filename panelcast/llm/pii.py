@@ -10,8 +10,8 @@ one entity has one surrogate everywhere and two never share one:
   is valid again), and the characters are put back in the original's layout: case,
   punctuation, spaces and groups stay;
 * names go through a keyed permutation of the list of given names of their gender
-  and script, family names through one of all capitalised letter runs of their
-  script and length;
+  and script, other words of a name through one of all letter runs of their script
+  and layout: accents stay where they are, as do hyphens, apostrophes, ς and ß;
 
 A permutation keeps distinct entities distinct and changes each. ``checked`` verifies
 on the whole corpus that an entity has one surrogate and a surrogate one entity, and
@@ -21,9 +21,11 @@ another entity of the corpus; ``collisions`` lists these.
 
 from __future__ import annotations
 
+import functools
 import hmac
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,11 +54,12 @@ NAMES = {
 }
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora", "Madame"], "m": ["Mr", "Sir", "Herr", "Sr", "Señor", "Monsieur"], "": ["Dr", "Prof"]}
 _OF = {n: k for k, v in NAMES.items() for n in v}
-_ALPHABETS = {"latin": LOWER, "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: Letters that change among themselves; those of other letters follow from their code block.
+_ALPHABETS = (LOWER, "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώϊϋ")
 #: Calling codes: North America, Russia, those of two digits, and all others of three.
 _COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
-_LISTED = frozenset(n.lower() for n in _OF)
-_FAMILY = r"(?:\p{Lu}[\p{Ll}]+(?:[-']\p{Lu}?\p{Ll}+)?)"
+_LISTED = {n.lower(): n for n in _OF}
+_FAMILY = r"(?:\p{Lu}(?:[-'’]?(?!(?<=['’])s\b)[\p{L}\p{M}])+)"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(sorted(_OF, key=len, reverse=True))
 #: Capitalised words and initials before them; a title before another name is not one of them.
@@ -133,16 +136,48 @@ def _fill(layout: str, chars: str, slots) -> str:
     return "".join(next(it) if slots(c) else c for c in layout)
 
 
+@functools.cache
+def _alphabet(c: str) -> str:
+    """The letters that may stand for a lower-case or caseless letter; none for signs, marks, ς, ß and the like, which stay."""
+    own = next((a for a in _ALPHABETS if c in a), None)
+    if own:
+        return own
+    at = ord(c) & ~127
+    script = lambda x: unicodedata.name(x, "").split(" ")[0]
+    fits = lambda x: x.isalpha() and script(x) == script(c) and x.islower() == c.islower() and (x.upper().lower() == x != x.upper() if x.islower() else x.upper() == x == x.lower())
+    own = "".join(x for x in map(chr, range(at, at + 128)) if fits(x) and not any(x in a for a in _ALPHABETS))
+    return own if c in own else ""
+
+
+def _lower(s: str) -> list[str]:
+    """Lower case letter by letter; capitals without a lower-case letter of their own stay."""
+    return [c.lower() if c.lower().upper() == c else c for c in s]
+
+
+def _runs(low: list[str], alphabets: list[str], tag: str, key: bytes) -> list[str]:
+    """The letters of each alphabet permuted as one run; signs stay in place.
+
+    A run's tag holds the shape and the runs before it, so equal runs in different
+    words part ways, and different words stay different.
+    """
+    out, before = list(low), tag + "|" + "".join(a[:1] or c for c, a in zip(low, alphabets, strict=True))
+    for alphabet in sorted(set(alphabets) - {""}):
+        slots = [i for i, a in enumerate(alphabets) if a == alphabet]
+        run = "".join(low[i] for i in slots)
+        for i, c in zip(slots, permute_run(run, alphabet, before, key), strict=True):
+            out[i] = c
+        before += "|" + run
+    return out
+
+
+def _cased(new: str | list[str], own: str) -> str:
+    return "".join(c.upper() if i < len(own) and own[i].isupper() else c for i, c in enumerate(new))
+
+
 def _email(s: str, key: bytes) -> str:
     local, host = s.rsplit("@", 1)
-    low = local.lower()
-    for kind, alphabet in ((str.isdigit, DIGITS), (lambda c: c in LOWER, LOWER)):
-        run = "".join(c for c in low if kind(c))
-        # the rest of the address is part of the tag, so equal runs in different addresses part ways
-        shape = "".join("9" if c.isdigit() else "a" if c in LOWER else c for c in low)
-        if run:
-            low = _fill(low, permute_run(run, alphabet, f"email|{shape}|{alphabet[0]}", key), kind)
-    local = "".join(c.upper() if o.isupper() else c for c, o in zip(low, local, strict=True))
+    low = _lower(local)
+    local = _cased(_runs(low, [DIGITS if c in DIGITS else _alphabet(c) for c in low], "email", key), local)
     top = host.rsplit(".", 1)[1].lower()
     name = "example.com" if host.lower().endswith("example.com") else f"example.{top if top in ('com', 'org', 'net') else 'com'}"
     tag = hmac.digest(key, host.lower().encode(), "sha256").hex()[:12]
@@ -173,16 +208,23 @@ def surrogate(kind: str, s: str, key: bytes = KEY, gender: str = "") -> str:
         code = _COUNTRY.match(digits)[0] if s[0] == "+" and len(digits) >= 7 else ""
         return _fill(s, code + permute_run(digits[len(code) :], DIGITS, f"phone|{s[0] == '+'}|{code}", key), str.isdigit)
     if kind == "given":
-        k = _OF[s]
-        names = NAMES[k]
-        return names[next(others(names.index(s), len(names), f"given|{k}", key))]
-    low = s.lower()
-    script = next((n for n, a in _ALPHABETS.items() if all(c in a for c in low)), None)
-    if script:
-        out = permute_run(low, _ALPHABETS[script], f"family|{script}", key, lambda o: o not in _LISTED)
-    else:  # letters outside the plain alphabets: all of their run goes to Latin letters by a keyed hash
-        out = _string(int.from_bytes(hmac.digest(key, f"family|{low}".encode(), "sha256"), "big"), max(len(low), 12), LOWER)
-    return "".join(c.upper() if i < len(s) and s[i].isupper() else c for i, c in enumerate(out))
+        own = _LISTED[s.lower()]
+        names = NAMES[_OF[own]]
+        new = names[next(others(names.index(own), len(names), f"given|{_OF[own]}", key))]
+        return new if s == own else new.upper()
+    low = _lower(s)
+    alphabets = [_alphabet(c) for c in low]
+    new = _runs(low, alphabets, "family", key)
+    while "".join(new) in _LISTED:  # these stand for given names
+        new = _runs(new, alphabets, "family", key)
+    if new == low:  # no letter that could change
+        new = list(_string(int.from_bytes(hmac.digest(key, f"family|{s}".encode(), "sha256"), "big"), max(len(low), 12), LOWER))
+    return _cased(new, s)
+
+
+def _name_part(word: str) -> str:
+    """Listed names, as listed or in capitals, change among themselves."""
+    return "given" if _LISTED.get(word.lower()) in (word, word.title()) and word in (word.title(), word.upper()) else "family"
 
 
 def find(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, int, int]]]]:
@@ -194,7 +236,7 @@ def find(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, int, int]]]
         if kind != "person":
             yield kind, m.start(), m.end(), [(kind, m.start(), m.end())]
         else:
-            yield kind, m.start(), m.end(), [("given" if text[a:b] in _OF else "family", a, b) for a, b in sorted(m.spans("name"))]
+            yield kind, m.start(), m.end(), [(_name_part(text[a:b]), a, b) for a, b in sorted(m.spans("name"))]
 
 
 def _part(kind: str, own: str, key: bytes, cache: dict) -> str:
@@ -292,7 +334,7 @@ def _again(kind: str, entity: str, key: bytes, turn: int) -> str:
     """Another canonical surrogate of a canonical entity, by a key of this turn."""
     k = hmac.digest(key, f"repair|{turn}".encode(), "sha256")
     if kind == "person":
-        return " ".join(surrogate("given" if w in _OF else "family", w, k) for w in entity.split(" "))
+        return " ".join(surrogate(_name_part(w), w, k) for w in entity.split(" "))
     return canonical(kind, surrogate(kind, entity, k))
 
 

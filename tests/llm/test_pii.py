@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 from panelcast.llm import pii as P
 
@@ -96,3 +97,18 @@ def test_conflicts_are_repaired(spark, monkeypatch):
     rows = P.surrogates(docs).collect()
     assert [r["text"] for r in rows if r["doc_id"] == 1] == ["at 7.7.7.7"] * 2 and len(rows) == 4
     assert [r["text"].endswith("call (123) 456-7890") for r in rows if r["doc_id"] == 2] == [True]
+
+
+def test_names_keep_script_length_and_layout():
+    names = "Παπαδόπουλος Королёв Müller García O'Neil Smith-Jones D’Angelo McDonald DUPONT Weiß Nguyễn Șerban Ґудзь Սարգսյան Gar\u0301cia".split()
+    kind = lambda c: (unicodedata.name(c).split()[0], unicodedata.category(c), c if not c.isalpha() else "")
+    for n in names:
+        new, found = P.replace(f"met Dr {n}, then Anna {n}'s dog", P.KEY, {})
+        assert [e for _, e, _ in found] == [n, f"Anna {n}"], n
+        got = found[0][2]
+        assert got != n and [kind(c) for c in got] == [kind(c) for c in n], (n, got)
+        assert n not in new and found[1][2].split()[1] == got and new.endswith("'s dog")
+    r = random.Random(4)
+    own = {"".join(r.choice("abéüß-") for _ in range(4)).strip("-").capitalize() for _ in range(900)} - {""}
+    assert len({P.surrogate("family", n) for n in own}) == len(own)
+    assert P.replace("ANNA SMITH and Anna Smith, a٣@b.example.com", P.KEY, {})[1][0][0] == "person"
