@@ -12,13 +12,15 @@ still reach the threshold.
 Steps: (1) one pass gives each text's set size and signature (texts with equal
 sets form one class) and counts of shingles that repeat within a task, which give
 the order; (2) a second pass finds the shingles that many prefixes hold, which move
-back in the order, and a third gives each class's prefix; (3) postings with one class
-go, short posting lists give pairs, each counted; members of long lists go to the
-list's hub (its smallest class), so that no list is multiplied out; (4) sets of the
-classes concerned are sent to their hub's group, large groups being cut into
-blocks, and all pairs of a group are verified as one product of incidence
-matrices; of the links found a spanning forest is returned; (5) connected
+back in the order, and a third writes each class's prefix; (3) postings with one class
+go, short posting lists give pairs, each counted; members of a long list are compared
+with the list's hub (its smallest class), in parts of bounded size; (4) those that do
+not link with the hub may still link with another member, so they are compared with
+all, in tiles of bounded size, each one product of incidence matrices; (5) connected
 components. The order only affects speed, never the result.
+
+A class is named by a 64-bit signature; where two sets share one, which a second
+signature tells, these classes are named by the second.
 """
 
 from __future__ import annotations
@@ -31,50 +33,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.shingles import mix, pieces, shingle_sets, text_buffers
-from panelcast.llm.util import connected_components, release_memory, stage
+from panelcast.llm.util import connected_components, fresh, join_hot, release_memory, stage
 
-#: Buckets of the table of frequent shingles (one byte each in every task), and the least count kept there.
-BUCKET_BITS, LEAST = 22, 6
+#: Most bits of a bucket of frequent shingles (a byte each in every task), shingles of a bucket, and the least count kept.
+MOST_BITS, PER_BUCKET, LEAST = 24, 16, 6
 #: Posting lists up to this many classes give pairs; longer ones go to hubs.
 SHORT = 16
-#: Most classes and shingles of a block of a group, and most prefix matches asked for.
-BLOCK, BLOCK_SHINGLES, MOST_ELL = 2048, 2_000_000, 16
+#: Least and most classes and most shingles of one side of a tile, and most prefix matches asked for.
+LEAST_BLOCK, BLOCK, BLOCK_SHINGLES, MOST_ELL = 128, 2048, 1_000_000, 16
 #: Cost of one verification in postings, for each 100 shingles.
 VERIFY = 4.0
-#: Bits of the filter of texts whose sets are wanted.
-FILTER_BITS = 23
+#: Bits for each text in the filter of those whose sets are wanted, and most bits in all as a power of two.
+FILTER_SHARE, FILTER_BITS = 16, 26
 _U = np.uint64
 
 
-def _signature(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hash of each set, from sums over its members; 0 for the empty set."""
+def _signatures(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, from sums over its members; 0 for the empty set."""
     with np.errstate(over="ignore"):
-        a = mix(sets + _U(0x5851F42D4C957F2D))
-        at = np.minimum(np.cumsum(sizes) - sizes, max(len(sets) - 1, 0))
-        s = np.add.reduceat(a, at) if len(a) else np.zeros(len(sizes), _U)
-        x = np.bitwise_xor.reduceat(mix(a), at) if len(a) else s
-        return np.where(sizes > 0, mix(s ^ mix(x + sizes.astype(_U))), _U(0)).view(np.int64)
+        a, at, end = mix(sets + _U(0x5851F42D4C957F2D)), np.cumsum(sizes) - sizes, np.zeros(1, _U)
+        s = np.add.reduceat(np.concatenate([a, end]), at)  # empty sets at the end start at the extra 0
+        x = np.bitwise_xor.reduceat(np.concatenate([mix(a), end]), at)
+        n = sizes.astype(_U)
+        one, two = mix(s ^ mix(x + n)), mix(x ^ mix(s * _U(3) + n))
+        return tuple(np.where(sizes > 0, h, _U(0)).view(np.int64) for h in (one, two))
+
+
+def _nodes(sets: np.ndarray, sizes: np.ndarray, shared: list[int]) -> np.ndarray:
+    """Names of classes; ``shared``: signatures of several sets."""
+    one, two = _signatures(sets, sizes)
+    return np.where(np.isin(one, shared), two, one) if shared else one
 
 
-def _profile(k: int):
+def _profile(k: int, names: list[str]):
+    """Rows (carried columns, n, sig, sig2) of texts, and rows (bucket, cnt) of shingles that repeat within a task."""
+    carried = len(names) - 5
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, n = ["id", "n", "sig", "bucket", "cnt"], [], 0
+        held, n, kinds = [], 0, []
 
         def counts() -> pa.RecordBatch:
             h = np.concatenate(held)
             h.sort()
             st = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             c = np.diff(np.append(st, len(h)))
-            b, c = (h[st][c > 1] >> _U(64 - BUCKET_BITS)).astype(np.int64), c[c > 1]
-            none = pa.nulls(len(b), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(b), pa.array(c)], names=names)
+            b, c = (h[st][c > 1] >> _U(64 - MOST_BITS)).astype(np.int64), c[c > 1]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(b), t) for t in kinds], *[pa.nulls(len(b), pa.int64())] * 3, pa.array(b), pa.array(c)], names=names)
 
         for batch in batches:
-            data, offs = text_buffers(batch.column(1))
+            kinds = [batch.column(x).type for x in range(carried)]
+            data, offs = text_buffers(batch.column(carried))
             for i, j in pieces(offs):
                 sets, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(_signature(sets, sizes)), none, none], names=names)
+                own = [batch.column(x).slice(i, j - i) for x in range(carried)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), *map(pa.array, _signatures(sets, sizes)), none, none], names=names)
                 held.append(sets)
                 n += len(sets)
                 if n > 2_000_000:
@@ -92,8 +105,9 @@ def _prefix_len(n: np.ndarray, ell: np.ndarray | int, num: int, den: int) -> np.
     return np.minimum(n, n - -(-num * n // den) + ell)
 
 
-def _prefixes(k: int, num: int, den: int, classes: np.ndarray):
+def _prefixes(k: int, num: int, den: int, classes: np.ndarray, shared: list[int]):
     """classes: log2 of the estimated frequency of each bucket (0: rare)."""
+    shift = _U(64 - (len(classes).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of this task: once is enough
@@ -101,8 +115,8 @@ def _prefixes(k: int, num: int, den: int, classes: np.ndarray):
             data, offs = text_buffers(batch.column(0))
             for i, j in pieces(offs):
                 sets, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
-                sig, ends = _signature(sets, sizes), np.cumsum(sizes)
-                key = (sets >> _U(6)) | (classes[(sets >> _U(64 - BUCKET_BITS)).astype(np.int64)].astype(_U) << _U(58))
+                sig, ends = _nodes(sets, sizes, shared), np.cumsum(sizes)
+                key = (sets >> _U(6)) | (classes[(sets >> shift).astype(np.int64)].astype(_U) << _U(58))
                 toks, nodes, metas = [], [], []
                 for s, n, e in zip(sig.tolist(), sizes.tolist(), ends.tolist(), strict=True):
                     if not n or s in seen:
@@ -125,7 +139,7 @@ def _prefixes(k: int, num: int, den: int, classes: np.ndarray):
     return run
 
 
-def _wanted_sets(k: int, bits: np.ndarray):
+def _wanted_sets(k: int, bits: np.ndarray, shared: list[int]):
     """Sets of texts whose slot is in the filter; false hits only cost time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +151,7 @@ def _wanted_sets(k: int, bits: np.ndarray):
             data, offs = text_buffers(part)
             for i, j in pieces(offs):
                 sets, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
-                sig, ends = _signature(sets, sizes).tolist(), np.cumsum(sizes)
+                sig, ends = _nodes(sets, sizes, shared).tolist(), np.cumsum(sizes)
                 rows = [(s, sets[e - n : e].tobytes()) for s, n, e in zip(sig, sizes.tolist(), ends.tolist(), strict=True) if n and s not in seen]
                 if len(seen) < 200_000:
                     seen.update(s for s, _ in rows)
@@ -147,147 +161,224 @@ def _wanted_sets(k: int, bits: np.ndarray):
     return run
 
 
-def _forest(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a square matrix of links."""
-    todo, out = np.ones(len(ids), bool), []
-    for root in range(len(ids)):
-        if not todo[root]:
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of ``a`` with each of ``b``; exact on their 64-bit shingles."""
+    na, nb = [len(s) for s in a], [len(s) for s in b]
+    _, inv = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    ca, cb = inv[: sum(na)], inv[sum(na) :]
+    both = np.intersect1d(ca, cb)
+    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+    sides = []
+    for c, r in ((ca, ra), (cb, rb)):
+        at = np.searchsorted(both, c)
+        hit = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == c) if len(both) else np.zeros(len(c), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], r[hit][order]))
+    out, wide = np.zeros((len(a), len(b)), np.float64), 1024
+    for lo in range(0, len(both), wide):
+        m = []
+        for (c, r), n in zip(sides, (len(a), len(b)), strict=True):
+            x = np.zeros((n, wide), np.float32)
+            p, q = np.searchsorted(c, [lo, lo + wide])
+            x[r[p:q], c[p:q] - lo] = 1
+            used = np.unique(r[p:q])
+            m.append((used, x[used]))
+        out[np.ix_(m[0][0], m[1][0])] += m[0][1] @ m[1][1].T
+    return out
+
+
+def verify_tile(ia: np.ndarray, a: list[np.ndarray], ib: np.ndarray, b: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between two lists of sets, as many as connect what all links connect: a spanning forest."""
+    na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+    common = common_counts(a, b)
+    links = (den * common >= num * (na[:, None] + nb[None, :] - common)) & (ia[:, None] != ib[None, :])
+    todo, out = [np.ones(len(ia), bool), np.ones(len(ib), bool)], []
+    for root in np.flatnonzero(links.any(1)).tolist():
+        if not todo[0][root]:
             continue
-        todo[root], stack = False, [root]
+        todo[0][root], stack = False, [(0, root)]
         while stack:
-            x = stack.pop()
-            new = np.flatnonzero(links[x] & todo)
-            todo[new] = False
-            out += [(int(ids[x]), int(ids[y])) for y in new]
-            stack += new.tolist()
+            side, x = stack.pop()
+            new = np.flatnonzero((links[:, x] if side else links[x]) & todo[1 - side])
+            todo[1 - side][new] = False
+            out += [(int(ia[y]), int(ib[x])) if side else (int(ia[x]), int(ib[y])) for y in new.tolist()]
+            stack += [(1 - side, y) for y in new.tolist()]
     return out
 
 
-def verify_block(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Forest of the links among these sets; exact on their 64-bit shingles."""
-    if len(ids) == 2:
-        a, b = sets
-        c = len(np.intersect1d(a, b, assume_unique=True))
-        return [(int(ids[0]), int(ids[1]))] if den * c >= num * (len(a) + len(b) - c) else []
-    n = np.array([len(s) for s in sets])
-    _, inv, cnt = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, many = np.repeat(np.arange(len(sets)), n), cnt[inv] > 1
-    row, col = row[many], (np.cumsum(cnt > 1) - 1)[inv[many]]
-    common = np.zeros((len(sets), len(sets)), np.float64)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    wide = 1024
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
-        a, b = np.searchsorted(col, [lo, lo + wide])
-        x = np.zeros((len(sets), wide), np.float32)
-        x[row[a:b], col[a:b] - lo] = 1
-        used = np.unique(row[a:b])
-        common[np.ix_(used, used)] += x[used] @ x[used].T
-    return _forest(den * common >= num * (n[:, None] + n[None, :] - common), ids)
-
-
-def _verify(num: int, den: int):
-    """Rows of a group stand together (sorted by it); each is verified as it ends."""
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _verify_hubs(num: int, den: int):
+    """Rows (hub, part, node, shingles) stand together by part, the hub's own row (kind 0) first; links with the hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, _U)
+        for batch in batches:
+            out = []
+            for hub, kind, node, raw in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
+                x = np.frombuffer(raw, _U)
+                if kind == 0:
+                    own = x
+                    continue
+                small, large = (x, own) if len(x) < len(own) else (own, x)
+                at = np.searchsorted(large, small)
+                c = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                if den * c >= num * (len(own) + len(x) - c):
+                    out.append((hub, node))
+            yield _pairs(out)
+
+    return run
+
+
+def _verify_tiles(num: int, den: int):
+    """Rows (hub, i, j, side, node, shingles) of a tile stand together; its links are found as it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        now, held = None, {}
+        now, held, out = None, ({}, {}), []
 
         def done() -> None:
-            if len(held) > 1:
-                out.extend(verify_block(np.array(list(held)), [np.frombuffer(b, _U) for b in held.values()], num, den))
-            held.clear()
+            if held[0] and held[1]:
+                out.extend(verify_tile(*[y for h in held for y in (np.array(list(h)), [np.frombuffer(b, _U) for b in h.values()])], num, den))
+            held[0].clear()
+            held[1].clear()
 
         for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in range(5)]
-            for hub, bi, bj, node, b in zip(*cols, strict=True):
-                if (hub, bi, bj) != now:
+            for hub, i, j, side, node, b in zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True):
+                if (hub, i, j) != now:
                     done()
-                    now = (hub, bi, bj)
-                held[node] = b
+                    now = (hub, i, j)
+                held[side][node] = b
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield _pairs(out)
                 out.clear()
         done()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        yield _pairs(out)
 
     return run
 
 
-def frequency_classes(counts: DataFrame) -> np.ndarray:
-    """log2 of the sum of ``cnt`` of each ``bucket``, 0 below LEAST; 2**BUCKET_BITS bytes at any input."""
-    got = counts.groupBy("bucket").agg(F.sum("cnt").alias("c")).where(F.col("c") >= LEAST)
+def frequency_classes(counts: DataFrame, bits: int) -> np.ndarray:
+    """log2 of the sum of ``cnt`` of each ``bucket`` (of MOST_BITS, cut to ``bits``), 0 below LEAST; at most 2**MOST_BITS bytes."""
+    got = counts.groupBy(F.shiftright("bucket", MOST_BITS - bits).alias("bucket")).agg(F.sum("cnt").alias("c")).where(F.col("c") >= LEAST)
     got = got.select("bucket", F.floor(F.log2("c")).cast("tinyint").alias("c")).toPandas()
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
     out[got["bucket"].to_numpy(np.int64)] = got["c"].to_numpy(np.uint8)
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``; other columns are ignored.
+def _log2(x: float, least: int, most: int) -> int:
+    return max(least, min(most, int(np.log2(max(x, 1)))))
 
-    component_id is the smallest id reachable over links, itself included. Null or
-    wordless texts have an empty set and link with nothing; texts of fewer than
-    ``k`` words have one shingle, the whole sequence. Rows with a null id keep a
-    null component and do not lend their id to one. Repeated rows come out once each.
-    An empty table gives no rows.
+
+def linked_rows(docs: DataFrame, carry: list[str], text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(``carry``, n, node, comp) of every row of ``docs``: its set's size, its class and the component of that class.
+
+    Rows of equal sets share a node; classes that links connect share a comp, the
+    smallest node reached. Null or wordless texts have n = 0 and no comp. Repeated rows
+    come out once each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prof = stage(d.mapInArrow(_profile(k), "id long, n long, sig long, bucket long, cnt long"), "profile")
-    rows = prof.where("bucket IS NULL").select("id", "n", "sig")
-    table = frequency_classes(prof.where("bucket IS NOT NULL").select("bucket", "cnt"))
+    text = fresh("text", carry)
+    d = docs.select(*carry, F.col(text_col).cast("string").alias(text))
+    kinds = dict(d.dtypes)
+    names = [*(f"c{i}" for i in range(len(carry))), "n", "sig", "sig2", "bucket", "cnt"]
+    schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(carry)), *(f"{c} long" for c in names[-5:])])
+    prof = stage(d.mapInArrow(_profile(k, names), schema), "profile")
+    rows = prof.where("bucket IS NULL")
+    both = rows.where("n > 0").groupBy("sig").agg(F.min("sig2").alias("lo"), F.max("sig2").alias("hi"), F.max("n").alias("n"))
+    # two sets of one signature: one pair is expected among 6e9 sets
+    shared = [r["sig"] for r in both.where("lo <> hi").select("sig").collect()]
+    rows = rows.withColumn("node", F.when(F.col("sig").isin(shared), F.col("sig2")).otherwise(F.col("sig")) if shared else F.col("sig"))
+    bits = _log2((rows.agg(F.sum("n").alias("n")).first()["n"] or 0) / PER_BUCKET, 18, MOST_BITS)
+    table = frequency_classes(prof.where("bucket IS NOT NULL").select("bucket", "cnt"), bits)
 
     def postings(classes: np.ndarray) -> DataFrame:
         held = spark.sparkContext.broadcast(classes)
-        return d.select("text").mapInArrow(lambda it: _prefixes(k, num, den, held.value)(it), "token long, node long, meta long")
+        return d.select(text).mapInArrow(lambda it: _prefixes(k, num, den, held.value, shared)(it), "token long, node long, meta long")
 
     # shingles found in many prefixes of a first order go back in the second
     often = postings(table).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > SHORT // 2)
-    often = often.select(F.shiftright(F.col("token").bitwiseAND((1 << 58) - 1), 58 - BUCKET_BITS).alias("bucket"), (F.col("m") * den / (den - num)).cast("long").alias("cnt"))
-    posts = postings(np.maximum(table, frequency_classes(often)))
+    often = often.select(F.shiftright(F.col("token").bitwiseAND((1 << 58) - 1), 58 - MOST_BITS).alias("bucket"), (F.col("m") * den / (den - num)).cast("long").alias("cnt"))
+    posts = stage(postings(np.maximum(table, frequency_classes(often, bits))), "prefixes")
     lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("m")).where("hub <> top").drop("top")
     many = stage(posts.join(lists, "token").dropDuplicates(["token", "node"]), "postings")
-    short = many.where(F.col("m") <= SHORT).select("token", "node", "meta")
-    other = short.select("token", F.col("node").alias("b"), F.col("meta").alias("mb"))
-    n, n2, need = F.expr("meta div 128"), F.expr("mb div 128"), F.least(F.expr("meta % 128"), F.expr("mb % 128"))
-    # Common shingles beyond both prefixes lie behind the shorter-reaching one. Pairs
-    # that also meet in a long list are verified there, so c is whole where it decides.
-    behind = F.greatest(F.ceil(num * n / den) - F.expr("meta % 128"), F.ceil(num * n2 / den) - F.expr("mb % 128"))
-    pairs = (
-        short.join(other, "token")
-        .where("node < b")
-        .where((den * n >= num * n2) & (den * n2 >= num * n))
-        .groupBy(F.col("node").alias("hub"), F.col("b").alias("node"))
-        .agg(F.count("*").alias("c"), F.max(need).alias("need"), F.max(behind).alias("behind"), F.max(n + n2).alias("both"))
-        .where((F.col("c") >= F.col("need")) & ((num + den) * (F.col("c") + F.col("behind")) >= num * F.col("both")))
-        .select("hub", "node")
-    )
-    long = many.where(F.col("m") > SHORT).select("hub", "node")
-    routes = pairs.unionByName(long)
-    routes = stage(routes.unionByName(routes.select("hub", F.col("hub").alias("node"))).distinct(), "routes")
-    # one text of each class concerned: a filter of fixed size over its id's slot
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    reps = rows.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    reps = stage(routes.select("node").distinct().join(reps, "node"), "reps")
-    slots = reps.select((slot + 1).alias("s"))  # bit s - 1 stands for s
+    routes = stage(_short_pairs(many.where(F.col("m") <= SHORT), num, den).withColumn("long", F.lit(False)).unionByName(many.where((F.col("m") > SHORT) & (F.col("hub") != F.col("node"))).select("hub", "node", F.lit(True).alias("long"))).groupBy("hub", "node").agg(F.max("long").alias("long")), "routes")
+    # one text of each class concerned: a filter over its row's slot
+    wanted = stage(routes.select("node").union(routes.select("hub")).distinct(), "wanted")
+    fbits = _log2(FILTER_SHARE * wanted.count(), 16, FILTER_BITS)
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << fbits))
+    own = [f"c{i}" for i in range(len(carry))]
+    reps = rows.where("n > 0").groupBy("node").agg(F.min(slot(*own)).alias("slot"), F.max("n").alias("n"))
+    reps = stage(wanted.join(reps, "node"), "reps")
+    slots = reps.select((F.col("slot") + 1).alias("s"))  # bit s - 1 stands for s
     maps = slots.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    flags = np.zeros(max((1 << fbits) // 8, 4096), np.uint8)
     for m in maps:  # at most 2**FILTER_BITS / 32768 rows of 4 KB
         first = (m["bucket"] - 1) * 4096
-        bits[first : first + 4096] = np.frombuffer(m["bits"], np.uint8)
-    flt = spark.sparkContext.broadcast(bits)
-    sets = d.select("text", slot.alias("slot")).mapInArrow(lambda it: _wanted_sets(k, flt.value)(it), "node long, shingles binary")
-    size = routes.join(reps.select("node", "n"), "node").groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    size = size.select("hub", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long").alias("nb"))
-    dealt = routes.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
-    dealt = dealt.select("hub", "node", F.expr("explode(transform(sequence(0L, nb - 1), x -> struct(least(x, own) AS bi, greatest(x, own) AS bj)))").alias("g")).select("hub", "node", "g.*")
-    sent = dealt.join(sets, "node").select("hub", "bi", "bj", "node", "shingles").repartition("hub", "bi", "bj").sortWithinPartitions("hub", "bi", "bj")
-    links = stage(sent.mapInArrow(_verify(num, den), "a long, b long"), "links")
+        flags[first : first + 4096] = np.frombuffer(m["bits"], np.uint8)
+    flt = spark.sparkContext.broadcast(flags)
+    sets = d.select(text, slot(*carry).alias("slot")).mapInArrow(lambda it: _wanted_sets(k, flt.value, shared)(it), "node long, shingles binary")
+    sets = stage(wanted.join(sets, "node").dropDuplicates(["node"]), "sets")
+    links = _links(routes, sets, reps.select("node", "n"), num, den)
     comp = connected_components(links)
-    least = rows.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("first"))
-    least = least.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    firsts = least.groupBy("comp").agg(F.min("first").alias("component_id"))
-    firsts = stage(least.select("sig", "comp").join(firsts, "comp").select("sig", "component_id"), "components")
-    out = rows.join(firsts, "sig", "left")
+    out = rows.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n", "node", "comp")
+
+
+def _short_pairs(short: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (hub, node) of lists of at most SHORT classes, by the multi-match rule."""
+    x = short.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "meta"))).alias("l"))
+    two = F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x.node AS node, x.meta AS meta, y.node AS b, y.meta AS mb))))")
+    x = x.select(F.explode(two).alias("p")).select("p.*")
+    n, n2, need = F.expr("meta div 128"), F.expr("mb div 128"), F.least(F.expr("meta % 128"), F.expr("mb % 128"))
+    # Common shingles beyond both prefixes lie behind the shorter-reaching one. Pairs
+    # that also meet in a long list are verified there, so c is whole where it decides.
+    behind = F.greatest(F.ceil(num * n / den) - F.expr("meta % 128"), F.ceil(num * n2 / den) - F.expr("mb % 128"))
+    x = x.where((den * n >= num * n2) & (den * n2 >= num * n)).groupBy(F.col("node").alias("hub"), F.col("b").alias("node"))
+    x = x.agg(F.count("*").alias("c"), F.max(need).alias("need"), F.max(behind).alias("behind"), F.max(n + n2).alias("both"))
+    return x.where((F.col("c") >= F.col("need")) & ((num + den) * (F.col("c") + F.col("behind")) >= num * F.col("both"))).select("hub", "node")
+
+
+def _links(routes: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that connect what all links among the routes' classes connect: (a, b)."""
+    m = routes.join(sizes, "node").groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    parts = F.greatest(F.ceil(F.col("m") / (2 * LEAST_BLOCK)), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
+    m = stage(m.withColumn("parts", parts), "hubs")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    members = routes.join(m.select("hub", "parts"), "hub").select("hub", part.alias("part"), F.lit(1).alias("kind"), "node")
+    heads = m.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
+    sent = members.unionByName(heads).join(sets, "node").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    near = stage(sent.select("hub", "kind", "node", "shingles").mapInArrow(_verify_hubs(num, den), "a long, b long"), "hub-links")
+    # members of long lists that do not link with their hub meet all others of the list
+    group = routes.where("long").join(near.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("near")), ["hub", "node"], "left")
+    group = stage(group.select("hub", "node", F.col("near").isNull().alias("apart")).join(sizes, "node"), "groups")
+    g = group.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.col("apart").cast("int")).alias("ma"), F.sum(F.when(F.col("apart"), F.col("n"))).alias("ta")).where("ma > 0 AND m > 1")
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), 8 * F.sqrt("m")))
+    blocks = lambda m, t: F.greatest(F.ceil(F.col(m) / most), F.ceil(F.col(t) / BLOCK_SHINGLES)).cast("long")
+    g = stage(g.select("hub", blocks("ma", "ta").alias("ni"), blocks("m", "total").alias("nj")), "tiles")
+    x = group.join(g, "hub").withColumn("h", F.xxhash64("node"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    rows = x.where("apart").select("hub", F.pmod("h", "ni").alias("i"), F.explode(upto("nj")).alias("j"), F.lit(0).alias("side"), "node")
+    cols = x.select("hub", F.explode(upto("ni")).alias("i"), F.pmod("h", "nj").alias("j"), F.lit(1).alias("side"), "node")
+    sent = rows.unionByName(cols).join(sets, "node").select("hub", "i", "j", "side", "node", "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    far = stage(sent.mapInArrow(_verify_tiles(num, den), "a long, b long"), "tile-links")
+    return near.unionByName(far)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``; other columns are ignored.
+
+    component_id is the smallest id reachable over links, itself included. Null or
+    wordless texts have an empty set and link with nothing; texts of fewer than
+    ``k`` words have one shingle, the whole sequence. Rows with a null id keep a
+    null component and do not lend their id to one. Repeated rows come out once each.
+    An empty table gives no rows.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = stage(linked_rows(d, ["id"], "text", k, num, den), "linked")
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("component_id"))
+    # a class or component may hold a third of all rows
+    out = join_hot(rows, stage(least, "components"), "comp")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import release_memory, stage
+from panelcast.llm.util import fresh, release_memory, stage
 
 KEY = b"panelcast-surrogates-1"
 ROUNDS = 6
@@ -58,6 +58,8 @@ _OF = {n: k for k, v in NAMES.items() for n in v}
 _ALPHABETS = (LOWER, "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω", "άέήίόύώϊϋ")
 #: Calling codes: North America, Russia, those of two digits, and all others of three.
 _COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+#: A number of so many digits without a calling code has this one.
+NATIONAL, HOME = 10, "1"
 _LISTED = {n.lower(): n for n in _OF}
 _FAMILY = r"(?:\p{Lu}(?:[-'’]?(?!(?<=['’])s\b)[\p{L}\p{M}])+)"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
@@ -184,7 +186,7 @@ def _email(s: str, key: bytes) -> str:
     return f"{local}@h{tag}.{name}"
 
 
-def surrogate(kind: str, s: str, key: bytes = KEY, gender: str = "") -> str:
+def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
     """The surrogate of one entity; person names come in parts, ``given`` and ``family``."""
     if kind == "email":
         return _email(s, key)
@@ -205,8 +207,14 @@ def surrogate(kind: str, s: str, key: bytes = KEY, gender: str = "") -> str:
         return ".".join(str(v >> b & 255) for b in (24, 16, 8, 0))
     if kind == "phone":
         # country codes are free of prefixes, so permutations of different tags do not overlap
-        code = _COUNTRY.match(digits)[0] if s[0] == "+" and len(digits) >= 7 else ""
-        return _fill(s, code + permute_run(digits[len(code) :], DIGITS, f"phone|{s[0] == '+'}|{code}", key), str.isdigit)
+        plus, code = s[0] == "+", ""
+        if plus and len(digits) >= 7:
+            code = _COUNTRY.match(digits)[0]
+        elif len(digits) == NATIONAL:
+            plus, digits = True, HOME + digits
+            code = HOME
+        new = code + permute_run(digits[len(code) :], DIGITS, f"phone|{plus}|{code}", key)
+        return _fill(s, new if s[0] == "+" or not code else new[len(HOME) :], str.isdigit)
     if kind == "given":
         own = _LISTED[s.lower()]
         names = NAMES[_OF[own]]
@@ -274,7 +282,8 @@ def laid_out(kind: str, own: list[str], fixed: str) -> list[str]:
     if kind == "person":
         return fixed.split(" ")
     if kind in ("phone", "card", "ssn"):
-        return [_fill(own[0], "".join(c for c in fixed if c.isdigit()), str.isdigit)]
+        digits = "".join(c for c in fixed if c.isdigit())
+        return [_fill(own[0], digits[len(digits) - sum(map(str.isdigit, own[0])) :], str.isdigit)]
     if kind == "email":
         local, host = fixed.rsplit("@", 1)
         return ["".join(c.upper() if o.isupper() else c for c, o in zip(local, own[0], strict=False)) + "@" + host]
@@ -284,7 +293,9 @@ def laid_out(kind: str, own: list[str], fixed: str) -> list[str]:
 def canonical(kind: str, s: str) -> str:
     """What makes two mentions one entity; of a person, the words of the name without titles."""
     if kind in ("phone", "card", "ssn"):
-        return ("+" if s[0] == "+" else "") + "".join(c for c in s if c.isdigit())
+        digits = "".join(c for c in s if c.isdigit())
+        home = kind == "phone" and s[0] != "+" and len(digits) == NATIONAL
+        return f"+{HOME}{digits}" if home else ("+" if s[0] == "+" else "") + digits
     if kind == "ip":
         return ".".join(str(int(x)) for x in s.split("."))
     return s.lower() if kind == "email" else s
@@ -370,24 +381,26 @@ def repairs(e: DataFrame, key: bytes = KEY) -> DataFrame | None:
     raise RuntimeError(f"entities without a surrogate of their own after {TURNS} turns")
 
 
-def checked(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with the personal data of ``text_col`` replaced, and ``pii_entities``.
+def checked(docs: DataFrame, text_col: str = "text", key: bytes = KEY, entities_col: str = "pii_entities") -> DataFrame:
+    """``docs`` with the personal data of ``text_col`` replaced, and ``entities_col``, which ``docs`` must not have.
 
     All distinct (kind, entity, surrogate) are checked in both directions; texts that
-    hold an entity of ``repairs`` are replaced again by these.
+    hold an entity of ``repairs`` are replaced again by these. Null texts stay null and
+    hold no entity; repeated rows come out alike; an empty table gives no rows.
     """
-    text = F.col(text_col).cast("string")
-    new = lambda df, p: df.withColumn("pii", p).withColumns({text_col: F.col("pii.text"), "pii_entities": F.col("pii.entities")}).drop("pii")
-    keyed = docs.withColumn("pii_key", F.sha2(text, 256))
+    text, names = F.col(text_col).cast("string"), [*docs.columns, entities_col]
+    got, text_key, fixed = (fresh(c, names) for c in ("_pii", "_pii_key", "_pii_repairs"))
+    new = lambda df, p: df.withColumn(got, p).withColumns({text_col: F.col(got)["text"], entities_col: F.col(got)["entities"]}).drop(got)
+    keyed = docs.withColumn(text_key, F.sha2(text, 256))
     d = stage(new(keyed, pseudonymise(text, key)), "surrogates")
-    mentions = d.select("pii_key", F.explode("pii_entities").alias("e")).select("pii_key", "e.*")
-    fixes = repairs(stage(mentions.drop("pii_key").distinct(), "entities"), key)
+    mentions = d.select(F.col(text_key).alias("at"), F.explode(entities_col).alias("e")).select("at", "e.*")
+    fixes = repairs(stage(mentions.drop("at").distinct(), "entities"), key)
     if fixes is None:
-        return d.drop("pii_key")
-    hit = mentions.select("pii_key", "kind", "entity").distinct().join(fixes, ["kind", "entity"])
-    hit = stage(hit.groupBy("pii_key").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("pii_repairs")), "repairs")
-    d = new(keyed.join(hit, "pii_key", "left"), pseudonymise(text, key, F.col("pii_repairs")))
-    return d.select(*docs.columns, "pii_entities")
+        return d.drop(text_key)
+    hit = mentions.select(F.col("at").alias(text_key), "kind", "entity").distinct().join(fixes, ["kind", "entity"])
+    hit = stage(hit.groupBy(text_key).agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias(fixed)), "repairs")
+    d = new(keyed.join(hit, text_key, "left"), pseudonymise(text, key, F.col(fixed)))
+    return d.select(*docs.columns, entities_col)
 
 
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:

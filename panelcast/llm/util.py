@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,21 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name`` with as many underscores before it as make it none of ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a local master one of our own where it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
-        d = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="panelcast-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _OWN.get(spark.sparkContext.applicationId) or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="panelcast-"))
     return d.rstrip("/")
 
 
@@ -40,6 +51,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(df: DataFrame, dim: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Left join with a table of one row a key, where one key may hold a third of ``df``: keys are dealt to ``salts`` tasks each."""
+    s = fresh("_salt", [*df.columns, *dim.columns])
+    own = df.withColumn(s, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    return own.join(dim.withColumn(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, s], "left").drop(s)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node of ``edges`` (a, b): (node, comp).
 

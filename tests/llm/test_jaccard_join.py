@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import types as T
 
 from panelcast.llm import jaccard_join as J
@@ -84,3 +85,18 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_signatures_of_sets_before_empty_ones():
+    a = np.array([3, 9, 20], np.uint64)
+    one, two = J._signatures(np.concatenate([a, a]), np.array([3, 0, 3, 0, 0]))
+    assert one[0] == one[2] != 0 and two[0] == two[2] and (one[[1, 3, 4]] == 0).all()
+    assert J._nodes(a, np.array([3, 0]), [int(one[0])]).tolist() == [int(two[0]), 0]
+
+
+def test_lists_in_parts_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(J, "SHORT", 2)
+    monkeypatch.setattr(J, "LEAST_BLOCK", 4)
+    rows = fixture()[-90:]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(rows, 3, 90, 100)

@@ -92,8 +92,8 @@ def test_conflicts_are_repaired(spark, monkeypatch):
     assert set(got) == {("ip", "2.2.2.2"), ("phone", "+12125550199"), ("person", "Anna Smith")} and got["phone", "+12125550199"] == "+13"
     assert got["ip", "2.2.2.2"] not in ("9.9.9.9", "8.8.8.8") and P.repairs(df.where("entity = '3.3.3.3'")) is None
     docs = spark.createDataFrame([(1, "at 2.2.2.2"), (2, "at 3.3.3.3, call (212) 555-0199"), (3, None), (1, "at 2.2.2.2")], "doc_id long, text string")
-    fix = spark.createDataFrame([("ip", "2.2.2.2", "7.7.7.7"), ("phone", "2125550199", "1234567890")], df.schema)
-    monkeypatch.setattr(P, "repairs", lambda e, key: fix)
+    fix = spark.createDataFrame([("ip", "2.2.2.2", "7.7.7.7"), ("phone", "+12125550199", "+11234567890")], df.schema)
+    monkeypatch.setattr(P, "repairs", lambda e, key: fix)  # noqa: ARG005
     rows = P.surrogates(docs).collect()
     assert [r["text"] for r in rows if r["doc_id"] == 1] == ["at 7.7.7.7"] * 2 and len(rows) == 4
     assert [r["text"].endswith("call (123) 456-7890") for r in rows if r["doc_id"] == 2] == [True]
@@ -112,3 +112,17 @@ def test_names_keep_script_length_and_layout():
     own = {"".join(r.choice("abéüß-") for _ in range(4)).strip("-").capitalize() for _ in range(900)} - {""}
     assert len({P.surrogate("family", n) for n in own}) == len(own)
     assert P.replace("ANNA SMITH and Anna Smith, a٣@b.example.com", P.KEY, {})[1][0][0] == "person"
+
+
+def test_national_and_international_numbers_are_one_entity():
+    new = {f: P.replace(f"call {f} now", P.KEY, {}) for f in ("+1 (212) 555-0199", "(212) 555-0199", "212.555.0199", "+1-212-555-0199")}
+    assert {e for _, found in new.values() for e in found} == {next(iter(new.values()))[1][0]}
+    assert len({"".join(c for c in t if c.isdigit())[-10:] for t, _ in new.values()}) == 1
+    assert all(P._fill(f, "0" * 20, str.isdigit) == P._fill(t[5:-4], "0" * 20, str.isdigit) for f, (t, _) in new.items())
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@example.com", 7, "x", "y")], "doc_id long, text string, pii int, pii_key string, _pii string")
+    got = P.checked(docs, entities_col="found")
+    assert got.columns == [*docs.columns, "found"] and tuple(got.first()[c] for c in ("pii", "pii_key", "_pii")) == (7, "x", "y")
+    assert P.checked(docs.limit(0)).count() == 0

@@ -38,3 +38,45 @@ def test_repeated_rows_and_nulls(spark):
     assert C.replace_personal_data(spark, docs, DIR).count() == 5
     assert set(C.mix_sources(spark, docs, DIR).columns) == set(docs.columns)
     assert C.drop_near_duplicates(spark, docs.limit(0), DIR).count() == 0 and C.mix_sources(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_copies_go_to_their_own_source(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, text_key string, nth int, copy int, rn int, _sized int, _cut string"
+    rest = ("en", None, 5, 1, "k", 2, 3, 4, 6, "c")
+    data = [(i, t, "en", s, 5, *rest[3:]) for i, t, s in [(1, "a b c", "a"), (1, "a b c", "b"), (None, "a b c", "a"), (None, "a b c", "b"), (2, "d e", None), (3, "w " * 50, "b"), (3, "w " * 50, "b"), (4, None, "a")]]
+    docs = spark.createDataFrame(data, schema)
+    got = C.mix_sources(spark, docs, DIR)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert {tuple(r)[5:] for r in rows} == {rest[3:]}
+    want = {}
+    for i, size, _, _, taken, s in mixture_by_source(data):
+        want[i, s] = want.get((i, s), 0) + (taken // size if size else 0)
+    have = Counter((r["doc_id"], r["source"]) for r in rows if r["text"] and r["text"].split())
+    assert have == Counter({k: n for k, n in want.items() if n})
+
+
+def mixture_by_source(data):
+    out = []
+    for s in {d[3] for d in data}:
+        got = mixture([(d[0], d[1], None, d[3]) for d in data])
+        sizes = {d[0]: len((d[1] or "").split()) for d in data if d[3] == s}
+        total = sum(len((d[1] or "").split()) for d in data if d[3] == s)
+        out += [(*g, s) for g in got if g[0] in sizes and g[2] == total and g[1] == sizes[g[0]]]
+    return out
+
+
+def test_duplicates_by_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rn int, _text_key int, _nth int, comp long"
+    x, y = "a b c d e f g", "one two three four five six"
+    data = [(5, x, "en", "s", 1), (3, x.upper(), "en", "s", 1), (5, y, "en", "s", 1), (5, y, "de", "s", 1), (None, x, "en", "s", 1), (None, "q r s t u v", "en", "t", 1), (None, "q r s t u v", "en", "s", 1), (7, "", "en", "s", 1), (7, "", "en", "s", 1), (7, None, "en", "s", 1)]
+    docs = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in data], schema)
+    got = C.drop_near_duplicates(spark, docs, DIR)
+    assert got.columns == docs.columns
+    assert Counter(tuple(r)[:4] for r in got.collect()) == Counter([(3, x.upper(), "en", "s"), (5, y, "de", "s"), (None, "q r s t u v", "en", "s"), (7, "", "en", "s"), (7, "", "en", "s"), (7, None, "en", "s")])
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, C.drop_near_duplicates(spark, docs.repartition(5), DIR).collect()))
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
+    assert all(f(spark, docs, DIR).count() == 0 for _, f in C.STAGES)
