@@ -1,14 +1,17 @@
 """Byte-level BPE of whole texts by corpus-level merge replay.
 
-A text is cut by the vocabulary's pattern; each distinct piece of a block of texts
-is encoded once. For that, the bytes of all new pieces stand in one array with
-links to their neighbours, and an inverted index leads from a rank to the positions
-whose token pair has it. Ranks are replayed in rising order; each is applied at all
-its positions at once, and only pairs of the touched neighbours are looked up again.
+Texts are cut by the vocabulary's pattern. Blocks of texts become numbers of their
+distinct pieces; pieces that are tokens themselves are known at once. All other pieces
+of the corpus meet by piece, so each distinct one is encoded once for the whole corpus:
+their bytes stand in one array with links to their neighbours, and an inverted index
+leads from a rank to the positions whose token pair has it. Ranks are replayed in rising
+order; each is applied at all its positions at once, and only pairs of the touched
+neighbours are looked up and entered in the index again. The tokens then join their
+blocks, whose texts are put together from them.
 
 Rising ranks equal "lowest rank first, leftmost first" in each piece unless a merge
 makes a pair of lower rank than its own; pieces where that happens are noticed and
-encoded alone. Pieces that are tokens themselves are taken whole.
+encoded alone, by a heap of their pairs.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import release_memory
+from panelcast.llm.util import release_memory, stage, tasks
 
 NONE = np.int32(2**31 - 1)
-#: Ranks scanned for at once; bytes of text of a block; distinct pieces kept between blocks.
-BAND, BLOCK_BYTES, MOST_PIECES = 1024, 4 << 20, 200_000
+#: Characters of text and distinct pieces of a block, and bytes of pieces that are replayed together.
+BLOCK_CHARS, BLOCK_PIECES, REPLAY_BYTES = 8 << 20, 1 << 16, 8 << 20
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -35,22 +39,35 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
-class MergeReplay:
-    """Encodes many pieces together; ``ranks`` must hold all 256 bytes."""
+class Decoder:
+    """Ids to bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             self.bytes_of[r] = b
+        self.lens = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of a sequence of ids."""
+        ln = self.lens[ids]
+        ends = np.cumsum(ln)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - ln), ln)].tobytes()
+
+
+class MergeReplay(Decoder):
+    """Encodes many pieces together; ``ranks`` must hold all 256 bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.ranks = ranks
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [((ranks[t[:i]] << 32) | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs.sort()
         self.keys = np.array([p[0] for p in pairs] + [2**62], np.int64)
         self.rank_of = np.array([p[1] for p in pairs] + [0], np.int32)
-        self.lens = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.starts = np.cumsum(self.lens) - self.lens
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = (a.astype(np.int64) << 32) | b
@@ -59,13 +76,22 @@ class MergeReplay:
 
     def alone(self, word: bytes) -> list[int]:
         """One piece, lowest rank first: for the few that cannot be replayed."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            r, i = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if r == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        n, ids = len(word), self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i, j: self.ranks.get(self.bytes_of[ids[i]] + self.bytes_of[ids[j]])
+        heap = [(r, i, i + 1) for i in range(n - 1) if (r := rank(i, i + 1)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, j = heapq.heappop(heap)
+            if nxt[i] != j or ids[i] < 0 or rank(i, j) != r:
+                continue  # one of the two has merged since
+            ids[i], ids[j], nxt[i] = r, -1, nxt[j]
+            if nxt[i] < n:
+                prv[nxt[i]] = i
+            for x, y in ((prv[i], i), (i, nxt[i])):
+                if x >= 0 and y < n and (q := rank(x, y)) is not None:
+                    heapq.heappush(heap, (q, x, y))
+        return [x for x in ids if x >= 0]
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, one after the other, and each word's number of tokens."""
@@ -85,8 +111,7 @@ class MergeReplay:
         for w in np.flatnonzero(whole >= 0).tolist():
             s, e = starts[w], starts[w] + lens[w]
             pr[s:e], tok[s:e], tok[s] = NONE, -1, whole[w]
-        for lo in range(0, len(self.bytes_of), BAND):
-            self._band(lo, lo + BAND, n, tok, nxt, prv, pr, odd)
+        self._replay(n, tok, nxt, prv, pr, odd)
         alive = tok >= 0
         counts = np.add.reduceat(alive.astype(np.int64), starts)
         if odd:
@@ -98,8 +123,8 @@ class MergeReplay:
             return np.concatenate(toks), counts
         return tok[alive], counts
 
-    def _band(self, lo, hi, n, tok, nxt, prv, pr, odd) -> None:
-        at = np.flatnonzero((pr >= lo) & (pr < hi))
+    def _replay(self, n, tok, nxt, prv, pr, odd) -> None:
+        at = np.flatnonzero(pr < NONE)
         if not len(at):
             return
         at = at[np.argsort(pr[at], kind="stable")]
@@ -149,7 +174,7 @@ class MergeReplay:
                     if (met < rank).any():
                         odd.append(p1[near][met < rank])
             where, made = np.concatenate([p1, b2]), np.concatenate([rights, lefts])
-            new = (made > rank) & (made < hi)
+            new = (made > rank) & (made < NONE)
             if new.any():
                 where, made = where[new], made[new]
                 for x in np.unique(made).tolist():
@@ -158,12 +183,6 @@ class MergeReplay:
                         heapq.heappush(heap, x)
                     index[x].append(np.unique(where[made == x]))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of a sequence of ids."""
-        ln = self.lens[ids]
-        ends = np.cumsum(ln)
-        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - ln), ln)].tobytes()
-
 
 def piece_pattern(pattern: str) -> regex.Pattern:
     """White space as the Unicode property, which leaves out the separators 0x1C-0x1F."""
@@ -178,68 +197,141 @@ class _Index(dict):
         return v
 
 
-class Encoder:
-    """Texts to ids, with the pieces seen so far."""
-
-    def __init__(self, raw: bytes, pattern: str):
-        self.replay = MergeReplay(load_ranks(raw))
-        self.find = piece_pattern(pattern).findall
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop the pieces seen so far."""
-        self.index, self.toks, self.counts = _Index(), np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > MOST_PIECES:
-            self.forget()
-        known = len(self.index)
-        number = self.index.__getitem__
-        docs = []
-        for t in texts:
-            p = self.find(t) if t else []
-            docs.append(np.fromiter(map(number, p), np.int32, len(p)))
-        if len(self.index) > known:
-            new = [k.encode() for k in list(self.index)[known:]]
-            toks, counts = self.replay.encode(new)
-            self.toks, self.counts = np.concatenate([self.toks, toks]), np.concatenate([self.counts, counts])
-        first = np.cumsum(self.counts) - self.counts
-        out = []
-        for d in docs:
-            c = self.counts[d]
-            e = np.cumsum(c)
-            out.append(self.toks[np.arange(int(e[-1]) if len(e) else 0) + np.repeat(first[d] - (e - c), c)])
-        return out
-
-
-def _encode(raw, pattern: str, decode: bool):
+#: Rows of a block: texts as piece numbers, the tokens of its pieces as far as known, and its unknown pieces.
+TEXT, KNOWN, PIECE = 2, 0, 1
+_FIELDS = [("block", pa.int64()), ("kind", pa.int8()), ("no", pa.int64()), ("id", pa.int64()), ("data", pa.binary())]
+_SCHEMA = "block long, kind tinyint, no long, id long, data binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+def _cut(raw, pattern: str):
+    """Texts to blocks; a piece's number within its block fits two bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(raw.value, pattern)
+        find, ranks = piece_pattern(pattern).findall, {b.decode(): r for b, r in load_ranks(raw.value).items() if _is_text(b)}
+        block, index, size = TaskContext.get().partitionId() << 32, _Index(), 0
 
-        def flush(ids: list, texts: list) -> pa.RecordBatch:
-            got = enc.encode(texts)
-            cols = [pa.array(ids, pa.int64()), pa.array([len(x) for x in got], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in got], pa.binary())]
-            if decode:
-                cols.append(pa.array([enc.replay.decode(np.frombuffer(b.as_py(), "<u4").astype(np.int64)) for b in cols[2]], pa.binary()))
-            return pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids", "decoded"][: len(cols)])
+        def end() -> pa.RecordBatch:
+            known = np.array([ranks.get(k, -1) for k in index], np.int32)
+            rows = [(block, KNOWN, 0, None, known.tobytes())]
+            rows += [(block, PIECE, i, None, k.encode()) for i, k in enumerate(index) if known[i] < 0]
+            return _rows(rows)
 
-        ids, texts, size = [], [], 0
         for rows in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
+            out = []
             for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
+                p = find(t) if t else []
+                if index and (size > BLOCK_CHARS or len(index) + len(p) > BLOCK_PIECES and len(index) + len(set(p) - index.keys()) > BLOCK_PIECES):
+                    yield _rows(out)
+                    yield end()
+                    out, block, index, size = [], block + 1, _Index(), 0
+                got = np.fromiter(map(index.__getitem__, p), np.int64, len(p))
+                wide = len(index) > BLOCK_PIECES  # only a text that has more pieces by itself
+                out.append((block, TEXT, int(wide), i, got.astype("<u4" if wide else "<u2").tobytes()))
                 size += len(t or "")
-                if size > BLOCK_BYTES:
-                    yield flush(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield flush(ids, texts)
-        enc.forget()
+            yield _rows(out)
+        if index:
+            yield end()
+        index.clear()
         release_memory()
 
     return run
 
 
+def _is_text(b: bytes) -> bool:
+    try:
+        b.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _encode_pieces(raw):
+    """Rows of unknown pieces, equal ones together, with their tokens in place of their bytes; each distinct piece is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = MergeReplay(load_ranks(raw.value))
+        held, words, size, last = [], [], 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            toks, counts = replay.encode(words)
+            ends = np.cumsum(counts)
+            data = [toks[e - c : e].astype("<u4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            for blocks, nos, at in held:
+                yield pa.RecordBatch.from_arrays([blocks, pa.array([PIECE] * len(nos), pa.int8()), nos, pa.nulls(len(nos), pa.int64()), pa.array([data[i] for i in at], pa.binary())], names=[n for n, _ in _FIELDS])
+
+        for batch in (b.slice(k, 10_000) for b in batches for k in range(0, b.num_rows, 10_000)):
+            at = []
+            for w in batch.column(2).to_pylist():
+                if w != last:
+                    words.append(w)
+                    size, last = size + len(w), w
+                at.append(len(words) - 1)
+            held.append((batch.column(0), batch.column(1), at))
+            if size > REPLAY_BYTES or len(held) > 100:
+                yield from flush()
+                held, words, size, last = [], [], 0, None
+        if held:
+            yield from flush()
+        held, words = [], []
+        release_memory()
+
+    return run
+
+
+def _put_together(raw, decode: bool):
+    """Rows of a block in order of their kind: its tokens, then its texts, which come out as ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, now, known, pieces, joined = None, None, None, [], None
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            ids, counts, out, plain = [], [], [], []
+            for block, kind, no, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    now, known, pieces, joined = block, None, [], None
+                if kind == KNOWN:
+                    known = np.frombuffer(data, np.int32)
+                elif kind == PIECE:
+                    pieces.append((no, np.frombuffer(data, "<u4")))
+                else:
+                    if joined is None:
+                        joined = _joined(known, pieces)
+                    toks, first, lens = joined
+                    d = np.frombuffer(data, "<u4" if no else "<u2").astype(np.int64)
+                    c = lens[d]
+                    e = np.cumsum(c)
+                    x = toks[np.arange(int(e[-1]) if len(e) else 0) + np.repeat(first[d] - (e - c), c)]
+                    ids.append(i)
+                    counts.append(len(x))
+                    out.append(x.astype("<u4").tobytes())
+                    if decode:
+                        replay = replay or Decoder(load_ranks(raw.value))
+                        plain.append(replay.decode(np.frombuffer(out[-1], "<u4").astype(np.int64)))
+            cols = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.array(plain, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols[: 3 + decode], names=["id", "n_tokens", "ids", "decoded"][: 3 + decode])
+        release_memory()
+
+    return run
+
+
+def _joined(known: np.ndarray | None, pieces: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of a block's pieces, and each piece's first token and number of tokens."""
+    if known is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lens = np.ones(len(known), np.int64)
+    nos = np.array([n for n, _ in pieces], np.int64)
+    lens[nos] = [len(t) for _, t in pieces]
+    first = np.cumsum(lens) - lens
+    toks = np.zeros(int(lens.sum()), np.int64)
+    toks[first[known >= 0]] = known[known >= 0]
+    for n, t in pieces:
+        toks[first[n] : first[n] + len(t)] = t
+    return toks, first, lens
+
+
 def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id, n_tokens, ids as little-endian uint32 bytes [, decoded bytes]) of every whole text.
 
@@ -250,8 +342,15 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     with open(rank_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    cut = stage(d.mapInArrow(_cut(raw, pattern), _SCHEMA), "pieces")
+    n = {r["kind"]: r["n"] for r in cut.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    spark, own = d.sparkSession, F.col("kind") == PIECE
+    # explicit numbers of tasks, since few bytes mean much work here
+    pieces = cut.where(own).select("block", "no", "data").repartition(tasks(spark, n.get(PIECE), 2_000_000, 50_000), "data").sortWithinPartitions("data")
+    known = cut.where(~own).unionByName(pieces.mapInArrow(_encode_pieces(raw), _SCHEMA))
+    blocks = known.repartition(tasks(spark, n.get(KNOWN), 8, 1), "block").sortWithinPartitions("block", "kind")
     schema = "id long, n_tokens long, ids binary" + ", decoded binary" * decode
-    return d.mapInArrow(_encode(raw, pattern, decode), schema).withColumnRenamed("id", id_col)
+    return blocks.mapInArrow(_put_together(raw, decode), schema).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

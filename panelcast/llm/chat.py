@@ -49,25 +49,33 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
 
 
+def unique(messages: DataFrame) -> DataFrame:
+    """One message for each (tree, id): the smallest by parent, role, text and score."""
+    cols = ("parent", "role", "text", "score")
+    return messages.groupBy("tree", "id").agg(F.min(F.struct(*cols)).alias("m")).select("tree", "id", *[F.col("m")[c].alias(c) for c in cols])
+
+
 def best_paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, depth, id) of every message on the ``per_tree`` best root-to-leaf paths (None: all).
 
-    A leaf's score is the sum of scores on its path; ties go to the smaller leaf id.
-    A message whose parent does not exist is a root. Parents must not form a ring.
+    Ids are unique within a tree. A leaf's score is the sum of scores on its path; ties
+    go to the smaller leaf id. A message whose parent does not exist is a root. Messages
+    whose parents form a ring, and those below one, are on no path from a root and left
+    out: they are what still has an ancestor after as many rounds as any chain can take.
     """
     m = messages.select("tree", "id", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
     ids = m.select("tree", "id")
     m = m.alias("m").join(ids.alias("p"), _same("m", "p") & (F.col("m.parent") == F.col("p.id")), "left").select("m.tree", "m.id", F.col("p.id").alias("up"), "m.score")
     # up: the 2**r-th ancestor; total: scores of the message and the 2**r - 1 above it
     jump = stage(m.select("tree", "id", "up", F.col("score").alias("total")), "jump-0")
-    jumps = [jump]
-    while jumps[-1].where("up IS NOT NULL").limit(1).count():
+    jumps, longest = [jump], jump.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    while len(jumps) <= longest.bit_length() and jumps[-1].where("up IS NOT NULL").limit(1).count():
         j = jumps[-1]
         far = j.where("up IS NOT NULL").alias("a").join(j.alias("b"), _same("a", "b") & (F.col("a.up") == F.col("b.id")))
         far = far.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.total") + F.col("b.total")).alias("total"))
         jumps.append(stage(far.unionByName(j.where("up IS NULL")), f"jump-{len(jumps)}"))
     parents = jump.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
-    leaves = jumps[-1].alias("l").join(parents.alias("p"), _same("l", "p") & (F.col("l.id") == F.col("p.id")), "left_anti")
+    leaves = jumps[-1].where("up IS NULL").alias("l").join(parents.alias("p"), _same("l", "p") & (F.col("l.id") == F.col("p.id")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
     leaves = leaves.select("tree", F.col("id").alias("leaf"), "total").withColumn("rank", rank)
     if per_tree is not None:
@@ -79,8 +87,13 @@ def best_paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     return paths
 
 
-def format_paths(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
-    """One conversation for each chosen path: (tree, leaf, rank, formatted, loss_spans as array<struct<start, length>> from 0)."""
+def format_paths(messages: DataFrame, per_tree: int | None = 1, ids_unique: bool = False) -> DataFrame:
+    """One conversation for each chosen path: (tree, leaf, rank, formatted, loss_spans as array<struct<start, length>> from 0).
+
+    Of messages that repeat an id within a tree one counts (``unique``); ``ids_unique`` says that none do.
+    """
+    if not ids_unique:
+        messages = stage(unique(messages), "messages")
     paths = best_paths(messages, per_tree)
     m = messages.select("tree", "id", escape(F.coalesce("role", F.lit(""))).alias("r"), escape(F.coalesce("text", F.lit(""))).alias("t"), (F.coalesce("role", F.lit("")) == LOSS_ROLE).alias("loss"))
     j = paths.alias("a").join(m.alias("m"), _same("a", "m") & (F.col("a.id") == F.col("m.id"))).select("a.tree", "a.leaf", "a.rank", "a.above", "m.r", "m.t", "m.loss")
@@ -103,7 +116,7 @@ def parse_turns(formatted: Column) -> Column:
 
 def formatted_digests(conversations: DataFrame) -> DataFrame:
     """Format conversations and read turns and loss texts back; one row per conv_id (a null one too). An empty table gives no rows."""
-    f = format_paths(chain_messages(conversations)).withColumn("turns", parse_turns(F.col("formatted")))
+    f = format_paths(chain_messages(conversations), ids_unique=True).withColumn("turns", parse_turns(F.col("formatted")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"].cast("int") + 1, s["length"].cast("int")))), "")
     f = f.withColumn("loss", loss)

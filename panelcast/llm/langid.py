@@ -23,6 +23,8 @@ from panelcast.llm.shingles import pieces, text_buffers
 #: Fitting texts of each language (expected number of a sample by id hash): the bound of the model's sample.
 FIT_ROWS = 2000
 SIZE = 1 << 17
+#: Bytes of a long text that are looked up at once.
+PART = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
@@ -66,6 +68,16 @@ def grams(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def parts(data: np.ndarray, offs: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """``grams`` of a piece; those of a single long text in parts, so that memory stays bounded."""
+    if len(offs) != 2 or len(data) <= 2 * PART:
+        yield grams(data, offs)
+        return
+    for s in range(0, len(data), PART):
+        part = data[s : s + PART + 3]
+        yield [g[:PART] for g in grams(part, np.array([0, len(part)]))]
+
+
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Whether each text has a character of a Unicode letter category."""
     ascii_at = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
@@ -92,8 +104,10 @@ class LanguageModel:
         full = np.flatnonzero(np.diff(offs) > 1)
         if not len(full):
             return out
-        for g in grams(data, offs):
-            out[full] += np.add.reduceat(self.weights[g], offs[:-1][full], axis=0, dtype=np.float64)
+        for gs in parts(data, offs):
+            at = offs[:-1][full] if len(offs) > 2 else np.zeros(1, np.int64)
+            for g in gs:
+                out[full] += np.add.reduceat(self.weights[g], at, axis=0, dtype=np.float64)
         return out / np.maximum(np.diff(offs), 1)[:, None]
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
@@ -125,8 +139,8 @@ def _count(langs: list[str]):
                 data, offs = text_buffers(part)
                 c = held.setdefault(lang, np.zeros(SIZE + 1, np.int64))
                 for i, j in pieces(offs):
-                    for g in grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
-                        c += np.bincount(g, minlength=SIZE + 1)
+                    for gs in parts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+                        c += sum(np.bincount(g, minlength=SIZE + 1) for g in gs)
         for lang, c in held.items():
             at = np.flatnonzero(c[:SIZE])
             yield pa.RecordBatch.from_arrays([pa.array([langs.index(lang)] * len(at), pa.int32()), pa.array(at), pa.array(c[at])], names=["lang", "gram", "n"])

@@ -51,6 +51,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, units: int | None, most: int, least: int) -> int:
+    """Tasks for so many units of work: at most ``most`` in each, and work for all cores where that leaves ``least`` in each."""
+    u = units or 0
+    return max(1, -(-u // most), min(-(-u // least), 2 * spark.sparkContext.defaultParallelism))
+
+
 def join_hot(df: DataFrame, dim: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """Left join with a table of one row a key, where one key may hold a third of ``df``: keys are dealt to ``salts`` tasks each."""
     s = fresh("_salt", [*df.columns, *dim.columns])

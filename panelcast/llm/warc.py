@@ -23,13 +23,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import new_path, stage
+from panelcast.llm.util import new_path, stage, tasks
 
 #: Least payload that a revisit record may stand for; index lines of a block and (about) of a shard.
 REVISIT_BYTES, BLOCK_LINES, SHARD_LINES = 100, 300, 1_000_000
+#: Bytes of records (compressed) that a task reads.
+READ_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)", re.I | re.S)
 _BAD = re.compile(r"[\x00-\x20\x7f%]")
@@ -49,7 +51,8 @@ def capture_key(url: str | None, page_id: int | None) -> str:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """File system and path of a URI; Hadoop's names of the S3 scheme are pyarrow's ``s3``."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -175,16 +178,27 @@ class ShardReader:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html) as a record under ``folder``; captures (key, file, offset, length).
 
-    Of payloads of at least REVISIT_BYTES that are equal, the smallest page_id is the
-    response and larger ones revisit it; rows that repeat that page_id are responses
-    too, and so is a row with a null page_id. A null html is an empty payload.
+    Of payloads of at least REVISIT_BYTES that are equal, the one with the smallest
+    page_id is the response and the others revisit it; of rows that repeat that page_id
+    the first by url is. A row with a null page_id is a response. A null html is an
+    empty payload. Other columns are ignored.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     digest = F.sha2(F.col("html").cast("binary"), 256)
-    firsts = p.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", F.unhex(digest).alias("d")).groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    p = p.withColumn("digest", digest).join(stage(firsts, "firsts"), F.unhex("digest") == F.col("d"), "left")
-    p = p.select("page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    ids = p.where(F.octet_length("html") >= REVISIT_BYTES).where("page_id IS NOT NULL").select("page_id", F.unhex(digest).alias("d"))
+    ids = ids.groupBy("d", "page_id").agg(F.count("*").alias("n"))  # a payload of a third of all pages meets as ids alone
+    firsts = ids.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.min_by("n", "page_id").alias("n")).where("first < last OR n > 1").drop("last")
+    firsts = stage(firsts, "firsts")
+    p = p.withColumn("digest", digest).join(firsts, F.unhex("digest") == F.col("d"), "left")
+    refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
+    out = lambda df, r: df.select("page_id", "url", "html", "digest", r.alias("refers_to"))
+    if firsts.where("n > 1").limit(1).count():
+        own = F.coalesce((F.col("page_id") == F.col("first")) & (F.col("n") > 1), F.lit(False))
+        again = p.where(own).withColumn("nth", F.row_number().over(Window.partitionBy("d", "page_id").orderBy("url")))
+        p = out(p.where(~own), refers).unionByName(out(again, F.when(F.col("nth") > 1, F.col("first"))))
+    else:
+        p = out(p, refers)
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
     return stage(p.mapInArrow(_archive(folder), "key string, file string, offset long, length long"), "captures")
@@ -195,8 +209,7 @@ def write_index(captures: DataFrame, folder: str, lines: int) -> DataFrame:
     spark = captures.sparkSession
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
-    least = 2 * spark.sparkContext.defaultParallelism if lines > 20_000 else 1
-    shards = captures.repartitionByRange(max(least, -(-lines // SHARD_LINES)), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+    shards = captures.repartitionByRange(tasks(spark, lines, SHARD_LINES, 10 * BLOCK_LINES), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     return stage(shards.mapInArrow(_index(folder), "shard string, first_key string, lines long"), "shards")
 
 
@@ -212,7 +225,7 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["file", "offset", "length"])
 
     k = keys.select("key").distinct()
-    k = k.repartitionByRange("key").sortWithinPartitions("key")
+    k = k.repartitionByRange(tasks(keys.sparkSession, sum(r["lines"] for r in rows), SHARD_LINES, 10 * BLOCK_LINES), "key").sortWithinPartitions("key")
     return k.mapInArrow(run, "file string, offset long, length long")
 
 
@@ -234,7 +247,8 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = False) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=False)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    c = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = captures.agg(F.sum("length").alias("n")).first()["n"]
+    c = captures.repartitionByRange(tasks(captures.sparkSession, size, READ_BYTES, READ_BYTES >> 6), "file", "offset").sortWithinPartitions("file", "offset")
     return c.mapInArrow(run, schema)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 
@@ -17,14 +18,25 @@ def texts() -> list[str]:
     return ["", "a", " ", "  \n ", "a" * 5000, "=" * 777, "ab" * 3000] + ["".join(r.choice(syl) for _ in range(r.randrange(1, 400))) for _ in range(300)]
 
 
-def test_equals_tiktoken_and_round_trips(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_PIECES", 500)
+def test_equals_tiktoken_and_round_trips(spark):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RAW), special_tokens={})
-    own, t = bpe.Encoder(RAW, P.PATTERN), texts()
-    for part in (t[:100], t[100:]):
-        for x, ids in zip(part, own.encode(part), strict=True):
-            assert ids.tolist() == enc.encode_ordinary(x), x[:60]
-            assert own.replay.decode(ids.astype("int64")) == x.encode()
+    t = [*texts(), *texts()[:40], " ".join(f"x{i}y{i * 7}" for i in range(80_000))]  # the last has more pieces than a block
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in bpe.encode_texts(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decode=True).collect()}
+    assert len(got) == len(t)
+    for i, x in enumerate(t):
+        ids = np.frombuffer(got[i]["ids"], "<u4").tolist()
+        assert ids == enc.encode_ordinary(x) and got[i]["n_tokens"] == len(ids) and bytes(got[i]["decoded"]) == x.encode(), x[:60]
+
+
+def lowest_first(ranks: dict, word: bytes) -> list[int]:
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        r, i = min((ranks.get(parts[i] + parts[i + 1], 2**31), i) for i in range(len(parts) - 1))
+        if r == 2**31:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
 
 
 def test_pieces_whose_merges_make_lower_ranks():
@@ -33,6 +45,7 @@ def test_pieces_whose_merges_make_lower_ranks():
     r = random.Random(1)
     words = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 30))).encode() for _ in range(500)]
     toks, counts = m.encode(words)
+    assert all(m.alone(w) == lowest_first(ranks, w) for w in words)
     at = 0
     for w, c in zip(words, counts.tolist(), strict=True):
         assert toks[at : at + c].tolist() == ([ranks[w]] if w in ranks else m.alone(w))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -48,3 +49,36 @@ def test_no_labels_and_empty(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert [r["lang_pred"] for r in L.predict_held_out(spark.createDataFrame([(1, "abc", None, "s")], schema)).collect()] == ["und"]
     assert L.predict_held_out(spark.createDataFrame([], schema)).count() == 0
+
+
+def brute(model: L.LanguageModel, text: str | None) -> tuple[str, float]:
+    """Gram by gram: mean log odds of each bit, then the loss of each language's codeword."""
+    low = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in (text or "").encode()]
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    bits = [0.0] * model.codes.shape[1]
+    for k in (2, 4):
+        for i in range(len(low) - k + 1):
+            x = int.from_bytes(bytes(low[i : i + k]), "big")
+            w = model.weights[x if k == 2 else (x * 2654435761 % 2**32 >> 16) + 65536]
+            bits = [b + float(y) for b, y in zip(bits, w, strict=True)]
+    z = [b / len(low) / s for b, s in zip(bits, model.scale, strict=True)]
+    loss = [sum(math.log1p(math.exp(-4 * x * c)) * v for x, c, v in zip(z, code, model.vote, strict=True)) for code in model.codes]
+    p = [math.exp(min(loss) - x) for x in loss]
+    return model.langs[loss.index(min(loss))], max(p) / sum(p)
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    data = rows()
+    df = spark.createDataFrame([*data, (7, None, "en", "s"), (1001, "?!", "de", "s"), (1002, "x", "de", "s"), (1003, "É ñ", None, None)], "doc_id long, text string, lang string, p string")
+    model = L.fit(df.where("lang IS NOT NULL"))
+    got = df.select("text", L.language(model, df["text"], df).alias("q")).collect()
+    for r in got:
+        lang, score = brute(model, r["text"])
+        assert r["q"]["lang_pred"] == lang and abs(r["q"]["score"] - score) < 1e-4
+    monkeypatch.setattr(L, "PART", 64)
+    long = np.frombuffer(data[3][1].encode() * 9, np.uint8)
+    ends = np.array([0, len(long)])
+    whole = model.margins(long, ends)
+    monkeypatch.setattr(L, "PART", 1 << 20)
+    assert np.allclose(whole, model.margins(long, ends), atol=1e-9)

@@ -8,12 +8,13 @@ SCHEMA = "page_id long, url string, html string, key string, file string"
 
 
 def brute(rows: list[tuple]) -> list[tuple]:
-    out = []
+    out, seen = [], set()
     for i, _, h, *_ in rows:
         p = (h or "").encode()
         same = [j for j, _, g, *_ in rows if (g or "") == (h or "") and j is not None]
         first = min(same, default=None)
-        rev = len(p) >= 100 and i is not None and first < i
+        rev = len(p) >= 100 and i is not None and (first < i or (i, p) in seen)
+        seen.add((i, p))
         out.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if rev else "response", first if rev else None))
     return sorted(out, key=str)
 
