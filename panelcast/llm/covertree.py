@@ -1,15 +1,20 @@
 """Exact cosine near-duplicates by dual traversal of cover trees.
 
 Vectors of one label are scaled to length 1, where cosine >= c means distance <=
-sqrt(2 - 2c). Equal vectors form one class. A net of pivots, taken from a bounded
-sample of each label by a cover tree's halving radii, deals the classes to cells;
-cells are cut into chunks of bounded size. Chunks whose centres are farther apart
-than both covering radii and the threshold cannot hold a pair, the others meet: each
-chunk becomes a cover tree, and pairs of nodes are pruned, or accepted whole, by
-their covering radii; leaves that remain are compared by their dot products.
-
-Counts of links are summed by class, so neither copies nor pairs of a dense group
-are listed: of the links a spanning forest is kept, which gives the components.
+sqrt(2 - 2c). Equal vectors form one class. A tree of nodes covers each label: a node of
+many classes is split by a net of at most half its radius, taken from a bounded sample
+of its classes, and each class goes to the nearest centre; children's covering radii are
+measured. Level by level, pairs of nodes are judged by their centres' distance and their
+radii: too far apart, they are dropped; near enough for all their pairs to link, they
+are accepted whole; all others are split further. Only nodes of undecided pairs are split.
+
+Nodes that are small enough become chunks. Undecided pairs of chunks meet in tiles of
+bounded size, where each chunk becomes a cover tree of halving radii and pairs of its
+nodes are judged the same way, down to dot products.
+
+Counts of links are summed by class, so neither copies nor pairs of a dense group are
+listed: of the links a spanning forest is kept, which gives the components. Vectors too
+scattered for any radius to tell apart leave all pairs of chunks undecided.
 """
 
 from __future__ import annotations
@@ -18,109 +23,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import connected_components, stage
+from panelcast.llm.util import connected_components, join_hot, stage
 
-#: Classes of a chunk; sampled vectors and pivots of a label; vectors of a leaf; slack of the bounds.
-CHUNK, SAMPLE, PIVOTS, LEAF, SLACK = 1024, 512, 64, 128, 1e-9
-#: Centres tried for a level, and vectors near one that make it a node of its own.
-TRIES, DENSE = 32, 8
+#: Classes of a chunk; sampled classes of a node and most children; classes of a leaf; chunks of a tile's side; slack of the bounds.
+CHUNK, SAMPLE, FAN, LEAF, SIDE, SLACK = 1024, 512, 32, 8, 4, 1e-9
+#: Distances nearer to the threshold than this are decided by dot products alone.
+CLOSE = 1e-7
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
+
+
+def _greedy_net(d: np.ndarray, rows: np.ndarray, radius: float, most: int | None = None) -> list[np.ndarray]:
+    """Rows by centre: each centre, the first of its part, takes what lies within ``radius`` of it; centres lie further apart."""
+    parts, left = [], rows
+    while len(left) and (most is None or len(parts) < most):
+        near = d[left[0], left] <= radius
+        near[0] = True
+        parts.append(left[near])
+        left = left[~near]
+    return parts + [left] * (len(left) > 0)
 
 
 class CoverTree:
-    """Nested levels: a node of level i covers its vectors within its radius and is split by a net of half that radius."""
+    """Nested levels: a node covers its rows within its radius and is split by a net of half its level's radius."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        self.order = np.arange(len(x))
-        self.nodes: list[tuple[int, int, float, np.ndarray, list[int]]] = []  # first, end, radius, centre, children
+        self.rows: list[np.ndarray] = []
+        self.radius: list[float] = []
+        self.kids: list[list[int]] = []
         if len(x):
-            self._build(0, len(x), 2.0)
-
-    def _build(self, a: int, e: int, scale: float) -> int:
-        rows = self.order[a:e]
-        centre = self.x[rows[0]]
-        d = np.sqrt(np.maximum(0, 2 - 2 * self.x[rows] @ centre))
-        radius = float(d.max()) + SLACK
-        me = len(self.nodes)
-        self.nodes.append((a, e, radius, centre, []))
-        if e - a <= LEAF or radius <= 4 * SLACK:
+            self._d = _apart(x, x)
+            self._build(np.arange(len(x)), 2.0)
+            del self._d
+
+    def _build(self, rows: np.ndarray, scale: float) -> int:
+        me, radius = len(self.rows), float(self._d[rows[0], rows].max()) + SLACK
+        self.rows.append(rows)
+        self.radius.append(radius)
+        self.kids.append([])
+        if len(rows) <= LEAF or radius <= 4 * SLACK:
             return me
         while scale / 2 >= radius:
             scale /= 2
-        kids, rest, left = [], [], rows
-        for _ in range(TRIES):  # greedy net: a centre takes what lies within half the radius
-            if not len(left):
-                break
-            near = np.sqrt(np.maximum(0, 2 - 2 * self.x[left] @ self.x[left[0]])) <= scale / 2
-            near[0] = True
-            (kids if near.sum() >= DENSE else rest).append(left[near])
-            left = left[~near]
-        if not kids:
-            return me  # too scattered for this radius to tell apart
-        rest.append(left)
-        at = a
-        for part in [*kids, np.concatenate(rest)]:
-            self.order[at : at + len(part)] = part
-            at += len(part)
-        at = a
-        for part in kids:
-            self.nodes[me][4].append(self._build(at, at + len(part), scale / 2) if len(part) < e - a else self._leaf(at, at + len(part)))
-            at += len(part)
-        if at < e:
-            self.nodes[me][4].append(self._leaf(at, e))
+        for part in _greedy_net(self._d, rows, scale / 2):
+            self.kids[me].append(self._build(part, scale / 2))
         return me
 
-    def _leaf(self, s: int, t: int) -> int:
-        rows = self.order[s:t]
-        d = np.sqrt(np.maximum(0, 2 - 2 * self.x[rows] @ self.x[rows[0]]))
-        self.nodes.append((s, t, float(d.max()) + SLACK, self.x[rows[0]], []))
-        return len(self.nodes) - 1
-
 
 def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Weight of links of each row of both trees, and edges that connect what the links connect."""
     na, nb, edges = np.zeros(len(wa), np.int64), np.zeros(len(wb), np.int64), []
-    if not a.nodes or not b.nodes:
+    if not a.rows or not b.rows:
         return na, nb, edges
     far = np.sqrt(max(0.0, 2 - 2 * cosine))
+
+    def compare(ra: np.ndarray, rb: np.ndarray, whole: bool) -> None:
+        m = a.x[ra] @ b.x[rb].T >= cosine
+        if whole:
+            np.fill_diagonal(m, False)
+            na[ra] += m @ wa[ra]
+        else:
+            na[ra] += m @ wb[rb]
+            nb[rb] += m.T @ wa[ra]
+        if m.any():
+            edges.extend(_forest(m, ra, rb, whole))
+
+    def accept(ra: np.ndarray, rb: np.ndarray, whole: bool) -> None:
+        if whole:
+            na[ra] += wa[ra].sum() - wa[ra]
+            edges.extend((int(ra[0]), int(x)) for x in ra[1:])
+        else:
+            na[ra] += wb[rb].sum()
+            nb[rb] += wa[ra].sum()
+            edges.extend([(int(ra[0]), int(x)) for x in rb] + [(int(x), int(rb[0])) for x in ra[1:]])
+
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
-        (s, t, ri, ci, ki), (u, v, rj, cj, kj) = a.nodes[i], b.nodes[j]
-        if same and u < s:
-            continue  # the mirror of a pair of nodes
-        d = float(np.sqrt(max(0.0, 2 - 2 * float(ci @ cj))))
-        if d > far + ri + rj + SLACK:
+        whole = same and i == j
+        if not a.kids[i] and not b.kids[j]:
+            compare(a.rows[i], b.rows[j], whole)
             continue
-        ra, rb = a.order[s:t], b.order[u:v]
-        whole = same and (s, t) == (u, v)
-        if d + ri + rj < far - SLACK - 1e-7:  # every pair links
-            if whole:
-                na[ra] += wa[ra].sum() - wa[ra]
-                edges += [(int(ra[0]), int(x)) for x in ra[1:]]
+        ka, kb = np.array(a.kids[i] or [i]), np.array(b.kids[j] or [j])
+        # kids of one row each are compared at once
+        ones = [np.array([len(t.rows[k]) == 1 for k in ks]) for t, ks in ((a, ka), (b, kb))]
+        single = ones[0].sum() > 1 and ones[1].sum() > 1
+        if single:
+            compare(np.concatenate([a.rows[k] for k in ka[ones[0]]]), np.concatenate([b.rows[k] for k in kb[ones[1]]]), whole)
+        d = _apart(a.x[[a.rows[k][0] for k in ka]], b.x[[b.rows[k][0] for k in kb]])
+        reach = np.array([a.radius[k] for k in ka])[:, None] + np.array([b.radius[k] for k in kb])[None, :]
+        live = d <= far + reach + SLACK
+        if single:
+            live &= ~(ones[0][:, None] & ones[1][None, :])
+        if whole:
+            live &= np.triu(np.ones(live.shape, bool))
+        inside = live & (d + reach < far - CLOSE)
+        for p, q in np.argwhere(live).tolist():
+            if inside[p, q]:
+                accept(a.rows[ka[p]], b.rows[kb[q]], whole and p == q)
             else:
-                na[ra] += wb[rb].sum()
-                nb[rb] += wa[ra].sum()
-                edges += [(int(ra[0]), int(x)) for x in rb] + [(int(x), int(rb[0])) for x in ra[1:]]
-            continue
-        if (not ki and not kj) or (whole and not ki):
-            m = a.x[ra] @ b.x[rb].T >= cosine
-            if whole:
-                np.fill_diagonal(m, False)
-                na[ra] += m @ wa[ra]
-            else:
-                na[ra] += m @ wb[rb]
-                nb[rb] += m.T @ wa[ra]
-            edges += _forest(m, ra, rb, whole)
-        elif whole:
-            todo += [(p, q) for n, p in enumerate(ki) for q in ki[n:]]
-        elif ki and (not kj or t - s >= v - u):
-            todo += [(p, j) for p in ki]
-        else:
-            todo += [(i, q) for q in kj]
+                todo.append((int(ka[p]), int(kb[q])))
     return na, nb, edges
 
 
@@ -157,126 +166,246 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
-def _net(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pivots of each (label, dim): a net of the sample at the smallest of the halving radii that needs few enough."""
-    held: dict[tuple, list] = {}
-    for batch in batches:
-        for label, dim, n, vec in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            held.setdefault((label, dim, n), []).append(vec)
-    rows = []
-    for (label, dim, n), vecs in held.items():
-        most = max(1, min(PIVOTS, n // CHUNK))  # cells of about a chunk, or more
-        x, r, best = _unit(np.array(vecs, np.float64)), 2.0, None
-        while r > 0.05:
-            left, net = np.arange(len(x)), []
-            while len(left) and len(net) <= most:
-                net.append(left[0])
-                left = left[2 - 2 * x[left] @ x[left[0]] > r * r]
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centres of each node's children: of the halving radii below the sample's own, the smallest whose net is small enough; if none is, the net's first centres."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        label, dim, node, n = now
+        x, most = _unit(np.array(held, np.float64)), max(2, min(FAN, 2 * -(-n // CHUNK)))
+        d, every = _apart(x, x), np.arange(len(x))
+        r, best = float(d[0].max()), [every]
+        while r > 4 * SLACK:
+            net = _greedy_net(d, every, r / 2, most)
             if len(net) > most:
+                best = net[:most] if len(best) == 1 else best
                 break
             best, r = net, r / 2
-        best = [0] if best is None else best
-        rows += [(label, dim, c, x[i].tolist()) for c, i in enumerate(best)]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["label", "dim", "cell", "centre"])
+        c = x[[part[0] for part in best]]
+        return pa.RecordBatch.from_arrays([pa.array([label]), pa.array([dim]), pa.array([node]), pa.array([n]), pa.array([c.tobytes()], pa.binary())], names=["label", "dim", "node", "n", "centres"])
+
+    for batch in batches:
+        for *key, vec in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if tuple(key) != now:
+                if held:
+                    yield done()
+                now, held = tuple(key), []
+            held.append(vec)
+    if held:
+        yield done()
+
+
+_MOVED = "label long, dim long, node string, key long, vec array<{0}>, w long, radius double, centre array<double>, flat boolean"
+
+
+def _move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part of a node stand together, its children's centres first; each class with its child, and each child's radius in this part."""
+    now, centres, tops = None, None, None
+
+    def rest(kind: pa.DataType) -> pa.RecordBatch:
+        label, dim, node, _ = now
+        at = np.flatnonzero(tops >= 0)
+        n = len(at)
+        cols = [pa.array([label] * n, pa.int64()), pa.array([dim] * n, pa.int64()), pa.array([f"{node}{c:02d}." for c in at.tolist()], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.array(tops[at] + SLACK), pa.array(centres[at].tolist(), pa.list_(pa.float64())), pa.array([len(centres) == 1] * n)]
+        return pa.RecordBatch.from_arrays(cols, names=_NAMES)
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        kind = batch.column("vec").type
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if s == e:
+                continue
+            part = batch.slice(s, e - s)
+            if keys[s] != now:
+                if now is not None:
+                    yield rest(kind)
+                now, dim = keys[s], keys[s][1]
+                centres = np.frombuffer(part.column("centres")[0].as_py(), np.float64).reshape(-1, dim)
+                tops = np.full(len(centres), -1.0)
+                part = part.slice(1)
+            if not part.num_rows:
+                continue
+            d = _apart(_unit(_vectors(part.column("vec"))), centres)
+            near = d.argmin(1)
+            np.maximum.at(tops, near, d[np.arange(len(d)), near])
+            n, (_, _, node, _) = part.num_rows, now
+            names = np.array([f"{node}{c:02d}." for c in range(len(centres))], object)
+            yield pa.RecordBatch.from_arrays([part.column("label"), part.column("dim"), pa.array(names[near], pa.string()), part.column("key"), part.column("vec"), part.column("w"), pa.nulls(n, pa.float64()), pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.bool_())], names=_NAMES)
+    if now is not None:
+        yield rest(kind)
+
+
+_NAMES = ["label", "dim", "node", "key", "vec", "w", "radius", "centre", "flat"]
+_AT = ["label", "dim", "node"]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk, whose rows stand together: unit vectors, classes, weights, centre and covering radius."""
+    """One row for each chunk, whose rows stand together: vectors, classes and weights."""
     now, rows = None, []
+    names = ["label", "dim", "node", "part", "vecs", "ids", "weights"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
-    def done() -> pa.RecordBatch:
-        x = _unit(np.array([r[1] for r in rows], np.float64))
-        c = x.mean(0)
-        n = np.sqrt(c @ c)
-        c = c / n if n > 1e-12 else x[0]
-        radius = float(np.sqrt(np.maximum(0, 2 - 2 * x @ c)).max()) + SLACK
-        cols = [[now[0]], [now[1]], [now[2] * (1 << 32) + now[3]], [x.tobytes()], [np.array([r[0] for r in rows], np.int64).tobytes()], [np.array([r[2] for r in rows], np.int64).tobytes()], [c.tolist()], [radius]]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=["label", "dim", "chunk", "vecs", "ids", "weights", "centre", "radius"])
+    def done(narrow: bool) -> pa.RecordBatch:
+        vecs = np.array([r[1] for r in rows], np.float32 if narrow else np.float64)
+        cols = [*now, vecs.tobytes(), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[2] for r in rows], np.int64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(cols, kinds, strict=True)], names=names)
 
     for batch in batches:
-        for label, dim, cell, part, cid, vec, w in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if (label, dim, cell, part) != now:
+        narrow = pa.types.is_float32(batch.column(5).type.value_type)
+        for *key, cid, vec, w in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if tuple(key) != now:
                 if rows:
-                    yield done()
-                now, rows = (label, dim, cell, part), []
+                    yield done(narrow)
+                now, rows = tuple(key), []
             rows.append((cid, vec, w))
     if rows:
-        yield done()
+        yield done(narrow)
 
 
 def _compare(cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[bytes, CoverTree] = {}
+    """Rows of a tile stand together: pairs of chunk numbers (kind 0), then the chunks."""
 
-        def tree(raw: bytes, n: int) -> CoverTree:
-            if raw not in trees:
-                if len(trees) > 16:
-                    trees.clear()
-                trees[raw] = CoverTree(np.frombuffer(raw, np.float64).reshape(n, -1))
-            return trees[raw]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs, chunks = None, [], {}
+
+        def done() -> pa.RecordBatch:
+            rows, trees = [], {i: CoverTree(x) for i, (x, _, _) in chunks.items()}
+            for i, j in pairs:
+                (_, ia, wa), (_, ib, wb) = chunks[i], chunks[j]
+                na, nb, edges = dual_traversal(trees[i], trees[j], wa, wb, cosine, i == j)
+                for ids, n in ((ia, na), (ib, nb)):
+                    rows += [(int(ids[k]), int(n[k]), None) for k in np.flatnonzero(n).tolist()]
+                rows += [(int(ia[p]), None, int(ib[q])) for p, q in edges]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "n", "b"])
 
         for batch in batches:
-            for same, va, ia, wa, vb, ib, wb in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                ia, wa, ib, wb = (np.frombuffer(x, np.int64) for x in (ia, wa, ib, wb))
-                na, nb, edges = dual_traversal(tree(va, len(ia)), tree(vb, len(ib)), wa, wb, cosine, same)
-                counts = [(i, n, None) for i, n in zip(ia.tolist(), na.tolist(), strict=True) if n] + [(i, n, None) for i, n in zip(ib.tolist(), nb.tolist(), strict=True) if n]
-                rows = counts + [(int(ia[p]), None, int(ib[q])) for p, q in edges]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "n", "b"])
+            for label, dim, ta, tb, kind, no, no2, vecs, ids, weights in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if (label, dim, ta, tb) != now:
+                    if pairs:
+                        yield done()
+                    now, pairs, chunks = (label, dim, ta, tb), [], {}
+                if kind == 0:
+                    pairs.append((no, no2))
+                else:
+                    i, w = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
+                    x = np.frombuffer(vecs, f"<f{len(vecs) // (len(i) * dim)}").astype(np.float64).reshape(len(i), -1)
+                    chunks[no] = (_unit(x), i, w)
+        if pairs:
+            yield done()
 
     return run
 
 
+def _levels(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """Split nodes until all pairs are decided or between nodes of at most CHUNK classes.
+
+    Returns all nodes, the classes by node, the undecided pairs of nodes (a, b), and
+    edges between classes of pairs accepted whole. Nodes carry ``acc``, the weight of
+    what their classes link with by such pairs, ``own``, whether a node's own weight is
+    in it, and ``anchor``, a class that all of them link with.
+    """
+    far = float(np.sqrt(2 - 2 * cosine))
+    kind = dict(classes.dtypes)["vec"][6:-1]
+    members = classes.select("label", "dim", F.lit("").alias("node"), "key", "vec", "w")
+    stats = (F.count("*").alias("n"), F.sum("w").alias("wsum"), F.min("key").alias("rep"))
+    cur = members.groupBy(_AT).agg(*stats).withColumns({"centre": F.lit(None).cast("array<double>"), "radius": F.lit(4.0), "flat": F.lit(False), "acc": F.lit(0).cast("long"), "own": F.lit(False), "anchor": F.lit(None).cast("long")})
+    cur = stage(cur, "nodes")
+    pairs = stage(cur.select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b")), "pairs")
+    settled, edges, rounds = [], [], 0
+    while True:
+        active = pairs.select("label", "dim", F.col("a").alias("node")).union(pairs.select("label", "dim", "b")).distinct()
+        wide = stage(cur.where((F.col("n") > CHUNK) & ~F.col("flat")).join(active, _AT, "left_semi").select(*_AT, "n"), "open")
+        if not wide.limit(1).count():
+            break
+        mine = members.join(wide, _AT)
+        rounds += 1
+        sample = mine.where(F.pmod(F.xxhash64(F.lit(rounds), "key"), F.lit(1 << 20)) * F.col("n") <= F.lit(SAMPLE * float(1 << 20)))
+        centres = stage(sample.select(*_AT, "n", "vec").repartition(*_AT).sortWithinPartitions(*_AT).mapInArrow(_split, "label long, dim long, node string, n long, centres binary"), "centres")
+        # a node's classes are dealt to tasks of some thousand, each with the node's centres first
+        parts = F.ceil(F.col("n") / (8 * CHUNK))
+        none = lambda k: F.lit(None).cast(k)
+        heads = centres.select(*_AT, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("kind"), none("long").alias("key"), none(f"array<{kind}>").alias("vec"), none("long").alias("w"), "centres")
+        rows = mine.join(centres.select(*_AT), _AT, "left_semi").select(*_AT, F.pmod(F.xxhash64(F.lit(-1), "key"), parts).alias("part"), F.lit(1).alias("kind"), "key", "vec", "w", none("binary").alias("centres"))
+        sent = heads.unionByName(rows).repartition(*_AT, "part").sortWithinPartitions(*_AT, "part", "kind")
+        moved = stage(sent.mapInArrow(_move, _MOVED.format(kind)), "moved")
+        settled.append(members.join(centres.select(*_AT), _AT, "left_anti"))
+        members = moved.where("key IS NOT NULL").select(*_AT, "key", "vec", "w")
+        kids = members.groupBy(_AT).agg(*stats).join(moved.where("key IS NULL").groupBy(_AT).agg(F.max("radius").alias("radius"), F.first("centre").alias("centre"), F.first("flat").alias("flat")), _AT)
+        up = cur.select("label", "dim", F.col("node").alias("parent"), "acc", "own", "anchor")
+        kids = kids.withColumn("parent", F.expr("substring(node, 1, length(node) - 3)")).join(up, ["label", "dim", "parent"])
+        still = cur.join(centres.select(*_AT), _AT, "left_anti")
+        step = stage(kids.unionByName(still.withColumn("parent", F.col("node"))), "step")
+        side = lambda s: step.select("label", "dim", F.col("parent").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "wsum", "rep", "centre", "radius")])
+        met = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).where("a <> b OR node_a <= node_b")
+        dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        d, reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)), F.col("radius_a") + F.col("radius_b")
+        one = F.col("node_a") == F.col("node_b")
+        d = F.when(one, 0.0).otherwise(F.coalesce(d, F.lit(0.0)))  # an unsplit root has no centre, but a radius that excludes nothing
+        met = met.withColumn("d", d).withColumn("reach", reach).where(F.col("d") <= F.col("reach") + far + SLACK)
+        met = stage(met.select("label", "dim", "node_a", "node_b", "wsum_a", "wsum_b", "rep_a", "rep_b", (F.col("d") + F.col("reach") < far - CLOSE).alias("sure")), "judged")
+        sure = met.where("sure")
+        edges.append(sure.where(~one).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        gain = sure.select("label", "dim", F.col("node_a").alias("node"), F.col("wsum_b").alias("more"), one.alias("self"), F.col("rep_b").alias("at"))
+        gain = gain.unionByName(sure.where(~one).select("label", "dim", F.col("node_b").alias("node"), F.col("wsum_a").alias("more"), F.lit(False).alias("self"), F.col("rep_a").alias("at")))
+        gain = gain.groupBy(_AT).agg(F.sum("more").alias("more"), F.bool_or("self").alias("self"), F.min("at").alias("at"))
+        cur = step.drop("parent").join(gain, _AT, "left").withColumns({"acc": F.col("acc") + F.coalesce("more", F.lit(0)), "own": F.col("own") | F.coalesce("self", F.lit(False)), "anchor": F.coalesce("anchor", "at")}).drop("more", "self", "at")
+        cur = stage(cur, "nodes")
+        pairs = met.where("NOT sure").select("label", "dim", F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    for part in settled:
+        members = members.unionByName(part.select(members.columns))
+    return cur, members, pairs, edges
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Rows link when their labels are equal and not null, their lengths are equal and
     their cosine in double precision reaches ``cosine``. Vectors that are null, zero
     or hold null or non-finite components link with nothing, nor do rows with a null
-    id, whose component is null. Repeated rows link like any two rows. An empty table
-    gives no rows.
+    id, whose component is null. Repeated rows link like any two rows. Other columns are
+    ignored; an empty table gives no rows.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
+    given = dict(vectors.dtypes)[vec_col]
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if given == "array<float>" else "array<double>").alias("vec"), F.col(label_col).alias("label"))
     v = v.withColumn("key", F.when(usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.xxhash64("label", "vec")))
-    classes = v.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("cid"), F.count("*").alias("w"), F.first("vec").alias("vec"), F.first("label").alias("lab"))
-    classes = stage(classes.select("key", "cid", "w", "vec", F.xxhash64("lab").alias("label"), F.size("vec").cast("long").alias("dim")), "classes")
-    # a bounded sample of each label: its smallest hashes, cut by the label's size so that few rows compete
-    n = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    near = classes.join(n, ["label", "dim"]).where(F.pmod(F.col("key"), F.lit(1 << 20)) * F.col("n") <= F.lit(SAMPLE * float(1 << 20)))
-    net = stage(near.select("label", "dim", "n", "vec").repartition("label", "dim").mapInArrow(_net, "label long, dim long, cell long, centre array<double>"), "net")
-    packed = net.groupBy("label", "dim").agg(F.sort_array(F.collect_list(F.struct("cell", "centre"))).alias("net"))
-
-    @F.arrow_udf("long")
-    def cell(vec: pa.Array, centres: pa.Array) -> pa.Array:
-        out, last, m = [], None, None
-        for x, c in zip(vec, centres, strict=True):
-            if last is None or c != last:
-                last, m = c, np.array([r["centre"] for r in c.as_py()])
-            x = _unit(np.array([x.as_py()]))[0]
-            out.append(int(np.argmax(m @ x)))
-        return pa.array(out, pa.int64())
-
-    dealt = classes.join(packed, ["label", "dim"]).select("label", "dim", "key", "vec", "w", cell("vec", "net").alias("cell"))
-    dealt = stage(dealt, "cells")
-    sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    dealt = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("parts")))
-    dealt = dealt.select("label", "dim", "cell", "part", "key", "vec", "w").repartition("label", "dim", "cell", "part").sortWithinPartitions("label", "dim", "cell", "part", "key")
-    chunks = stage(dealt.mapInArrow(_chunks, "label long, dim long, chunk long, vecs binary, ids binary, weights binary, centre array<double>, radius double"), "chunks")
-    far = float(np.sqrt(2 - 2 * cosine))
-    c = chunks.select("label", "dim", "chunk", "centre", "radius")
-    other = c.select("label", "dim", F.col("chunk").alias("chunk2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
-    dot = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    meet = c.join(other, ["label", "dim"]).where("chunk <= chunk2").where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("radius") + F.col("radius2") + far + 1e-9)
-    meet = stage(meet.select("label", "dim", "chunk", "chunk2"), "meet")
-    a = chunks.select("label", "dim", "chunk", F.col("vecs").alias("va"), F.col("ids").alias("ia"), F.col("weights").alias("wa"))
-    b = chunks.select("label", "dim", F.col("chunk").alias("chunk2"), F.col("vecs").alias("vb"), F.col("ids").alias("ib"), F.col("weights").alias("wb"))
-    both = meet.join(a, ["label", "dim", "chunk"]).join(b, ["label", "dim", "chunk2"]).select((F.col("chunk") == F.col("chunk2")).alias("same"), "va", "ia", "wa", "vb", "ib", "wb")
-    found = stage(both.mapInArrow(_compare(cosine), "a long, n long, b long"), "links")
-    links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    comp = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
+    v = v.withColumn("key2", F.xxhash64(F.lit(1), "vec", "label"))
+    classes = v.where("key IS NOT NULL").groupBy("key", "key2").agg(F.min("id").alias("cid"), F.count("*").alias("w"), F.first("vec").alias("vec"), F.first("label").alias("lab"))
+    classes = stage(classes.select("key", "key2", "cid", "w", "vec", F.xxhash64("lab").alias("label"), F.size("vec").cast("long").alias("dim")), "classes")
+    # two vectors of one hash: one pair is expected among 6e9 vectors; they are named by the second hash
+    shared = [r["key"] for r in classes.groupBy("key").count().where("count > 1").select("key").collect()]
+    name = F.when(F.col("key").isin(shared), F.col("key2")).otherwise(F.col("key")) if shared else F.col("key")
+    classes, v = classes.withColumn("key", name), v.withColumn("key", name)
+    nodes, members, pairs, edges = _levels(classes, cosine)
+    inner = pairs.select("label", "dim", F.col("a").alias("node")).union(pairs.select("label", "dim", "b")).distinct().join(nodes.select(*_AT, F.ceil(F.col("n") / CHUNK).alias("parts")), _AT)
+    dealt = members.join(stage(inner, "leaves"), _AT).withColumn("part", F.pmod(F.xxhash64(F.lit(-2), "key"), F.col("parts")))
+    dealt = dealt.select(*_AT, "part", "key", "vec", "w").repartition(*_AT, "part").sortWithinPartitions(*_AT, "part", "key")
+    chunks = stage(dealt.mapInArrow(_chunks, "label long, dim long, node string, part long, vecs binary, ids binary, weights binary"), "chunks")
+    no = F.row_number().over(Window.partitionBy("label", "dim").orderBy("node", "part")) - 1
+    numbers = stage(chunks.select(*_AT, "part", no.cast("long").alias("no")), "numbers")
+    side = lambda s: numbers.select("label", "dim", F.col("node").alias(s), F.col("no").alias(f"no_{s}"))
+    meet = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).where("a <> b OR no_a <= no_b")
+    lo, hi = F.least("no_a", "no_b"), F.greatest("no_a", "no_b")
+    tile = ["label", "dim", "ta", "tb"]
+    meet = stage(meet.select("label", "dim", F.floor(lo / SIDE).alias("ta"), F.floor(hi / SIDE).alias("tb"), lo.alias("no"), hi.alias("no2")), "meet")
+    need = meet.select(*tile, "no").union(meet.select(*tile, "no2")).distinct()
+    body = chunks.join(numbers, [*_AT, "part"]).select("label", "dim", "no", "vecs", "ids", "weights")
+    null = F.lit(None).cast("binary")
+    rows = meet.select(*tile, F.lit(0).alias("kind"), "no", "no2", null.alias("vecs"), null.alias("ids"), null.alias("weights"))
+    rows = rows.unionByName(need.join(body, ["label", "dim", "no"]).select(*tile, F.lit(1).alias("kind"), "no", F.lit(None).cast("long").alias("no2"), "vecs", "ids", "weights"))
+    found = stage(rows.repartition(*tile).sortWithinPartitions(*tile, "kind").mapInArrow(_compare(cosine), "a long, n long, b long"), "links")
+    # a node may hold a third of all classes
+    here = members.select(F.struct(*_AT).alias("at"), "key", "w")
+    here = stage(join_hot(here, nodes.select(F.struct(*_AT).alias("at"), "acc", "own", "anchor"), "at").select("key", (F.col("acc") - F.when(F.col("own"), F.col("w")).otherwise(0)).alias("acc"), "anchor"), "accepted")
+    links = found.where("n IS NOT NULL").select(F.col("a").alias("key"), "n").unionByName(here.where("acc > 0").select("key", F.col("acc").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"))
+    joined = found.where("b IS NOT NULL").select("a", "b").unionByName(here.where("anchor IS NOT NULL").select(F.col("key").alias("a"), F.col("anchor").alias("b")))
+    for e in edges:
+        joined = joined.unionByName(e)
+    comp = connected_components(joined).withColumnRenamed("node", "key")
     known = classes.select("key", "cid", "w").join(links, "key", "left").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = known.groupBy("comp").agg(F.min("cid").alias("component_id"))
-    known = stage(known.join(least, "comp").select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "component_id"), "components")
+    known = stage(known.select("key", "cid", "comp", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n")), "known")
+    least = stage(known.groupBy("comp").agg(F.min("cid").alias("component_id")), "least")
+    known = stage(join_hot(known, least, "comp").select("key", "n", "component_id"), "components")
     out = v.select("id", "key").join(known, "key", "left")
     comp_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))

@@ -21,12 +21,13 @@ def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_OP1 = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       row_number() OVER (PARTITION BY page_id, coalesce(html, '')) AS nth FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1),
+r AS (SELECT p.*, CASE WHEN first < page_id OR first = page_id AND nth > 1 THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest))
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first < page_id THEN first END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
 """
 
 
@@ -135,7 +136,7 @@ def op10_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP10 = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS x FROM embeddings WHERE {_VALID}),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -51,12 +51,23 @@ def run(spark, data):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", 40)
-    monkeypatch.setattr(C, "LEAF", 4)
-    monkeypatch.setattr(C, "DENSE", 3)
+    monkeypatch.setattr(C, "SIDE", 2)
     data = rows(400)
     assert run(spark, data) == brute(data)
 
 
+def test_dense_and_scattered_nodes(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 16)
+    r = random.Random(3)
+    near = lambda m, s: [x + r.gauss(0, s) for x in m]
+    a, b = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], [1.0, 0.19, 0.0, 0.0, 0.0, 0.0]
+    data = [(i, near(r.choice([a, a, b]), r.choice([0.001, 0.002, 0.03])) if i % 3 else [r.gauss(0, 1) for _ in range(6)], i % 2, "x", 1) for i in range(300)]
+    data += [(1000 + i, [x * (1 + i) for x in a], 0, "x", 1) for i in range(40)]  # one direction, 40 classes: cannot be split
+    assert run(spark, data) == brute(data)
+    wide = spark.createDataFrame(data, SCHEMA.replace("float", "double"))
+    assert len({r["component_id"] for r in C.near_duplicates(wide).collect()}) == len({x[2] for x in brute(data)})
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 

@@ -12,9 +12,9 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id long, vec string"
 
 
 def brute(rows: list[tuple], k: int) -> list[tuple]:
-    ok = {(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ok = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for i, q in set(ok):
         if i % 10 == 0:
             s = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
             out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
@@ -26,7 +26,7 @@ def rows(n: int) -> list[tuple]:
     mids = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
     out = [(i, [x + r.gauss(0, 0.2) for x in r.choice(mids)], 0, 1, "x") for i in range(n)]
     out += [(n + i, out[min(20, n - 1)][1], 0, 1, "x") for i in range(30)]
-    return out + [(n + 100, None, 0, 1, "x"), (n + 101, [1.0] * 7 + [None], 0, 1, "x"), (n + 102, [math.nan] * 8, 0, 1, "x"), (n + 103, [math.inf] * 8, 0, 1, "x"), (None, [1.0] * 8, 0, 1, "x"), (n + 110, [0.5, -0.5], 0, 1, "x"), (n + 120, [0.0] * 8, 0, 1, "x"), (7, out[7][1], 0, 1, "x")]
+    return out + [(n + 100, None, 0, 1, "x"), (n + 101, [1.0] * 7 + [None], 0, 1, "x"), (n + 102, [math.nan] * 8, 0, 1, "x"), (n + 103, [math.inf] * 8, 0, 1, "x"), (None, [1.0] * 8, 0, 1, "x"), (n + 110, [0.5, -0.5], 0, 1, "x"), (n + 120, [0.0] * 8, 0, 1, "x"), (7, out[7][1], 0, 1, "x")] + [(23, out[min(20, n - 1)][1], 0, 1, "x")] * 30
 
 
 def run(spark, data, k=10):
@@ -72,7 +72,7 @@ def test_few_candidates_and_empty(spark):
 def test_blocks_are_pruned():
     r = np.random.default_rng(0)
     mids = r.normal(0, 1000, (20, 16)).astype(np.int64)
-    blocks = [(np.arange(50) + 100 * b, m, m.max(0), m.min(0)) for b in range(20) for m in [mids[b] + r.integers(-50, 50, (50, 16))]]
+    blocks = [(np.arange(50) + 100 * b, m, m.max(0), m.min(0), b, np.ones(50, np.int64)) for b in range(20) for m in [mids[b] + r.integers(-50, 50, (50, 16))]]
     best, scored = K.search_share(np.array([-1]), mids[:1], np.array([K.LOWEST]), blocks, 10)
     every = np.concatenate([x[1] for x in blocks]) @ mids[0]
     assert sorted(best[-1][0].tolist()) == sorted(every)[-10:] and scored < 10
