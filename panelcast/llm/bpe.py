@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from panelcast.llm.util import release_memory, stage, tasks
 
 NONE = np.int32(2**31 - 1)
-#: Characters of text and distinct pieces of a block, and bytes of pieces that are replayed together.
-BLOCK_CHARS, BLOCK_PIECES, REPLAY_BYTES = 8 << 20, 1 << 16, 8 << 20
+#: Characters of text of a block and of a row of it, and bytes of pieces that are replayed together.
+BLOCK_CHARS, ROW_CHARS, REPLAY_BYTES = 16 << 20, 1 << 20, 32 << 20
+#: Most bytes of text whose pieces make a bucket, and least if that leaves cores idle.
+BUCKET_MOST, BUCKET_LEAST = 256 << 20, 64 << 20
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -197,42 +201,70 @@ class _Index(dict):
         return v
 
 
-#: Rows of a block: texts as piece numbers, the tokens of its pieces as far as known, and its unknown pieces.
-TEXT, KNOWN, PIECE = 2, 0, 1
-_FIELDS = [("block", pa.int64()), ("kind", pa.int8()), ("no", pa.int64()), ("id", pa.int64()), ("data", pa.binary())]
-_SCHEMA = "block long, kind tinyint, no long, id long, data binary"
+#: Rows of a block: the tokens of its pieces as far as known, its unknown pieces by bucket, and its texts as piece numbers.
+KNOWN, PIECE, TEXT = 0, 1, 2
+_NAMES = ["block", "kind", "no", "ids", "one", "two", "three"]
+_KINDS = [pa.int64(), pa.int8(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+_SCHEMA = "block long, kind tinyint, no long, ids array<long>, one binary, two binary, three binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
 
 
-def _cut(raw, pattern: str):
-    """Texts to blocks; a piece's number within its block fits two bytes."""
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers of 32 bits, compressed byte by byte: most of their high bytes are alike."""
+    return zstandard.compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def expand(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _cut(raw, pattern: str, buckets: int):
+    """Texts to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = piece_pattern(pattern).findall, {b.decode(): r for b, r in load_ranks(raw.value).items() if _is_text(b)}
         block, index, size = TaskContext.get().partitionId() << 32, _Index(), 0
+        ids, lens, codes, chars = [], [], [], 0
+
+        def texts() -> pa.RecordBatch:
+            row = (block, TEXT, 0, list(ids), squeeze(np.array(lens, np.uint32)), squeeze(np.concatenate(codes)), None)
+            for x in (ids, lens, codes):
+                x.clear()
+            return _rows([row])
 
         def end() -> pa.RecordBatch:
-            known = np.array([ranks.get(k, -1) for k in index], np.int32)
-            rows = [(block, KNOWN, 0, None, known.tobytes())]
-            rows += [(block, PIECE, i, None, k.encode()) for i, k in enumerate(index) if known[i] < 0]
+            known = np.fromiter((ranks.get(k, -1) for k in index), np.int64, len(index))
+            new = [k.encode() for k, r in zip(index, known.tolist(), strict=True) if r < 0]
+            no = np.flatnonzero(known < 0)
+            of = np.fromiter((zlib.crc32(w) % buckets for w in new), np.int64, len(new))
+            rows = [(block, KNOWN, 0, None, squeeze((known + 1).astype(np.uint32)), None, None)]
+            for k in np.unique(of).tolist():
+                at = np.flatnonzero(of == k)
+                own = [new[i] for i in at.tolist()]
+                rows.append((block, PIECE, k, None, squeeze(no[at]), squeeze(np.array([len(w) for w in own])), zstandard.compress(b"".join(own), 1)))
             return _rows(rows)
 
         for rows in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
-            out = []
             for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 p = find(t) if t else []
-                if index and (size > BLOCK_CHARS or len(index) + len(p) > BLOCK_PIECES and len(index) + len(set(p) - index.keys()) > BLOCK_PIECES):
-                    yield _rows(out)
+                ids.append(i)
+                lens.append(len(p))
+                codes.append(np.fromiter(map(index.__getitem__, p), np.uint32, len(p)))
+                size, chars = size + len(t or ""), chars + len(t or "")
+                if chars > ROW_CHARS:
+                    yield texts()
+                    chars = 0
+                if size > BLOCK_CHARS:
+                    if ids:
+                        yield texts()
                     yield end()
-                    out, block, index, size = [], block + 1, _Index(), 0
-                got = np.fromiter(map(index.__getitem__, p), np.int64, len(p))
-                wide = len(index) > BLOCK_PIECES  # only a text that has more pieces by itself
-                out.append((block, TEXT, int(wide), i, got.astype("<u4" if wide else "<u2").tobytes()))
-                size += len(t or "")
-            yield _rows(out)
+                    block, index, size, chars = block + 1, _Index(), 0, 0
+        if ids:
+            yield texts()
         if index:
             yield end()
         index.clear()
@@ -249,34 +281,39 @@ def _is_text(b: bytes) -> bool:
     return True
 
 
+def _split(flat: bytes, lens: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lens).tolist()
+    return [flat[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)]
+
+
 def _encode_pieces(raw):
-    """Rows of unknown pieces, equal ones together, with their tokens in place of their bytes; each distinct piece is encoded once."""
+    """Rows of unknown pieces, those of a bucket together, with tokens in place of bytes; each distinct piece is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(load_ranks(raw.value))
-        held, words, size, last = [], [], 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            toks, counts = replay.encode(words)
-            ends = np.cumsum(counts)
-            data = [toks[e - c : e].astype("<u4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-            for blocks, nos, at in held:
-                yield pa.RecordBatch.from_arrays([blocks, pa.array([PIECE] * len(nos), pa.int8()), nos, pa.nulls(len(nos), pa.int64()), pa.array([data[i] for i in at], pa.binary())], names=[n for n, _ in _FIELDS])
-
-        for batch in (b.slice(k, 10_000) for b in batches for k in range(0, b.num_rows, 10_000)):
-            at = []
-            for w in batch.column(2).to_pylist():
-                if w != last:
-                    words.append(w)
-                    size, last = size + len(w), w
-                at.append(len(words) - 1)
-            held.append((batch.column(0), batch.column(1), at))
-            if size > REPLAY_BYTES or len(held) > 100:
-                yield from flush()
-                held, words, size, last = [], [], 0, None
+        replay, now, held, index, size = MergeReplay(load_ranks(raw.value)), None, [], {}, 0
+
+        def flush() -> pa.RecordBatch:
+            toks, counts = replay.encode(list(index))
+            first, rows = np.cumsum(counts) - counts, []
+            for block, no, numbers, at in held:
+                c = counts[at]
+                e = np.cumsum(c)
+                own = toks[np.arange(int(e[-1])) + np.repeat(first[at] - (e - c), c)]
+                rows.append((block, PIECE, no, None, numbers, squeeze(c), squeeze(own)))
+            return _rows(rows)
+
+        for batch in batches:
+            for block, no, numbers, lens, flat in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and (no != now or size > REPLAY_BYTES):
+                    yield flush()
+                    held, index, size = [], {}, 0
+                flat, now = zstandard.decompress(flat), no
+                words, size = _split(flat, expand(lens)), size + len(flat)
+                at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+                held.append((block, no, numbers, at))
         if held:
-            yield from flush()
-        held, words = [], []
+            yield flush()
+        index.clear()
         release_memory()
 
     return run
@@ -286,49 +323,47 @@ def _put_together(raw, decode: bool):
     """Rows of a block in order of their kind: its tokens, then its texts, which come out as ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, now, known, pieces, joined = None, None, None, [], None
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            ids, counts, out, plain = [], [], [], []
-            for block, kind, no, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        names = ["id", "n_tokens", "ids", "decoded"][: 3 + decode]
+        decoder = Decoder(load_ranks(raw.value)) if decode else None
+        now, known, pieces, joined = None, None, [], None
+        for batch in batches:
+            for block, kind, _, ids, one, two, three in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    now, known, pieces, joined = block, None, [], None
+                    now, known, pieces, joined = block, np.zeros(0, np.int64), [], None
                 if kind == KNOWN:
-                    known = np.frombuffer(data, np.int32)
+                    known = expand(one).astype(np.int64) - 1
                 elif kind == PIECE:
-                    pieces.append((no, np.frombuffer(data, "<u4")))
+                    pieces.append((expand(one), expand(two), expand(three)))
                 else:
-                    if joined is None:
-                        joined = _joined(known, pieces)
+                    joined = joined or _joined(known, pieces)
                     toks, first, lens = joined
-                    d = np.frombuffer(data, "<u4" if no else "<u2").astype(np.int64)
+                    d, of = expand(two), expand(one).astype(np.int64)
                     c = lens[d]
                     e = np.cumsum(c)
-                    x = toks[np.arange(int(e[-1]) if len(e) else 0) + np.repeat(first[d] - (e - c), c)]
-                    ids.append(i)
-                    counts.append(len(x))
-                    out.append(x.astype("<u4").tobytes())
+                    all_ids = toks[np.arange(int(e[-1]) if len(e) else 0) + np.repeat(first[d] - (e - c), c)]
+                    ends = np.concatenate([[0], e])[np.cumsum(of)]
+                    counts = np.diff(ends, prepend=0)
+                    cols = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(_split(all_ids.astype("<u4").tobytes(), counts * 4), pa.binary())]
                     if decode:
-                        replay = replay or Decoder(load_ranks(raw.value))
-                        plain.append(replay.decode(np.frombuffer(out[-1], "<u4").astype(np.int64)))
-            cols = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.array(plain, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols[: 3 + decode], names=["id", "n_tokens", "ids", "decoded"][: 3 + decode])
+                        sizes = np.concatenate([[0], np.cumsum(decoder.lens[all_ids])])[ends]
+                        cols.append(pa.array(_split(decoder.decode(all_ids), np.diff(sizes, prepend=0)), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
         release_memory()
 
     return run
 
 
-def _joined(known: np.ndarray | None, pieces: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(known: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens of a block's pieces, and each piece's first token and number of tokens."""
-    if known is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     lens = np.ones(len(known), np.int64)
-    nos = np.array([n for n, _ in pieces], np.int64)
-    lens[nos] = [len(t) for _, t in pieces]
+    for no, counts, _ in pieces:
+        lens[no] = counts
     first = np.cumsum(lens) - lens
     toks = np.zeros(int(lens.sum()), np.int64)
     toks[first[known >= 0]] = known[known >= 0]
-    for n, t in pieces:
-        toks[first[n] : first[n] + len(t)] = t
+    for no, counts, own in pieces:
+        c = counts.astype(np.int64)
+        toks[np.arange(len(own)) + np.repeat(first[no] - (np.cumsum(c) - c), c)] = own
     return toks, first, lens
 
 
@@ -342,13 +377,14 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     with open(rank_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cut = stage(d.mapInArrow(_cut(raw, pattern), _SCHEMA), "pieces")
-    n = {r["kind"]: r["n"] for r in cut.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    spark, own = d.sparkSession, F.col("kind") == PIECE
+    spark = d.sparkSession
+    buckets = tasks(spark, d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"], BUCKET_MOST, BUCKET_LEAST)
+    cut = stage(d.mapInArrow(_cut(raw, pattern, buckets), _SCHEMA), "pieces")
+    own = F.col("kind") == PIECE
     # explicit numbers of tasks, since few bytes mean much work here
-    pieces = cut.where(own).select("block", "no", "data").repartition(tasks(spark, n.get(PIECE), 2_000_000, 50_000), "data").sortWithinPartitions("data")
+    pieces = cut.where(own).select("block", "no", "one", "two", "three").repartition(buckets, "no").sortWithinPartitions("no", "block")
     known = cut.where(~own).unionByName(pieces.mapInArrow(_encode_pieces(raw), _SCHEMA))
-    blocks = known.repartition(tasks(spark, n.get(KNOWN), 8, 1), "block").sortWithinPartitions("block", "kind")
+    blocks = known.repartition(tasks(spark, cut.where(F.col("kind") == KNOWN).count(), 4, 1), "block").sortWithinPartitions("block", "kind")
     schema = "id long, n_tokens long, ids binary" + ", decoded binary" * decode
     return blocks.mapInArrow(_put_together(raw, decode), schema).withColumnRenamed("id", id_col)
 
