@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions import chi2_sf_2, norm_cdf
+from panelcast.functions import chi2_sf_2, norm_sf
 from panelcast.operators import forecast as fc
+from panelcast.operators import grid
 
 
 def _r() -> Column:
@@ -70,7 +71,7 @@ def dm_test(d: DataFrame, by: list[str]) -> DataFrame:
     """Diebold-Mariano statistic mean / sqrt(var / N) and its upper tail; null when the difference never varies. Small p favours b."""
     g = d.groupBy(*by).agg(F.avg("d").alias("_m"), F.var_pop("d").alias("_v"), F.count("*").alias("n"))
     stat = F.when(F.col("_v") > 0, F.col("_m") / F.sqrt(F.col("_v") / F.col("n")))
-    return g.withColumn("stat", stat).withColumn("p_value", 1 - norm_cdf("stat")).drop("_m", "_v")
+    return g.withColumn("stat", stat).withColumn("p_value", norm_sf("stat")).drop("_m", "_v")
 
 
 def daily_losses(d: DataFrame, by: list[str], day: str = "day") -> DataFrame:
@@ -95,7 +96,7 @@ def gw_unconditional(d: DataFrame, by: list[str]) -> DataFrame:
     """(sum d)^2 / sum d^2, signed; chi-square with one degree of freedom."""
     g = d.groupBy(*by).agg(F.sum("d").alias("_s"), F.sum(F.col("d") * F.col("d")).alias("_q"))
     g = g.withColumn("stat", F.try_divide(F.col("_s") * F.col("_s"), F.col("_q")) * F.signum("_s"))
-    return g.withColumn("p_value", F.when(F.col("stat") >= 0, 2 * (1 - norm_cdf(F.sqrt("stat")))).when(F.col("stat").isNotNull(), F.lit(1.0))).drop("_s", "_q")
+    return g.withColumn("p_value", F.when(F.col("stat") >= 0, 2 * norm_sf(F.sqrt("stat"))).when(F.col("stat").isNotNull(), F.lit(1.0))).drop("_s", "_q")
 
 
 def compare(d: DataFrame, by: list[str], day: str = "day", least: int = 24) -> DataFrame:
@@ -108,6 +109,30 @@ def compare(d: DataFrame, by: list[str], day: str = "day", least: int = 24) -> D
     return j.withColumn("reason", why).withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("dm_stat", "dm_p", "gw_stat", "gw_p")}).drop("_top")
 
 
+def pairwise_matrix(tests: DataFrame, keys: list[str], members: list[str], p: str = "p_value") -> DataFrame:
+    """One row for each member a and one column for each member b: the p value of the test of (a, b), 1 on the diagonal, null where it is missing."""
+    m = F.explode(F.array(*[F.lit(x) for x in members]))
+    own = tests.select(*keys).distinct().withColumn("a", m).select(*keys, "a", F.col("a").alias("b"), F.lit(1.0).alias(p))
+    return tests.where("a <> b").select(*keys, "a", "b", p).unionByName(own).groupBy(*keys, "a").pivot("b", members).agg(F.first(p))
+
+
+def real_prices(df: DataFrame, keys: list[str], days: DataFrame, ts: str = "ts", value: str = "value", slots: int = 24) -> DataFrame:
+    """(keys, day, slots): the actual values of the days asked for, as arrays by hour; missing hours are null."""
+    return grid.day_matrix(df, keys, ts, value, slots).join(days.select("day").distinct(), "day", "left_semi")
+
+
+def model_vs_model(a: DataFrame, b: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """MAE of two prediction tables on the observed hours that both have, by ``keys`` (of ``on``)."""
+    x = a.where(_r().isNotNull() & _p().isNotNull()).select(*on, "observed", F.col("forecast").alias("_fa"))
+    j = x.join(b.where(_p().isNotNull()).select(*on, F.col("forecast").alias("_fb")), on)
+    return j.groupBy(*keys).agg(F.count("*").alias("hours"), F.avg(F.abs(_r() - F.col("_fa"))).alias("mae_a"), F.avg(F.abs(_r() - F.col("_fb"))).alias("mae_b"))
+
+
+def hours_scored(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hours with and without an observation, and the MAE of the former."""
+    return df.where(_p().isNotNull()).groupBy(*keys).agg(F.count("observed").alias("hours_scored"), (F.count("*") - F.count("observed")).alias("hours_unobserved"), mae().alias("mae"))
+
+
 def running_metrics(df: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
     """MAE and sMAPE of all hours up to each day."""
     e = F.abs(_r() - _p())

@@ -33,15 +33,20 @@ def top_bottom_pairs(pairs: DataFrame, n: int = 5) -> DataFrame:
 
 def period_summary(df: DataFrame, periods: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Mean, median, deviation and number of negatives for each of some overlapping periods (period, start, end)."""
-    j = df.join(F.broadcast(periods), (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
+    j = df.join(periods, (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
     return j.groupBy(*keys, "period").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.sum((F.col(value) < 0).cast("int")).alias("negatives"))
 
 
 def average_week(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Mean of each hour of the week, 0 on Monday midnight."""
+    """Mean of each hour of the week, 0 on Monday midnight; ``complete_week`` tells keys that lack some of the 168."""
     return df.groupBy(*keys, (F.weekday(ts) * 24 + F.hour(ts)).alias("hour_of_week")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+def complete_week(week: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose average week lacks an hour, and how many."""
+    return week.groupBy(*keys).agg((168 - F.count("mean")).alias("lacking")).where("lacking > 0")
+
+
 def shared_histogram(df: DataFrame, period: Column, bins: int = 60, value: str = "value") -> DataFrame:
     """Densities by period over common bins of the union."""
     d = df.where(F.col(value).isNotNull()).withColumn("period", period)
@@ -64,6 +69,24 @@ def stabilisation_report(df: DataFrame, keys: list[str], ts: str = "ts", value:
     return g.select(*keys, "n", skew.alias("skew"), kurt.alias("kurtosis"), ((F.col("_hi") - F.col("_lo")) / F.col("_sd")).alias("rolling_range"))
 
 
+def stabilisation_comparison(df: DataFrame, keys: list[str], raw: str, transformed: str, ts: str = "ts", rows: int = 168) -> DataFrame:
+    """``stabilisation_report`` of a raw and a transformed column side by side (suffix ``_t``)."""
+    a, b = (stabilisation_report(df, keys, ts, c, rows) for c in (raw, transformed))
+    return a.join(b.select(*keys, *[F.col(c).alias(f"{c}_t") for c in ("skew", "kurtosis", "rolling_range")]), keys)
+
+
+def capacity_long(rows: DataFrame, dim: DataFrame, names: dict[str, str], expected: DataFrame, zone: str = "zone", psr: str = "psr_type") -> tuple[DataFrame, DataFrame]:
+    """Installed capacities with area and type names, and the expected (zone, year) that nothing was published for.
+
+    ``rows`` has zone, year, psr_type, value and unit; rows without a value are left out.
+    Unknown types keep their code.
+    """
+    r = rows.where("value IS NOT NULL").join(dim.select(zone, F.col("name").alias("area_name"), "eic"), zone)
+    code = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(psr))
+    long = r.select(zone, "area_name", "eic", "year", psr, F.coalesce(code, F.col(psr)).alias("production_type"), "value", "unit")
+    return long, expected.select(zone, "year").join(rows.select(zone, "year").distinct(), [zone, "year"], "left_anti")
+
+
 def capacity_wide(df: DataFrame, keys: list[str], kind: str, kinds: list[str], value: str) -> DataFrame:
     """One column for each kind in the order given, absent kinds 0, and their total."""
     p = df.groupBy(*keys).pivot(kind, kinds).sum(value).na.fill(0, kinds)

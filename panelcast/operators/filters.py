@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Production type codes of the public transparency platform and their names.
@@ -29,6 +29,24 @@ PSR_NAMES = {
     "B18": "Wind Offshore",
     "B19": "Wind Onshore",
     "B20": "Other",
+    "B21": "AC Link",
+    "B22": "DC Link",
+    "B23": "Substation",
+    "B24": "Transformer",
+    "B25": "Energy storage",
+}
+#: Columns of the named layouts, each (name, variable, production types or none); price first.
+_PRICE, _LOAD, _HYDRO = ("price", "price", ()), ("load", "load_forecast", ()), ("hydro", "reservoir", ())
+_WIND = ("wind", "generation_forecast", ("wind_onshore", "wind_offshore"))
+_SOLAR = ("solar", "generation_forecast", ("solar",))
+_BOTH = ("windsolar", "generation_forecast", ("wind_onshore", "wind_offshore", "solar"))
+LAYOUTS = {
+    "load-windsolar": [_PRICE, _LOAD, _BOTH],
+    "load-wind-solar": [_PRICE, _LOAD, _WIND, _SOLAR],
+    "load-wind": [_PRICE, _LOAD, _WIND],
+    "load-windsolar-hydro": [_PRICE, _LOAD, _BOTH, _HYDRO],
+    "load-wind-hydro": [_PRICE, _LOAD, _WIND, _HYDRO],
+    "load-wind-solar-hydro": [_PRICE, _LOAD, _WIND, _SOLAR, _HYDRO],
 }
 
 
@@ -116,7 +134,7 @@ def unit_label(unit: Column) -> Column:
 
 
 def with_unit(df: DataFrame, keys: list[str], currency: str, measure: str) -> DataFrame:
-    """Adds ``unit`` for each key: currency/measure of the first row that has them, or the measure alone."""
+    """Adds ``unit`` for each key: its least currency/measure (a key has one), or the measure alone."""
     u = df.groupBy(*keys).agg(F.min(currency).alias("_c"), F.min(measure).alias("_m"))
     return df.join(u.select(*keys, F.concat_ws("/", "_c", unit_label(F.col("_m"))).alias("unit")), keys)
 
@@ -132,6 +150,22 @@ def project_layout(df: DataFrame, layout: dict[str, tuple[str, tuple[str, ...]]]
     return df.groupBy(*by).agg(*cols)
 
 
+def named_layout(df: DataFrame, layout: str, by: list[str], zone: str = "zone", variable: str = "variable", psr: str = "psr_type", value: str = "value") -> DataFrame:
+    """The columns of a named layout for all zones in one pass, by ``by`` (zone and stamp).
+
+    A column of several production types is null where one that the zone has is missing
+    at the stamp; types that the zone never has do not count.
+    """
+    cols, own = [], []
+    for name, var, codes in LAYOUTS[layout]:
+        cond = (F.col(variable) == var) & (F.col(psr).isin(*codes) if codes else F.lit(True))
+        part = F.coalesce(F.col(psr), F.lit("")) if codes else F.lit("")
+        cols += [F.sum(F.when(cond, F.col(value))).alias(f"_s_{name}"), F.count_distinct(F.when(cond & F.col(value).isNotNull(), part)).alias(f"_c_{name}")]
+        own.append(F.count_distinct(F.when(cond, part)).alias(f"_n_{name}"))
+    g = df.groupBy(*by).agg(*cols).join(df.groupBy(zone).agg(*own), zone)
+    return g.select(*by, *[F.when(F.col(f"_c_{n}") >= F.greatest(F.col(f"_n_{n}"), F.lit(1)), F.col(f"_s_{n}")).alias(n) for n, *_ in LAYOUTS[layout]])
+
+
 def component_sum(df: DataFrame, keys: list[str], component: str, value: str = "value") -> DataFrame:
     """Sum of all components that the keys (but the last, the stamp) have; null where one is missing."""
     n = df.groupBy(*keys[:-1]).agg(F.count_distinct(component).alias("_n"))
@@ -140,15 +174,16 @@ def component_sum(df: DataFrame, keys: list[str], component: str, value: str = "
 
 
 def missing_components(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``wanted`` (zone, variable, psr_type, ...) that the panel has nothing of."""
+    """Rows of ``wanted`` (zone, variable, psr_type, ...) that the panel has nothing of; ``zones_without`` tells zones without any series."""
     return wanted.join(df.select(wanted.columns).distinct(), wanted.columns, "left_anti")
 
 
+def zones_without(df: DataFrame, wanted: DataFrame, zone: str = "zone") -> DataFrame:
+    """Zones of ``wanted`` of which the panel has no row at all."""
+    return wanted.select(zone).distinct().join(df.select(zone).distinct(), zone, "left_anti")
+
+
 def panel_zones(df: DataFrame, variable: str, zone: str = "zone", col: str = "variable") -> DataFrame:
     """Every zone and whether it has the variable."""
     return df.groupBy(zone).agg(F.bool_or(F.col(col) == variable).alias("has_variable"))
 
-
-def last_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in this order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,62 +56,120 @@ def no_overlap(search_end: Column, test_begin: Column) -> Column:
     return search_end < test_begin
 
 
-def lars_path(gram: np.ndarray, xy: np.ndarray, most: int = 2500) -> list[np.ndarray]:
-    """Weights at every knot of the LASSO path, from X'X and X'y of centred columns."""
+def search_window(df: DataFrame, test_begin: str, years: int, ts: str = "ts") -> DataFrame:
+    """(begin, end, first, days, disjoint): the search's validation range is the ``364 * years`` days before the test range; ``first`` is the panel's first day and ``days`` what is left to train on."""
+    b = F.lit(test_begin).cast("date")
+    g = df.agg(F.min(F.to_date(ts)).alias("first")).withColumns({"begin": F.date_sub(b, 364 * years), "end": F.date_sub(b, 1)})
+    return g.select("begin", "end", "first", F.datediff("begin", "first").alias("days"), no_overlap(F.col("end"), b).alias("disjoint"))
+
+
+class _Active:
+    """The active columns of a LASSO path and the inverse of their part of the Gram matrix, which is updated as columns come and go."""
+
+    def __init__(self, gram: np.ndarray):
+        self.gram, self.at, self.changes = gram, [], 0
+        self.inv = np.empty_like(gram)
+        self.slack = 1e-12 * max(float(gram.diagonal().max()), 1e-300) if len(gram) else 0.0
+
+    def inverse(self) -> np.ndarray:
+        return self.inv[: len(self.at), : len(self.at)]
+
+    def add(self, j: int) -> bool:
+        """False if the column is a combination of the active ones."""
+        k, inv = len(self.at), self.inverse()
+        g = self.gram[self.at, j]
+        u = inv @ g
+        s = float(self.gram[j, j]) + self.slack - float(g @ u)
+        if s <= 1e-10 * float(self.gram[j, j]) + 2 * self.slack:
+            return False
+        inv += np.outer(u, u / s)
+        self.inv[:k, k] = self.inv[k, :k] = -u / s
+        self.inv[k, k] = 1 / s
+        self.at.append(j)
+        self._refresh()
+        return True
+
+    def drop(self, i: int) -> int:
+        inv, k = self.inverse(), len(self.at)
+        col = inv[:, i].copy()
+        keep = np.delete(np.arange(k), i)
+        self.inv[: k - 1, : k - 1] = (inv - np.outer(col, col / col[i]))[np.ix_(keep, keep)]
+        j = self.at.pop(i)
+        self._refresh()
+        return j
+
+    def _refresh(self) -> None:
+        self.changes += 1
+        if self.changes % 64 == 0:  # against drift
+            k = len(self.at)
+            self.inv[:k, :k] = np.linalg.inv(self.gram[np.ix_(self.at, self.at)] + self.slack * np.eye(k))
+
+
+def lars_path(gram: np.ndarray, xy: np.ndarray, most: int = 2500) -> np.ndarray:
+    """Weights at every knot of the LASSO path, one row each, from X'X and X'y of centred columns."""
     p = len(xy)
-    w, c, active, path, banned = np.zeros(p), xy.astype(float).copy(), [], [np.zeros(p)], -1
+    w, c, path, banned = np.zeros(p), xy.astype(float).copy(), [np.zeros(p)], False
+    active, free = _Active(gram), np.ones(p, bool)
     top = np.abs(c).max() if p else 0.0
     eps = 1e-10 * max(top, 1e-300)
     for _ in range(most):
-        cmax = np.abs(c[active]).max() if active else top
+        cmax = np.abs(c[active.at]).max() if active.at else top
         if cmax <= eps:
             break
-        if banned < 0:
-            free = np.setdiff1d(np.arange(p), active)
-            if len(free):
-                j = free[np.argmax(np.abs(c[free]))]
-                if abs(c[j]) >= cmax * (1 - 1e-9):
-                    active.append(int(j))
-        cmax, banned = np.abs(c[active]).max(), -1
-        s = np.sign(c[active])
-        try:
-            d = np.linalg.solve(gram[np.ix_(active, active)] + 1e-12 * np.eye(len(active)) * gram.diagonal().max(), s)
-        except np.linalg.LinAlgError:
+        if not banned and free.any():
+            j = int(np.argmax(np.where(free, np.abs(c), -1.0)))
+            if abs(c[j]) >= cmax * (1 - 1e-9):
+                free[j] = False
+                if not active.add(j):
+                    continue
+        if not active.at:
             break
-        a = gram[:, active] @ d
-        step = cmax
-        rest = np.setdiff1d(np.arange(p), active)
-        for q in ((cmax - c[rest]) / np.where(np.abs(1 - a[rest]) < 1e-12, np.inf, 1 - a[rest]), (cmax + c[rest]) / np.where(np.abs(1 + a[rest]) < 1e-12, np.inf, 1 + a[rest])):
-            q = q[q > 1e-12 * cmax]
+        at, banned = active.at, False
+        cmax = np.abs(c[at]).max()
+        d = np.zeros(p)
+        d[at] = active.inverse() @ np.sign(c[at])
+        a, step = gram @ d, cmax
+        if free.any():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                q = np.concatenate([((cmax - c) / (1 - a))[free], ((cmax + c) / (1 + a))[free]])
+            q = q[np.isfinite(q) & (q > 1e-12 * cmax)]
             if len(q):
                 step = min(step, q.min())
-        cross = -w[active] / np.where(d == 0, np.inf, d)
-        hit = np.flatnonzero((cross > 1e-14) & (cross < step))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = -w[at] / d[at]
+        hit = np.flatnonzero(np.isfinite(cross) & (cross > 1e-14) & (cross < step))
         if len(hit):
-            banned = int(hit[np.argmin(cross[hit])])
-            step = cross[banned]
-        w[active] += step * d
+            banned, i = True, int(hit[np.argmin(cross[hit])])
+            step = cross[i]
+        w = w + step * d
         c = c - step * a
-        if banned >= 0:
-            w[active.pop(banned)] = 0.0
-        path.append(w.copy())
+        if banned:
+            j = active.drop(i)
+            w[j], free[j] = 0.0, True
+        path.append(w)
         if step >= cmax * (1 - 1e-12):
             break
-    return path
+    return np.stack(path)
 
 
-def lasso_by_aic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept at the knot of least n log(2 pi s2) + RSS / s2 + 2 df, with s2 the variance of y."""
-    mx, my = x.mean(0), y.mean()
-    xc, yc = x - mx, y - my
-    s2 = float(yc @ yc) / len(y)
-    if s2 <= 0:
-        return np.zeros(x.shape[1]), float(my)
-    g, xy, yy = xc.T @ xc, xc.T @ yc, float(yc @ yc)
-    path = lars_path(g, xy)
-    aic = [(yy - 2 * w @ xy + w @ g @ w) / s2 + 2 * (np.abs(w) > 1e-12).sum() for w in path]
-    w = path[int(np.argmin(aic))]
-    return w, float(my - mx @ w)
+def lasso_by_aic(x: np.ndarray, ys: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """For each column y of ``ys`` weights and intercept at the knot of least n log(2 pi s2) + RSS / s2 + 2 df, with s2 the variance of y; X'X is shared."""
+    mx = x.mean(0)
+    xc = x - mx
+    g, out = xc.T @ xc, []
+    for y in ys.T:
+        my = y.mean()
+        yc = y - my
+        s2 = float(yc @ yc) / len(y)
+        if s2 <= 0:
+            out.append((np.zeros(x.shape[1]), float(my)))
+            continue
+        xy = xc.T @ yc
+        path = lars_path(g, xy)
+        rss = float(yc @ yc) - 2 * path @ xy + ((path @ g) * path).sum(1)
+        w = path[int(np.argmin(rss / s2 + 2 * (np.abs(path) > 1e-12).sum(1)))]
+        out.append((w, float(my - mx @ w)))
+    return out
 
 
 def _invariant(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,24 +178,36 @@ def _invariant(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return med, np.where(mad == 0, 1.0, mad)
 
 
-def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int], begin: str, end: str, block: int = 14, dummies: int = 7, longest_lag: int = 7, cadence: int = 1) -> DataFrame:
+def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int], begin: str | None = None, end: str | None = None, block: int = 14, dummies: int = 7, longest_lag: int = 7, cadence: int = 1, every: int = 1) -> DataFrame:
     """(keys, window, day, slot, forecast) of each test day from a fit on the days of the calibration window before it.
 
     ``features`` has one row for each key and day: features (the last ``dummies`` are
-    not scaled) and target arrays. With a ``cadence`` (a divisor of ``block``) one fit
-    serves that many days, on a grid that starts with ``begin``; features stay those
-    of each day. A group is one key, window and block of ``block``
-    test days; it gets the rows of its windows once and slides inside the task, so
-    rows are copied about window / block times, not window times, and a group is as
-    large as one window whatever the panel's length.
+    not scaled) and target arrays. Test days run from ``begin`` to ``end``, each
+    ``every``-th; by default from the first day that all windows fit before to the
+    panel's last (one pass over the days). With a ``cadence`` (a divisor of a block's
+    span) one fit serves that many days, on a grid that starts with ``begin``; features
+    stay those of each day. A group is one key, window and block of about ``block`` days
+    from its first to its last test day; it gets the rows of its windows once and slides
+    inside the task, so rows are copied about window / block times, not window times, and
+    a group is as large as one window whatever the panel's length.
     """
-    if block % cadence:
+    per = max(1, block // every)
+    span = per * every
+    if span % cadence:
         raise ValueError("the cadence must divide the block")
+    if begin is None or end is None:
+        seen = features.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+        if seen["a"] is not None:
+            begin = begin or str(seen["a"] + timedelta(days=max(windows) - longest_lag))
+            end = end or str(seen["b"])
+        else:
+            begin = end = "1970-01-01"
     first, last = F.lit(begin).cast("date"), F.lit(end).cast("date")
     w = F.explode(F.array(*[F.lit(x) for x in windows])).alias("window")
     r = features.select(*keys, "day", "features", "target", w)
-    lo = F.greatest(F.lit(0), F.floor(F.datediff("day", first) / block))
-    hi = F.least(F.floor(F.datediff(last, first) / block), F.floor((F.datediff("day", first) + F.col("window")) / block))
+    at = F.datediff("day", first)
+    lo = F.greatest(F.lit(0), F.floor(F.ceil(at / every) / per))
+    hi = F.least(F.floor(F.datediff(last, first) / span), F.floor((at + F.col("window")) / span))
     r = r.where((F.col("day") <= last) & (hi >= lo)).withColumn("block", F.explode(F.sequence(lo, hi)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,10 +215,11 @@ def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int],
         days = pd.to_datetime(pdf["day"]).to_numpy().astype("datetime64[D]")
         x, y = np.stack(pdf["features"].to_numpy()), np.stack(pdf["target"].to_numpy())
         window, b = int(pdf["window"].iloc[0]), int(pdf["block"].iloc[0])
-        start = np.datetime64(begin) + b * block
+        start = np.datetime64(begin) + b * span
         cont, out = x.shape[1] - dummies, []
         fits: dict = {}
-        for day in days[(days >= start) & (days < start + block) & (days <= np.datetime64(end))]:
+        test = (days >= start) & (days < start + span) & (days <= np.datetime64(end)) & ((days - start).astype(int) % every == 0)
+        for day in days[test]:
             refit = start + int((day - start).astype(int)) // cadence * cadence
             if refit not in fits:
                 at = (days < refit) & (days >= refit - window + longest_lag)
@@ -155,8 +228,7 @@ def walk_forward_lasso(features: DataFrame, keys: list[str], windows: list[int],
                     continue
                 (mx, sx), (my, sy) = _invariant(x[at][:, :cont]), _invariant(y[at])
                 scaled = np.concatenate([np.arcsinh((x[at][:, :cont] - mx) / sx), x[at][:, cont:]], 1)
-                ys = np.arcsinh((y[at] - my) / sy)
-                fits[refit] = (mx, sx, my, sy, [lasso_by_aic(scaled, ys[:, h]) for h in range(y.shape[1])])
+                fits[refit] = (mx, sx, my, sy, lasso_by_aic(scaled, np.arcsinh((y[at] - my) / sy)))
             if fits[refit] is None:
                 continue
             mx, sx, my, sy, models = fits[refit]

@@ -21,12 +21,21 @@ def seconds(ts: Column) -> Column:
 
 
 def collapse_to_hour(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", expected: Column | None = None) -> DataFrame:
-    """Mean, number of slots, expected slots and whether slots are missing, for each key and hour."""
+    """Mean, number of slots, expected slots and whether slots are missing, for each key and hour.
+
+    Resolutions coarser than an hour do not belong here; ``coarse_rows`` lists them.
+    """
     expected = F.lit(1) if expected is None else expected
     g = df.groupBy(*keys, hour_of(F.col(ts)).alias("hour")).agg(F.avg(value).alias("value"), F.count(value).alias("slots"), F.max(expected).alias("expected_slots"))
     return g.withColumn("partial", F.col("slots") < F.col("expected_slots"))
 
 
+def coarse_rows(df: DataFrame, keys: list[str], resolution: str = "resolution") -> DataFrame:
+    """Keys that hold a resolution coarser than an hour, with the number of such rows."""
+    fine = F.col(resolution).isin("PT15M", "PT30M", "PT60M", "PT1H")
+    return df.where(~fine).groupBy(*keys, resolution).agg(F.count("*").alias("rows"))
+
+
 def resolution_precedence(df: DataFrame, keys: list[str], order: list[str], resolution: str = "resolution") -> DataFrame:
     """One row a key: the resolution that comes first in ``order`` wins. A minimum, so it combines before the shuffle."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(resolution)), F.lit(0))
@@ -122,6 +131,18 @@ def day_matrix(df: DataFrame, keys: list[str], ts: str, value: str = "value", sl
     return g.select(*keys, "day", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda h: F.try_element_at("_m", h)).alias("slots"))
 
 
+def dst_report(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """Of each key's local days those with 23 and with 25 hours (spring, autumn), and whether they equal those of all other keys.
+
+    ``ts`` is a naive local stamp in which the repeated hour stands twice.
+    """
+    days = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.count_distinct(ts).alias("k"))
+    pick = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("day"))))
+    g = days.groupBy(*keys).agg(pick((F.col("n") == 23) & (F.col("k") == 23)).alias("spring"), pick((F.col("n") == 25) & (F.col("k") == 24)).alias("autumn"))
+    both = g.agg(F.count_distinct(F.to_json(F.struct("spring", "autumn"))).alias("_k"))
+    return g.crossJoin(both).withColumn("equal", F.col("_k") == 1).drop("_k")
+
+
 def flatten_day_matrix(df: DataFrame, keys: list[str], slots: str = "slots") -> DataFrame:
     d = df.select(*keys, "day", F.posexplode(slots).alias("slot", "value"))
     return d.select(*keys, (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("slot"))).alias("ts"), "value")
@@ -135,11 +156,23 @@ def step_hold(grid: DataFrame, levels: DataFrame, keys: list[str], ts: str, leve
     return u.withColumn("level", F.last("_l", True).over(w)).where("_g = 1").select(*keys, ts, "level")
 
 
+def leading_nulls(held: DataFrame, keys: list[str], ts: str, level: str = "level") -> DataFrame:
+    """Keys whose grid starts before their first level: how many stamps lack one."""
+    return held.where(F.col(level).isNull()).groupBy(*keys).agg(F.count("*").alias("stamps"), F.max(ts).alias("last"))
+
+
 def snap_weekly(ts: Column, tz: str) -> Column:
     """UTC stamp of the nearest local midnight."""
     return to_utc(F.date_trunc("day", to_local(ts, tz) + F.expr("interval 12 hours")).cast("timestamp_ntz"), tz)
 
 
+def snap_levels(df: DataFrame, keys: list[str], tz: str, ts: str = "ts", value: str = "value", seq: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Weekly levels at the nearest local midnight, the first of each by ``seq`` (or value); and stamps that snap to another day than Monday."""
+    s = df.withColumn("_s", snap_weekly(F.col(ts), tz))
+    one = s.groupBy(*keys, F.col("_s").alias("snapped")).agg(F.min_by(value, F.struct(seq or value, value)).alias(value))
+    return one, s.where(F.weekday(to_local(F.col("_s"), tz)) != 0).select(*keys, ts, F.col("_s").alias("snapped"))
+
+
 def dst_calendar(spark, first: int, last: int) -> DataFrame:
     """EU clock changes: the last Sundays of March and October."""
     y = spark.range(first, last + 1).withColumnRenamed("id", "year")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import numpy as np
@@ -17,12 +18,20 @@ def hour_index(ts: Column) -> Column:
 
 
 def weekly_lag_fill(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", period: int = 168) -> DataFrame:
-    """A missing hour takes the latest earlier value a whole number of periods before it: the recursion t - 168 h in closed form."""
+    """A missing hour takes the latest earlier value a whole number of periods before it: the recursion t - 168 h in closed form.
+
+    Hours with no such value stay null; ``unfilled`` lists them.
+    """
     w = Window.partitionBy(*keys, "_slot").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("_slot", hour_index(F.col(ts)) % period).withColumn("filled", F.last(value, True).over(w))
     return d.withColumn("imputed", F.col(value).isNull() & F.col("filled").isNotNull()).withColumn("imputation_method", F.when(F.col("imputed"), "weekly_lag")).drop("_slot")
 
 
+def unfilled(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "filled") -> DataFrame:
+    """Keys with values that no rule could fill: their number and the first stamp."""
+    return df.where(F.col(value).isNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(ts).alias("first"))
+
+
 def ffill_short(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", most: int = 3) -> DataFrame:
     """Forward fill of runs of nulls that close within ``most`` rows; others stay null."""
     w = Window.partitionBy(*keys).orderBy(ts)
@@ -42,11 +51,32 @@ def fill_by_shift(df: DataFrame, keys: list[str], step: int, passes: int, ts: st
 
 
 def expanding_hour_median(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Nulls take the median of all earlier values at their hour of day, joined by the hour."""
+    """Nulls take the median of all earlier values at their hour of day.
+
+    Only hours of keys that have a gap are sent to a task, which passes over them once
+    in order with a sorted list: one value for each day of a key's history.
+    """
     d = df.withColumn("_h", F.hour(ts))
-    gaps = d.where(F.col(value).isNull()).select(*keys, "_h", F.col(ts).alias("_t"))
-    seen = d.where(F.col(value).isNotNull()).select(*keys, "_h", F.col(ts).alias("_u"), F.col(value).alias("_v"))
-    med = gaps.join(seen, [*keys, "_h"]).where("_u < _t").groupBy(*keys, F.col("_t").alias(ts)).agg(F.median("_v").alias("_m"))
+    gaps = d.where(F.col(value).isNull()).select(*keys, "_h").distinct()
+    kinds = dict(d.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts, kind="stable")
+        seen, at, out = [], [], []
+        for i, v in enumerate(pdf[value].to_numpy()):
+            if np.isnan(v):
+                n = len(seen)
+                if n:
+                    at.append(i)
+                    out.append(seen[n // 2] if n % 2 else (seen[n // 2 - 1] + seen[n // 2]) / 2)
+            else:
+                bisect.insort(seen, v)
+        got = pdf.iloc[at][[*keys, ts]].copy()
+        got["_m"] = np.array(out, float)
+        return got
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in [*keys, ts]), "_m double"])
+    med = d.join(gaps, [*keys, "_h"], "left_semi").select(*keys, "_h", ts, F.col(value).cast("double").alias(value)).groupBy(*keys, "_h").applyInPandas(run, schema)
     return d.join(med, [*keys, ts], "left").withColumn("filled", F.coalesce(value, "_m")).drop("_h", "_m")
 
 
@@ -85,45 +115,66 @@ def trim_to_first_complete_day(df: DataFrame, keys: list[str], series: str, ts:
     days = df.groupBy(*keys, F.to_date(ts).alias("_d"), series).agg((F.count(value) == slots).alias("_ok"))
     n = df.groupBy(*keys).agg(F.count_distinct(series).alias("_n"))
     first = days.groupBy(*keys, "_d").agg(F.sum(F.col("_ok").cast("int")).alias("_k")).join(n, keys).where("_k = _n").groupBy(*keys).agg(F.min("_d").alias("_first"))
-    return df.join(F.broadcast(first), keys).where(F.to_date(ts) >= F.col("_first")).drop("_first")
+    return df.join(first, keys).where(F.to_date(ts) >= F.col("_first")).drop("_first")
 
 
-def cross_series_ols_fill(df: DataFrame, series: str, ts: str = "ts", value: str = "value", least: int = 672) -> DataFrame:
-    """Each run of nulls from an intercept regression on the other series that are complete over it, fitted on all earlier complete rows.
+def cross_series_ols_fill(df: DataFrame, series: str, ts: str = "ts", value: str = "value", least: int = 672, kind: str | None = None) -> DataFrame:
+    """Each run of nulls from an intercept regression on the other series that are complete over it, fitted on all earlier rows where these are complete.
 
-    Sums of products are aggregated by Spark for each run and pair of predictors, so a
-    task solves a system as wide as the number of series, whatever the history's length.
-    Runs without predictors or with fewer than ``least`` rows stay null; values are at least 0.
+    With ``kind`` only series of the same kind predict each other. Rows are put into one
+    map by kind and stamp (series are few, stamps many); sums of products of each pair of
+    predictors are formed by day and then over the days before a run, so the history is
+    met once for each series and set of predictors, not for each run; a task solves a
+    system as wide as the number of series. Runs without predictors or with fewer than ``least`` rows stay
+    null; values are at least 0.
     """
-    w = Window.partitionBy(series).orderBy(ts)
-    d = df.select(F.col(series).alias("s"), F.col(ts).alias("t"), F.col(value).alias("v"))
-    d = d.withColumn("_new", (F.col("v").isNull() & F.coalesce(F.lag("v").over(Window.partitionBy("s").orderBy("t")).isNotNull(), F.lit(True))).cast("int"))
-    d = d.withColumn("run", F.sum("_new").over(Window.partitionBy("s").orderBy("t"))).drop("_new")
-    runs = d.where("v IS NULL").groupBy("s", "run").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n"))
-    other = d.select(F.col("s").alias("p"), F.col("t").alias("u"), F.col("v").alias("x")).where("x IS NOT NULL")
-    preds = runs.join(other, (F.col("p") != F.col("s")) & F.col("u").between(F.col("a"), F.col("b"))).groupBy("s", "run", "a", "n", "p").agg(F.count("*").alias("k")).where("k = n").select("s", "run", "a", "p")
-    q = preds.groupBy("s", "run").agg(F.count("*").alias("q"))
-    # complete history rows of each run, as one array of predictor values in name order
-    hist = preds.join(other, "p").where("u < a").groupBy("s", "run", "u").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("xs")).join(q, ["s", "run"]).where(F.size("xs") == F.col("q"))
-    y = d.where("v IS NOT NULL").select("s", F.col("t").alias("u"), F.col("v").alias("y"))
-    hist = hist.join(y, ["s", "u"]).select("s", "run", F.concat(F.array(F.lit(1.0)), F.transform("xs", lambda e: e["x"]), F.array("y")).alias("z"))
-    ij = hist.select("s", "run", F.posexplode("z").alias("i", "zi"), "z").select("s", "run", "i", "zi", F.posexplode("z").alias("j", "zj")).where("i <= j")
-    sums = ij.groupBy("s", "run", "i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("g"))
+    k = F.lit("") if kind is None else F.col(kind)
+    d = df.select(F.col(series).alias("s"), k.alias("k"), F.col(ts).alias("t"), F.col(value).alias("v"))
+    w = Window.partitionBy("s").orderBy("t")
+    new = F.col("v").isNull() & F.coalesce(F.lag("v").over(w).isNotNull(), F.lit(True))
+    runs = d.withColumn("run", F.sum(new.cast("int")).over(w)).where("v IS NULL")
+    rows = runs.select("k", "s", "run", "t")
+    runs = rows.groupBy("k", "s", "run").agg(F.min("t").alias("a"), F.count("*").alias("n"))
+    # all series of a kind at a stamp, as one map
+    at = d.where("v IS NOT NULL").groupBy("k", "t").agg(F.map_from_entries(F.collect_list(F.struct("s", "v"))).alias("x"))
+    here = rows.join(at, ["k", "t"])
+    full = here.select("k", "s", "run", F.explode(F.map_keys("x")).alias("p")).groupBy("k", "s", "run", "p").agg(F.count("*").alias("c"))
+    preds = full.join(runs, ["k", "s", "run"]).where("c = n AND p <> s").groupBy("k", "s", "run", "a").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+
+    def vector(last: Column | None) -> Column:
+        return F.concat(F.array(F.lit(1.0)), F.transform("ps", lambda p: F.try_element_at("x", p)), *([] if last is None else [F.array(last)]))
+
+    def products(df: DataFrame, by: list[str]) -> DataFrame:
+        """Sums of products of each pair of a row's values, of rows that have them all."""
+        z = df.select(*by, vector(F.try_element_at("x", F.col("s"))).alias("z")).where(~F.exists("z", lambda e: e.isNull()))
+        z = z.select(*by, F.posexplode("z").alias("i", "zi"), "z").select(*by, "i", "zi", F.posexplode("z").alias("j", "zj")).where("i <= j")
+        return z.groupBy(*by, "i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("g"))
+
+    # Runs of one series with the same predictors share their history: sums by day, then up to
+    # each run's day, and the run's own day up to its start.
+    own = ["k", "s", "ps"]
+    at = at.withColumn("day", F.to_date("t"))
+    p = preds.withColumn("day", F.to_date("a"))
+    daily = products(p.select(*own).distinct().join(at, "k"), [*own, "day"])
+    upto = F.sequence(F.lit(0), F.size("ps") + 1)
+    asked = p.select(*own, "day", "run", F.explode(upto).alias("i"), upto.alias("js")).select(*own, "day", "run", "i", F.explode("js").alias("j")).where("i <= j")
+    both = daily.withColumn("run", F.lit(None).cast("long")).unionByName(asked.withColumn("g", F.lit(0.0)))
+    before = Window.partitionBy(*own, "i", "j").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    sums = both.withColumn("g", F.sum("g").over(before)).where("run IS NOT NULL AND g IS NOT NULL").select("k", "s", "run", "i", "j", "g")
+    today = products(p.join(at, ["k", "day"]).where("t < a"), ["k", "s", "run"])
+    sums = sums.unionByName(today).groupBy("k", "s", "run", "i", "j").agg(F.sum("g").alias("g"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["j"].max()) + 1
-        g = np.zeros((k, k))
+        m = int(pdf["j"].max()) + 1
+        g = np.zeros((m, m))
         g[pdf["i"], pdf["j"]] = g[pdf["j"], pdf["i"]] = pdf["g"]
-        beta = np.full(k - 1, np.nan) if g[0, 0] < least else np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
-        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "run": [pdf["run"].iloc[0]], "beta": [beta.tolist()], "rows": [int(g[0, 0])]})
-
-    fit = sums.groupBy("s", "run").applyInPandas(solve, "s string, run long, beta array<double>, rows long")
-    now = preds.join(d.where("v IS NULL").select("s", "run", "t"), ["s", "run"]).join(other.withColumnRenamed("u", "t"), ["p", "t"])
-    now = now.groupBy("s", "run", "t").agg(F.sort_array(F.collect_list(F.struct("p", "x"))).alias("xs")).join(fit, ["s", "run"])
-    dot = F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), F.transform("xs", lambda e: e["x"])), "beta", lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
-    got = now.select(F.col("s").alias(series), F.col("t").alias(ts), F.when(F.col("rows") >= least, F.greatest(dot, F.lit(0.0))).alias("_f"), F.transform("xs", lambda e: e["p"]).alias("_p"))
+        beta = np.full(m - 1, np.nan) if g[0, 0] < least else np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [pdf["s"].iloc[0]], "run": [pdf["run"].iloc[0]], "beta": [beta.tolist()], "rows": [int(g[0, 0])]})
+
+    fit = sums.groupBy("k", "s", "run").applyInPandas(solve, "k string, s string, run long, beta array<double>, rows long")
+    now = here.join(preds.drop("a"), ["k", "s", "run"]).join(fit, ["k", "s", "run"])
+    dot = F.aggregate(F.zip_with(vector(None), "beta", lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
+    got = now.select(F.col("s").alias(series), F.col("t").alias(ts), F.when(F.col("rows") >= least, F.greatest(dot, F.lit(0.0))).alias("_f"), F.col("ps").alias("_p"))
     out = df.join(got, [series, ts], "left")
     hit = F.col(value).isNull() & F.col("_f").isNotNull()
     return out.withColumns({"filled": F.coalesce(value, "_f"), "imputed": hit, "imputation_method": F.when(hit, "ols"), "imputation_predictors": F.when(hit, F.col("_p"))}).drop("_f", "_p")
-
-

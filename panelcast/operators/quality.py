@@ -15,6 +15,7 @@ def duplicate_audit(df: DataFrame, key: list[str], value: str = "value") -> Data
 
 
 def duplicates_by_series(audit: DataFrame, series: list[str], ts: str) -> DataFrame:
+    """Of each series: repeated stamps, rows to drop, stamps whose copies disagree, largest spread, first and last stamp."""
     return audit.groupBy(*series).agg(
         F.count("*").alias("stamps"),
         F.sum(F.col("copies") - 1).alias("redundant"),
@@ -25,6 +26,16 @@ def duplicates_by_series(audit: DataFrame, series: list[str], ts: str) -> DataFr
     )
 
 
+def copies_histogram(audit: DataFrame) -> DataFrame:
+    """How many keys stand how often."""
+    return audit.groupBy("copies").agg(F.count("*").alias("keys"))
+
+
+def duplicates_by_day_of_month(audit: DataFrame, ts: str) -> DataFrame:
+    """Repeated keys by day of month: overlapping downloads show at its ends."""
+    return audit.groupBy(F.dayofmonth(ts).alias("day_of_month")).agg(F.count("*").alias("keys"), F.sum(F.col("copies") - 1).alias("redundant"))
+
+
 def dedupe(df: DataFrame, key: list[str], seq: str, value: str) -> DataFrame:
     """First row of each key by (seq, value): a partial minimum, no sort of whole keys."""
     rest = [c for c in df.columns if c not in key]
@@ -121,7 +132,10 @@ def monthly_coverage(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFram
 
 
 def daily_presence(df: DataFrame, keys: list[str], ts: str = "ts", slots: int = 24) -> DataFrame:
-    return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count_distinct(ts).alias("observed")).withColumn("complete", F.col("observed") == slots)
+    """Observed hours of each day between a key's first and last, days without any row included."""
+    seen = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count_distinct(ts).alias("observed"))
+    days = grid.complete_grid(seen, keys, "day", "1 day")
+    return days.join(seen, [*keys, "day"], "left").withColumn("observed", F.coalesce("observed", F.lit(0))).withColumn("complete", F.col("observed") == slots)
 
 
 def variance_report(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -42,6 +42,22 @@ def scaler_inverse(df: DataFrame, params: DataFrame, keys: list[str], kind: str,
     return df.join(params.select(*keys, "centre", "spread"), keys).withColumn(out, _back(kind, F.col(value), F.col("centre"), F.col("spread"))).drop("centre", "spread")
 
 
+def scaling(datasets: list[DataFrame], keys: list[str], kind: str, value: str = "value") -> tuple[DataFrame, list[DataFrame]]:
+    """The first dataset's parameters, and all datasets scaled by them. Keys the first one lacks are left out."""
+    p = scaler_fit(datasets[0], keys, kind, value)
+    return p, [scaler_transform(d, p, keys, kind, value) for d in datasets]
+
+
+def zone_scaler_report(df: DataFrame, zone: str, slot: str, kind: str, value: str = "value") -> DataFrame:
+    """Of each zone's scalers by slot: constant columns, deviation of all scaled values, largest error of scaling back, and the deviation over the smallest of any zone."""
+    p = scaler_fit(df, [zone, slot], kind, value)
+    t = scaler_inverse(scaler_transform(df, p, [zone, slot], kind, value), p, [zone, slot], kind, "scaled", "_back")
+    g = t.groupBy(zone).agg(F.stddev_pop("scaled").alias("dispersion"), F.max(F.abs(F.col(value) - F.col("_back"))).alias("max_error"))
+    g = g.join(p.groupBy(zone).agg(F.sum(F.col("constant").cast("int")).alias("constant_columns")), zone)
+    least = g.agg(F.min(F.when(F.col("dispersion") > 0, F.col("dispersion"))).alias("_least"))
+    return g.crossJoin(least).withColumn("times_least", F.col("dispersion") / F.col("_least")).drop("_least")
+
+
 def round_trip_check(df: DataFrame, keys: list[str], kind: str, value: str = "value") -> DataFrame:
     """Largest error of scaling and back, and the deviation of the scaled values, by group."""
     p = scaler_fit(df, keys, kind, value)

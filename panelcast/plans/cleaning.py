@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 from panelcast.operators import filters, grid, impute, quality
 from panelcast.plans import views as V
 from panelcast.plans.registry import register
+from panelcast.plans.views import CPH, KEY5, YEAR, ZONES, r6
 
-ZONES = ["click", "error", "purchase", "signup", "view"]
 S = ["zone", "variable", "psr_type"]
 
 
-def r6(df, *cols):
-    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
-
-
 @register("f1_canonical_keys", f"WITH {V.RAW} SELECT zone, variable, coalesce(psr_type, '') AS psr_type, count(*) AS n FROM raw GROUP BY ALL")
 def _(spark, d):
     return filters.canonical_keys(V.raw(spark, d), S).groupBy(*S).agg(F.count("*").alias("n"))
@@ -133,9 +129,10 @@ def _(spark, d):
     return r6(out.select("zone", "variable", "hour", "resolution", "value", "slots"), "value")
 
 
-@register("g3_fold_if_constant", f"WITH {V.RAW}, h AS (SELECT zone, date_trunc('hour', ts) AS hour, max(value) - min(value) AS spread FROM raw WHERE resolution = 'PT15M' GROUP BY ALL) SELECT zone, min(hour) FILTER (spread > 1e-9) AS first_varying FROM h GROUP BY 1")
+@register("g3_fold_if_constant", f"WITH {V.RAW}, h AS (SELECT zone, date_trunc('hour', ts) AS hour, arg_min(value, (ts, value)) AS value, max(value) - min(value) AS spread FROM raw WHERE resolution = 'PT15M' GROUP BY ALL), f AS (SELECT zone, min(hour) FILTER (spread > 1e-9) AS first_varying FROM h GROUP BY 1) SELECT zone, hour, first_varying FROM h JOIN f USING (zone)")
 def _(spark, d):
-    return grid.fold_if_constant(V.raw(spark, d).where("resolution = 'PT15M'"), ["zone"])[1]
+    folded, first = grid.fold_if_constant(V.raw(spark, d).where("resolution = 'PT15M'"), ["zone"])
+    return folded.join(first, "zone").select("zone", "hour", "first_varying")
 
 
 @register("g4_first_non_hourly", f"WITH {V.RAW} SELECT zone, variable, min(ts) FILTER (resolution <> 'PT60M') AS first_non_hourly FROM raw GROUP BY ALL")
@@ -148,9 +145,9 @@ def _(spark, d):
     return grid.global_cutoff(V.raw(spark, d), "zone", ["variable"])
 
 
-@register("g6_truncate_before_variation", f"WITH {V.RAW}, h AS (SELECT zone, psr_type, variable, date_trunc('hour', ts) AS hour, max(value) - min(value) AS spread FROM raw WHERE psr_type = 'B16' GROUP BY ALL), f AS (SELECT zone, psr_type, variable, min(hour) FILTER (spread > 1e-9) AS fv FROM h GROUP BY ALL) SELECT h.zone, h.variable, count(*) AS n FROM h JOIN f USING (zone, psr_type, variable) WHERE fv IS NULL OR hour < date_trunc('day', fv) GROUP BY ALL")
+@register("g6_truncate_before_variation", f"WITH {V.RAW}, h AS (SELECT zone, psr_type, variable, date_trunc('hour', ts) AS hour, max(value) - min(value) AS spread FROM raw GROUP BY ALL), f AS (SELECT zone, psr_type, variable, min(hour) FILTER (spread > 1e-9) AS fv FROM h GROUP BY ALL) SELECT h.zone, h.variable, count(*) AS n FROM h JOIN f ON h.zone = f.zone AND h.variable = f.variable AND h.psr_type = f.psr_type WHERE fv IS NULL OR hour < date_trunc('day', fv) GROUP BY ALL")
 def _(spark, d):
-    out = grid.truncate_before_variation(V.raw(spark, d).where("psr_type = 'B16'"), S)
+    out = grid.truncate_before_variation(V.raw(spark, d), S)
     return out.groupBy("zone", "variable").agg(F.count("*").alias("n"))
 
 
@@ -164,29 +161,20 @@ def _(spark, d):
     return grid.missing_hours(V.hourly(spark, d), ["series"], "ts")
 
 
-CPH = "timezone('Europe/Copenhagen', timezone('UTC', {}))"
-#: A grid of 2024 over both clock changes, its values from the events' hours.
-YEAR = f"year AS (SELECT series, ts + INTERVAL 85 DAY AS ts, value FROM hourly)"
-
-
-def _spring(spark, d):
-    return V.hourly(spark, d).withColumn("ts", F.col("ts") + F.expr("interval 85 days"))
-
-
 @register("g9_to_local_grid", f"WITH {V.HOURLY}, {YEAR}, l AS (SELECT series, {CPH.format('ts')} AS local, avg(value) AS value, count(*) AS n_utc FROM year GROUP BY ALL), g AS (SELECT series, unnest(generate_series(min(local), max(local), INTERVAL 1 HOUR)) AS local FROM l GROUP BY 1) SELECT g.series, g.local, round(value, 6) AS value, n_utc FROM g LEFT JOIN l ON g.series = l.series AND g.local = l.local")
 def _(spark, d):
-    return r6(grid.to_local_grid(_spring(spark, d), ["series"], "Europe/Copenhagen"), "value")
+    return r6(grid.to_local_grid(V.spring(spark, d), ["series"], "Europe/Copenhagen"), "value")
 
 
 @register("g10_skipped_hours", f"WITH {V.HOURLY}, {YEAR}, l AS (SELECT DISTINCT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS local FROM year) SELECT local FROM l WHERE timezone('Europe/Copenhagen', timezone('Europe/Copenhagen', local)) <> local")
 def _(spark, d):
-    g = grid.complete_grid(_spring(spark, d), [], "ts").withColumnRenamed("ts", "local")
+    g = grid.complete_grid(V.spring(spark, d), [], "ts").withColumnRenamed("ts", "local")
     return g.where(grid.is_skipped(F.col("local"), "Europe/Copenhagen"))
 
 
 @register("g11_fill_skipped_hours", f"WITH {V.HOURLY}, {YEAR}, l AS (SELECT series, {CPH.format('ts')} AS local, avg(value) AS value, count(*) AS n_utc FROM year GROUP BY ALL), g AS (SELECT series, unnest(generate_series(min(local), max(local), INTERVAL 1 HOUR)) AS local FROM l GROUP BY 1), j AS (SELECT g.series, g.local, value, n_utc FROM g LEFT JOIN l ON g.series = l.series AND g.local = l.local), w AS (SELECT *, (lag(value) OVER o + lead(value) OVER o) / 2 AS m, timezone('Europe/Copenhagen', timezone('Europe/Copenhagen', local)) <> local AS sk FROM j WINDOW o AS (PARTITION BY series ORDER BY local)) SELECT series, local, round(CASE WHEN value IS NULL AND sk THEN m ELSE value END, 6) AS value, CASE WHEN value IS NULL AND sk AND m IS NOT NULL THEN 'spring_interpolation' WHEN coalesce(n_utc, 1) > 1 THEN 'autumn_average' ELSE 'none' END AS dst_adjustment FROM w")
 def _(spark, d):
-    g = grid.to_local_grid(_spring(spark, d), ["series"], "Europe/Copenhagen")
+    g = grid.to_local_grid(V.spring(spark, d), ["series"], "Europe/Copenhagen")
     return r6(grid.fill_skipped_hours(g, ["series"], "Europe/Copenhagen").drop("n_utc"), "value")
 
 
@@ -218,7 +206,6 @@ def _(spark, d):
     return V.table(spark, d, "events").select("ts", grid.snap_weekly(F.col("ts"), "Europe/Copenhagen").alias("snapped")).distinct()
 
 
-KEY5 = ["zone", "variable", "psr_type", "resolution", "ts"]
 AUDIT = "a AS (SELECT zone, variable, psr_type, resolution, ts, count(*) AS copies, count(DISTINCT value) AS distinct_values, max(value) - min(value) AS spread FROM raw GROUP BY ALL HAVING count(*) > 1)"
 
 
@@ -313,15 +300,16 @@ def _(spark, d):
     return quality.monthly_coverage(V.hourly(spark, d), ["series"])
 
 
-@register("q14_daily_presence", f"WITH {V.HOURLY} SELECT series, CAST(ts AS DATE) AS day, count(DISTINCT ts) AS observed, count(DISTINCT ts) = 24 AS complete FROM hourly GROUP BY ALL")
+@register("q14_daily_presence", f"WITH {V.HOURLY}, s AS (SELECT series, CAST(ts AS DATE) AS day, count(DISTINCT ts) AS observed FROM hourly WHERE day(ts) % 7 <> 3 GROUP BY ALL), g AS (SELECT series, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s GROUP BY 1) SELECT series, day, coalesce(observed, 0) AS observed, coalesce(observed, 0) = 24 AS complete FROM g LEFT JOIN s USING (series, day)")
 def _(spark, d):
-    return quality.daily_presence(V.hourly(spark, d), ["series"])
+    return quality.daily_presence(V.hourly(spark, d).where("day(ts) % 7 <> 3"), ["series"])  # whole days planted as absent
 
 
-@register("q15_variance_report", f"WITH {V.DAILY}, g AS (SELECT series, count(value) AS n, avg(value) AS mean, avg(abs(value)) AS mean_abs, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM daily GROUP BY 1) SELECT series, n, round(mean, 4) AS mean, round(std / mean_abs, 6) AS relative_std, round(max - min, 4) AS range, max = min AS constant, std <= 0.001 * mean_abs AS practically_zero FROM g")
+@register("q15_variance_report", f"WITH {V.DAILY}, x AS (SELECT * FROM daily UNION ALL SELECT 'flat', ts, 7.0 FROM daily), g AS (SELECT series, count(value) AS n, avg(value) AS mean, avg(abs(value)) AS mean_abs, var_samp(value) AS var, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, count(DISTINCT value) AS n_unique FROM x GROUP BY 1) SELECT series, n, round(mean, 4) AS mean, round(mean_abs, 4) AS mean_abs, round(var / 1e6, 4) AS var, round(std, 4) AS std, round(min, 4) AS min, round(max, 4) AS max, n_unique, round(max - min, 4) AS range, round(std / mean_abs, 6) AS relative_std, max = min AS constant, std <= 0.001 * mean_abs AS practically_zero FROM g")
 def _(spark, d):
-    g = quality.variance_report(V.daily(spark, d), ["series"])
-    return g.select("series", "n", F.round("mean", 4).alias("mean"), F.round("relative_std", 6).alias("relative_std"), F.round("range", 4).alias("range"), "constant", "practically_zero")
+    x = V.daily(spark, d)
+    g = quality.variance_report(x.unionByName(x.select(F.lit("flat").alias("series"), "ts", F.lit(7.0).alias("value"))), ["series"])
+    return g.withColumn("var", F.col("var") / 1e6).withColumns({k: F.round(k, 4) for k in ("mean", "mean_abs", "var", "std", "min", "max", "range")}).withColumn("relative_std", F.round("relative_std", 6))
 
 
 @register("q16_hold_report", "WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER w AS p, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), r AS (SELECT *, sum(CASE WHEN n > 1 AND o_orderstatus = p THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM s), h AS (SELECT o_custkey, run, count(*) AS held, min(o_orderstatus) AS v FROM r GROUP BY ALL) SELECT o_custkey, count(DISTINCT v) AS levels, count(*) AS runs, median(held) AS median_held, max(held) AS max_held FROM h GROUP BY 1")
@@ -354,11 +342,27 @@ def _(spark, d):
     return r6(impute.weekly_lag_fill(V.gridded(spark, d), ["series"]).select("series", "ts", "filled", "imputed"), "filled")
 
 
+I2 = "runs AS (SELECT *, sum(CASE WHEN value IS NULL AND p IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts) AS run FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS p FROM two)), r AS (SELECT series, run, min(ts) AS a, max(ts) AS b, count(*) AS n FROM runs WHERE value IS NULL GROUP BY ALL), o AS (SELECT r.*, count(t.value) AS k FROM r JOIN two t ON t.series <> r.series AND t.ts BETWEEN r.a AND r.b GROUP BY ALL), h AS (SELECT o.series, o.run, count(*) AS rows, regr_slope(y.value, x.value) AS sl, regr_intercept(y.value, x.value) AS ic FROM o JOIN two y ON y.series = o.series AND y.ts < o.a JOIN two x ON x.series <> o.series AND x.ts = y.ts WHERE o.k = o.n AND x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY ALL)"
+
+
+@register("i2_one_predictor", f"WITH {V.GRIDDED}, two AS (SELECT * FROM gridded WHERE series IN ('click', 'view')), {I2} SELECT n.series, n.ts, round(coalesce(n.value, CASE WHEN h.rows >= 168 THEN greatest(0, ic + sl * x.value) END), 5) AS filled FROM runs n LEFT JOIN h ON h.series = n.series AND h.run = n.run AND n.value IS NULL LEFT JOIN two x ON x.series <> n.series AND x.ts = n.ts")
+def _(spark, d):
+    two = V.gridded(spark, d).where("series IN ('click', 'view')")  # a pair of series is what SQL's regression can say
+    return impute.cross_series_ols_fill(two, "series", least=168).select("series", "ts", F.round("filled", 5).alias("filled"))
+
+
 @register("i2_cross_series_ols_fill")
 def _(spark, d):
     return impute.cross_series_ols_fill(V.gridded(spark, d), "series", least=168)
 
 
+@register("i4_row_for_fill", f"WITH {V.GRIDDED}, m AS (SELECT g.series, g.ts, g.value, h.note FROM gridded g LEFT JOIN (SELECT event_type AS series, date_trunc('hour', ts) AS ts, max(event_id) AS note FROM events GROUP BY ALL) h ON h.series = g.series AND h.ts = g.ts) SELECT series, ts, coalesce(note, lag(note, 168) OVER w, last_value(note IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS note FROM m WINDOW w AS (PARTITION BY series ORDER BY ts)")
+def _(spark, d):
+    e = V.table(spark, d, "events").groupBy(F.col("event_type").alias("series"), grid.hour_of(F.col("ts")).alias("ts")).agg(F.max("event_id").alias("note"))
+    g = V.gridded(spark, d).join(e, ["series", "ts"], "left")
+    return impute.row_for_fill(g, ["series"], ["note"]).select("series", "ts", "note")
+
+
 @register("i3_route_fill", f"WITH {V.GRIDDED}, {LAG}, d AS (SELECT series, ts, value, coalesce(value, lag(value, 24) OVER (PARTITION BY series ORDER BY ts)) AS filled FROM gridded) SELECT series, ts, round(filled, 6) AS filled FROM f WHERE series IN ('click', 'view') UNION ALL SELECT series, ts, round(filled, 6) FROM d WHERE series NOT IN ('click', 'view')")
 def _(spark, d):
     lag = lambda x: impute.weekly_lag_fill(x, ["series"])

@@ -7,8 +7,8 @@ from pyspark.sql import Window
 
 from panelcast.operators import evaluate, explore, features, forecast, scale
 from panelcast.plans import views as V
-from panelcast.plans.cleaning import ZONES, r6
 from panelcast.plans.registry import register
+from panelcast.plans.views import ZONES, r6, sf
 
 FILLED = V.GRIDDED + ", filled AS (SELECT series, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM gridded)"
 
@@ -127,9 +127,10 @@ for _k, _e, _s in (
     _scaled(_k, _e, _s)
 
 
-@register("x6_round_trip_check", f"WITH {V.DAILY} SELECT series, true AS exact FROM daily GROUP BY 1")
+@register("x6_round_trip_check", f"WITH {V.DAILY}, m AS (SELECT series, median(value) AS med FROM daily GROUP BY 1), c AS (SELECT d.series, min(med) AS med, median(abs(value - med)) / 0.6744897501960817 AS mad FROM daily d JOIN m USING (series) GROUP BY 1), z AS (SELECT series, value, med, mad, asinh((value - med) / mad) AS z FROM daily JOIN c USING (series)) SELECT series, max(abs(value - (sinh(z) * mad + med))) < 1e-3 AS exact, round(stddev_pop(z), 6) AS dispersion FROM z GROUP BY 1")
 def _(spark, d):
-    return scale.round_trip_check(V.daily(spark, d), KS, "Invariant").select("series", (F.col("max_error") < 1e-3).alias("exact"))
+    t = scale.round_trip_check(V.daily(spark, d), KS, "Invariant")
+    return t.select("series", (F.col("max_error") < 1e-3).alias("exact"), F.round("dispersion", 6).alias("dispersion"))
 
 
 ARR = FILLED + ", arr AS (SELECT series, CAST(ts AS DATE) AS day, list(value ORDER BY ts) AS v FROM filled GROUP BY ALL HAVING count(value) = 24)"
@@ -149,11 +150,41 @@ def _(spark, d):
     return x.select("series", "day", F.round(lags, 3).alias("check_lags"), F.round(target, 3).alias("check_target"))
 
 
-@register("x8_zone_blocks", f"WITH {ARR}, p AS (SELECT a.series, a.day, list_concat(b.v, c.v) AS x FROM arr a JOIN arr b ON a.series = b.series AND b.day = a.day - 1 JOIN arr c ON a.series = c.series AND c.day = a.day - 2), w AS (SELECT day, " + ", ".join(f"any_value(x) FILTER (series = '{z}') AS {z}" for z in ZONES[:3]) + " FROM p GROUP BY day), f AS (SELECT day, list_concat(list_concat(click, error), purchase) AS f FROM w WHERE click IS NOT NULL AND error IS NOT NULL AND purchase IS NOT NULL) SELECT day, len(f) + 1 AS width, round(f[1] + 2 * f[50] + 3 * f[144], 6) AS check_cells FROM f")
+BLOCKS = {z: {"value": (1, 2)} if i % 2 else {"value": (1,)} for i, z in enumerate(ZONES)}
+
+
+def _blocks_sql(alias: str = "p") -> str:
+    x = [f"any_value({'list_concat(v1, v2)' if i % 2 else 'v1'}) FILTER (series = '{z}')" for i, z in enumerate(ZONES)]
+    y = [f"any_value(v) FILTER (series = '{z}')" for z in ZONES]
+    return f"p AS (SELECT a.series, a.day, a.v, b.v AS v1, c.v AS v2 FROM arr a LEFT JOIN arr b ON a.series = b.series AND b.day = a.day - 1 LEFT JOIN arr c ON a.series = c.series AND c.day = a.day - 2), w AS (SELECT day, flatten([{', '.join(x)}]) AS x, flatten([{', '.join(y)}]) AS y FROM p GROUP BY day HAVING " + " AND ".join(f"{c} IS NOT NULL" for c in x + y) + "), zb AS (SELECT day, list_concat([CAST(isodow(day) - 1 AS DOUBLE)], x) AS f, y FROM w)"
+
+
+def _zone_blocks(spark, d):
+    return features.zone_blocks(_days(spark, d), "series", BLOCKS)
+
+
+@register("x8_zone_blocks", f"WITH {ARR}, {_blocks_sql()} SELECT day, CAST(i - 1 AS INTEGER) AS i, round(f[i], 6) AS cell FROM zb, (SELECT unnest(range(1, 170)) AS i)")
+def _(spark, d):
+    return r6(_zone_blocks(spark, d).select("day", F.posexplode("features").alias("i", "cell")), "cell")
+
+
+@register("x8_zone_block_labels", f"WITH {ARR}, {_blocks_sql()}, c AS (SELECT day, i, f[i] AS v FROM zb, (SELECT unnest(range(1, 170)) AS i)), n AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{n}', '{z}')" for i, (n, (z, _)) in enumerate(zip(features.zone_block_names(BLOCKS), features.zone_block_labels(BLOCKS), strict=True))) + ") t(i, name, zone)) SELECT zone, name, round(sum(v), 4) AS total, count(*) AS days FROM c JOIN n USING (i) GROUP BY ALL")
 def _(spark, d):
-    x = features.zone_blocks(_days(spark, d), "series", ZONES[:3], {"value": [1, 2]})
-    c = F.element_at("features", 1) + 2 * F.element_at("features", 50) + 3 * F.element_at("features", 144)
-    return x.select("day", F.size("features").cast("long").alias("width"), F.round(c, 6).alias("check_cells"))
+    names, labels = features.zone_block_names(BLOCKS), features.zone_block_labels(BLOCKS)
+    c = _zone_blocks(spark, d).select(F.posexplode("features").alias("i", "v"))
+    at = lambda x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("i") + 1)
+    return c.groupBy(at([z for z, _ in labels]).alias("zone"), at(names).alias("name")).agg(F.round(F.sum("v"), 4).alias("total"), F.count("*").alias("days"))
+
+
+@register("x8_null_cells", f"WITH {V.GRIDDED}, arr AS (SELECT series, CAST(ts AS DATE) AS day, list(value ORDER BY ts) AS v FROM gridded GROUP BY ALL HAVING count(*) = 24), u AS (SELECT series, day, unnest(range(24)) AS h, unnest(v) AS v FROM arr) SELECT day, 'h' || h AS name, count(*) AS n FROM u WHERE v IS NULL GROUP BY ALL")
+def _(spark, d):
+    g = V.gridded(spark, d).groupBy("series", F.to_date("ts").alias("day")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("features")).where(F.size("features") == 24)
+    return features.null_cells(g, [f"h{h}" for h in range(24)]).groupBy("day", "name").agg(F.count("*").alias("n"))
+
+
+@register("x9_multi_zone_target", f"WITH {ARR}, {_blocks_sql()} SELECT day, CAST(i - 1 AS INTEGER) AS i, round(y[i], 6) AS cell FROM zb, (SELECT unnest(range(1, 121)) AS i)")
+def _(spark, d):
+    return r6(_zone_blocks(spark, d).select("day", F.posexplode("target").alias("i", "cell")), "cell")
 
 
 @register("x11_sliding_starts", f"WITH {FILLED}, s AS (SELECT series, ts, sum(value) OVER w AS total, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)) SELECT series, ts, round(total, 5) AS total FROM s WHERE n = 24")
@@ -174,11 +205,13 @@ def _(spark, d):
     return features.training_days(days, r, 10)
 
 
-@register("x15_rolling_context", f"WITH {FILLED}, c AS (SELECT series, ts, sum(value) OVER w AS total, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)) SELECT series, CAST(ts AS DATE) AS day, round(total, 5) AS total FROM c WHERE n = 48 AND hour(ts) = 0")
+@register("x15_rolling_context", f"WITH {V.WIDE}, c AS (SELECT zone, ts, list(price) OVER w AS context, list(load) OVER w AS cl, list(wind) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS fw FROM wide WINDOW w AS (PARTITION BY zone ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)), k AS (SELECT zone, CAST(ts AS DATE) AS day, context, cl, fw FROM c WHERE len(context) = 60 AND hour(ts) = 0) SELECT zone, day, round(context[1], 5) AS oldest, round(context[60], 5) AS newest, round(list_sum(context), 3) AS total, round(list_sum(list_transform(range(1, 61), lambda i: i * cl[i])), 5) AS past, round(list_sum(list_transform(range(1, 25), lambda i: i * fw[i])), 4) AS future FROM k")
 def _(spark, d):
-    f = filled(spark, d)
-    x = features.rolling_context(f, KS, f.select(F.to_date("ts").alias("day")).distinct(), 48)
-    return x.select("series", "day", F.round(F.aggregate("context", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+    w = V.wide(spark, d)
+    x = features.rolling_context(w, ["zone"], w.select(F.to_date("ts").alias("day")).distinct(), 60, "ts", "price", ("load",), ("wind",))
+    plain = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    tilted = lambda c: plain(F.transform(c, lambda v, i: v * (i + 1)))
+    return x.select("zone", "day", F.round(F.element_at("context", 1), 5).alias("oldest"), F.round(F.element_at("context", 60), 5).alias("newest"), F.round(plain(F.col("context")), 3).alias("total"), F.round(tilted(F.col("context_load")), 5).alias("past"), F.round(tilted(F.col("future_wind")), 4).alias("future"))
 
 
 @register("m1_naive_forecasts", f"WITH {MEMBERS} SELECT series, ts, member, round(observed, 6) AS observed, round(forecast, 6) AS forecast FROM fc")
@@ -189,7 +222,16 @@ def _(spark, d):
 @register("m3_walk_forward_lasso")
 def _(spark, d):
     x = features.lag_features(_days(spark, d), KS, "value", [], (1, 2, 7))
-    return forecast.walk_forward_lasso(x, KS, [14, 21], "2024-01-25", "2024-01-28")
+    return forecast.walk_forward_lasso(x, KS, [14, 21])
+
+
+@register("m3_walk_forward_lasso_exog")
+def _(spark, d):
+    """Two exogenous columns, the windows of the reference; every 91st day of the years of orders is a test day of one hour's model each."""
+    w = V.wide(spark, d)
+    days = features.day_arrays(w, ["zone"], ["price", "load", "wind"])
+    x = features.lag_features(days, ["zone"], "price", ["load", "wind"]).withColumn("target", F.slice("target", 12, 1))
+    return forecast.walk_forward_lasso(x, ["zone"], [56, 84, 1092], every=91)
 
 
 @register("m5_refit_schedule", f"WITH {ARR}, d AS (SELECT DISTINCT day FROM arr WHERE day >= DATE '2024-01-08') SELECT day, CAST(DATE '2024-01-08' + CAST(((day - DATE '2024-01-08') // 7) * 7 AS INTEGER) AS DATE) AS refit FROM d")
@@ -240,14 +282,14 @@ def _pairs(spark, d, norm: int = 1):
     return evaluate.loss_pairs(members(spark, d).select("series", "day", "slot", "member", "observed", "forecast"), KS, ["day", "slot"], norm)
 
 
-@register("e9_dm_univariate", f"WITH {MEMBERS}, {LP} SELECT series, a, b, CAST(slot AS INTEGER) AS slot, count(*) AS n, round(CASE WHEN var_pop(d) > 0 THEN avg(d) / sqrt(var_pop(d) / count(*)) END, 5) AS stat FROM lp GROUP BY ALL")
+@register("e9_dm_univariate", f"WITH {MEMBERS}, {LP}, g AS (SELECT series, a, b, CAST(slot AS INTEGER) AS slot, count(*) AS n, CASE WHEN var_pop(d) > 0 THEN avg(d) / sqrt(var_pop(d) / count(*)) END AS stat FROM lp GROUP BY ALL) SELECT * REPLACE (round(stat, 5) AS stat), round({sf('stat')}, 6) AS p_value FROM g")
 def _(spark, d):
-    return evaluate.dm_test(_pairs(spark, d), [*AB, "slot"]).drop("p_value").withColumn("stat", F.round("stat", 5))
+    return evaluate.dm_test(_pairs(spark, d), [*AB, "slot"]).withColumns({"stat": F.round("stat", 5), "p_value": F.round("p_value", 6)})
 
 
-@register("e10_dm_multivariate", f"WITH {MEMBERS}, {LP} SELECT series, a, b, count(*) AS n, round(avg(d) / sqrt(var_pop(d) / count(*)), 5) AS stat FROM ld GROUP BY ALL")
+@register("e10_dm_multivariate", f"WITH {MEMBERS}, {LP}, g AS (SELECT series, a, b, count(*) AS n, CASE WHEN var_pop(d) > 0 THEN avg(d) / sqrt(var_pop(d) / count(*)) END AS stat FROM ld GROUP BY ALL) SELECT * REPLACE (round(stat, 5) AS stat), round({sf('stat')}, 6) AS p_value FROM g")
 def _(spark, d):
-    return evaluate.dm_test(evaluate.daily_losses(_pairs(spark, d), AB), AB).drop("p_value").withColumn("stat", F.round("stat", 5))
+    return evaluate.dm_test(evaluate.daily_losses(_pairs(spark, d), AB), AB).withColumns({"stat": F.round("stat", 5), "p_value": F.round("p_value", 6)})
 
 
 GW = "lg AS (SELECT *, lag(d) OVER (PARTITION BY {p} ORDER BY day) AS l FROM {t}), sm AS (SELECT {p}, sum(d) FILTER (l IS NOT NULL) AS sa, sum(d * l) AS sb, sum(d * d) FILTER (l IS NOT NULL) AS c11, sum(d * d * l) AS c12, sum(d * l * d * l) AS c22, {m} AS m FROM lg GROUP BY {p}), gs AS (SELECT {p}, sign(m) * (sa * sa * c22 - 2 * sa * sb * c12 + sb * sb * c11) / (c11 * c22 - c12 * c12) AS stat FROM sm) SELECT {p}, round(stat, 5) AS stat, round(CASE WHEN stat >= 0 THEN exp(-stat / 2) ELSE 1 END, 5) AS p_value FROM gs"
@@ -265,21 +307,42 @@ def _(spark, d):
     return g.withColumns({c: F.round(c, 5) for c in ("stat", "p_value")})
 
 
-@register("e12_gw_unconditional", f"WITH {MEMBERS}, {LP} SELECT series, a, b, round(sign(sum(d)) * sum(d) * sum(d) / sum(d * d), 5) AS stat FROM ld GROUP BY ALL")
+@register("e12_gw_unconditional", f"WITH {MEMBERS}, {LP}, g AS (SELECT series, a, b, sign(sum(d)) * sum(d) * sum(d) / sum(d * d) AS stat FROM ld GROUP BY ALL) SELECT series, a, b, round(stat, 5) AS stat, round(CASE WHEN stat >= 0 THEN 2 * ({sf('sqrt(abs(stat))')}) ELSE 1 END, 6) AS p_value FROM g")
 def _(spark, d):
-    return evaluate.gw_unconditional(evaluate.daily_losses(_pairs(spark, d), AB), AB).drop("p_value").withColumn("stat", F.round("stat", 5))
+    g = evaluate.gw_unconditional(evaluate.daily_losses(_pairs(spark, d), AB), AB)
+    return g.withColumns({"stat": F.round("stat", 5), "p_value": F.round("p_value", 6)})
 
 
-@register("e14_compare", f"WITH {MEMBERS}, {LP} SELECT series, a, b, count(*) AS days, CASE WHEN count(*) < 10 THEN 'too few days' END AS reason FROM ld GROUP BY ALL")
+@register("e13_pairwise_matrix", f"WITH {MEMBERS}, {LP}, g AS (SELECT series, a, b, avg(d) / sqrt(var_pop(d) / count(*)) AS stat FROM ld GROUP BY ALL), p AS (SELECT series, a, b, {sf('stat')} AS p FROM g UNION ALL SELECT DISTINCT series, a, a, 1.0 FROM g) SELECT series, a, " + ", ".join(f"round(any_value(p) FILTER (b = '{x}'), 6) AS \"{x}\"" for x in "DNW") + " FROM p GROUP BY series, a")
 def _(spark, d):
-    return evaluate.compare(_pairs(spark, d), AB, least=10).select(*AB, "days", "reason")
+    t = evaluate.dm_test(evaluate.daily_losses(_pairs(spark, d), AB), AB)
+    return r6(evaluate.pairwise_matrix(t, KS, list("DNW")), *"DNW")
+
+
+#: Two members, one of them twice under another name, so that identical forecasts occur.
+TWINS = "fc2 AS (SELECT series, ts, member, observed, forecast, day, slot FROM fc UNION ALL SELECT series, ts, 'D2', observed, forecast, day, slot FROM fc WHERE member = 'D'), lp2 AS (SELECT x.series, x.day, x.slot, x.member AS a, y.member AS b, abs(x.observed - x.forecast) - abs(y.observed - y.forecast) AS d FROM fc2 x JOIN fc2 y ON x.series = y.series AND x.ts = y.ts AND x.member <> y.member), ld2 AS (SELECT series, a, b, day, avg(d) AS d FROM lp2 GROUP BY ALL), "
+CMP = "dmt AS (SELECT series, a, b, count(*) AS days, max(abs(d)) AS top, CASE WHEN var_pop(d) > 0 THEN avg(d) / sqrt(var_pop(d) / count(*)) END AS dm FROM ld2 GROUP BY ALL), gwt AS (" + GW.format(p="series, a, b", t="ld2", m="avg(d) FILTER (l IS NOT NULL)").replace("lg AS", "WITH lg AS", 1).replace("/ (c11 * c22 - c12 * c12) AS stat", "/ nullif(c11 * c22 - c12 * c12, 0) AS stat").replace("round(stat, 5) AS stat, round(CASE WHEN stat >= 0 THEN exp(-stat / 2) ELSE 1 END, 5) AS p_value", "stat, CASE WHEN stat >= 0 THEN exp(-stat / 2) WHEN stat < 0 THEN 1 END AS p") + "), cmp AS (SELECT dmt.series, dmt.a, dmt.b, days, dm, gwt.stat AS gw, gwt.p AS gwp, CASE WHEN top = 0 THEN 'identical forecasts' WHEN days < {n} THEN 'too few days' WHEN dm IS NULL OR gwt.stat IS NULL THEN 'degenerate' END AS reason FROM dmt JOIN gwt ON dmt.series = gwt.series AND dmt.a = gwt.a AND dmt.b = gwt.b) SELECT series, a, b, days, reason, round(CASE WHEN reason IS NULL THEN dm END, 5) AS dm_stat, round(CASE WHEN reason IS NULL THEN {p} END, 6) AS dm_p, round(CASE WHEN reason IS NULL THEN gw END, 5) AS gw_stat, round(CASE WHEN reason IS NULL THEN gwp END, 6) AS gw_p FROM cmp"
 
 
-@register("e16_compare_zones", f"WITH {MEMBERS} SELECT series, " + ", ".join(f"round(avg(abs(observed - forecast)) FILTER (member = '{m}'), 6) AS \"mae_{m}\"" for m in "DNW") + " FROM fc GROUP BY 1")
+def _compare(name: str, least: int):
+    @register(name, f"WITH {MEMBERS}, {TWINS}" + CMP.replace("{n}", str(least)).replace("{p}", sf("dm")))
+    def _(spark, d):
+        m = members(spark, d).select("series", "day", "slot", "member", "observed", "forecast")
+        m = m.unionByName(m.where("member = 'D'").withColumn("member", F.lit("D2")))
+        c = evaluate.compare(evaluate.loss_pairs(m, KS, ["day", "slot"]), AB, least=least)
+        return c.select(*AB, "days", "reason", *[F.round(x, 5 if x.endswith("stat") else 6).alias(x) for x in ("dm_stat", "dm_p", "gw_stat", "gw_p")])
+
+
+_compare("e14_compare", 10)
+_compare("e14_compare_too_few_days", 60)
+
+
+@register("e16_compare_zones", f"WITH {MEMBERS}, n AS (SELECT series, avg(abs(observed - forecast)) AS nm FROM ({_naive('x', 'INTERVAL 7 DAY')}) GROUP BY 1) SELECT fc.series, " + ", ".join(f"round(avg(abs(observed - forecast)) FILTER (member = '{m}'), 6) AS \"mae_{m}\", round(avg(abs(observed - forecast)) FILTER (member = '{m}') / min(nm), 6) AS \"rmae_{m}\"" for m in "DNW") + " FROM fc JOIN n ON n.series = fc.series GROUP BY 1")
 def _(spark, d):
-    s = evaluate.scores(members(spark, d), KSM)
-    p = s.groupBy("series").pivot("member", ["D", "N", "W"]).agg(F.first("mae"))
-    return p.select("series", *[F.round(m, 6).alias(f"mae_{m}") for m in "DNW"])
+    m = members(spark, d)
+    s = evaluate.scores(m, KSM).select(*KSM, "mae").join(evaluate.relative_mae(m, filled(spark, d), KS, ["member"], "W", "rmae"), KSM)
+    p = s.groupBy("series").pivot("member", ["D", "N", "W"]).agg(F.first("mae").alias("mae"), F.first("rmae").alias("rmae"))
+    return p.select("series", *[F.round(f"{m}_{c}", 6).alias(f"{c}_{m}") for m in "DNW" for c in ("mae", "rmae")])
 
 
 @register("e17_running_metrics", f"WITH {MEMBERS}, g AS (SELECT series, member, day, sum(abs(observed - forecast)) AS e, sum(abs(observed - forecast) / ((abs(observed) + abs(forecast)) / 2)) AS s, count(*) AS n FROM fc GROUP BY ALL) SELECT series, member, day, round(sum(e) OVER w / sum(n) OVER w, 6) AS mae, round(sum(s) OVER w / sum(n) OVER w, 6) AS smape FROM g WINDOW w AS (PARTITION BY series, member ORDER BY day)")
@@ -287,9 +350,10 @@ def _(spark, d):
     return r6(evaluate.running_metrics(members(spark, d), KSM), "mae", "smape")
 
 
-@register("e18_normalised_mae", f"WITH {MEMBERS}, x AS (SELECT * FROM fc WHERE member = 'D'), md AS (SELECT series, slot, median(observed) AS med FROM x GROUP BY ALL), sc AS (SELECT series, avg(mad) AS scale FROM (SELECT series, slot, median(abs(observed - med)) / 0.6744897501960817 AS mad FROM x JOIN md USING (series, slot) GROUP BY ALL) GROUP BY 1) SELECT x.series, round(avg(abs(observed - forecast)), 6) AS mae, round(min(scale), 6) AS scale, round(avg(abs(observed - forecast)) / min(scale), 6) AS normalised FROM x JOIN sc ON sc.series = x.series GROUP BY 1")
+@register("e18_normalised_mae", f"WITH {MEMBERS}, x AS (SELECT series || ' ' || member AS series, slot, observed, forecast FROM fc), md AS (SELECT series, slot, median(observed) AS med FROM x GROUP BY ALL), sc AS (SELECT series, avg(mad) AS scale FROM (SELECT series, slot, median(abs(observed - med)) / 0.6744897501960817 AS mad FROM x JOIN md USING (series, slot) GROUP BY ALL) GROUP BY 1) SELECT x.series, round(avg(abs(observed - forecast)), 6) AS mae, round(min(scale), 6) AS scale, round(avg(abs(observed - forecast)) / min(scale), 6) AS normalised FROM x JOIN sc ON sc.series = x.series GROUP BY 1")
 def _(spark, d):
-    return r6(evaluate.normalised_mae(members(spark, d).where("member = 'D'"), "series", F.col("slot")), "mae", "scale", "normalised")
+    m = members(spark, d).withColumn("series", F.concat_ws(" ", "series", "member"))
+    return r6(evaluate.normalised_mae(m, "series", F.col("slot")), "mae", "scale", "normalised")
 
 
 @register("e21_timing_summary", "SELECT l_returnflag, count(*) AS fits, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS min, max(l_quantity) AS max, sum(l_quantity) AS total FROM lineitem GROUP BY 1")

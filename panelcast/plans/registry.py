@@ -29,12 +29,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["flagship_naive_rmae"](spark, sf_dir)
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from panelcast.plans import cleaning, ingest, modelling, runs, zones  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-from panelcast.plans import cleaning, ingest, modelling, runs  # noqa: E402,F401  registers its queries

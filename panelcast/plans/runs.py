@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from panelcast.operators import checks, clean, evaluate, features, forecast, grid
 from panelcast.plans import modelling as M
 from panelcast.plans import views as V
-from panelcast.plans.cleaning import CPH, YEAR, r6
 from panelcast.plans.registry import register
+from panelcast.plans.views import CPH, YEAR, ZONES, r6
 
 ZV = ["zone", "variable"]
 DD = "dd AS (SELECT zone, variable, resolution, ts, arg_min(value, ingest_seq) AS value FROM raw GROUP BY ALL)"
@@ -20,15 +20,44 @@ def _(spark, d):
     return r6(clean.clean_v1(V.raw(spark, d), ZV), "value")
 
 
-@register("i12_clean_v2", f"WITH {V.RAW}, {DD}, h AS (SELECT zone, variable, resolution, date_trunc('hour', ts) AS ts, avg(value) AS value FROM dd GROUP BY ALL), p AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY zone, variable, ts ORDER BY resolution DESC) = 1), g AS (SELECT zone, variable, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM p GROUP BY zone, variable), j AS (SELECT g.*, p.value, p.resolution AS source_resolution FROM g LEFT JOIN p ON p.zone = g.zone AND p.variable = g.variable AND p.ts = g.ts), f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY zone, variable, (epoch(ts)::BIGINT // 3600) % 168 ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM j) SELECT zone, variable, ts, source_resolution, round(filled, 6) AS filled, CASE WHEN value IS NULL AND filled IS NOT NULL THEN 'weekly_lag' END AS imputation_method FROM f")
+#: Cleaning as a whole: late and unwanted series go, loads take the week before, prices are regressed on another zone's, days become local.
+SQL_I12 = f"""WITH {V.RAW}, {DD},
+h AS (SELECT zone, variable, resolution, date_trunc('hour', ts) AS ts, avg(value) AS value FROM dd GROUP BY ALL),
+p AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY zone, variable, ts ORDER BY resolution DESC) = 1),
+late AS (SELECT zone, variable FROM p GROUP BY ALL HAVING min(ts) > TIMESTAMP '2024-01-02'),
+flat AS (SELECT zone, variable FROM p GROUP BY ALL HAVING avg(CASE WHEN abs(value) < 1e-9 THEN 1.0 ELSE 0.0 END) * 100 > 90),
+q AS (SELECT zone || ' ' || variable AS s, p.zone, p.variable, ts, value, resolution FROM p WHERE (zone, variable) NOT IN (SELECT (zone, variable) FROM late) AND (zone, variable) NOT IN (SELECT (zone, variable) FROM flat) AND NOT (zone = 'error' AND variable = 'price') AND (variable = 'load' OR zone IN ('click', 'view')) AND ts >= TIMESTAMP '2024-01-01 00:00:00'),
+g AS (SELECT s, zone, variable, unnest(generate_series((SELECT min(ts) FROM q), (SELECT max(ts) FROM q), INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT s, zone, variable FROM q)),
+gridded AS (SELECT g.s AS series, g.zone, g.variable, g.ts, q.value, q.resolution AS source_resolution FROM g LEFT JOIN q ON q.s = g.s AND q.ts = g.ts),
+lagf AS (SELECT series, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY series, (epoch(ts)::BIGINT // 3600) % 168 ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM gridded WHERE variable = 'load'),
+two AS (SELECT series, ts, value FROM gridded WHERE variable = 'price' AND zone IN ('click', 'view')),
+"""
+
+
+@register("i12_clean_v2", SQL_I12 + "runs AS (SELECT *, sum(CASE WHEN value IS NULL AND p IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts) AS run FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS p FROM two)), r AS (SELECT series, run, min(ts) AS a, max(ts) AS b, count(*) AS n FROM runs WHERE value IS NULL GROUP BY ALL), o AS (SELECT r.*, count(t.value) AS k FROM r JOIN two t ON t.series <> r.series AND t.ts BETWEEN r.a AND r.b GROUP BY ALL), hs AS (SELECT o.series, o.run, count(*) AS rows, regr_slope(y.value, x.value) AS sl, regr_intercept(y.value, x.value) AS ic FROM o JOIN two y ON y.series = o.series AND y.ts < o.a JOIN two x ON x.series <> o.series AND x.ts = y.ts WHERE o.k = o.n AND x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY ALL), olsf AS (SELECT n.series, n.ts, CASE WHEN hs.rows >= 48 THEN greatest(0, ic + sl * x.value) END AS f FROM runs n LEFT JOIN hs ON hs.series = n.series AND hs.run = n.run AND n.value IS NULL LEFT JOIN two x ON x.series <> n.series AND x.ts = n.ts), fl AS (SELECT g.series, g.ts, g.source_resolution, coalesce(g.value, lagf.f, olsf.f) AS value, CASE WHEN g.value IS NULL AND lagf.f IS NOT NULL THEN 'weekly_lag' WHEN g.value IS NULL AND olsf.f IS NOT NULL THEN 'ols' END AS method FROM gridded g LEFT JOIN lagf ON lagf.series = g.series AND lagf.ts = g.ts LEFT JOIN olsf ON olsf.series = g.series AND olsf.ts = g.ts WHERE g.variable = 'load' OR g.zone IN ('click', 'view')), loc AS (SELECT series, " + CPH.format("ts + INTERVAL 85 DAY") + " AS local, avg(value) AS value, count(*) AS n_utc, bool_or(method IS NOT NULL) AS imputed, arg_min(method, ts) FILTER (method IS NOT NULL) AS imputation_method FROM fl GROUP BY ALL), lg AS (SELECT series, unnest(generate_series(min(local), max(local), INTERVAL 1 HOUR)) AS local FROM loc GROUP BY 1), lj AS (SELECT lg.series, lg.local, value, n_utc, coalesce(imputed, false) AS imputed, imputation_method FROM lg LEFT JOIN loc ON loc.series = lg.series AND loc.local = lg.local), lw AS (SELECT *, (lag(value) OVER o + lead(value) OVER o) / 2 AS m, timezone('Europe/Copenhagen', timezone('Europe/Copenhagen', local)) <> local AS sk FROM lj WINDOW o AS (PARTITION BY series ORDER BY local)) SELECT series, local, round(CASE WHEN value IS NULL AND sk THEN m ELSE value END, 5) AS value, imputed, coalesce(imputation_method, 'none') AS imputation_method, CASE WHEN value IS NULL AND sk AND m IS NOT NULL THEN 'spring_interpolation' WHEN coalesce(n_utc, 1) > 1 THEN 'autumn_average' ELSE 'none' END AS dst_adjustment FROM lw")
 def _(spark, d):
-    out = clean.clean_v2(V.raw(spark, d), ZV, ["PT60M", "PT15M"])
-    return r6(out.select(*ZV, "ts", "source_resolution", "filled", "imputation_method"), "filled")
+    raw = V.raw(spark, d).where("variable = 'load' OR zone IN ('click', 'view', 'error')")  # prices of two zones: what SQL's regression can say
+    unwanted = spark.createDataFrame([("error", "price")], "zone string, variable string")
+    out = clean.clean_v2(raw, ZV, ["PT60M", "PT15M"], start="2024-01-01", latest_start="2024-01-02", unwanted=unwanted, tz="Europe/Copenhagen", lagged=["load"], regressed=["price"], least=48, shift="85 days")
+    out = out.select(F.concat_ws(" ", *ZV).alias("series"), "local", F.round("value", 5).alias("value"), "imputed", "imputation_method", "dst_adjustment")
+    return out
+
+
+def _cascade_sql(start: str) -> str:
+    """The imputation cascade over local hours, as plans.cleaning has it over UTC hours."""
+    from panelcast.plans import cleaning as K
+
+    sql = f"{K.FFILL.format(3)}, {K._shifts(168, 8, 'ff')}, {K._shifts(24, 6, 's168_8')}, md AS (SELECT g.series, g.ts, median(h.value) AS m FROM s24_6 g JOIN s24_6 h ON g.series = h.series AND hour(g.ts) = hour(h.ts) AND h.ts < g.ts WHERE g.value IS NULL AND h.value IS NOT NULL GROUP BY ALL), cas AS (SELECT a.series, a.ts, coalesce(c.value, m) AS value, CASE WHEN a.orig IS NOT NULL THEN 'observed' WHEN a.value IS NOT NULL THEN 'ffill' WHEN b.value IS NOT NULL THEN 'weekly_shift' WHEN c.value IS NOT NULL THEN 'daily_shift' WHEN m IS NOT NULL THEN 'hour_median' ELSE 'unfilled' END AS method FROM ff a JOIN s168_8 b USING (series, ts) JOIN s24_6 c USING (series, ts) LEFT JOIN md USING (series, ts))"
+    return sql.replace("FROM gridded", f"FROM {start}")
 
 
-@register("i10_build_model_panel")
+LOC = f"l AS (SELECT series, {CPH.format('ts')} AS local, avg(value) AS value, count(*) AS n_utc FROM year GROUP BY ALL), g0 AS (SELECT series, unnest(generate_series(min(local), max(local), INTERVAL 1 HOUR)) AS local FROM l GROUP BY 1), j0 AS (SELECT g0.series, g0.local, value, n_utc FROM g0 LEFT JOIN l ON g0.series = l.series AND g0.local = l.local), w0 AS (SELECT *, (lag(value) OVER o + lead(value) OVER o) / 2 AS m, timezone('Europe/Copenhagen', timezone('Europe/Copenhagen', local)) <> local AS sk FROM j0 WINDOW o AS (PARTITION BY series ORDER BY local)), lh AS (SELECT series, local AS ts, CASE WHEN value IS NULL AND sk THEN m ELSE value END AS value, CASE WHEN value IS NULL AND sk AND m IS NOT NULL THEN 'spring_interpolation' WHEN coalesce(n_utc, 1) > 1 THEN 'autumn_average' ELSE 'none' END AS dst_adjustment FROM w0)"
+
+
+@register("i10_build_model_panel", f"WITH {V.HOURLY}, {YEAR}, {LOC}, {_cascade_sql('lh')}, k AS (SELECT CAST(ts AS DATE) AS day, series, count(value) = 24 AS ok FROM cas GROUP BY ALL), f AS (SELECT min(day) AS first FROM (SELECT day FROM k GROUP BY day HAVING count(*) FILTER (ok) = (SELECT count(DISTINCT series) FROM cas))) SELECT cas.series, cas.ts AS local, round(cas.value, 6) AS value, method, lh.dst_adjustment FROM cas JOIN lh ON lh.series = cas.series AND lh.ts = cas.ts, f WHERE CAST(cas.ts AS DATE) >= first")
 def _(spark, d):
-    return clean.build_model_panel(V.hourly(spark, d), ["series"], "Europe/Copenhagen")
+    out = clean.build_model_panel(V.spring(spark, d), ["series"], "Europe/Copenhagen")
+    return r6(out.select("series", "local", "value", "method", "dst_adjustment"), "value")
 
 
 LOCAL = "l AS (SELECT series, {c} AS local, avg(value) AS value, count(*) AS n_utc, bool_or(imputed) AS imputed FROM yr GROUP BY ALL), g AS (SELECT series, unnest(generate_series(min(local), max(local), INTERVAL 1 HOUR)) AS local FROM l GROUP BY 1), j AS (SELECT g.series, g.local, value, n_utc, coalesce(imputed, false) AS imputed FROM g LEFT JOIN l ON g.series = l.series AND g.local = l.local), w AS (SELECT *, (lag(value) OVER o + lead(value) OVER o) / 2 AS m, timezone('Europe/Copenhagen', timezone('Europe/Copenhagen', local)) <> local AS sk FROM j WINDOW o AS (PARTITION BY series ORDER BY local))".format(c=CPH.format("ts"))
@@ -73,7 +102,7 @@ def _(spark, d):
 @register("m6_forecast_with_cadence")
 def _(spark, d):
     x = features.lag_features(M._days(spark, d), ["series"], "value", [], (1, 7))
-    return forecast.walk_forward_lasso(x, ["series"], [14], "2024-01-22", "2024-01-28", cadence=7)
+    return forecast.walk_forward_lasso(x, ["series"], [14], cadence=7)
 
 
 @register("e15_evaluate_run", f"WITH {M.MEMBERS}, full_days AS (SELECT series, day FROM (SELECT series, member, day FROM fc GROUP BY ALL HAVING count(forecast) = 24 AND count(observed) = 24) GROUP BY ALL HAVING count(*) = 3), en AS (SELECT series, ts, day, 'ensemble' AS member, avg(forecast) AS forecast, max(observed) AS observed FROM fc GROUP BY ALL), al AS (SELECT series, day, member, forecast, observed FROM fc UNION ALL SELECT series, day, member, forecast, observed FROM en) SELECT series, member, round(avg(abs(observed - forecast)), 6) AS mae, round(sqrt(avg((observed - forecast) ** 2)), 6) AS rmse, count(*) AS hours_scored FROM al JOIN full_days USING (series, day) GROUP BY ALL")
@@ -86,9 +115,15 @@ def _(spark, d):
     return r6(evaluate.scores(both, ["series", "member"]).select("series", "member", "mae", "rmse", "hours_scored"), "mae", "rmse")
 
 
-@register("v5_early_levels", f"WITH {V.HOURLY} SELECT series, ts FROM hourly WHERE false")
+@register("v5_early_levels", f"WITH {V.GRIDDED}, w AS (SELECT series, min(date_trunc('week', ts)) + INTERVAL 7 DAY AS first FROM hourly GROUP BY 1), s AS (SELECT series, date_trunc('week', ts) + INTERVAL 3 DAY AS ts, max(value) AS level FROM hourly GROUP BY ALL), h AS (SELECT g.series, g.ts, s.level FROM gridded g ASOF LEFT JOIN s ON g.series = s.series AND g.ts >= s.ts) SELECT h.series, h.ts FROM h JOIN w USING (series) WHERE level IS NOT NULL AND h.ts < first")
 def _(spark, d):
     h = V.hourly(spark, d)
     weekly = h.groupBy("series", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week")).agg(F.max("value").alias("level"))
-    held = grid.step_hold(V.gridded(spark, d), weekly, ["series"], "ts", "week", "level", "7 days")
+    held = grid.step_hold(V.gridded(spark, d), weekly, ["series"], "ts", "week", "level", "3 days")  # planted: levels shown four days early
     return checks.early_levels(held, weekly, ["series"], "ts", "week", "7 days")
+
+
+@register("g16_leading_nulls", f"WITH {V.GRIDDED}, w AS (SELECT series, min(date_trunc('week', ts)) + INTERVAL 7 DAY AS first FROM hourly GROUP BY 1) SELECT g.series, count(*) AS stamps, max(ts) AS last FROM gridded g JOIN w USING (series) WHERE ts < first GROUP BY 1")
+def _(spark, d):
+    weekly = V.hourly(spark, d).groupBy("series", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week")).agg(F.max("value").alias("level"))
+    return grid.leading_nulls(grid.step_hold(V.gridded(spark, d), weekly, ["series"], "ts", "week", "level", "7 days"), ["series"], "ts")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators import grid
 
 
+ZONES = ["click", "error", "purchase", "signup", "view"]
+KEY5 = ["zone", "variable", "psr_type", "resolution", "ts"]
+CPH = "timezone('Europe/Copenhagen', timezone('UTC', {}))"
+#: The events' hours moved to a span with a clock change in spring.
+YEAR = "year AS (SELECT series, ts + INTERVAL 85 DAY AS ts, value FROM hourly)"
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,3 +83,36 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = "lines AS (SELECT l_returnflag || l_linestatus AS series, CAST(l_shipdate AS TIMESTAMP) AS ts, sum(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"
+
+
+def spring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("interval 85 days"))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an hourly panel of two zones over all their days, gaps held: (zone, ts, price, load, wind)."""
+    o = table(spark, sf_dir, "orders")
+    zone = F.when(F.col("o_orderpriority") < "3", "A").otherwise("B")
+    ts = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    h = o.groupBy(zone.alias("zone"), ts.alias("ts")).agg(F.sum("o_totalprice").alias("price"), F.count("*").cast("double").alias("load"), F.avg("o_custkey").alias("wind"))
+    b = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("timestamp_ntz").alias("a"), (F.max("o_orderdate").cast("timestamp_ntz") + F.expr("interval 23 hours")).alias("b"))
+    g = h.select("zone").distinct().crossJoin(b).select("zone", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("ts")).join(h, ["zone", "ts"], "left")
+    w = Window.partitionBy("zone").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return g.withColumns({c: F.coalesce(F.last(c, True).over(w), F.lit(0.0)) for c in ("price", "load", "wind")})
+
+
+WIDE = """ho AS (SELECT CASE WHEN o_orderpriority < '3' THEN 'A' ELSE 'B' END AS zone, CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) AS ts,
+  sum(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS load, avg(o_custkey) AS wind FROM orders GROUP BY ALL),
+bo AS (SELECT CAST(min(o_orderdate) AS TIMESTAMP) AS a, CAST(max(o_orderdate) AS TIMESTAMP) + INTERVAL 23 HOUR AS b FROM orders),
+go AS (SELECT zone, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT zone FROM ho), bo),
+wide AS (SELECT zone, ts, coalesce(last_value(price IGNORE NULLS) OVER w, 0) AS price, coalesce(last_value(load IGNORE NULLS) OVER w, 0) AS load, coalesce(last_value(wind IGNORE NULLS) OVER w, 0) AS wind
+  FROM go LEFT JOIN ho USING (zone, ts) WINDOW w AS (PARTITION BY zone ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+WARR = WIDE + ", warr AS (SELECT zone, CAST(ts AS DATE) AS day, list(price ORDER BY ts) AS price, list(load ORDER BY ts) AS load, list(wind ORDER BY ts) AS wind FROM wide GROUP BY ALL)"
+
+#: Upper tail of the standard normal at x >= 0 by its power series, as SQL has no error function.
+PHI = "CASE WHEN {x} > 8 THEN 0 ELSE 0.5 - exp(-{x} * {x} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: CASE WHEN {x} = 0 THEN 0 ELSE exp((2 * k + 1) * ln({x}) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) END)) END"
+
+
+def sf(x: str) -> str:
+    """SQL of the upper tail of the standard normal at ``x``."""
+    return f"CASE WHEN {x} >= 0 THEN {PHI.format(x=f'abs({x})')} ELSE 1 - ({PHI.format(x=f'abs({x})')}) END"

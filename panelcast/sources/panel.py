@@ -13,15 +13,33 @@ RAW_SCHEMA = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("resolution", "psr_type", "business_type", "curve_type", "contract_type", "unit", "currency")]
 )
 KEY = ["zone", "variable", "psr_type", "resolution", "timestamp_utc"]
-#: Zones of the day-ahead market: code, area code, time zone, name.
+#: Bidding zones and countries: code, area code, time zone, name.
 ZONES = [
     ("DK1", "10YDK-1--------W", "Europe/Copenhagen", "Denmark West"),
     ("DK2", "10YDK-2--------M", "Europe/Copenhagen", "Denmark East"),
-    ("DE_LU", "10Y1001A1001A82H", "Europe/Berlin", "Germany-Luxembourg"),
-    ("NO2", "10YNO-2--------T", "Europe/Oslo", "Norway 2"),
-    ("SE3", "10Y1001A1001A46L", "Europe/Stockholm", "Sweden 3"),
-    ("SE4", "10Y1001A1001A47J", "Europe/Stockholm", "Sweden 4"),
     ("FI", "10YFI-1--------U", "Europe/Helsinki", "Finland"),
+    ("NO1", "10YNO-1--------2", "Europe/Oslo", "Norway 1 (Oslo)"),
+    ("NO2", "10YNO-2--------T", "Europe/Oslo", "Norway 2 (Kristiansand)"),
+    ("NO3", "10YNO-3--------J", "Europe/Oslo", "Norway 3 (Trondheim)"),
+    ("NO4", "10YNO-4--------9", "Europe/Oslo", "Norway 4 (Tromso)"),
+    ("NO5", "10Y1001A1001A48H", "Europe/Oslo", "Norway 5 (Bergen)"),
+    ("SE1", "10Y1001A1001A44P", "Europe/Stockholm", "Sweden 1 (Lulea)"),
+    ("SE2", "10Y1001A1001A45N", "Europe/Stockholm", "Sweden 2 (Sundsvall)"),
+    ("SE3", "10Y1001A1001A46L", "Europe/Stockholm", "Sweden 3 (Stockholm)"),
+    ("SE4", "10Y1001A1001A47J", "Europe/Stockholm", "Sweden 4 (Malmo)"),
+    ("SE", "10YSE-1--------K", "Europe/Stockholm", "Sweden"),
+    ("BE", "10YBE----------2", "Europe/Brussels", "Belgium"),
+    ("DE_LU", "10Y1001A1001A82H", "Europe/Berlin", "Germany-Luxembourg"),
+    ("DE", "10Y1001A1001A83F", "Europe/Berlin", "Germany"),
+    ("FR", "10YFR-RTE------C", "Europe/Paris", "France"),
+    ("NL", "10YNL----------L", "Europe/Amsterdam", "Netherlands"),
+    ("AT", "10YAT-APG------L", "Europe/Vienna", "Austria"),
+    ("CH", "10YCH-SWISSGRIDZ", "Europe/Zurich", "Switzerland"),
+    ("ES", "10YES-REE------0", "Europe/Madrid", "Spain"),
+    ("PT", "10YPT-REN------W", "Europe/Lisbon", "Portugal"),
+    ("IT_NORD", "10Y1001A1001A73I", "Europe/Rome", "Italy North"),
+    ("PL", "10YPL-AREA-----S", "Europe/Warsaw", "Poland"),
+    ("CZ", "10YCZ-CEPS-----N", "Europe/Prague", "Czech Republic"),
 ]
 
 
@@ -30,11 +48,11 @@ def zone_dimension(spark: SparkSession) -> DataFrame:
 
 
 def with_zone(df: DataFrame, dim: DataFrame, zone: str = "zone") -> DataFrame:
-    """Join the dimension; an unknown code is an error."""
-    unknown = df.select(zone).distinct().join(dim, zone, "left_anti").limit(1).collect()
-    if unknown:
-        raise ValueError(f"unknown zone {unknown[0][0]}")
-    return df.join(dim, zone)
+    """Join the dimension; an unknown code (case does not matter) is an error when its row is computed."""
+    known = dim.withColumn("_known", F.lit(True)).withColumnRenamed(zone, "_code")
+    j = df.join(known, F.upper(zone) == F.col("_code"), "left").drop("_code")
+    error = F.raise_error(F.concat(F.lit("unknown zone "), F.coalesce(zone, F.lit("null")))).cast("boolean")
+    return j.where(F.when(F.col("_known").isNotNull(), F.lit(True)).otherwise(error)).drop("_known")
 
 
 def read_raw_panel(spark: SparkSession, path: str, zones: list[str] | None = None, exclude: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -68,14 +86,22 @@ def export_wide_csv(df: DataFrame, path: str) -> None:
     df.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").partitionBy("zone").csv(path, header=True)
 
 
+def write_clean_panel(df: DataFrame, path: str, keys: list[str], ts: str = "ts") -> None:
+    """One dataset partitioned by ``keys``, each part sorted by stamp."""
+    df.repartition(*keys).sortWithinPartitions(*keys, ts).write.partitionBy(*keys).parquet(path)
+
+
 def report_json(df: DataFrame) -> DataFrame:
     """Each row as a JSON document."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def train_test_split(df: DataFrame, years: int = 2, ts: str = "ts") -> DataFrame:
-    """Marks the last ``364 * years`` days as test."""
-    b = F.broadcast(df.agg(F.max(F.to_date(ts)).alias("_end")))
+def train_test_split(df: DataFrame, years: int = 2, ts: str = "ts", begin: str | None = None, end: str | None = None) -> DataFrame:
+    """Marks the last ``364 * years`` days as test; with ``begin`` and ``end`` the days from one to the other, and what follows (null) as neither."""
+    if begin:
+        day, a, b = F.to_date(ts), F.lit(begin).cast("date"), F.lit(end).cast("date")
+        return df.withColumn("is_test", F.when(day < a, F.lit(False)).when(day <= b, F.lit(True)))
+    b = F.broadcast(df.agg(F.max(F.to_date(ts)).alias("_end")))  # one row
     return df.crossJoin(b).withColumn("is_test", F.to_date(ts) > F.date_sub("_end", 364 * years)).drop("_end")
 
 
@@ -141,8 +167,11 @@ def collapse_publications(df: DataFrame, keys: list[str], seq: str, how: str = "
 
 
 def shape_raw(df: DataFrame, zone: Column, variable: str) -> DataFrame:
-    """Points to the raw schema; what they lack is null."""
+    """Points to the raw schema; what they lack is null. The unit is the price's measure where there is one, else the quantity's."""
     have = {"zone": zone, "variable": F.lit(variable), "timestamp_utc": F.col("ts")}
+    units = [c for c in ("price_unit", "quantity_unit") if c in df.columns]
+    if units:
+        have["unit"] = F.coalesce(*units)
     cols = [(have[f.name] if f.name in have else F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA]
     return df.select(*cols)
 
@@ -161,8 +190,9 @@ def missing_items(expected: DataFrame, present: DataFrame, answered: DataFrame)
 
 
 def merge_requery(existing: DataFrame, fetched: DataFrame, key: list[str], value: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(merged, additions, conflicts): only rows of new keys are added; nulls in keys and values equal each other. Two values for a fetched key are an error."""
-    f = fetched.distinct()
+    """(merged, additions, conflicts): only rows of new keys are added; nulls in keys and values equal each other. Two values for a fetched key are an error; of rows equal in key and value one counts."""
+    rest = [c for c in fetched.columns if c not in (*key, value)]
+    f = fetched.groupBy(*key, value).agg(*[F.min(c).alias(c) for c in rest]).select(fetched.columns) if rest else fetched.distinct()
     twice = f.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise ValueError(f"fetched key {tuple(twice[0][k] for k in key)} has several rows")
@@ -177,11 +207,16 @@ def merge_requery(existing: DataFrame, fetched: DataFrame, key: list[str], value
 
 
 def repair_windows(panel: DataFrame, fetched: DataFrame, windows: DataFrame, key: list[str], ts: str = "ts", value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Merge fetched rows that lie in listed windows (window, zone, variable, start, end); and rows returned and added by window."""
-    w = F.broadcast(windows)
-    hit = fetched.join(w, ["zone", "variable"]).where((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
-    merged, add, _ = merge_requery(panel, hit.select(fetched.columns), key, value)
-    in_w = lambda d: d.join(w, ["zone", "variable"]).where((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).groupBy("window").agg(F.count("*").alias("n"))
+    """Merge fetched rows that lie in listed windows (window, zone, variable[, psr_type], start, end); and rows returned and added by window.
+
+    A window's psr_type is its rows'; a null one means all. Joined on zone and variable.
+    """
+    w = windows if "psr_type" in windows.columns else windows.withColumn("psr_type", F.lit(None).cast("string"))
+    w = w.withColumnRenamed("psr_type", "_psr")
+    any_type = F.col("_psr").isNull() | (F.col("_psr") == F.col("psr_type")) if "psr_type" in fetched.columns else F.lit(True)
+    hit = fetched.join(w, ["zone", "variable"]).where(any_type).where((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
+    merged, add, _ = merge_requery(panel, hit.select(fetched.columns).distinct(), key, value)
+    in_w = lambda d: d.join(w, ["zone", "variable"]).where(any_type).where((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).groupBy("window").agg(F.count("*").alias("n"))
     report = windows.select("window").join(in_w(fetched).withColumnRenamed("n", "rows_returned"), "window", "left").join(in_w(add).withColumnRenamed("n", "rows_added"), "window", "left")
     return merged, report.na.fill(0)
 
@@ -191,6 +226,27 @@ def tidy_members(df: DataFrame, keys: list[str], members: list[str]) -> DataFram
     return df.groupBy(*keys).pivot("member", members).agg(F.first("forecast")).join(df.groupBy(*keys).agg(F.max("observed").alias("actual")), keys)
 
 
+def combine_predictions(tables: list[DataFrame], zone: str = "zone", ts: str = "ts") -> DataFrame:
+    """One table of all zones' predictions, in the order of zone and stamp."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out.orderBy(zone, ts)
+
+
+def multi_zone_wide(df: DataFrame, zones: list[str], columns: list[str], zone: str = "zone", ts: str = "ts") -> DataFrame:
+    """One row for each stamp that all zones have, with columns ``<zone>_<column>``; one shuffle for any number of zones."""
+    there = F.count_distinct(F.when(F.col(zone).isin(*zones), F.col(zone)))
+    picks = [F.first(F.when(F.col(zone) == z, F.col(c)), True).alias(f"{z}_{c}") for z in zones for c in columns]
+    return df.groupBy(ts).agg(there.alias("_n"), *picks).where(F.col("_n") == len(zones)).drop("_n")
+
+
+def mixed_kinds(df: DataFrame, member: str = "member", kind: str = "kind") -> DataFrame:
+    """Member kinds of a run beyond the first: a run of several is refused."""
+    kinds = df.groupBy(kind).agg(F.count_distinct(member).alias("members"))
+    return kinds.crossJoin(kinds.agg(F.min(kind).alias("_first"))).where(F.col(kind) != F.col("_first")).drop("_first")
+
+
 def split_joint_forecast(df: DataFrame, keys: list[str], zones: list[str], slots: int = 24, array: str = "joint") -> DataFrame:
     """Rows of ``slots`` times zones values to one row for each zone and slot."""
     d = df.select(*keys, F.posexplode(array).alias("_p", "forecast"))

@@ -66,15 +66,32 @@ def insert_only_merge(base: DataFrame, key: list[str], merged_path: str, conflic
     return merge
 
 
-def running_mae(forecasts: DataFrame, observed: DataFrame, keys: list[str], ts: str = "ts", late: str = "2 hours") -> DataFrame:
-    """MAE so far of each key, from a stream-stream join on key and stamp."""
-    f = forecasts.withWatermark(ts, late).select(*keys, F.col(ts).alias("_tf"), "forecast", *["member"] * ("member" in forecasts.columns))
-    o = observed.withWatermark(ts, late).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(ts).alias("_to"), "observed")
+def running_mae(forecasts: DataFrame, observed: DataFrame, on: list[str], keys: list[str], ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """(keys, mae, n) so far, from a stream-stream join on ``on`` and stamp; the state is one sum and count for each of ``keys``. Each batch gives a row for each key it touched; ``latest`` keeps the last."""
+    f = forecasts.withWatermark(ts, late).select(*on, F.col(ts).alias("_tf"), "forecast")
+    o = observed.withWatermark(ts, late).select(*[F.col(k).alias(f"_{k}") for k in on], F.col(ts).alias("_to"), "observed")
     cond = F.col("_tf") == F.col("_to")
-    for k in keys:
+    for k in on:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
-    j = f.join(o, cond)
-    return j.select(*keys, F.col("_tf").alias(ts), F.abs(F.col("observed") - F.col("forecast")).alias("error"))
+    j = f.join(o, cond).select(*keys, F.abs(F.col("observed") - F.col("forecast")).alias("error")).where("error IS NOT NULL")
+
+    def add(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, n = state.get if state.exists else (0.0, 0)
+        for part in frames:
+            total, n = total + float(part["error"].sum()), n + len(part)
+        state.update((total, n))
+        yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k, strict=True)}, "mae": [total / n], "n": [n]})
+
+    kinds = dict(j.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "mae double, n long"])
+    return j.groupBy(*keys).applyInPandasWithState(add, schema, "total double, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(updates: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The last of each key's updates: the one that counts most rows."""
+    rest = [c for c in updates.columns if c not in (*keys, n, "batch")]
+    g = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), n).alias("_r"), F.max(n).alias(n))
+    return g.select(*keys, *[F.col("_r")[c].alias(c) for c in rest], n)
 
 
 def step_hold(stream: DataFrame, key: str, ts: str = "ts", level: str = "level") -> DataFrame:
@@ -88,13 +105,13 @@ def step_hold(stream: DataFrame, key: str, ts: str = "ts", level: str = "level")
     def hold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, now = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        out = []
-        for t, v in zip(rows[ts], rows[level], strict=True):
-            if pd.notna(v) and (at is None or t >= pd.Timestamp(at)):
-                at, now = t.to_pydatetime(), float(v)
-            out.append(now)
+        new = rows[level] if at is None else rows[level].where(rows[ts] >= pd.Timestamp(at))
+        shown = new.ffill() if now is None else new.ffill().fillna(now)
+        if new.notna().any():
+            i = int(new.notna().to_numpy().nonzero()[0][-1])
+            at, now = rows[ts].iloc[i].to_pydatetime(), float(new.iloc[i])
         state.update((at, now))
-        yield pd.DataFrame({key: k[0], "ts": rows[ts].to_numpy(), "level": pd.array(out, dtype="float64")})
+        yield pd.DataFrame({key: k[0], "ts": rows[ts].to_numpy(), "level": shown.to_numpy(float)})
 
     return stream.groupBy(key).applyInPandasWithState(hold, schema, "at timestamp, level double", "append", GroupStateTimeout.NoTimeout)
 

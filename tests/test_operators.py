@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import checks, features, filters, forecast, grid, impute, scale
+from panelcast.operators import checks, evaluate, features, filters, forecast, grid, impute, scale
 from panelcast.sources import panel
 from panelcast.sources.scratch import new_path
 from panelcast.streaming import panel as stream
@@ -103,8 +103,9 @@ def test_requery_inserts_only(spark):
 
 def test_unknown_zone_and_empty_filters_are_errors(spark):
     dim = panel.zone_dimension(spark)
-    with pytest.raises(ValueError, match="unknown zone"):
-        panel.with_zone(spark.createDataFrame([("XX",)], "zone string"), dim)
+    with pytest.raises(Exception, match="unknown zone XX"):
+        panel.with_zone(spark.createDataFrame([("DK1",), ("XX",)], "zone string"), dim).collect()
+    assert panel.with_zone(spark.createDataFrame([("dk1",)], "zone string"), dim).first()["tz"] == "Europe/Copenhagen"
     with pytest.raises(ValueError, match="nothing left"):
         filters.filter_psr(spark.createDataFrame([("B01",)], "psr_type string"), "B99")
     with pytest.raises(ValueError, match="no rule"):
@@ -154,7 +155,7 @@ def test_lasso_path_meets_its_conditions():
         if top < 1e-6:
             continue  # the end of the path: least squares
         assert np.allclose(np.abs(c[on]), top, rtol=1e-6) and (np.sign(c[on]) == np.sign(w[on])).all()
-    w, b = forecast.lasso_by_aic(x, y)
+    w, b = forecast.lasso_by_aic(x, y[:, None])[0]
     assert abs(w[0] - 3) < 0.6 and np.abs(y - x @ w - b).mean() < 1.2
 
 
@@ -190,3 +191,100 @@ def test_step_hold_stream_and_merge_stream(spark):
     q.awaitTermination()
     assert spark.read.parquet(m).count() == 2 and spark.read.parquet(c).count() == 1
 
+
+def descent(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
+    """LASSO weights by coordinate descent: independent of the path."""
+    w, n = np.zeros(x.shape[1]), len(y)
+    left, size = y.copy(), (x * x).sum(0) / len(y)
+    for _ in range(4000):
+        most = 0.0
+        for j in np.flatnonzero(size > 1e-12):
+            rho = x[:, j] @ left / n + size[j] * w[j]
+            new = np.sign(rho) * max(abs(rho) - alpha, 0) / size[j]
+            if new != w[j]:
+                left -= x[:, j] * (new - w[j])
+                most = max(most, abs(new - w[j]))
+                w[j] = new
+        if most < 1e-12:
+            break
+    return w
+
+
+def brute_forecast(rows: list, day: dt.date, refit: dt.date, window: int, slot: int) -> float:
+    train = [r for r in rows if refit - dt.timedelta(days=window - 7) <= r["day"] < refit]
+    x, y = np.array([r["features"] for r in train]), np.array([r["target"][slot] for r in train])
+    cont = x.shape[1] - 7
+    med = np.median(x[:, :cont], 0)
+    mad = np.median(np.abs(x[:, :cont] - med), 0) / 0.6744897501960817
+    mad[mad == 0] = 1
+    my = np.median(y)
+    sy = np.median(np.abs(y - my)) / 0.6744897501960817 or 1.0
+    scaled = np.hstack([np.arcsinh((x[:, :cont] - med) / mad), x[:, cont:]])
+    xc, ys = scaled - scaled.mean(0), np.arcsinh((y - my) / sy)
+    yc = ys - ys.mean()
+    s2, best = yc.var(), None
+    for knot in forecast.lars_path(xc.T @ xc, xc.T @ yc):
+        w = descent(xc, yc, np.abs(xc.T @ (yc - xc @ knot)).max() / len(yc))
+        aic = ((yc - xc @ w) ** 2).sum() / s2 + 2 * (np.abs(w) > 1e-9).sum()
+        if best is None or aic < best[0] - 1e-9:
+            best = (aic, w)
+    now = np.array(next(r["features"] for r in rows if r["day"] == day))
+    now = np.concatenate([np.arcsinh((now[:cont] - med) / mad), now[cont:]])
+    return float(np.sinh((now - scaled.mean(0)) @ best[1] + ys.mean()) * sy + my)
+
+
+def two_slots(spark, days: int):
+    r = np.random.default_rng(5)
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), [float(v) for v in 20 + 5 * np.sin(i / 3) + r.normal(0, 2, 2)], [float(v) for v in r.normal(3, 1, 2)]) for i in range(days)]
+    return features.lag_features(spark.createDataFrame(rows, "series string, day date, price array<double>, load array<double>"), ["series"], "price", ["load"], (1, 2), (1, 7, 0))
+
+
+@pytest.mark.parametrize(("cadence", "every"), [(1, 1), (7, 1), (1, 5)])
+def test_walk_forward_equals_brute_force(spark, cadence, every):
+    x = two_slots(spark, 75)
+    got = forecast.walk_forward_lasso(x, ["series"], [42], cadence=cadence, every=every).collect()
+    rows = x.orderBy("day").collect()
+    begin = rows[0]["day"] + dt.timedelta(days=42 - 7)
+    want = [r["day"] for r in rows if r["day"] >= begin and (r["day"] - begin).days % every == 0]
+    assert sorted({r["day"] for r in got}) == want and len(got) == 2 * len(want)
+    for r in got[:: 1 if every > 1 else 5]:
+        gap = (r["day"] - begin).days
+        refit = begin + dt.timedelta(days=gap // cadence * cadence)
+        assert abs(r["forecast"] - brute_forecast(rows, r["day"], refit, 42, r["slot"])) < 1e-4, r
+
+
+def test_feature_names_follow_the_features(spark):
+    names = features.feature_names((1, 2), ["load"], (1, 7, 0), 2)
+    assert names[:4] == ["price_D-1_h0", "price_D-2_h0", "price_D-1_h1", "price_D-2_h1"] and names[4:7] == ["load_D-1_h0", "load_D-7_h0", "load_D_h0"]
+    assert len(names) == 17 and len(two_slots(spark, 10).first()["features"]) == 17
+    assert len(features.feature_names((1, 2, 3, 7), ["a", "b"], (1, 7, 0))) == 96 + 72 * 2 + 7
+    blocks = {"A": {"price": (1, 7), "load": (0,)}, "B": {"price": (1,)}}
+    assert features.zone_block_names(blocks, slots=2) == ["weekday", "A_price_D-1_h0", "A_price_D-1_h1", "A_price_D-7_h0", "A_price_D-7_h1", "A_load_D_h0", "A_load_D_h1", "B_price_D-1_h0", "B_price_D-1_h1"]
+    assert features.zone_block_labels(blocks, slots=1) == [("calendar", "calendar"), ("A", "A/price"), ("A", "A/price"), ("A", "A/load"), ("B", "B/price")]
+
+
+def test_collinear_columns_enter_once():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 6))
+    x = np.hstack([x, x[:, :2], np.zeros((60, 1))])
+    xc = x - x.mean(0)
+    y = xc[:, 0] + 0.3 * r.normal(size=60)
+    path = forecast.lars_path(xc.T @ xc, xc.T @ (y - y.mean()))
+    assert np.isfinite(path).all() and len(path) < 60
+    w, b = forecast.lasso_by_aic(x, np.stack([y, np.ones(60)], 1))[0]
+    assert np.abs(y - x @ w - b).mean() < 0.5
+
+
+def test_small_p_values_are_not_lost(spark):
+    d = spark.createDataFrame([("x", "y", float(v)) for v in np.random.default_rng(1).normal(5, 1, 400)], "a string, b string, d double")
+    p = evaluate.dm_test(d, ["a", "b"]).first()["p_value"]
+    assert 0 < p < 1e-300 or p == 0.0  # about exp(-5000): below the least double
+    d = d.withColumn("d", F.col("d") - 4.5)
+    assert 0 < evaluate.dm_test(d, ["a", "b"]).first()["p_value"] < 1e-16
+
+
+def test_requery_rows_of_other_metadata_are_one(spark):
+    s = "zone string, resolution string, ts int, value double, note string"
+    old = spark.createDataFrame([("a", "PT60M", 1, 1.0, "x")], s)
+    new = spark.createDataFrame([("a", "PT60M", 2, 5.0, "x"), ("a", "PT60M", 2, 5.0, "y")], s)
+    assert panel.merge_requery(old, new, ["zone", "resolution", "ts"])[1].count() == 1
