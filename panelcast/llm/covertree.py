@@ -323,7 +323,7 @@ def _levels(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, Da
         sample = mine.where(F.pmod(F.xxhash64(F.lit(rounds), "key"), F.lit(1 << 20)) * F.col("n") <= F.lit(SAMPLE * float(1 << 20)))
         centres = stage(sample.select(*_AT, "n", "vec").repartition(*_AT).sortWithinPartitions(*_AT).mapInArrow(_split, "label long, dim long, node string, n long, centres binary"), "centres")
         # a node's classes are dealt to tasks of some thousand, each with the node's centres first
-        parts = F.ceil(F.col("n") / (8 * CHUNK))
+        parts = F.ceil(F.col("n") / (2 * CHUNK))
         none = lambda k: F.lit(None).cast(k)
         heads = centres.select(*_AT, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("kind"), none("long").alias("key"), none(f"array<{kind}>").alias("vec"), none("long").alias("w"), "centres")
         rows = mine.join(centres.select(*_AT), _AT, "left_semi").select(*_AT, F.pmod(F.xxhash64(F.lit(-1), "key"), parts).alias("part"), F.lit(1).alias("kind"), "key", "vec", "w", none("binary").alias("centres"))

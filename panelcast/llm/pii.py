@@ -1,7 +1,8 @@
 """Replaces personal data by keyed surrogates of the same type and format.
 
 Found: e-mail addresses, phone numbers, card and social security numbers, IPv4
-addresses, access keys, and titled or listed personal names. An entity's canonical
+addresses, access keys, and personal names by title, by a listed given name, or by what
+stands before them ("my name is", "Name:"). An entity's canonical
 form (digits of a number, lower case of an address) is replaced as follows, so that
 one entity has one surrogate everywhere and two never share one:
 
@@ -74,10 +75,11 @@ _PATTERN = regex.compile(
     r"|(?P<card>(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-]))"
     r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.])\+[0-9][0-9 ]{7,16}[0-9](?!\w))"
     rf"|(?P<person>\b(?:(?:(?:{_TITLE})\.? )+|(?P<name>{_GIVEN}) ){_WORD}(?: {_WORD})*\b)"
+    rf"|(?<=\b[Mm]y name is )(?P<person>{_WORD}(?: {_WORD})*\b)|(?<=\b[Nn]ame: )(?P<person>{_WORD}(?: {_WORD})+\b)"
 )
 #: Each entity holds one of these pieces wherever it stands, so a text without them holds nothing.
 _SIGNS = re.compile(r"[@0-9]|A[KS]IA")
-_HEADS = re.compile("|".join(f"{c}(?:{'|'.join(w[1:] for w in ws if w[0] == c)})" for ws in [[t + r"\.? " for t in _TITLE.split("|")] + [g + " " for g in _OF]] for c in sorted({w[0] for w in ws})))
+_HEADS = re.compile("[Mm]y name is |[Nn]ame: |" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in ws if w[0] == c)})" for ws in [[t + r"\.? " for t in _TITLE.split("|")] + [g + " " for g in _OF]] for c in sorted({w[0] for w in ws})))
 
 
 def _round(key: bytes, tag: str, i: int, value: int) -> int:

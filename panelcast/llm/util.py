@@ -40,8 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/panelcast-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelcast-{uuid.uuid4().hex}/{name}"
+    return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has staged: once its results are read or written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

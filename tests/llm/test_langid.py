@@ -82,3 +82,10 @@ def test_equals_brute_force(spark, monkeypatch):
     whole = model.margins(long, ends)
     monkeypatch.setattr(L, "PART", 1 << 20)
     assert np.allclose(whole, model.margins(long, ends), atol=1e-9)
+
+
+def test_clashing_columns(spark):
+    data = [(i, t, lang, s, "p", 0.5, True, 1) for i, t, lang, s in rows(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, p string, score double, held_out boolean, id int")
+    got = L.predict_held_out(df)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "ambiguous"] and got.count() == 60

@@ -126,3 +126,10 @@ def test_clashing_columns(spark):
     got = P.checked(docs, entities_col="found")
     assert got.columns == [*docs.columns, "found"] and tuple(got.first()[c] for c in ("pii", "pii_key", "_pii")) == (7, "x", "y")
     assert P.checked(docs.limit(0)).count() == 0
+
+
+def test_names_by_context():
+    text = "Hi, my name is Zorblax Quendel-Ö'Tra. Name: Ylva Märk, age 3; name: Value; the name: Key value"
+    new, found = P.replace(text, P.KEY, {})
+    assert [e for _, e, _ in found] == ["Zorblax Quendel-Ö'Tra", "Ylva Märk"]
+    assert "Zorblax" not in new and "Ylva" not in new and new.endswith("name: Value; the name: Key value") and len(new) == len(text)
