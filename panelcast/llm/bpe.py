@@ -33,9 +33,9 @@ from panelcast.llm.util import release_memory, stage, tasks
 
 NONE = np.int32(2**31 - 1)
 #: Characters of text of a block and of a row of it, and bytes of pieces that are replayed together.
-BLOCK_CHARS, ROW_CHARS, REPLAY_BYTES = 16 << 20, 1 << 20, 32 << 20
+BLOCK_CHARS, ROW_CHARS, REPLAY_BYTES = 16 << 20, 1 << 20, 6 << 20
 #: Most bytes of text whose pieces make a bucket, and least if that leaves cores idle.
-BUCKET_MOST, BUCKET_LEAST = 256 << 20, 64 << 20
+BUCKET_MOST, BUCKET_LEAST = 128 << 20, 64 << 20
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -106,7 +106,7 @@ class MergeReplay(Decoder):
         starts = np.cumsum(lens) - lens
         n = int(lens.sum())
         tok = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[starts + lens - 1], prv[starts] = n, -1
         pr = np.full(n, NONE, np.int32)
         inner = np.flatnonzero(nxt < n)
@@ -208,13 +208,28 @@ _KINDS = [pa.int64(), pa.int8(), pa.int64(), pa.list_(pa.int64()), pa.binary(),
 _SCHEMA = "block long, kind tinyint, no long, ids array<long>, one binary, two binary, three binary"
 
 
+#: Pieces of a block whose numbers fit one byte; level of compression.
+OFTEN, LEVEL = 255, 3
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
 
 
 def squeeze(a: np.ndarray) -> bytes:
     """Integers of 32 bits, compressed byte by byte: most of their high bytes are alike."""
-    return zstandard.compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), LEVEL)
+
+
+def squeeze_codes(a: np.ndarray) -> tuple[bytes, bytes]:
+    """Piece numbers as bytes below OFTEN, and the rest of them."""
+    return zstandard.compress(np.minimum(a, OFTEN).astype(np.uint8).tobytes(), LEVEL), squeeze(a[a >= OFTEN] - OFTEN)
+
+
+def expand_codes(small: bytes, rest: bytes) -> np.ndarray:
+    a = np.frombuffer(zstandard.decompress(small), np.uint8).astype(np.int64)
+    a[a == OFTEN] = expand(rest).astype(np.int64) + OFTEN
+    return a
 
 
 def expand(raw: bytes) -> np.ndarray:
@@ -228,25 +243,35 @@ def _cut(raw, pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = piece_pattern(pattern).findall, {b.decode(): r for b, r in load_ranks(raw.value).items() if _is_text(b)}
         block, index, size = TaskContext.get().partitionId() << 32, _Index(), 0
-        ids, lens, codes, chars = [], [], [], 0
+        ids, lens, codes, cuts, chars = [], [], [], [0], 0
 
-        def texts() -> pa.RecordBatch:
-            row = (block, TEXT, 0, list(ids), squeeze(np.array(lens, np.uint32)), squeeze(np.concatenate(codes)), None)
-            for x in (ids, lens, codes):
-                x.clear()
-            return _rows([row])
-
-        def end() -> pa.RecordBatch:
+        def end() -> Iterator[pa.RecordBatch]:
+            words = [k.encode() for k in index]
             known = np.fromiter((ranks.get(k, -1) for k in index), np.int64, len(index))
-            new = [k.encode() for k, r in zip(index, known.tolist(), strict=True) if r < 0]
-            no = np.flatnonzero(known < 0)
-            of = np.fromiter((zlib.crc32(w) % buckets for w in new), np.int64, len(new))
-            rows = [(block, KNOWN, 0, None, squeeze((known + 1).astype(np.uint32)), None, None)]
-            for k in np.unique(of).tolist():
-                at = np.flatnonzero(of == k)
-                own = [new[i] for i in at.tolist()]
-                rows.append((block, PIECE, k, None, squeeze(no[at]), squeeze(np.array([len(w) for w in own])), zstandard.compress(b"".join(own), 1)))
-            return _rows(rows)
+            of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            # frequent pieces come first, all others by bucket and bytes: both compress well
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")[:OFTEN]
+            rest = np.ones(len(words), bool)
+            rest[often] = False
+            rest = sorted(np.flatnonzero(rest).tolist(), key=lambda i: (of[i], words[i]))
+            order = np.concatenate([often, np.array(rest, np.int64)])
+            number = np.empty_like(order)
+            number[order] = np.arange(len(order))
+            rows = [(block, KNOWN, 0, None, squeeze(known[order] + 1), None, None)]
+            new = order[known[order] < 0]
+            for k in np.unique(of[new]).tolist():
+                at = new[of[new] == k]
+                own = [words[i] for i in at.tolist()]
+                rows.append((block, PIECE, k, None, squeeze(number[at]), squeeze(np.array([len(w) for w in own])), zstandard.compress(b"".join(own), LEVEL)))
+            yield _rows(rows)
+            ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+            for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                if i < j:
+                    yield _rows([(block, TEXT, i, ids[i:j], squeeze(np.array(lens[i:j])), *squeeze_codes(number[flat[ends[i] : ends[j]]]))])
+            for x in (ids, lens, codes, index):
+                x.clear()
+            cuts[:] = [0]
 
         for rows in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
             for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
@@ -256,18 +281,13 @@ def _cut(raw, pattern: str, buckets: int):
                 codes.append(np.fromiter(map(index.__getitem__, p), np.uint32, len(p)))
                 size, chars = size + len(t or ""), chars + len(t or "")
                 if chars > ROW_CHARS:
-                    yield texts()
+                    cuts.append(len(ids))
                     chars = 0
                 if size > BLOCK_CHARS:
-                    if ids:
-                        yield texts()
-                    yield end()
-                    block, index, size, chars = block + 1, _Index(), 0, 0
+                    yield from end()
+                    block, size, chars = block + 1, 0, 0
         if ids:
-            yield texts()
-        if index:
-            yield end()
-        index.clear()
+            yield from end()
         release_memory()
 
     return run
@@ -307,9 +327,10 @@ def _encode_pieces(raw):
                 if held and (no != now or size > REPLAY_BYTES):
                     yield flush()
                     held, index, size = [], {}, 0
-                flat, now = zstandard.decompress(flat), no
-                words, size = _split(flat, expand(lens)), size + len(flat)
+                lens, now, before = expand(lens), no, len(index)
+                words = _split(zstandard.decompress(flat), lens)
                 at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+                size += int(lens[at >= before].sum())
                 held.append((block, no, numbers, at))
         if held:
             yield flush()
@@ -337,7 +358,7 @@ def _put_together(raw, decode: bool):
                 else:
                     joined = joined or _joined(known, pieces)
                     toks, first, lens = joined
-                    d, of = expand(two), expand(one).astype(np.int64)
+                    d, of = expand_codes(two, three), expand(one).astype(np.int64)
                     c = lens[d]
                     e = np.cumsum(c)
                     all_ids = toks[np.arange(int(e[-1]) if len(e) else 0) + np.repeat(first[d] - (e - c), c)]
