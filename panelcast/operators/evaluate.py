@@ -116,6 +116,26 @@ def pairwise_matrix(tests: DataFrame, keys: list[str], members: list[str], p: st
     return tests.where("a <> b").select(*keys, "a", "b", p).unionByName(own).groupBy(*keys, "a").pivot("b", members).agg(F.first(p))
 
 
+def evaluate_run(members: DataFrame, keys: list[str], ts: str = "ts", member: str = "member", slots: int = 24, least: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, tests, predictions) of a run of several members (keys, ts, day, slot, member, observed, forecast).
+
+    The ensemble is the mean of the days that all members have whole. Scores by member
+    and for the ensemble are on these days; tests compare each pair, the ensemble among
+    them, on those of the days that are observed whole; predictions are the ensemble's hours.
+    """
+    n = members.groupBy(*keys).agg(F.count_distinct(member).alias("_all"))
+    whole = fc.complete_days(members, [*keys, member], slots).groupBy(*keys, "day").agg(F.count("*").alias("_k"))
+    days = whole.join(n, keys).where("_k = _all").select(*keys, "day")
+    own = members.join(days, [*keys, "day"], "left_semi")
+    at = [*keys, ts, "day", "slot"]
+    e = own.groupBy(*at).agg(F.avg("forecast").alias("forecast"), F.max("observed").alias("observed"))
+    cols = [*at, member, "forecast", "observed"]
+    every = own.select(cols).unionByName(e.withColumn(member, F.lit("ensemble")).select(cols))
+    seen = e.groupBy(*keys, "day").agg(F.count("observed").alias("_n")).where(F.col("_n") == slots)
+    pairs = loss_pairs(every.join(seen, [*keys, "day"], "left_semi").drop(ts), keys, ["day", "slot"], 1, member)
+    return scores(every, [*keys, member]), compare(pairs, [*keys, "a", "b"], least=least), e.select(*keys, ts, "forecast", "observed")
+
+
 def real_prices(df: DataFrame, keys: list[str], days: DataFrame, ts: str = "ts", value: str = "value", slots: int = 24) -> DataFrame:
     """(keys, day, slots): the actual values of the days asked for, as arrays by hour; missing hours are null."""
     return grid.day_matrix(df, keys, ts, value, slots).join(days.select("day").distinct(), "day", "left_semi")

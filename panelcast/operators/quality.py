@@ -151,6 +151,13 @@ def hold_report(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "va
     return r.groupBy(*keys).agg(F.count_distinct("_v").alias("levels"), F.count("*").alias("runs"), F.median("held").alias("median_held"), F.max("held").alias("max_held"))
 
 
+def imputation_report(df: DataFrame, keys: list[str], methods: list[str], method: str = "method", observed: str = "observed", unfilled: str = "unfilled") -> DataFrame:
+    """Of each key: hours, hours not observed and their share, hours by each method, hours left unfilled."""
+    counts = [F.sum((F.col(method) == m).cast("int")).alias(m) for m in methods]
+    g = df.groupBy(*keys).agg(F.count("*").alias("hours"), F.sum((F.col(method) != observed).cast("int")).alias("missing"), *counts, F.sum((F.col(method) == unfilled).cast("int")).alias("unfilled"))
+    return g.withColumn("share", F.col("missing") / F.col("hours"))
+
+
 def summary_join(keys: list[str], *reports: DataFrame) -> DataFrame:
     """Full outer join of reports on their keys."""
     out = reports[0]

@@ -406,9 +406,12 @@ def _(spark, d):
     return r6(impute.impute_cascade(V.gridded(spark, d), ["series"]).select("series", "ts", "value", "method"), "value")
 
 
-@register("q17_imputation_report", f"WITH {V.GRIDDED}, {CASCADE} SELECT series, method, count(*) AS n FROM cas GROUP BY ALL")
+METHODS = ["ffill", "weekly_shift", "daily_shift", "hour_median"]
+
+
+@register("q17_imputation_report", f"WITH {V.GRIDDED}, {CASCADE} SELECT series, count(*) AS hours, CAST(count(*) FILTER (method <> 'observed') AS BIGINT) AS missing, round(count(*) FILTER (method <> 'observed') / count(*), 9) AS share, " + ", ".join(f"CAST(count(*) FILTER (method = '{m}') AS BIGINT) AS {m}" for m in [*METHODS, "unfilled"]) + " FROM cas GROUP BY 1")
 def _(spark, d):
-    return impute.impute_cascade(V.gridded(spark, d), ["series"]).groupBy("series", "method").agg(F.count("*").alias("n"))
+    return quality.imputation_report(impute.impute_cascade(V.gridded(spark, d), ["series"]), ["series"], METHODS).withColumn("share", F.round("share", 9))
 
 
 @register("i9_trim_to_first_complete_day", f"WITH {V.GRIDDED}, {_shifts(24, 3, 'gridded')}, z AS (SELECT *, 'all' AS zone FROM s24_3), k AS (SELECT zone, CAST(ts AS DATE) AS day, series, count(value) = 24 AS ok FROM z GROUP BY ALL), f AS (SELECT zone, min(day) AS first FROM (SELECT zone, day FROM k GROUP BY ALL HAVING count(*) FILTER (ok) = (SELECT count(DISTINCT series) FROM z)) GROUP BY 1) SELECT series, ts FROM z JOIN f USING (zone) WHERE CAST(ts AS DATE) >= first")

@@ -50,7 +50,7 @@ POINTS = "p AS (SELECT event_type AS zone, CAST(ts AS DATE)::TIMESTAMP AS start,
 
 @register("s5_expand_sparse_points", f"WITH {POINTS}, g AS (SELECT zone, start, unnest(range(1, 25)) AS slot FROM (SELECT DISTINCT zone, start FROM p)), j AS (SELECT g.zone, g.start, CAST(slot AS INTEGER) AS slot, last_value(value IGNORE NULLS) OVER (PARTITION BY g.zone, g.start ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM g LEFT JOIN p ON p.zone = g.zone AND p.start = g.start AND p.position = g.slot) SELECT zone, slot, start + (slot - 1) * INTERVAL 1 HOUR AS ts, value FROM j WHERE value IS NOT NULL")
 def _(spark, d):
-    e = V.table(spark, d, "events").where("event_id % 3 = 0")
+    e = V.table(spark, d, "events").where("event_id % 3 = 0")  # makes the gaps that are filled here
     p = e.groupBy(F.col("event_type").alias("zone"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), (F.hour("ts") + 1).alias("position")).agg(F.max("value").alias("value"))
     p = p.withColumns({"end": F.col("start") + F.expr("interval 1 day"), "resolution": F.lit("PT60M")})
     return panel.expand_sparse_points(p, ["zone"]).select("zone", "slot", "ts", "value")

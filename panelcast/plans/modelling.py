@@ -262,15 +262,18 @@ def _(spark, d):
     return r6(evaluate.scores(members(spark, d), KSM), "mae", "rmse", "mape", "smape")
 
 
-def _relative(name: str, m: str | None, tag: str):
+def _relative(name: str, m: str | None, tag: str, before: str | None = None):
     cond = {"D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", None: WEEKEND}[m]
 
-    @register(name, f"WITH {MEMBERS}, n AS (SELECT series, avg(abs(observed - forecast)) AS nm FROM ({_naive('x', cond)}) GROUP BY 1) SELECT fc.series, member, round(avg(abs(observed - forecast)) / min(nm), 6) AS {tag} FROM fc JOIN n ON n.series = fc.series GROUP BY fc.series, member")
+    @register(name, f"WITH {MEMBERS}, n AS (SELECT series, avg(abs(observed - forecast)) AS nm FROM ({_naive('x', cond)}){f" WHERE ts < TIMESTAMP '{before}'" if before else ''} GROUP BY 1) SELECT fc.series, member, round(avg(abs(observed - forecast)) / min(nm), 6) AS {tag} FROM fc JOIN n ON n.series = fc.series GROUP BY fc.series, member")
     def _(spark, d):
-        return r6(evaluate.relative_mae(members(spark, d), filled(spark, d), KS, ["member"], m, tag), tag)
+        panel = filled(spark, d)
+        if before:
+            panel = panel.where(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
+        return r6(evaluate.relative_mae(members(spark, d), panel, KS, ["member"], m, tag), tag)
 
 
-_relative("e5_mase", "D", "mase")
+_relative("e5_mase", "D", "mase", "2024-01-16")
 _relative("e6_rmae", None, "rmae")
 _relative("e7_rmae_weekly", "W", "rmae")
 
@@ -319,8 +322,9 @@ def _(spark, d):
     return r6(evaluate.pairwise_matrix(t, KS, list("DNW")), *"DNW")
 
 
+PAIRED = "lp2 AS (SELECT x.series, x.day, x.slot, x.member AS a, y.member AS b, abs(x.observed - x.forecast) - abs(y.observed - y.forecast) AS d FROM fc2 x JOIN fc2 y ON x.series = y.series AND x.ts = y.ts AND x.member <> y.member), ld2 AS (SELECT series, a, b, day, avg(d) AS d FROM lp2 GROUP BY ALL), "
 #: Two members, one of them twice under another name, so that identical forecasts occur.
-TWINS = "fc2 AS (SELECT series, ts, member, observed, forecast, day, slot FROM fc UNION ALL SELECT series, ts, 'D2', observed, forecast, day, slot FROM fc WHERE member = 'D'), lp2 AS (SELECT x.series, x.day, x.slot, x.member AS a, y.member AS b, abs(x.observed - x.forecast) - abs(y.observed - y.forecast) AS d FROM fc2 x JOIN fc2 y ON x.series = y.series AND x.ts = y.ts AND x.member <> y.member), ld2 AS (SELECT series, a, b, day, avg(d) AS d FROM lp2 GROUP BY ALL), "
+TWINS = "fc2 AS (SELECT series, ts, member, observed, forecast, day, slot FROM fc UNION ALL SELECT series, ts, 'D2', observed, forecast, day, slot FROM fc WHERE member = 'D'), " + PAIRED
 CMP = "dmt AS (SELECT series, a, b, count(*) AS days, max(abs(d)) AS top, CASE WHEN var_pop(d) > 0 THEN avg(d) / sqrt(var_pop(d) / count(*)) END AS dm FROM ld2 GROUP BY ALL), gwt AS (" + GW.format(p="series, a, b", t="ld2", m="avg(d) FILTER (l IS NOT NULL)").replace("lg AS", "WITH lg AS", 1).replace("/ (c11 * c22 - c12 * c12) AS stat", "/ nullif(c11 * c22 - c12 * c12, 0) AS stat").replace("round(stat, 5) AS stat, round(CASE WHEN stat >= 0 THEN exp(-stat / 2) ELSE 1 END, 5) AS p_value", "stat, CASE WHEN stat >= 0 THEN exp(-stat / 2) WHEN stat < 0 THEN 1 END AS p") + "), cmp AS (SELECT dmt.series, dmt.a, dmt.b, days, dm, gwt.stat AS gw, gwt.p AS gwp, CASE WHEN top = 0 THEN 'identical forecasts' WHEN days < {n} THEN 'too few days' WHEN dm IS NULL OR gwt.stat IS NULL THEN 'degenerate' END AS reason FROM dmt JOIN gwt ON dmt.series = gwt.series AND dmt.a = gwt.a AND dmt.b = gwt.b) SELECT series, a, b, days, reason, round(CASE WHEN reason IS NULL THEN dm END, 5) AS dm_stat, round(CASE WHEN reason IS NULL THEN {p} END, 6) AS dm_p, round(CASE WHEN reason IS NULL THEN gw END, 5) AS gw_stat, round(CASE WHEN reason IS NULL THEN gwp END, 6) AS gw_p FROM cmp"
 
 

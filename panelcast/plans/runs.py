@@ -9,15 +9,20 @@ from panelcast.operators import checks, clean, evaluate, features, forecast, gri
 from panelcast.plans import modelling as M
 from panelcast.plans import views as V
 from panelcast.plans.registry import register
-from panelcast.plans.views import CPH, YEAR, ZONES, r6
+from panelcast.plans.views import CPH, YEAR, r6, sf
+from panelcast.sources import panel
+from panelcast.sources.scratch import new_path, stage
 
 ZV = ["zone", "variable"]
 DD = "dd AS (SELECT zone, variable, resolution, ts, arg_min(value, ingest_seq) AS value FROM raw GROUP BY ALL)"
 
 
-@register("i11_clean_v1", f"WITH {V.RAW}, {DD}, nc AS (SELECT zone, variable FROM dd GROUP BY ALL HAVING avg(CASE WHEN abs(value) < 1e-9 THEN 1.0 ELSE 0.0 END) * 100 <= 90), z AS (SELECT min(m) AS cutoff FROM (SELECT zone, max(ts) AS m FROM dd GROUP BY 1)) SELECT zone, variable, date_trunc('hour', ts) AS hour, round(avg(value), 6) AS value, count(value) AS slots FROM dd JOIN nc USING (zone, variable), z WHERE ts <= cutoff GROUP BY ALL")
+@register("i11_clean_v1", f"WITH {V.RAW}, {DD}, uw AS (SELECT * FROM dd WHERE NOT (zone = 'error' AND variable = 'price')), nc AS (SELECT zone, variable FROM uw GROUP BY ALL HAVING avg(CASE WHEN abs(value) < 1e-9 THEN 1.0 ELSE 0.0 END) * 100 <= 90), z AS (SELECT min(m) AS cutoff FROM (SELECT zone, max(ts) AS m FROM uw JOIN nc USING (zone, variable) GROUP BY 1)), o AS (SELECT zone, variable, date_trunc('hour', ts) AS hour, avg(value) AS value, count(value) AS slots FROM uw JOIN nc USING (zone, variable), z WHERE ts <= cutoff GROUP BY ALL), g AS (SELECT zone, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM o GROUP BY 1), lv AS (SELECT zone, date_trunc('week', ts) + INTERVAL 7 DAY AS hour, max(value) AS level FROM raw GROUP BY ALL) SELECT zone, variable, hour, round(value, 6) AS value, slots FROM o UNION ALL SELECT g.zone, 'stock', g.hour, round(lv.level, 6), 0 FROM g ASOF JOIN lv ON g.zone = lv.zone AND g.hour >= lv.hour")
 def _(spark, d):
-    return r6(clean.clean_v1(V.raw(spark, d), ZV), "value")
+    raw = V.raw(spark, d)
+    unwanted = spark.createDataFrame([("error", "price")], "zone string, variable string")
+    levels = raw.groupBy("zone", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("level_ts")).agg(F.max("value").alias("level")).withColumn("variable", F.lit("stock"))
+    return r6(clean.clean_v1(raw, ZV, unwanted=unwanted, stepped=levels), "value")
 
 
 #: Cleaning as a whole: late and unwanted series go, loads take the week before, prices are regressed on another zone's, days become local.
@@ -77,20 +82,18 @@ def _(spark, d):
     return grid.coverage_vs_grid(h, ["series"], "Europe/Copenhagen", max_gap=1)
 
 
-@register("s15_read_members", f"WITH {M.MEMBERS} SELECT member, series, day FROM fc WHERE NOT (day(ts) % 4 = 0 AND slot = 3) GROUP BY ALL HAVING count(forecast) = 24")
+@register("s15_read_members", f"WITH {M.MEMBERS}, k AS (SELECT member, series, day FROM fc WHERE NOT (day(ts) % 4 = 0 AND slot = 3) GROUP BY ALL HAVING count(forecast) = 24) SELECT fc.member, fc.series, fc.day, CAST(fc.slot AS INTEGER) AS slot, round(forecast, 6) AS forecast FROM fc JOIN k ON k.member = fc.member AND k.series = fc.series AND k.day = fc.day")
 def _(spark, d):
-    m = M.members(spark, d).where("NOT (day(day) % 4 = 0 AND slot = 3)")
-    return forecast.complete_days(m, ["member", "series"])
+    path = new_path(spark, "members")
+    m = M.members(spark, d).where("NOT (day(day) % 4 = 0 AND slot = 3)").withColumn("kind", F.lit("window"))
+    panel.write_members(m.select("kind", "member", "series", "day", "slot", "forecast"), path)
+    return r6(panel.read_members(spark, path, ["series"]).select("member", "series", "day", "slot", "forecast"), "forecast")
 
 
 @register("s16_hourly_predictions", f"WITH {M.MEMBERS}, e AS (SELECT series, ts, avg(forecast) AS forecast FROM fc GROUP BY ALL) SELECT e.series, e.ts, round(e.forecast, 6) AS forecast, round(h.value, 6) AS observed FROM e LEFT JOIN hourly h ON h.series = e.series AND h.ts = e.ts")
 def _(spark, d):
-    e = forecast.ensemble_mean(M.members(spark, d), ["series", "ts"])
-    days = features.day_arrays(e, ["series"], ["ensemble"]).withColumnRenamed("ensemble", "slots")
-    flat = grid.flatten_day_matrix(days, ["series"]).withColumnRenamed("value", "forecast")
-    part = e.withColumnRenamed("ensemble", "forecast")
-    rest = part.join(flat.select("series", "ts"), ["series", "ts"], "left_anti")
-    return r6(flat.unionByName(rest).join(V.hourly(spark, d).withColumnRenamed("value", "observed"), ["series", "ts"], "left"), "forecast", "observed")
+    days = grid.day_matrix(forecast.ensemble_mean(M.members(spark, d), ["series", "ts"]), ["series"], "ts", "ensemble")
+    return r6(panel.hourly_predictions(days, V.hourly(spark, d).withColumnRenamed("value", "observed"), ["series"]), "forecast", "observed")
 
 
 @register("m4_walk_forward_ols", f"WITH {M.FILLED}, x AS (SELECT a.series, a.ts, CAST(a.ts AS DATE) AS day, a.value AS y, b.value AS x FROM filled a JOIN filled b ON a.series = b.series AND b.ts = a.ts - INTERVAL 1 DAY), s AS (SELECT a.series, a.day, regr_slope(h.y, h.x) AS sl, regr_intercept(h.y, h.x) AS ic FROM (SELECT DISTINCT series, day FROM x) a JOIN x h ON h.series = a.series AND h.day < a.day AND h.day >= a.day - 10 GROUP BY ALL) SELECT x.series, x.ts, round(ic + sl * x, 5) AS forecast FROM x LEFT JOIN s USING (series, day)")
@@ -105,14 +108,32 @@ def _(spark, d):
     return forecast.walk_forward_lasso(x, ["series"], [14], cadence=7)
 
 
-@register("e15_evaluate_run", f"WITH {M.MEMBERS}, full_days AS (SELECT series, day FROM (SELECT series, member, day FROM fc GROUP BY ALL HAVING count(forecast) = 24 AND count(observed) = 24) GROUP BY ALL HAVING count(*) = 3), en AS (SELECT series, ts, day, 'ensemble' AS member, avg(forecast) AS forecast, max(observed) AS observed FROM fc GROUP BY ALL), al AS (SELECT series, day, member, forecast, observed FROM fc UNION ALL SELECT series, day, member, forecast, observed FROM en) SELECT series, member, round(avg(abs(observed - forecast)), 6) AS mae, round(sqrt(avg((observed - forecast) ** 2)), 6) AS rmse, count(*) AS hours_scored FROM al JOIN full_days USING (series, day) GROUP BY ALL")
-def _(spark, d):
+EVERY = "full_days AS (SELECT series, day FROM (SELECT series, member, day FROM fc GROUP BY ALL HAVING count(forecast) = 24) GROUP BY ALL HAVING count(*) = 3), own AS (SELECT fc.* FROM fc JOIN full_days USING (series, day)), en AS (SELECT series, ts, day, slot, 'ensemble' AS member, avg(forecast) AS forecast, max(observed) AS observed FROM own GROUP BY ALL), al AS (SELECT series, ts, day, slot, member, forecast, observed FROM own UNION ALL SELECT series, ts, day, slot, member, forecast, observed FROM en)"
+#: The ensemble's hours of every sixth slot of every fifth day count as unobserved.
+BLIND = "fc AS (SELECT * REPLACE (CASE WHEN day(ts) % 5 = 0 AND slot % 6 = 0 THEN NULL ELSE observed END AS observed) FROM fc0)"
+BLINDED = M.MEMBERS.replace("fc AS (", "fc0 AS (") + ", " + BLIND
+
+
+def _run(spark, d):
     m = M.members(spark, d)
-    common = forecast.complete_days(m, ["series", "member"]).groupBy("series", "day").agg(F.count("*").alias("k")).where("k = 3").select("series", "day")
-    e = m.groupBy("series", "ts", "day").agg(F.avg("forecast").alias("forecast"), F.max("observed").alias("observed")).withColumn("member", F.lit("ensemble"))
-    cols = ["series", "day", "member", "forecast", "observed"]
-    both = m.select(cols).unionByName(e.select(cols)).join(common, ["series", "day"], "left_semi")
-    return r6(evaluate.scores(both, ["series", "member"]).select("series", "member", "mae", "rmse", "hours_scored"), "mae", "rmse")
+    m = m.withColumn("observed", F.when(~((F.dayofmonth("ts") % 5 == 0) & (F.col("slot") % 6 == 0)), F.col("observed")))
+    return evaluate.evaluate_run(stage(m, "members"), ["series"], least=10)
+
+
+@register("e15_evaluate_run", f"WITH {BLINDED}, {EVERY} SELECT series, member, round(avg(abs(observed - forecast)), 6) AS mae, round(sqrt(avg((observed - forecast) ** 2)), 6) AS rmse, round(CASE WHEN NOT bool_or(observed = 0) THEN avg(abs(observed - forecast) / abs(observed)) END, 6) AS mape, round(avg(abs(observed - forecast) / ((abs(observed) + abs(forecast)) / 2)), 6) AS smape, count(*) AS hours_scored FROM al WHERE observed IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    return r6(_run(spark, d)[0], "mae", "rmse", "mape", "smape")
+
+
+@register("e15_run_tests", f"WITH {BLINDED}, {EVERY}, seen AS (SELECT series, day FROM en GROUP BY ALL HAVING count(observed) = 24), fc2 AS (SELECT al.* FROM al JOIN seen USING (series, day)), {M.PAIRED}" + M.CMP.replace("{n}", "10").replace("{p}", sf("dm")))
+def _(spark, d):
+    c = _run(spark, d)[1]
+    return c.select("series", "a", "b", "days", "reason", *[F.round(x, 5 if x.endswith("stat") else 6).alias(x) for x in ("dm_stat", "dm_p", "gw_stat", "gw_p")])
+
+
+@register("e15_run_predictions", f"WITH {BLINDED}, {EVERY} SELECT series, ts, round(forecast, 6) AS forecast, round(observed, 6) AS observed FROM en")
+def _(spark, d):
+    return r6(_run(spark, d)[2], "forecast", "observed")
 
 
 @register("v5_early_levels", f"WITH {V.GRIDDED}, w AS (SELECT series, min(date_trunc('week', ts)) + INTERVAL 7 DAY AS first FROM hourly GROUP BY 1), s AS (SELECT series, date_trunc('week', ts) + INTERVAL 3 DAY AS ts, max(value) AS level FROM hourly GROUP BY ALL), h AS (SELECT g.series, g.ts, s.level FROM gridded g ASOF LEFT JOIN s ON g.series = s.series AND g.ts >= s.ts) SELECT h.series, h.ts FROM h JOIN w USING (series) WHERE level IS NOT NULL AND h.ts < first")

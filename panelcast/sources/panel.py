@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.operators import grid
+
 #: Columns of a raw panel; key: zone, variable, psr_type, resolution, timestamp_utc.
 RAW_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("zone", "eic", "variable", "document_type", "process_type")]
@@ -241,6 +243,27 @@ def multi_zone_wide(df: DataFrame, zones: list[str], columns: list[str], zone: s
     return df.groupBy(ts).agg(there.alias("_n"), *picks).where(F.col("_n") == len(zones)).drop("_n")
 
 
+def hourly_predictions(days: DataFrame, observed: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """Day arrays of an ensemble (keys, day, slots) to hours (keys, ts, forecast, observed); unobserved hours stay null."""
+    flat = grid.flatten_day_matrix(days, keys).withColumnRenamed("value", "forecast").where("forecast IS NOT NULL")
+    return flat.join(observed.select(*keys, F.col(ts).alias("ts"), "observed"), [*keys, "ts"], "left")
+
+
+def write_members(df: DataFrame, path: str) -> None:
+    """Member forecasts (kind, member, day, slot, forecast, ...), one folder for each member."""
+    df.write.partitionBy("kind", "member").parquet(path)
+
+
+def read_members(spark: SparkSession, path: str, keys: list[str], slots: int = 24) -> DataFrame:
+    """Forecasts of a run's members on the days each has whole. A run of several kinds of members is an error; its folders tell."""
+    df = spark.read.parquet(path)
+    kinds = [r[0] for r in df.select("kind").distinct().limit(2).collect()]
+    if len(kinds) > 1:
+        raise ValueError(f"members of several kinds: {sorted(kinds)}")
+    whole = df.groupBy("member", *keys, "day").agg(F.count("forecast").alias("_n")).where(F.col("_n") == slots)
+    return df.join(whole, ["member", *keys, "day"], "left_semi")
+
+
 def mixed_kinds(df: DataFrame, member: str = "member", kind: str = "kind") -> DataFrame:
     """Member kinds of a run beyond the first: a run of several is refused."""
     kinds = df.groupBy(kind).agg(F.count_distinct(member).alias("members"))
