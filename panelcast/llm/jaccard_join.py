@@ -13,11 +13,13 @@ Steps: (1) one pass gives each text's set size and signature (texts with equal
 sets form one class) and counts of shingles that repeat within a task, which give
 the order; (2) a second pass finds the shingles that many prefixes hold, which move
 back in the order, and a third writes each class's prefix; (3) postings with one class
-go, short posting lists give pairs, each counted; members of a long list are compared
-with the list's hub (its smallest class), in parts of bounded size; (4) those that do
-not link with the hub may still link with another member, so they are compared with
-all, in tiles of bounded size, each one product of incidence matrices; (5) connected
-components. The order only affects speed, never the result.
+go, short posting lists give pairs, each counted; members of long lists go to the
+list's hub (its smallest class), so that no list is multiplied out; (4) the sets of a
+hub's group meet in a tile, one product of incidence matrices. In a group too large for
+that, members are first compared with the hub alone, in parts of bounded size; those
+that do not link with it may still link with another member, so they are compared with
+all, in tiles of bounded size; (5) connected components. The order only affects speed,
+never the result.
 
 A class is named by a 64-bit signature; where two sets share one, which a second
 signature tells, these classes are named by the second.
@@ -39,8 +41,8 @@ from panelcast.llm.util import connected_components, fresh, join_hot, release_me
 MOST_BITS, PER_BUCKET, LEAST = 24, 16, 6
 #: Posting lists up to this many classes give pairs; longer ones go to hubs.
 SHORT = 16
-#: Least and most classes and most shingles of one side of a tile, and most prefix matches asked for.
-LEAST_BLOCK, BLOCK, BLOCK_SHINGLES, MOST_ELL = 128, 2048, 1_000_000, 16
+#: Most classes and shingles of a block of a group, and most prefix matches asked for.
+BLOCK, BLOCK_SHINGLES, MOST_ELL = 1024, 1_000_000, 16
 #: Cost of one verification in postings, for each 100 shingles.
 VERIFY = 4.0
 #: Bits for each text in the filter of those whose sets are wanted, and most bits in all as a power of two.
@@ -188,7 +190,10 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def verify_tile(ia: np.ndarray, a: list[np.ndarray], ib: np.ndarray, b: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between two lists of sets, as many as connect what all links connect: a spanning forest."""
+    """Links between two lists of sets, as many as connect what all links connect: a spanning forest. Members of both lists link with none of their own."""
+    if len(ia) == 2 and len(ib) == 2 and (ia == ib).all():
+        c = len(np.intersect1d(*a, assume_unique=True))
+        return [(int(ia[0]), int(ia[1]))] if den * c >= num * (len(a[0]) + len(a[1]) - c) else []
     na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
     common = common_counts(a, b)
     links = (den * common >= num * (na[:, None] + nb[None, :] - common)) & (ia[:, None] != ib[None, :])
@@ -233,7 +238,7 @@ def _verify_hubs(num: int, den: int):
 
 
 def _verify_tiles(num: int, den: int):
-    """Rows (hub, i, j, side, node, shingles) of a tile stand together; its links are found as it ends."""
+    """Rows (hub, i, j, side, node, shingles) of a tile stand together (side 2: on both sides); its links are found as it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, ({}, {}), []
@@ -249,7 +254,8 @@ def _verify_tiles(num: int, den: int):
                 if (hub, i, j) != now:
                     done()
                     now = (hub, i, j)
-                held[side][node] = b
+                for x in (0, 1) if side == 2 else (side,):
+                    held[x][node] = b
             if len(out) > 10_000:
                 yield _pairs(out)
                 out.clear()
@@ -320,7 +326,6 @@ def linked_rows(docs: DataFrame, carry: list[str], text_col: str = "text", k: in
         flags[first : first + 4096] = np.frombuffer(m["bits"], np.uint8)
     flt = spark.sparkContext.broadcast(flags)
     sets = d.select(text, slot(*carry).alias("slot")).mapInArrow(lambda it: _wanted_sets(k, flt.value, shared)(it), "node long, shingles binary")
-    sets = stage(wanted.join(sets, "node").dropDuplicates(["node"]), "sets")
     links = _links(routes, sets, reps.select("node", "n"), num, den)
     comp = connected_components(links)
     out = rows.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
@@ -344,27 +349,42 @@ def _short_pairs(short: DataFrame, num: int, den: int) -> DataFrame:
 def _links(routes: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Links that connect what all links among the routes' classes connect: (a, b)."""
     m = routes.join(sizes, "node").groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    parts = F.greatest(F.ceil(F.col("m") / (2 * LEAST_BLOCK)), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    m = stage(m.withColumn("parts", parts), "hubs")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    members = routes.join(m.select("hub", "parts"), "hub").select("hub", part.alias("part"), F.lit(1).alias("kind"), "node")
-    heads = m.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
-    sent = members.unionByName(heads).join(sets, "node").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    blocks = lambda m, t: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(t) / BLOCK_SHINGLES)).cast("long")
+    m = stage(m.select("hub", blocks("m", "total").alias("parts")), "hubs")
+    small = m.where("parts = 1").select("hub")
+    one = routes.join(small, "hub").select("hub", "node").unionByName(small.select("hub", F.col("hub").alias("node")))
+    zero = F.lit(0).cast("long")
+    links = _tiles(one.select("hub", zero.alias("i"), zero.alias("j"), F.lit(2).alias("side"), "node"), sets, num, den, "tile-links")
+    m = m.where("parts > 1")
+    if not m.limit(1).count():
+        return links
+    # large groups: first the hub with each member
+    members = stage(routes.join(m, "hub").select("hub", "parts", "node", "long"), "large-groups")
+    nodes = members.select("node").union(m.select("hub")).distinct()
+    sets = stage(nodes.join(sets, "node").dropDuplicates(["node"]), "sets")
+    stars = members.select("hub", F.pmod(F.xxhash64("node"), 4 * F.col("parts")).alias("part"), F.lit(1).alias("kind"), "node")
+    heads = m.select("hub", F.explode(F.sequence(zero, 4 * F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("node"))
+    sent = stars.unionByName(heads).join(sets, "node").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
     near = stage(sent.select("hub", "kind", "node", "shingles").mapInArrow(_verify_hubs(num, den), "a long, b long"), "hub-links")
-    # members of long lists that do not link with their hub meet all others of the list
-    group = routes.where("long").join(near.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("near")), ["hub", "node"], "left")
+    # then those of long lists that stay apart from it with all others of these lists
+    group = members.where("long").join(near.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("near")), ["hub", "node"], "left")
     group = stage(group.select("hub", "node", F.col("near").isNull().alias("apart")).join(sizes, "node"), "groups")
-    g = group.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.col("apart").cast("int")).alias("ma"), F.sum(F.when(F.col("apart"), F.col("n"))).alias("ta")).where("ma > 0 AND m > 1")
-    most = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST_BLOCK), 8 * F.sqrt("m")))
-    blocks = lambda m, t: F.greatest(F.ceil(F.col(m) / most), F.ceil(F.col(t) / BLOCK_SHINGLES)).cast("long")
-    g = stage(g.select("hub", blocks("ma", "ta").alias("ni"), blocks("m", "total").alias("nj")), "tiles")
-    x = group.join(g, "hub").withColumn("h", F.xxhash64("node"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    rows = x.where("apart").select("hub", F.pmod("h", "ni").alias("i"), F.explode(upto("nj")).alias("j"), F.lit(0).alias("side"), "node")
-    cols = x.select("hub", F.explode(upto("ni")).alias("i"), F.pmod("h", "nj").alias("j"), F.lit(1).alias("side"), "node")
-    sent = rows.unionByName(cols).join(sets, "node").select("hub", "i", "j", "side", "node", "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    far = stage(sent.mapInArrow(_verify_tiles(num, den), "a long, b long"), "tile-links")
-    return near.unionByName(far)
+    g = group.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max("apart").alias("any")).where("any AND m > 1")
+    x = group.join(stage(g.select("hub", blocks("m", "total").alias("nb")), "blocks"), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")))
+    upto = F.sequence(zero, F.col("nb") - 1)
+    # tile (i, j): those apart of block i with all of block j, or, where j < i, with those near of block j
+    apart = x.where("apart").select("hub", "node", "own", F.explode(upto).alias("k"))
+    rows = apart.select("hub", F.col("own").alias("i"), F.col("k").alias("j"), F.when(F.col("k") == F.col("own"), 2).otherwise(0).alias("side"), "node")
+    cols = apart.where("k < own").select("hub", F.col("k").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node")
+    rest = x.where("NOT apart").select("hub", F.explode(upto).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node")
+    far = _tiles(rows.unionByName(cols).unionByName(rest), sets, num, den, "large-tile-links")
+    return links.unionByName(near).unionByName(far)
+
+
+def _tiles(dealt: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """Links of tiles given as rows (hub, i, j, side, node)."""
+    sent = dealt.join(sets, "node").select("hub", "i", "j", "side", "node", "shingles").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return stage(sent.mapInArrow(_verify_tiles(num, den), "a long, b long"), name)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -96,7 +96,7 @@ def test_signatures_of_sets_before_empty_ones():
 
 def test_lists_in_parts_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(J, "SHORT", 2)
-    monkeypatch.setattr(J, "LEAST_BLOCK", 4)
+    monkeypatch.setattr(J, "BLOCK", 9)
     rows = fixture()[-90:]
     df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
     assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(rows, 3, 90, 100)
