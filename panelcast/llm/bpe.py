@@ -2,7 +2,8 @@
 
 Texts are cut by the vocabulary's pattern. Blocks of texts become numbers of their
 distinct pieces; pieces that are tokens themselves are known at once. All other pieces
-of the corpus meet by piece, so each distinct one is encoded once for the whole corpus:
+of the corpus meet in buckets of pieces, so each distinct one is encoded once for the
+whole corpus (or once for each part of some 64 GB of text, in larger ones):
 their bytes stand in one array with links to their neighbours, and an inverted index
 leads from a rank to the positions whose token pair has it. Ranks are replayed in rising
 order; each is applied at all its positions at once, and only pairs of the touched
@@ -33,9 +34,11 @@ from panelcast.llm.util import release_memory, stage, tasks
 
 NONE = np.int32(2**31 - 1)
 #: Characters of text of a block and of a row of it, and bytes of pieces that are replayed together.
-BLOCK_CHARS, ROW_CHARS, REPLAY_BYTES = 16 << 20, 1 << 20, 6 << 20
+BLOCK_CHARS, ROW_CHARS, REPLAY_BYTES = 16 << 20, 1 << 19, 6 << 20
 #: Most bytes of text whose pieces make a bucket, and least if that leaves cores idle.
 BUCKET_MOST, BUCKET_LEAST = 128 << 20, 64 << 20
+#: Most buckets: a block has a row for each. Beyond, a bucket's blocks are dealt to several tasks, each of which encodes its pieces.
+BUCKETS = 512
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -252,16 +255,14 @@ def _cut(raw, pattern: str, buckets: int):
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
             # frequent pieces come first, all others by bucket and bytes: both compress well
             often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")[:OFTEN]
-            rest = np.ones(len(words), bool)
-            rest[often] = False
-            rest = sorted(np.flatnonzero(rest).tolist(), key=lambda i: (of[i], words[i]))
-            order = np.concatenate([often, np.array(rest, np.int64)])
+            rest = np.setdiff1d(np.arange(len(words)), often)
+            order = [often, *(np.array(sorted(at.tolist(), key=words.__getitem__), np.int64) for _, at in _groups(rest, of))]
+            order = np.concatenate(order)
             number = np.empty_like(order)
             number[order] = np.arange(len(order))
             rows = [(block, KNOWN, 0, None, squeeze(known[order] + 1), None, None)]
             new = order[known[order] < 0]
-            for k in np.unique(of[new]).tolist():
-                at = new[of[new] == k]
+            for k, at in _groups(new, of):
                 own = [words[i] for i in at.tolist()]
                 rows.append((block, PIECE, k, None, squeeze(number[at]), squeeze(np.array([len(w) for w in own])), zstandard.compress(b"".join(own), LEVEL)))
             yield _rows(rows)
@@ -272,6 +273,8 @@ def _cut(raw, pattern: str, buckets: int):
             for x in (ids, lens, codes, index):
                 x.clear()
             cuts[:] = [0]
+            del words, flat, order, number
+            release_memory()
 
         for rows in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
             for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
@@ -293,6 +296,14 @@ def _cut(raw, pattern: str, buckets: int):
     return run
 
 
+def _groups(at: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its positions in their order) of the positions ``at``."""
+    at = at[np.argsort(of[at], kind="stable")]
+    cut = np.flatnonzero(np.diff(of[at])) + 1
+    for part in np.split(at, cut) if len(at) else []:
+        yield int(of[part[0]]), part
+
+
 def _is_text(b: bytes) -> bool:
     try:
         b.decode()
@@ -399,11 +410,13 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     spark = d.sparkSession
-    buckets = tasks(spark, d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"], BUCKET_MOST, BUCKET_LEAST)
+    wanted = tasks(spark, d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"], BUCKET_MOST, BUCKET_LEAST)
+    buckets = min(wanted, BUCKETS)
+    split = F.pmod(F.xxhash64("block"), F.lit(-(-wanted // buckets)))
     cut = stage(d.mapInArrow(_cut(raw, pattern, buckets), _SCHEMA), "pieces")
     own = F.col("kind") == PIECE
     # explicit numbers of tasks, since few bytes mean much work here
-    pieces = cut.where(own).select("block", "no", "one", "two", "three").repartition(buckets, "no").sortWithinPartitions("no", "block")
+    pieces = cut.where(own).select("block", "no", "one", "two", "three").repartition(3 * wanted, "no", split).sortWithinPartitions("no", "block")
     known = cut.where(~own).unionByName(pieces.mapInArrow(_encode_pieces(raw), _SCHEMA))
     blocks = known.repartition(tasks(spark, cut.where(F.col("kind") == KNOWN).count(), 4, 1), "block").sortWithinPartitions("block", "kind")
     schema = "id long, n_tokens long, ids binary" + ", decoded binary" * decode
