@@ -154,7 +154,7 @@ BLOCKS = {z: {"value": (1, 2)} if i % 2 else {"value": (1,)} for i, z in enumera
 
 
 def _blocks_sql(alias: str = "p") -> str:
-    x = [f"any_value({'list_concat(v1, v2)' if i % 2 else 'v1'}) FILTER (series = '{z}')" for i, z in enumerate(ZONES)]
+    x = [f"any_value({'CASE WHEN v1 IS NOT NULL AND v2 IS NOT NULL THEN list_concat(v1, v2) END' if i % 2 else 'v1'}) FILTER (series = '{z}')" for i, z in enumerate(ZONES)]
     y = [f"any_value(v) FILTER (series = '{z}')" for z in ZONES]
     return f"p AS (SELECT a.series, a.day, a.v, b.v AS v1, c.v AS v2 FROM arr a LEFT JOIN arr b ON a.series = b.series AND b.day = a.day - 1 LEFT JOIN arr c ON a.series = c.series AND c.day = a.day - 2), w AS (SELECT day, flatten([{', '.join(x)}]) AS x, flatten([{', '.join(y)}]) AS y FROM p GROUP BY day HAVING " + " AND ".join(f"{c} IS NOT NULL" for c in x + y) + "), zb AS (SELECT day, list_concat([CAST(isodow(day) - 1 AS DOUBLE)], x) AS f, y FROM w)"
 
