@@ -12,7 +12,7 @@ still reach the threshold.
 Steps: (1) one pass gives each text's set size and signature (texts with equal
 sets form one class) and counts of shingles that repeat within a task, which give
 the order; (2) a second pass finds the shingles that many prefixes hold, which move
-back in the order, and a third writes each class's prefix; (3) postings with one class
+back in the order, and a third gives each class's prefix; (3) postings with one class
 go, short posting lists give pairs, each counted; members of long lists go to the
 list's hub (its smallest class), so that no list is multiplied out; (4) the sets of a
 hub's group meet in a tile, one product of incidence matrices. In a group too large for
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.shingles import mix, pieces, shingle_sets, text_buffers
@@ -307,9 +307,11 @@ def linked_rows(docs: DataFrame, carry: list[str], text_col: str = "text", k: in
     # shingles found in many prefixes of a first order go back in the second
     often = postings(table).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > SHORT // 2)
     often = often.select(F.shiftright(F.col("token").bitwiseAND((1 << 58) - 1), 58 - MOST_BITS).alias("bucket"), (F.col("m") * den / (den - num)).cast("long").alias("cnt"))
-    posts = stage(postings(np.maximum(table, frequency_classes(often, bits))), "prefixes")
-    lists = posts.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count("*").alias("m")).where("hub <> top").drop("top")
-    many = stage(posts.join(lists, "token").dropDuplicates(["token", "node"]), "postings")
+    posts = postings(np.maximum(table, frequency_classes(often, bits)))
+    # one shuffle and sort by token gives each posting its list's hub and length; long lists spill
+    w = Window.partitionBy("token")
+    many = posts.withColumns({"hub": F.min("node").over(w), "top": F.max("node").over(w), "m": F.count("*").over(w)}).where("hub <> top").drop("top")
+    many = stage(many.dropDuplicates(["token", "node"]), "postings")
     routes = stage(_short_pairs(many.where(F.col("m") <= SHORT), num, den).withColumn("long", F.lit(False)).unionByName(many.where((F.col("m") > SHORT) & (F.col("hub") != F.col("node"))).select("hub", "node", F.lit(True).alias("long"))).groupBy("hub", "node").agg(F.max("long").alias("long")), "routes")
     # one text of each class concerned: a filter over its row's slot
     wanted = stage(routes.select("node").union(routes.select("hub")).distinct(), "wanted")
