@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, covertree, jaccard_join, langid, mixing, pii, quality, topk, warc
+from panelcast.llm import bpe, chat, covertree, jaccard_join, langid, mixing, pii, prefix_trie, quality, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +142,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of a text's UTF-8 bytes: each byte, then eight steps of one bit."""
+    byte = f"CAST('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2] AS BIGINT)"
+    steps = f"list_concat([4294967295::BIGINT], flatten(list_transform(range(octet_length(encode({text}))), lambda i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(4294967295::BIGINT, list_reduce({steps}, lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END))"
+
+
+SQL_OP12 = f"""
+WITH RECURSIVE t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x.role, x.text) AS v, conv_id - conv_id % 5 AS base FROM t GROUP BY conv_id),
+h AS (SELECT *, {sql_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.v, []::STRUCT(role VARCHAR, "text" VARCHAR)[])[1:h.h], h.v[h.h + 1:]) AS v FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, CAST(d AS BIGINT) AS depth, v[1:d] AS k, v[1:d - 1] AS up, d = len(v) AS last FROM (SELECT *, unnest(range(len(v) + 1)) AS d FROM r)),
+g AS (SELECT depth, k, any_value(CASE WHEN depth > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY depth, k),
+n AS (SELECT g.*, q.conv_id AS parent_conv_id, CASE WHEN g.depth > 0 THEN (g.n_convs - 1) * octet_length(encode(g.k[g.depth].text)) ELSE 0 END AS saved
+  FROM g LEFT JOIN g q ON g.depth = q.depth + 1 AND g.up = q.k),
+c AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM n WHERE parent_conv_id IS NOT NULL GROUP BY ALL),
+m AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM n LEFT JOIN c USING (conv_id, depth)),
+a AS (SELECT conv_id AS c, depth AS d, conv_id, depth, parent_conv_id AS up, saved, n_children FROM m
+  UNION ALL SELECT m.conv_id, m.depth, a.conv_id, a.depth, m.parent_conv_id, a.saved, a.n_children FROM a JOIN m ON m.conv_id = a.up AND m.depth = a.d - 1),
+s AS (SELECT c AS conv_id, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM a GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM m JOIN s USING (conv_id, depth)
+"""
+
+
 _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -155,10 +185,11 @@ _QUERIES: dict[str, Query] = {
         op8_reply_tree_chat,
         op9_pii_surrogates,
         op10_block_max_top_k,
+        op12_conversation_prefix_trie,
         pipeline,
     )
 }
-_SQL: dict[str, str] = {"op1_warc_capture_index": SQL_OP1, "op3_pareto_mixing": SQL_OP3, "op4_ngram_jaccard_join": SQL_OP4, "op6_embedding_cover_tree": SQL_OP6, "op10_block_max_top_k": SQL_OP10, "op8_reply_tree_chat": SQL_OP8}
+_SQL: dict[str, str] = {"op1_warc_capture_index": SQL_OP1, "op3_pareto_mixing": SQL_OP3, "op4_ngram_jaccard_join": SQL_OP4, "op6_embedding_cover_tree": SQL_OP6, "op10_block_max_top_k": SQL_OP10, "op8_reply_tree_chat": SQL_OP8, "op12_conversation_prefix_trie": SQL_OP12}
 
 
 def queries() -> dict[str, Query]:
