@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, chat, covertree, jaccard_join, langid, mixing, pii, prefix_trie, quality, topk, warc
+from panelcast.llm import bpe, chat, covertree, crosspolytope, jaccard_join, langid, mixing, pii, prefix_trie, quality, spelling, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,10 +142,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op11_spelling_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def sql_crc32(text: str) -> str:
     """DuckDB expression of the unsigned CRC-32 of a text's UTF-8 bytes: each byte, then eight steps of one bit."""
     byte = f"CAST('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2] AS BIGINT)"
@@ -185,7 +193,9 @@ _QUERIES: dict[str, Query] = {
         op8_reply_tree_chat,
         op9_pii_surrogates,
         op10_block_max_top_k,
+        op11_spelling_frontier,
         op12_conversation_prefix_trie,
+        op13_cross_polytope_search,
         pipeline,
     )
 }
