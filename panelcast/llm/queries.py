@@ -179,6 +179,21 @@ s AS (SELECT c AS conv_id, d AS depth, count(*) FILTER (n_children = 0) AS n_lea
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM m JOIN s USING (conv_id, depth)
 """
 
+SQL_OP11 = rf"""
+WITH RECURSIVE t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+p AS (SELECT d, r, count(*) AS k FROM t GROUP BY ALL),
+h AS (SELECT *, {sql_crc32("d || ':' || r")} AS h FROM p),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, k FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+v AS (SELECT word, i, word[1:i - 1] || word[i + 1:] AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS near FROM v a JOIN v b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT v.word, w.word FROM v JOIN w ON v.cut = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.cut = w.word),
+b AS (SELECT e.word, count(*) AS n_near, arg_min(near, (-w.n, near)) AS near, max(w.n) AS near_n FROM e JOIN w ON w.word = e.near GROUP BY e.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+g AS (SELECT word, word AS root, form AS nxt FROM f UNION ALL SELECT g.word, g.nxt, f.form FROM g JOIN f ON f.word = g.nxt)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN g ON g.word = f.word AND g.nxt IS NULL
+"""
+
 
 _QUERIES: dict[str, Query] = {
     f.__name__: f
@@ -199,7 +214,7 @@ _QUERIES: dict[str, Query] = {
         pipeline,
     )
 }
-_SQL: dict[str, str] = {"op1_warc_capture_index": SQL_OP1, "op3_pareto_mixing": SQL_OP3, "op4_ngram_jaccard_join": SQL_OP4, "op6_embedding_cover_tree": SQL_OP6, "op10_block_max_top_k": SQL_OP10, "op8_reply_tree_chat": SQL_OP8, "op12_conversation_prefix_trie": SQL_OP12}
+_SQL: dict[str, str] = {"op11_spelling_frontier": SQL_OP11, "op1_warc_capture_index": SQL_OP1, "op3_pareto_mixing": SQL_OP3, "op4_ngram_jaccard_join": SQL_OP4, "op6_embedding_cover_tree": SQL_OP6, "op10_block_max_top_k": SQL_OP10, "op8_reply_tree_chat": SQL_OP8, "op12_conversation_prefix_trie": SQL_OP12}
 
 
 def queries() -> dict[str, Query]:
