@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import grid
+from panelcast.operators import carry, grid
+
+#: Seconds of the steps that grids have.
+STEPS = {"MINUTE": 60, "HOUR": 3600, "DAY": 86400}
 
 
 def grid_violations(df: DataFrame, keys: list[str], ts: str = "ts", value: str | None = None, step: str = "HOUR") -> DataFrame:
-    """Stamps that repeat, that do not follow by one step, or that hold a null. Rows have no order in a table, so sortedness is that of the stamps."""
-    prev = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts))
-    d = F.timestamp_diff(step, prev, F.col(ts))
-    what = F.when(d == 0, "repeated").when(d > 1, "gap")
+    """Stamps that repeat, that follow by part of a step (``off grid``) or by several (``gap``), or that hold a null.
+
+    Rows have no order in a table, so sortedness is that of the stamps.
+    """
+    prev = carry.scan(df, keys, ts, before={"_prev": F.col(ts)})
+    d = F.timestamp_diff("SECOND", F.col("_prev"), F.col(ts))
+    what = F.when(d == 0, "repeated").when(d % STEPS[step] != 0, "off grid").when(d > STEPS[step], "gap")
     if value:
         what = F.coalesce(what, F.when(F.col(value).isNull(), "null"))
-    return df.select(*keys, F.col(ts).alias("ts"), what.alias("violation")).where("violation IS NOT NULL")
+    return prev.select(*keys, F.col(ts).alias("ts"), what.alias("violation")).where("violation IS NOT NULL")
 
 
 def whole_day_violations(df: DataFrame, keys: list[str], ts: str = "ts", slots: int = 24) -> DataFrame:
@@ -81,22 +87,23 @@ def run_checks(wide: DataFrame, features: DataFrame, columns: list[str], n_featu
 
 
 def day_violations(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", slots: int = 24) -> DataFrame:
-    """Days without exactly ``slots`` distinct stamps and values."""
+    """Days from a key's first to its last without exactly ``slots`` distinct stamps and values, days without any row included."""
     g = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("rows"), F.count_distinct(ts).alias("stamps"), F.count(value).alias("values"))
+    g = grid.on_grid(g, keys, "day", "1 day").na.fill(0, ["rows", "stamps", "values"])
     return g.where((F.col("rows") != slots) | (F.col("stamps") != slots) | (F.col("values") != slots))
 
 
 def spring_violations(df: DataFrame, keys: list[str], tz: str, local: str = "local", value: str = "value", tol: float = 1e-9) -> DataFrame:
     """Skipped hours that are not the mean of their neighbours."""
-    w = Window.partitionBy(*keys).orderBy(local)
-    d = df.withColumn("_m", (F.lag(value).over(w) + F.lead(value).over(w)) / 2)
+    near = F.struct(F.col(value).alias("v"))
+    d = carry.scan(df, keys, local, before={"_l": near}, after={"_r": near}).withColumn("_m", (F.col("_l.v") + F.col("_r.v")) / 2)
     return d.where(grid.is_skipped(F.col(local), tz) & (F.abs(F.col(value) - F.col("_m")) > tol)).select(*keys, local, value)
 
 
-def early_levels(held: DataFrame, levels: DataFrame, keys: list[str], ts: str, level_ts: str, delay: str) -> DataFrame:
-    """Grid stamps that show a level before the first one was published."""
-    first = levels.groupBy(*keys).agg((F.min(level_ts) + F.expr(f"interval {delay}")).alias("_first"))
-    return held.join(first, keys).where(F.col("level").isNotNull() & (F.col(ts) < F.col("_first"))).select(*keys, ts)
+def early_levels(held: DataFrame, levels: DataFrame, keys: list[str], ts: str, level_ts: str, level: str, delay: str) -> DataFrame:
+    """Grid stamps that show another level than the last one published by then (``delay`` after its stamp): any level before the first, a later one too early."""
+    due = grid.step_hold(held.select(*keys, ts), levels, keys, ts, level_ts, level, delay).withColumnRenamed("level", "_due")
+    return held.join(due, [*keys, ts]).where(F.col("level").isNotNull() & ~F.col("level").eqNullSafe(F.col("_due"))).select(*keys, ts)
 
 
 def smeared_hours(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", tol: float = 1e-9) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators import carry
 
 
 def hour_of(ts: Column) -> Column:
@@ -105,24 +106,20 @@ def is_skipped(local: Column, tz: str | Column) -> Column:
 
 def fill_skipped_hours(df: DataFrame, keys: list[str], tz: str, local: str = "local", value: str = "value") -> DataFrame:
     """The skipped hour becomes the mean of its neighbours, if both are there; other gaps stay."""
-    w = Window.partitionBy(*keys).orderBy(local)
-    mean = (F.lag(value).over(w) + F.lead(value).over(w)) / 2
+    near = F.struct(F.col(value).alias("v"))
+    d = carry.scan(df, keys, local, before={"_l": near}, after={"_r": near})
+    mean = (F.col("_l.v") + F.col("_r.v")) / 2
     adj = F.col(value).isNull() & is_skipped(F.col(local), tz)
-    return df.withColumn("_m", F.when(adj, mean)).withColumn("dst_adjustment", F.when(F.col("_m").isNotNull(), "spring_interpolation").when(F.coalesce("n_utc", F.lit(1)) > 1, "autumn_average").otherwise("none")).withColumn(value, F.coalesce(value, "_m")).drop("_m")
+    return d.withColumn("_m", F.when(adj, mean)).withColumn("dst_adjustment", F.when(F.col("_m").isNotNull(), "spring_interpolation").when(F.coalesce("n_utc", F.lit(1)) > 1, "autumn_average").otherwise("none")).withColumn(value, F.coalesce(value, "_m")).drop("_m", "_l", "_r")
 
 
 def interpolate_gaps(df: DataFrame, keys: list[str], ts: str, value: str = "value", max_gap: int = 3) -> DataFrame:
     """Linear over inner gaps of at most ``max_gap`` steps of a gridded panel; ``violation`` marks nulls left (long or edge gaps)."""
-    back = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(ts))
-    d = df.withColumn("_n", n)
-    pos = F.when(F.col(value).isNotNull(), F.col("_n"))
-    d = d.withColumns({"_pn": F.last(pos, True).over(back), "_nn": F.first(pos, True).over(ahead), "_pv": F.last(value, True).over(back), "_nv": F.first(value, True).over(ahead)})
-    gap = F.col("_nn") - F.col("_pn") - 1
-    lin = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * (F.col("_n") - F.col("_pn")) / F.nullif(F.col("_nn") - F.col("_pn"), F.lit(0))
+    d = carry.scan(df, keys, ts, back={"_p": F.col(value)}, ahead={"_q": F.col(value)}, position="_n")
+    gap = F.col("_q_at") - F.col("_p_at") - 1
+    lin = F.col("_p") + (F.col("_q") - F.col("_p")) * (F.col("_n") - F.col("_p_at")) / F.nullif(F.col("_q_at") - F.col("_p_at"), F.lit(0))
     out = F.coalesce(F.col(value), F.when(gap <= max_gap, lin))
-    return d.withColumn(value, out).withColumn("violation", F.col(value).isNull()).drop("_n", "_pn", "_nn", "_pv", "_nv")
+    return d.withColumn(value, out).withColumn("violation", F.col(value).isNull()).drop("_n", "_p", "_p_at", "_q", "_q_at")
 
 
 def day_matrix(df: DataFrame, keys: list[str], ts: str, value: str = "value", slots: int = 24) -> DataFrame:
@@ -152,8 +149,7 @@ def step_hold(grid: DataFrame, levels: DataFrame, keys: list[str], ts: str, leve
     """As-of: a level shows on the grid from ``delay`` after its stamp until the next one; nothing before the first."""
     ev = levels.select(*keys, (F.col(level_ts) + F.expr(f"interval {delay}")).alias(ts), F.col(level).alias("_l"), F.lit(0).alias("_g"))
     u = grid.select(*keys, ts).withColumns({"_l": F.lit(None).cast("double"), "_g": F.lit(1)}).unionByName(ev)
-    w = Window.partitionBy(*keys).orderBy(ts, "_g").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("level", F.last("_l", True).over(w)).where("_g = 1").select(*keys, ts, "level")
+    return carry.scan(u, keys, ts, back={"level": F.col("_l")}, order=("_g",)).where("_g = 1").select(*keys, ts, "level")
 
 
 def leading_nulls(held: DataFrame, keys: list[str], ts: str, level: str = "level") -> DataFrame:
@@ -199,8 +195,7 @@ def local_day_normalize(df: DataFrame, keys: list[str], tz: str, flags: list[str
 def coverage_vs_grid(df: DataFrame, keys: list[str], tz: str, ts: str = "ts", max_gap: int = 3) -> DataFrame:
     """Hours of the local grid, those missing (without hours that do not exist) and runs longer than ``max_gap``."""
     g = on_grid(df.groupBy(*keys, to_local(F.col(ts), tz).alias("local")).agg(F.lit(1).alias("_there")), keys, "local").where(~is_skipped(F.col("local"), tz))
-    w = Window.partitionBy(*keys).orderBy("local")
-    g = g.withColumn("_run", F.sum("_there").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = carry.scan(g, keys, "local", total={"_run": F.col("_there")})
     runs = g.where("_there IS NULL").groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
     s = runs.groupBy(*keys).agg(F.sum("_n").alias("missing"), F.sum((F.col("_n") > max_gap).cast("int")).alias("oversized"))
     return g.groupBy(*keys).agg(F.count("*").alias("hours")).join(s, keys, "left").na.fill(0, ["missing", "oversized"])

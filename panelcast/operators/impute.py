@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import grid
+from panelcast.operators import carry, grid
+
+#: Seconds of a bucket of a chain that has one row a week.
+CHAIN = 168 * carry.WIDTH
 
 
 def hour_index(ts: Column) -> Column:
@@ -22,8 +25,8 @@ def weekly_lag_fill(df: DataFrame, keys: list[str], ts: str = "ts", value: str =
 
     Hours with no such value stay null; ``unfilled`` lists them.
     """
-    w = Window.partitionBy(*keys, "_slot").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_slot", hour_index(F.col(ts)) % period).withColumn("filled", F.last(value, True).over(w))
+    d = df.withColumn("_slot", hour_index(F.col(ts)) % period)
+    d = carry.scan(d, [*keys, "_slot"], ts, back={"filled": F.col(value)}, width=CHAIN)
     return d.withColumn("imputed", F.col(value).isNull() & F.col("filled").isNotNull()).withColumn("imputation_method", F.when(F.col("imputed"), "weekly_lag")).drop("_slot")
 
 
@@ -34,20 +37,27 @@ def unfilled(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "fille
 
 def ffill_short(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", most: int = 3) -> DataFrame:
     """Forward fill of runs of nulls that close within ``most`` rows; others stay null."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    d = df.withColumn("_run", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_open", F.max(F.when(F.col(value).isNotNull(), F.col(ts))).over(Window.partitionBy(*keys)))
-    g = Window.partitionBy(*keys, "_run")
-    n = F.sum(F.col(value).isNull().cast("int")).over(g)
-    ok = (F.col("_run") > 0) & (n <= most) & (F.col(ts) < F.col("_open"))
-    return d.withColumn("filled", F.coalesce(F.col(value), F.when(ok, F.max(value).over(g)))).drop("_run", "_open")
+    d = carry.scan(df, keys, ts, back={"_p": F.col(value)}, ahead={"_q": F.col(value)}, position="_n")
+    ok = F.col("_q_at") - F.col("_p_at") - 1 <= most
+    return d.withColumn("filled", F.coalesce(F.col(value), F.when(ok, F.col("_p")))).drop("_n", "_p", "_p_at", "_q", "_q_at")
 
 
 def fill_by_shift(df: DataFrame, keys: list[str], step: int, passes: int, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Pass k takes the value ``step * k`` rows earlier, reading the series as the passes before left it; one shuffle."""
-    w = Window.partitionBy(*keys).orderBy(ts)
+    """Pass k takes the value ``step * k`` hours earlier, reading the series as the passes before left it.
+
+    Hours that are a multiple of ``step`` apart form a chain. An hour depends on those
+    of the last ``step * (1 + ... + passes)`` alone, so chains are cut into buckets of
+    four times as long, each with a copy of what its first hours depend on.
+    """
+    reach = step * passes * (passes + 1) // 2
+    hour, span = hour_index(F.col(ts)), 4 * reach
+    own = F.floor(hour / span)
+    places = F.when(hour - own * span >= span - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    d = df.withColumns({"_chain": hour % step, "_own": own}).withColumn("_bucket", F.explode(places))
+    w = Window.partitionBy(*keys, "_chain", "_bucket").orderBy(ts)
     for k in range(1, passes + 1):
-        df = df.withColumn(value, F.coalesce(F.col(value), F.lag(value, step * k).over(w)))
-    return df
+        d = d.withColumn(value, F.coalesce(F.col(value), F.lag(value, k).over(w)))
+    return d.where("_own <=> _bucket").drop("_chain", "_own", "_bucket")
 
 
 def expanding_hour_median(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
@@ -92,10 +102,11 @@ def impute_cascade(df: DataFrame, keys: list[str], ts: str = "ts", value: str =
 
 def row_for_fill(df: DataFrame, keys: list[str], meta: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Metadata of inserted rows: the row a week before, else the latest earlier one."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    m = F.when(F.col(value).isNotNull(), F.struct(*meta))
-    got = F.coalesce(m, F.lag(m, 168).over(w), F.last(m, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return df.withColumn("_m", got).drop(*meta).select("*", *[F.col(f"_m.{c}").alias(c) for c in meta]).drop("_m")
+    d = df.withColumn("_m", F.when(F.col(value).isNotNull(), F.struct(*meta))).withColumn("_slot", hour_index(F.col(ts)) % 168)
+    d = carry.scan(d, [*keys, "_slot"], ts, before={"_week": F.struct("_m")}, width=CHAIN)
+    d = carry.scan(d, keys, ts, before={"_last": F.col("_m")})
+    d = d.withColumn("_m", F.coalesce("_m", "_week._m", "_last")).drop(*meta, "_slot", "_week", "_last")
+    return d.select("*", *[F.col(f"_m.{c}").alias(c) for c in meta]).drop("_m")
 
 
 def route_fill(df: DataFrame, variable: str, rules: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -130,9 +141,8 @@ def cross_series_ols_fill(df: DataFrame, series: str, ts: str = "ts", value: str
     """
     k = F.lit("") if kind is None else F.col(kind)
     d = df.select(F.col(series).alias("s"), k.alias("k"), F.col(ts).alias("t"), F.col(value).alias("v"))
-    w = Window.partitionBy("s").orderBy("t")
-    new = F.col("v").isNull() & F.coalesce(F.lag("v").over(w).isNotNull(), F.lit(True))
-    runs = d.withColumn("run", F.sum(new.cast("int")).over(w)).where("v IS NULL")
+    # a run's number is the row of the last value before it, 0 at a series' start
+    runs = carry.scan(d, ["s"], "t", back={"p": F.col("v")}, position="i").where("v IS NULL").withColumn("run", F.coalesce("p_at", F.lit(0))).drop("p", "p_at", "i")
     rows = runs.select("k", "s", "run", "t")
     runs = rows.groupBy("k", "s", "run").agg(F.min("t").alias("a"), F.count("*").alias("n"))
     # all series of a kind at a stamp, as one map

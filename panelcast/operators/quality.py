@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import grid
+from panelcast.operators import carry, grid
 
 
 def duplicate_audit(df: DataFrame, key: list[str], value: str = "value") -> DataFrame:
@@ -104,8 +104,7 @@ def coverage(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
 
 def gap_runs(df: DataFrame, keys: list[str], ts: str = "ts", unit: str = "HOUR") -> DataFrame:
     """Runs of missing steps between stamps, straight from each stamp's successor: no grid."""
-    nxt = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts))
-    d = df.select(*keys, F.col(ts).alias("_t"), nxt.alias("_u"))
+    d = carry.scan(df.select(*keys, F.col(ts).alias("_t")), keys, "_t", after={"_u": F.col("_t")})
     n = F.timestamp_diff(unit, F.col("_t"), F.col("_u")) - 1
     one = F.expr(f"interval 1 {unit.lower()}")
     return d.select(*keys, (F.col("_t") + one).alias("gap_start"), (F.col("_u") - one).alias("gap_end"), n.alias("hours")).where("hours > 0")
@@ -143,11 +142,11 @@ def variance_report(df: DataFrame, keys: list[str], value: str = "value") -> Dat
     return g.withColumns({"range": F.col("max") - F.col("min"), "relative_std": F.try_divide("std", "mean_abs"), "constant": F.col("max") == F.col("min"), "practically_zero": F.col("std") <= 0.001 * F.col("mean_abs")})
 
 
-def hold_report(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Runs of equal values: levels, runs, median and longest run."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    d = df.withColumn("_new", (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    r = d.groupBy(*keys, "_run").agg(F.count("*").alias("held"), F.first(value).alias("_v"))
+def hold_report(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", width: int = carry.WIDTH) -> DataFrame:
+    """Runs of equal values: levels, runs, median and longest run. ``width``: seconds, or units of a number ``ts``, that a task takes at a time."""
+    d = carry.scan(df.select(*keys, ts, F.col(value).alias("_v")), keys, ts, after={"_q": F.struct("_v")}, position="_n", width=width)
+    last = d.where(F.col("_q").isNull() | ~F.col("_v").eqNullSafe(F.col("_q._v"))).select(*keys, ts, "_v", "_n")
+    r = carry.scan(last, keys, ts, before={"_m": F.col("_n")}, width=width).withColumn("held", F.col("_n") - F.coalesce("_m", F.lit(0)))
     return r.groupBy(*keys).agg(F.count_distinct("_v").alias("levels"), F.count("*").alias("runs"), F.median("held").alias("median_held"), F.max("held").alias("max_held"))
 
 

@@ -136,12 +136,12 @@ def _(spark, d):
     return r6(_run(spark, d)[2], "forecast", "observed")
 
 
-@register("v5_early_levels", f"WITH {V.GRIDDED}, w AS (SELECT series, min(date_trunc('week', ts)) + INTERVAL 7 DAY AS first FROM hourly GROUP BY 1), s AS (SELECT series, date_trunc('week', ts) + INTERVAL 3 DAY AS ts, max(value) AS level FROM hourly GROUP BY ALL), h AS (SELECT g.series, g.ts, s.level FROM gridded g ASOF LEFT JOIN s ON g.series = s.series AND g.ts >= s.ts) SELECT h.series, h.ts FROM h JOIN w USING (series) WHERE level IS NOT NULL AND h.ts < first")
+@register("v5_early_levels", f"WITH {V.GRIDDED}, w AS (SELECT series, date_trunc('week', ts) + INTERVAL 3 DAY AS ts, max(value) AS level FROM hourly GROUP BY ALL), h AS (SELECT g.series, g.ts, w.level FROM gridded g ASOF LEFT JOIN w ON g.series = w.series AND g.ts >= w.ts), u AS (SELECT g.series, g.ts, w.level AS due FROM gridded g ASOF LEFT JOIN w ON g.series = w.series AND g.ts - INTERVAL 4 DAY >= w.ts) SELECT series, ts FROM h JOIN u USING (series, ts) WHERE level IS NOT NULL AND level IS DISTINCT FROM due")
 def _(spark, d):
     h = V.hourly(spark, d)
     weekly = h.groupBy("series", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week")).agg(F.max("value").alias("level"))
     held = grid.step_hold(V.gridded(spark, d), weekly, ["series"], "ts", "week", "level", "3 days")  # planted: levels shown four days early
-    return checks.early_levels(held, weekly, ["series"], "ts", "week", "7 days")
+    return checks.early_levels(held, weekly, ["series"], "ts", "week", "level", "7 days")
 
 
 @register("g16_leading_nulls", f"WITH {V.GRIDDED}, w AS (SELECT series, min(date_trunc('week', ts)) + INTERVAL 7 DAY AS first FROM hourly GROUP BY 1) SELECT g.series, count(*) AS stamps, max(ts) AS last FROM gridded g JOIN w USING (series) WHERE ts < first GROUP BY 1")

@@ -62,7 +62,17 @@ def test_weekly_stock_is_seen_only_after_its_delay(spark):
     lv = spark.createDataFrame([("s", dt.datetime(2020, 1, 6), 100.0), ("s", dt.datetime(2020, 1, 13), 200.0)], "series string, at timestamp_ntz, v double")
     h = grid.step_hold(g, lv, ["series"], "ts", "at", "v", "7 days")
     assert values(h, "level") == [None] * 7 + [100.0] * 7 + [200.0] * 2
-    assert checks.early_levels(h, lv, ["series"], "ts", "at", "7 days").count() == 0
+    assert checks.early_levels(h, lv, ["series"], "ts", "at", "v", "7 days").count() == 0
+    early = h.withColumn("level", F.when(F.dayofmonth("ts") == 19, 200.0).otherwise(F.col("level")))
+    assert [r["ts"].day for r in checks.early_levels(early, lv, ["series"], "ts", "at", "v", "7 days").collect()] == [19]
+
+
+def test_checks_see_part_steps_and_absent_days(spark):
+    at = [(1, 0, 0), (1, 1, 0), (1, 2, 30), (1, 3, 45), (1, 4, 0), (1, 4, 0), (1, 7, 0), (3, 7, 0)]
+    d = spark.createDataFrame([("s", dt.datetime(2024, 1, a, b, c), 1.0) for a, b, c in at], "series string, ts timestamp_ntz, value double")
+    got = [(r["ts"].day, r["ts"].hour, r["violation"]) for r in checks.grid_violations(d, ["series"]).orderBy("ts").collect()]
+    assert got == [(1, 2, "off grid"), (1, 3, "off grid"), (1, 4, "off grid"), (1, 4, "repeated"), (1, 7, "gap"), (3, 7, "gap")]
+    assert [(r["day"].day, r["rows"]) for r in checks.day_violations(d, ["series"]).orderBy("day").collect()] == [(1, 7), (2, 0), (3, 1)]
 
 
 def test_sparse_document(spark):
