@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators import gram
+
 
 def pivot_panel(df: DataFrame, ts: str, series: str, values: list[str], value: str = "value") -> DataFrame:
     """Stamps by series; with the list given, one shuffle and no pass to find the columns."""
@@ -17,11 +19,8 @@ def dispersion(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "val
 
 
 def pairwise(df: DataFrame, series: str, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Covariance, correlation and number of common stamps of each pair of series (a <= b)."""
-    d = df.where(F.col(value).isNotNull())
-    a = d.select(F.col(ts).alias("_t"), F.col(series).alias("a"), F.col(value).alias("_x"))
-    b = d.select(F.col(ts).alias("_t"), F.col(series).alias("b"), F.col(value).alias("_y"))
-    return a.join(b, "_t").where("a <= b").groupBy("a", "b").agg(F.covar_samp("_x", "_y").alias("cov"), F.corr("_x", "_y").alias("corr"), F.count("*").alias("obs"))
+    """Covariance, correlation and number of common stamps of each pair of series (a <= b), by tiles of sums of products."""
+    return gram.pairwise(df, series, ts, value)
 
 
 def top_bottom_pairs(pairs: DataFrame, n: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import carry, grid
+from panelcast.operators import carry, gram, grid
 
 #: Seconds of a bucket of a chain that has one row a week.
 CHAIN = 168 * carry.WIDTH
@@ -133,10 +133,9 @@ def cross_series_ols_fill(df: DataFrame, series: str, ts: str = "ts", value: str
     """Each run of nulls from an intercept regression on the other series that are complete over it, fitted on all earlier rows where these are complete.
 
     With ``kind`` only series of the same kind predict each other. Rows are put into one
-    map by kind and stamp (series are few, stamps many); sums of products of each pair of
-    predictors are formed by day and then over the days before a run, so the history is
-    met once for each series and set of predictors, not for each run; a task solves a
-    system as wide as the number of series. Runs without predictors or with fewer than ``least`` rows stay
+    map by kind and stamp (series are few, stamps many); each series and set of predictors
+    has one matrix of sums of products for each bucket of its history, which is met once,
+    not for each run; a task solves a system as wide as the number of series. Runs without predictors or with fewer than ``least`` rows stay
     null; values are at least 0.
     """
     k = F.lit("") if kind is None else F.col(kind)
@@ -154,35 +153,19 @@ def cross_series_ols_fill(df: DataFrame, series: str, ts: str = "ts", value: str
     def vector(last: Column | None) -> Column:
         return F.concat(F.array(F.lit(1.0)), F.transform("ps", lambda p: F.try_element_at("x", p)), *([] if last is None else [F.array(last)]))
 
-    def products(df: DataFrame, by: list[str]) -> DataFrame:
-        """Sums of products of each pair of a row's values, of rows that have them all."""
-        z = df.select(*by, vector(F.try_element_at("x", F.col("s"))).alias("z")).where(~F.exists("z", lambda e: e.isNull()))
-        z = z.select(*by, F.posexplode("z").alias("i", "zi"), "z").select(*by, "i", "zi", F.posexplode("z").alias("j", "zj")).where("i <= j")
-        return z.groupBy(*by, "i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("g"))
-
-    # Runs of one series with the same predictors share their history: sums by day, then up to
-    # each run's day, and the run's own day up to its start.
-    own = ["k", "s", "ps"]
-    at = at.withColumn("day", F.to_date("t"))
-    p = preds.withColumn("day", F.to_date("a"))
-    daily = products(p.select(*own).distinct().join(at, "k"), [*own, "day"])
-    upto = F.sequence(F.lit(0), F.size("ps") + 1)
-    asked = p.select(*own, "day", "run", F.explode(upto).alias("i"), upto.alias("js")).select(*own, "day", "run", "i", F.explode("js").alias("j")).where("i <= j")
-    both = daily.withColumn("run", F.lit(None).cast("long")).unionByName(asked.withColumn("g", F.lit(0.0)))
-    before = Window.partitionBy(*own, "i", "j").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
-    sums = both.withColumn("g", F.sum("g").over(before)).where("run IS NOT NULL AND g IS NOT NULL").select("k", "s", "run", "i", "j", "g")
-    today = products(p.join(at, ["k", "day"]).where("t < a"), ["k", "s", "run"])
-    sums = sums.unionByName(today).groupBy("k", "s", "run", "i", "j").agg(F.sum("g").alias("g"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = int(pdf["j"].max()) + 1
-        g = np.zeros((m, m))
-        g[pdf["i"], pdf["j"]] = g[pdf["j"], pdf["i"]] = pdf["g"]
-        beta = np.full(m - 1, np.nan) if g[0, 0] < least else np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "s": [pdf["s"].iloc[0]], "run": [pdf["run"].iloc[0]], "beta": [beta.tolist()], "rows": [int(g[0, 0])]})
-
-    fit = sums.groupBy("k", "s", "run").applyInPandas(solve, "k string, s string, run long, beta array<double>, rows long")
-    now = here.join(preds.drop("a"), ["k", "s", "run"]).join(fit, ["k", "s", "run"])
+    # runs of one series with the same predictors share their history
+    own = F.to_json(F.struct("k", "s", "ps"))
+    preds = preds.withColumn("own", own)
+    sets = preds.select("own", "k", "s", "ps").distinct()
+    z = sets.join(at, "k").select("own", "t", vector(F.try_element_at("x", F.col("s"))).alias("z")).where(~F.exists("z", lambda e: e.isNull()))
+
+    def solve(g: np.ndarray) -> dict:
+        beta = np.full(len(g) - 1, np.nan) if g[0, 0] < least else np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0]
+        return {"beta": beta.tolist(), "rows": int(g[0, 0])}
+
+    fit = gram.rolling_gram(z, preds.select("own", "run", "a"), "own", "t", "z", "a", solve, "beta array<double>, rows long")
+    fit = fit.join(sets.select("own", "k", "s"), "own").drop("own")
+    now = here.join(preds.drop("a", "own"), ["k", "s", "run"]).join(fit, ["k", "s", "run"])
     dot = F.aggregate(F.zip_with(vector(None), "beta", lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
     got = now.select(F.col("s").alias(series), F.col("t").alias(ts), F.when(F.col("rows") >= least, F.greatest(dot, F.lit(0.0))).alias("_f"), F.col("ps").alias("_p"))
     out = df.join(got, [series, ts], "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import checks, evaluate, features, filters, forecast, grid, impute, scale
+from panelcast.operators import checks, evaluate, explore, features, filters, forecast, gram, grid, impute, scale
 from panelcast.sources import panel
 from panelcast.sources.scratch import new_path
 from panelcast.streaming import panel as stream
@@ -298,3 +298,33 @@ def test_requery_rows_of_other_metadata_are_one(spark):
     old = spark.createDataFrame([("a", "PT60M", 1, 1.0, "x")], s)
     new = spark.createDataFrame([("a", "PT60M", 2, 5.0, "x"), ("a", "PT60M", 2, 5.0, "y")], s)
     assert panel.merge_requery(old, new, ["zone", "resolution", "ts"])[1].count() == 1
+
+
+def test_pairwise_tiles_equal_numpy(spark):
+    r = np.random.default_rng(3)
+    x = 1e6 + r.normal(size=(300, 30)) @ r.normal(size=(30, 30))
+    x[r.random(x.shape) < 0.3] = np.nan
+    x[:, 7], x[1:, 9] = 5.0, np.nan
+    rows = [(f"s{j:02d}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), float(x[i, j])) for i in range(300) for j in range(30) if x[i, j] == x[i, j]]
+    d = spark.createDataFrame(rows, "series string, ts timestamp_ntz, value double")
+    got = {(p["a"], p["b"]): p for p in gram.pairwise(d, "series", block=8).collect()}
+    for i in range(30):
+        for j in range(i, 30):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            p = got.pop((f"s{i:02d}", f"s{j:02d}"), None)
+            assert (p is None) == (ok.sum() == 0)
+            if p is not None:
+                assert p["obs"] == ok.sum()
+                c = np.cov(x[ok, i], x[ok, j]) if ok.sum() > 1 else None
+                assert p["cov"] is None if c is None else abs(p["cov"] - c[0, 1]) < 1e-6
+                defined = c is not None and c[0, 0] > 1e-9 and c[1, 1] > 1e-9
+                assert abs(p["corr"] - c[0, 1] / (c[0, 0] * c[1, 1]) ** 0.5) < 1e-9 if defined else p["corr"] is None
+    assert not got and explore.pairwise(d.limit(0), "series").count() == 0
+
+
+def test_two_thousand_series_make_no_row_for_a_pair_and_a_stamp(spark):
+    n, stamps = 2000, 6
+    d = spark.range(n * stamps).select((F.col("id") % n).cast("string").alias("series"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.floor(F.col("id") / n).cast("int"))).alias("ts"), F.rand(1).alias("value"))
+    p = explore.pairwise(d, "series")
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert p.count() == n * (n + 1) // 2 and "CartesianProduct" not in plan and "_t" not in plan.split("Join")[0]
