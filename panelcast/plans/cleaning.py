@@ -351,9 +351,32 @@ def _(spark, d):
     return impute.cross_series_ols_fill(two, "series", least=168).select("series", "ts", F.round("filled", 5).alias("filled"))
 
 
-@register("i2_cross_series_ols_fill")
-def _(spark, d):
-    return impute.cross_series_ols_fill(V.gridded(spark, d), "series", least=168)
+#: Normal equations of each run over all earlier complete rows, solved by elimination: one column a round.
+OLS = """
+n AS (SELECT *, sum(CASE WHEN value IS NULL AND (p IS NOT NULL OR i = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts) AS run
+  FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS p, row_number() OVER (PARTITION BY series ORDER BY ts) AS i FROM gridded)),
+r AS (SELECT series, run, min(ts) AS a, max(ts) AS b, count(*) AS n FROM n WHERE value IS NULL GROUP BY ALL),
+c AS (SELECT r.series, r.run, r.a, g.series AS p FROM r JOIN gridded g ON g.series <> r.series AND g.ts BETWEEN r.a AND r.b AND g.value IS NOT NULL GROUP BY ALL HAVING count(*) = any_value(r.n)),
+ps AS (SELECT series, run, a, list(p ORDER BY p) AS ps FROM c GROUP BY ALL),
+m AS (SELECT ts, map_from_entries(list((series, value))) AS m FROM gridded WHERE value IS NOT NULL GROUP BY ts),
+z AS (SELECT series, run, list_concat([1.0::DOUBLE], list_transform(ps, lambda p: m[p]), [m[series]]) AS z FROM ps JOIN m ON m.ts < ps.a),
+v AS (SELECT series, run, z, unnest(range(1, len(z) + 1)) AS i FROM z WHERE len(list_filter(z, lambda x: x IS NULL)) = 0),
+w AS (SELECT series, run, i, z, unnest(range(1, len(z) + 1)) AS j FROM v),
+s AS (SELECT series, run, i, j, sum(z[i] * z[j]) AS g FROM w GROUP BY ALL),
+l AS (SELECT series, run, i, list(g ORDER BY j) AS line FROM s GROUP BY ALL),
+e AS (SELECT series, run, 0 AS k, list(line ORDER BY i)[:-2] AS g, min(line[1]) FILTER (i = 1) AS rows FROM l GROUP BY ALL
+  UNION ALL SELECT series, run, k + 1, list_transform(g, lambda x, nth: CASE WHEN nth = k + 1 THEN list_transform(x, lambda v: v / x[k + 1]) ELSE list_transform(x, lambda v, col: v - x[k + 1] / g[k + 1][k + 1] * g[k + 1][col]) END), rows FROM e WHERE k < len(g)),
+beta AS (SELECT series, run, rows, list_transform(g, lambda x: x[-1]) AS beta FROM e WHERE k = len(g)),
+f AS (SELECT n.series, n.ts, n.value, ps.ps, CASE WHEN n.value IS NULL AND rows >= 168 THEN greatest(0, list_dot_product(beta, list_concat([1.0::DOUBLE], list_transform(ps.ps, lambda p: m.m[p])))) END AS f
+  FROM n LEFT JOIN ps ON ps.series = n.series AND ps.run = n.run AND n.value IS NULL LEFT JOIN beta ON beta.series = n.series AND beta.run = n.run LEFT JOIN m ON m.ts = n.ts)
+SELECT series, ts, round(coalesce(value, f), 5) AS filled, f IS NOT NULL AS imputed, CASE WHEN f IS NOT NULL THEN 'ols' END AS method, CASE WHEN f IS NOT NULL THEN array_to_string(ps, ',') END AS predictors FROM f
+"""
+
+
+@register("i2_cross_series_ols_fill", f"WITH RECURSIVE {V.GRIDDED}, {OLS}")
+def _(spark, d):
+    f = impute.cross_series_ols_fill(V.gridded(spark, d), "series", least=168)
+    return f.select("series", "ts", F.round("filled", 5).alias("filled"), "imputed", F.col("imputation_method").alias("method"), F.array_join("imputation_predictors", ",").alias("predictors"))
 
 
 @register("i4_row_for_fill", f"WITH {V.GRIDDED}, m AS (SELECT g.series, g.ts, g.value, h.note FROM gridded g LEFT JOIN (SELECT event_type AS series, date_trunc('hour', ts) AS ts, max(event_id) AS note FROM events GROUP BY ALL) h ON h.series = g.series AND h.ts = g.ts) SELECT series, ts, coalesce(note, lag(note, 168) OVER w, last_value(note IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS note FROM m WINDOW w AS (PARTITION BY series ORDER BY ts)")

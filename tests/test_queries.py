@@ -9,7 +9,7 @@ from panelcast.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 #: Beyond SQL; tested against brute force in test_operators.
-NO_SQL = {"m6_forecast_with_cadence", "i2_cross_series_ols_fill", "m3_walk_forward_lasso", "m3_walk_forward_lasso_exog"}
+NO_SQL = {"m6_forecast_with_cadence", "m3_walk_forward_lasso", "m3_walk_forward_lasso_exog"}
 
 
 @pytest.fixture(scope="module")
