@@ -246,6 +246,12 @@ def _(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stalled_at")})
 
 
+@register("t6_stalled_runs", "WITH g AS (SELECT event_type, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS ended_at, count(*) AS rows, s = max(s) OVER (PARTITION BY event_type) AS stalled FROM s GROUP BY event_type, s")
+def _(spark, d):
+    out = stream.run_until_forgotten(stream.stalled_runs(_events(spark, d), "event_type", gap=7200, wait=3))  # the table's end is a source that stops
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "ended_at")})
+
+
 @register("t7_stream_rolling_week", "WITH w AS (SELECT event_type, value, unnest(generate_series(time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 7 DAY, INTERVAL 1 DAY)) AS \"end\" FROM events) SELECT event_type, \"end\", round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM w WHERE \"end\" + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL")
 def _(spark, d):
     out = stream.run_once(stream.rolling_week(_events(spark, d), ["event_type"], slide="1 day"))

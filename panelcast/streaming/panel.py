@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelcast.sources import panel
 from panelcast.sources.scratch import new_path
@@ -36,6 +38,33 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return got
 
 
+def run_until_forgotten(stream: DataFrame, seconds: float = 120.0, trigger: str = "1 second") -> DataFrame:
+    """A stream with timers into a table of the shared folder, until no key has state left (or ``seconds`` have passed: an error)."""
+    spark = stream.sparkSession
+    out, mark, provider = new_path(spark, "stream"), new_path(spark, "checkpoint"), "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers and expiry need it
+    try:
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(processingTime=trigger).start()
+    finally:
+        spark.conf.unset(provider) if was is None else spark.conf.set(provider, was)
+    try:
+        end, rows = time.time() + seconds, 0
+        while q.isActive:
+            done = [p for p in q.recentProgress if p["stateOperators"]]
+            rows = sum(p["numInputRows"] for p in done)
+            if rows and done[-1]["numInputRows"] == 0 and done[-1]["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+            if time.time() > end:
+                raise TimeoutError(f"state is left after {seconds} seconds and {rows} rows")
+            time.sleep(0.3)
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def hourly_collapse(stream: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", late: str = "2 hours") -> DataFrame:
     """Mean and slots of each hour; slots may come as late as the watermark."""
     g = stream.withWatermark(ts, late).groupBy(*keys, F.window(ts, "1 hour").alias("w")).agg(F.avg(value).alias("value"), F.count(value).alias("slots"))
@@ -126,3 +155,64 @@ def rolling_week(stream: DataFrame, keys: list[str], ts: str = "ts", value: str
     """Mean and deviation over sliding weeks."""
     g = stream.withWatermark(ts, late).groupBy(*keys, F.window(ts, "7 days", slide).alias("w")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     return g.select(*keys, F.col("w.end").alias("end"), "mean", "std")
+
+
+class _Runs(StatefulProcessor):
+    """One run (start, last stamp, rows) of state a key; a timer ends it when no row has come for ``wait`` milliseconds."""
+
+    def __init__(self, ts: str, gap: float, wait: int, forget: int):
+        self.ts, self.gap, self.wait, self.forget = ts, pd.Timedelta(seconds=gap), wait, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "start timestamp, last timestamp, rows long", self.forget)
+
+    def _row(self, key: tuple, start: pd.Timestamp, last: pd.Timestamp, rows: int, stalled: bool) -> dict:
+        return {"key": key[0], "start": start, "ended_at": last + self.gap, "rows": rows, "stalled": stalled}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = pd.concat([r[self.ts] for r in rows]).sort_values()
+        old = self.run.get() if self.run.exists() else None
+        out, now = [], None if old is None else (pd.Timestamp(old[0]), pd.Timestamp(old[1]), int(old[2]))
+        # runs of this batch, the first of which may go on with the one in state
+        for _, part in at.groupby((at.diff() >= self.gap).cumsum().to_numpy()):
+            first, last, n = part.iloc[0], part.iloc[-1], len(part)
+            if now is not None and first < now[1] + self.gap:
+                now = (min(now[0], first), max(now[1], last), now[2] + n)
+            else:
+                if now is not None:
+                    out.append(self._row(key, *now, False))
+                now = (first, last, n)
+        self.run.update((now[0].to_pydatetime(), now[1].to_pydatetime(), now[2]))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        yield pd.DataFrame(out, columns=["key", "start", "ended_at", "rows", "stalled"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.run.exists():
+            start, last, n = self.run.get()
+            out.append(self._row(key, pd.Timestamp(start), pd.Timestamp(last), int(n), True))
+            self.run.clear()
+        yield pd.DataFrame(out, columns=["key", "start", "ended_at", "rows", "stalled"])
+
+    def close(self) -> None:
+        pass
+
+
+def stalled_runs(stream: DataFrame, key: str, ts: str = "ts", gap: float = 1800, wait: float = 1800, forget: float = 7 * 86400) -> DataFrame:
+    """(key, start, ended_at, rows, stalled): runs of rows whose stamps follow within ``gap`` seconds.
+
+    A run ends when a later one of its key begins (not stalled), or when no row of the
+    key has come for ``wait`` seconds by the clock (stalled): a timer fires without any
+    further input, so a source that stops as a whole is reported. A row that comes after
+    that begins a run of its own. State that no timer has ended expires after ``forget``
+    seconds. Rows of a batch are taken in order of their stamps; one that is older than
+    the run in state joins it. Null stamps take no part.
+    """
+    kind = dict(stream.dtypes)[key]
+    schema = f"key {kind}, start timestamp, ended_at timestamp, rows long, stalled boolean"
+    rows = stream.where(F.col(ts).isNotNull()).select(key, ts)
+    out = rows.groupBy(key).transformWithStateInPandas(_Runs(ts, gap, int(wait * 1000), int(forget * 1000)), schema, "Append", "ProcessingTime")
+    return out.withColumnRenamed("key", key)
