@@ -33,12 +33,15 @@ def word_counts(docs: DataFrame, least_chars: int = 5, least_count: int = 3, dro
     empty one. Other columns are ignored.
     """
     run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0))).alias("run"))
-    low = F.when(F.lower("run") == F.col("run"), F.col("run")).otherwise(F.translate("run", UPPER, LOWER))
+    run = run.where(F.length("run") >= least_chars)
+    low = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))
     run = run.select(low.alias("run"), F.crc32(F.concat_ws(":", "doc_id", low).cast("binary")).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
     cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     words = run.select(F.when(F.col("h") % drop_one_in == 0, cut).otherwise(F.col("run")).alias("word"))
-    return words.where(F.length("word") >= least_chars).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+    # the length is an aggregate, as a filter on the word would compute it again below
+    words = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.length("word")).alias("chars"))
+    return words.where((F.col("n") >= least_count) & (F.col("chars") >= least_chars)).drop("chars")
 
 
 def _node(way: Column, prefix: Column) -> Column:
@@ -94,10 +97,11 @@ def neighbours(words: DataFrame) -> DataFrame:
     # edits: the trie's character replaces ours or comes before it, or ours is left out
     size, rest = F.length("label"), F.expr("substring(label, 2)")
     met = clean.drop("kids").join(edges, "node").where(F.col("ch") != F.col("own"))
-    replaced = F.when((at < n) & (rest == F.substring(F.col("s"), at + 2, size - 1)), at + size)
-    inserted = F.when(rest == F.substring(F.col("s"), at + 1, size - 1), at + size - 1)
-    met = met.select("way", "s", F.explode(F.array_compact(F.array(replaced, inserted))).alias("at"), F.col("child").alias("node"), "kids", "ends")
-    met = _moved(met.withColumn("next", own))
+    replaced = (at < n) & F.contains("kids", _char("s", at + size)) & (rest == F.substring(F.col("s"), at + 2, size - 1))
+    inserted = F.contains("kids", _char("s", at + size - 1)) & (rest == F.substring(F.col("s"), at + 1, size - 1))
+    met = met.withColumns({"r": replaced, "i": inserted}).where("r OR i")
+    to = F.explode(F.array(F.when(F.col("r"), at + size), F.when(F.col("i"), at + size - 1)))
+    met = met.select("way", "s", to.alias("at"), F.col("child").alias("node"), "ends").where("at IS NOT NULL")
     left_out = clean.where(at < n).withColumn("next", _char("s", at + 1)).where(F.col("next") != F.col("own"))
     left_out = _moved(left_out.withColumn("at", at + 1).withColumn("ends", F.when(F.col("at") == n, F.substring(F.col("s"), F.lit(1), n - 1))))
     frontier = stage(met.unionByName(left_out.select(met.columns)), "frontier")
