@@ -126,8 +126,8 @@ def roll_up(conv: np.ndarray, depth: np.ndarray, parent: np.ndarray, top: np.nda
     return out
 
 
-def _finish(names: list[str]):
-    """Roll up whole components in batches; rows come by component."""
+def _finish(names: list[str], size: int):
+    """Roll up whole components in batches of about ``size`` nodes; rows come by component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -140,7 +140,7 @@ def _finish(names: list[str]):
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
-            if sum(map(len, held)) >= BATCH:
+            if sum(map(len, held)) >= size:
                 t = pa.concat_tables(held).combine_chunks()
                 c, d = t.column("top_conv").to_numpy(), t.column("top_depth").to_numpy()
                 edge = np.flatnonzero((c[1:] != c[:-1]) | (d[1:] != d[:-1]))
@@ -192,7 +192,7 @@ def centroid_rollup(nodes: DataFrame, rows: DataFrame, values: list[str]) -> Dat
     for s in small[1:]:
         rest = rest.unionByName(s)
     rest = rest.repartition("top_conv", "top_depth").sortWithinPartitions("top_conv", "top_depth")
-    out = rest.mapInArrow(_finish(values), "conv_id long, depth long, " + ", ".join(f"acc_{v} long" for v in values))
+    out = rest.mapInArrow(_finish(values, BATCH), "conv_id long, depth long, " + ", ".join(f"acc_{v} long" for v in values))
     for d in done:
         out = out.unionByName(d)
     return out.select("conv_id", "depth", *[F.col(f"acc_{v}").alias(v) for v in values])
