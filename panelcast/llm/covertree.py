@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.util import connected_components, join_hot, stage
+from panelcast.llm.util import chance, connected_components, join_hot, stage
 
 #: Classes of a chunk; sampled classes of a node and most children; classes of a leaf; chunks of a tile's side; slack of the bounds.
 CHUNK, SAMPLE, FAN, LEAF, SIDE, SLACK = 1024, 512, 32, 8, 4, 1e-9
@@ -320,7 +320,7 @@ def _levels(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, Da
             break
         mine = members.join(wide, _AT)
         rounds += 1
-        sample = mine.where(F.pmod(F.xxhash64(F.lit(rounds), "key"), F.lit(1 << 20)) * F.col("n") <= F.lit(SAMPLE * float(1 << 20)))
+        sample = mine.where(chance(F.lit(rounds), "key") * F.col("n") <= float(SAMPLE))
         centres = stage(sample.select(*_AT, "n", "vec").repartition(*_AT).sortWithinPartitions(*_AT).mapInArrow(_split, "label long, dim long, node string, n long, centres binary"), "centres")
         # a node's classes are dealt to tasks of some thousand, each with the node's centres first
         parts = F.ceil(F.col("n") / (2 * CHUNK))

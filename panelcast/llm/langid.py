@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.shingles import pieces, text_buffers
+from panelcast.llm.util import chance
 
 #: Fitting texts of each language (expected number of a sample by id hash): the bound of the model's sample.
 FIT_ROWS = 2000
@@ -169,7 +170,8 @@ def _margins(model: LanguageModel):
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Fit on a sample of about ``fit_rows`` texts of each language of ``train``, chosen by a hash of the id.
 
-    Rows with a null text or language are left out. What reaches the driver is one
+    Rows with a null text or language are left out. A sample that holds no text (chance
+    may do that where ``fit_rows`` is tiny) gives a model that knows no difference. What reaches the driver is one
     count for each language and gram, at most SIZE for each language.
     """
     t = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -179,8 +181,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     model = LanguageModel(langs, codewords(k), np.zeros((SIZE + 1, 1), np.float32), np.ones(1), np.ones(1))
     if k < 2:
         return model
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, fit_rows / per[lang]) * (1 << 20))))])
-    t = t.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(fit_rows / per[lang]))])
+    t = t.where(chance(F.lit("fit"), "id") < share[F.col("lang")]).select("lang", "text")
     got = t.mapInArrow(_count(langs), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     c = np.zeros((k, SIZE))
     c[got["lang"].to_numpy(), got["gram"].to_numpy()] = got["n"].to_numpy()
@@ -188,9 +190,9 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     w = [np.log(p[b > 0].mean(0) / p[b < 0].mean(0)) for b in model.codes.T]
     model.weights = np.concatenate([np.stack(w, 1), np.zeros((1, len(w)))]).astype(np.float32)
     model.scale, model.vote = np.ones(len(w)), np.ones(len(w))
-    s = t.mapInArrow(_margins(model), "bit long, mag double, ok double, n double").groupBy("bit").agg(F.sum("mag").alias("mag"), F.sum("ok").alias("ok"), F.sum("n").alias("n")).toPandas().sort_values("bit")
+    s = t.mapInArrow(_margins(model), "bit long, mag double, ok double, n double").groupBy("bit").agg(F.sum("mag").alias("mag"), F.sum("ok").alias("ok"), F.sum("n").alias("n")).toPandas().set_index("bit").reindex(range(len(w))).fillna(0)
     n = np.maximum(s["n"].to_numpy(), 1)
-    model.scale = np.maximum(s["mag"].to_numpy() / n, 1e-9)
+    model.scale = np.where(s["n"] > 0, np.maximum(s["mag"].to_numpy() / n, 1e-9), 1)
     vote = np.maximum(s["ok"].to_numpy() / n - 0.5, 0.01)
     model.vote = vote / vote.mean()
     return model

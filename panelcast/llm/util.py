@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -67,6 +67,11 @@ def tasks(spark: SparkSession, units: int | None, most: int, least: int) -> int:
     return max(1, -(-u // most), min(-(-u // least), 2 * spark.sparkContext.defaultParallelism))
 
 
+def chance(*cols: Column | str) -> Column:
+    """A number from 0 to below 1 that a hash of the columns gives, in steps of 2**-53: a sample's share may be as small."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)
+
+
 def join_hot(df: DataFrame, dim: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """Left join with a table of one row a key, where one key may hold a third of ``df``: keys are dealt to ``salts`` tasks each."""
     s = fresh("_salt", [*df.columns, *dim.columns])

@@ -6,7 +6,10 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from panelcast.llm import langid as L
+from panelcast.llm.util import chance
 
 SYL = {"en": ["th", "ing", "the", "wh", "er"], "fr": ["eau", "oi", "é", "ç", "ou"], "de": ["sch", "ung", "ß", "ü", "ich"], "es": ["ción", "ñ", "ado", "ll", "os"]}
 
@@ -89,3 +92,15 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, p string, score double, held_out boolean, id int")
     got = L.predict_held_out(df)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "ambiguous"] and got.count() == 60
+
+
+def test_a_sample_without_texts_and_shares_of_any_size(spark):
+    df = spark.createDataFrame(rows(60), "doc_id long, text string, lang string, p string")
+    model = L.fit(df, fit_rows=1e-12)  # as little of a language as 2,000 of 1e17 texts
+    assert len(model.scale) == len(model.vote) == model.codes.shape[1]
+    assert df.select(L.language(model, df["text"], df).alias("q")).where("q.lang_pred IS NULL OR NOT q.score BETWEEN 0 AND 1").count() == 0
+    ids = spark.range(200_000)
+    for share in (0.5, 1e-3, 1e-4):
+        n = ids.where(chance(F.lit("fit"), "id") < share).count()
+        assert abs(n - share * 200_000) < 6 * (share * 200_000) ** 0.5
+    assert ids.agg(F.count_distinct(chance("id"))).first()[0] == 200_000
