@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import gram
+from panelcast.operators import gram, intervals
 
 
 def pivot_panel(df: DataFrame, ts: str, series: str, values: list[str], value: str = "value") -> DataFrame:
@@ -32,7 +32,7 @@ def top_bottom_pairs(pairs: DataFrame, n: int = 5) -> DataFrame:
 
 def period_summary(df: DataFrame, periods: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Mean, median, deviation and number of negatives for each of some overlapping periods (period, start, end)."""
-    j = df.join(periods, (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
+    j = intervals.points_in(df, periods, [], ts, "start", "end")
     return j.groupBy(*keys, "period").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.sum((F.col(value) < 0).cast("int")).alias("negatives"))
 
 

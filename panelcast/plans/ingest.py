@@ -9,7 +9,7 @@ from panelcast.plans import modelling as M
 from panelcast.plans import views as V
 from panelcast.plans.registry import register
 from panelcast.plans.views import KEY5, YEAR, ZONES, r6
-from panelcast.sources import panel
+from panelcast.sources import dataset, panel
 from panelcast.sources.scratch import new_path
 from panelcast.streaming import panel as stream
 
@@ -121,6 +121,14 @@ def _(spark, d):
     return panel.merge_requery(*_two(spark, d), KEY5)[2]
 
 
+@register("s11_merge_on_storage", f"WITH {V.RAW}, {OLD} SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {SAME})")
+def _(spark, d):
+    path, (old, new) = new_path(spark, "dataset"), _two(spark, d)
+    dataset.create(old, path, ["zone", "variable"])
+    dataset.merge(spark, path, new, KEY5)
+    return dataset.read(spark, path).select(old.columns)
+
+
 WINDOWS = [("w1", "click", "load", "2024-01-03", "2024-01-06", None), ("w2", "view", "price", "2024-01-10", "2024-01-11", "B16"), ("w3", "nowhere", "load", "2024-01-01", "2024-02-01", None)]
 WIN = "wi(\"window\", zone, variable, a, b, psr) AS (VALUES " + ", ".join(f"('{n}', '{z}', '{v}', TIMESTAMP '{a}', TIMESTAMP '{b}', {repr(p) if p else 'NULL'})" for n, z, v, a, b, p in WINDOWS) + ")"
 
@@ -143,6 +151,16 @@ def _(spark, d):
     return panel.repair_windows(*_two(spark, d), _windows(spark), KEY5)[0]
 
 
+@register("s12_repair_on_storage", f"WITH {V.RAW}, {OLD}, {WIN}, {HIT}, x AS (SELECT zone, variable, false AS added FROM a UNION ALL SELECT DISTINCT ON (zone, variable, psr_type, resolution, ts) zone, variable, true FROM ad) SELECT zone, variable, count(*) AS rows, bool_or(added) AS rewritten FROM x GROUP BY ALL")
+def _(spark, d):
+    path, (old, new) = new_path(spark, "dataset"), _two(spark, d)
+    first = dataset.create(old, path, ZV)
+    _, after = dataset.repair(spark, path, new, _windows(spark), KEY5)
+    kept = [p for p, c in after.commits.items() if first.commits.get(p) == c]  # partitions whose files are the old ones
+    name = F.concat(F.lit("zone="), "zone", F.lit("/variable="), "variable")
+    return dataset.read(spark, path).groupBy(*ZV).agg(F.count("*").alias("rows")).withColumn("rewritten", ~name.isin(kept))
+
+
 @register("s13_report_json", "SELECT '{\"zone\":\"' || event_type || '\",\"hours\":' || count(*) || ',\"users\":' || count(DISTINCT user_id) || ',\"span\":{\"first\":\"' || strftime(min(ts), '%Y-%m-%d') || '\",\"last\":\"' || strftime(max(ts), '%Y-%m-%d') || '\"}}' AS json FROM events GROUP BY event_type")
 def _(spark, d):
     g = V.table(spark, d, "events").groupBy(F.col("event_type").alias("zone")).agg(F.count("*").alias("hours"), F.count_distinct("user_id").alias("users"), F.struct(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last")).alias("span"))
@@ -265,10 +283,26 @@ def _(spark, d):
     merged, conflicts = new_path(spark, "merged"), new_path(spark, "conflicts")
     q = _events(spark, d).select("event_id", "value").writeStream.foreachBatch(stream.insert_only_merge(base, ["event_id"], merged, conflicts))
     q.option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    added = spark.read.parquet(merged).select("event_id", F.lit("added").alias("outcome"))
+    added = stream.merged_rows(spark, merged, base).select("event_id", F.lit("added").alias("outcome"))
     return added.unionByName(spark.read.parquet(conflicts).select("event_id", F.lit("conflict").alias("outcome")))
 
 
+@register("t3_stream_merge_by_day", "WITH b AS (SELECT event_type, ts, min(value) AS value FROM events WHERE event_id % 7 = 0 GROUP BY ALL), f AS (SELECT event_type, ts, value, event_id FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_type, ts, value + 1, event_id FROM events WHERE event_id % 7 = 0 AND event_id % 2 = 0) SELECT CAST(ts AS DATE) AS day, count(*) AS rows, CAST(sum(CAST(conflict AS INT)) AS BIGINT) AS conflicts FROM (SELECT ts, false AS conflict FROM b UNION ALL SELECT f.ts, false FROM (SELECT DISTINCT event_type, ts FROM f) f ANTI JOIN b USING (event_type, ts) UNION ALL SELECT ts, true FROM (SELECT DISTINCT f.event_type, f.ts, f.value FROM f JOIN (SELECT event_type, ts, arg_min(value, (src, value)) AS value FROM (SELECT 0 AS src, * FROM b UNION ALL SELECT 1, event_type, ts, value FROM f) GROUP BY ALL) k USING (event_type, ts) WHERE f.value <> k.value)) GROUP BY ALL")
+def _(spark, d):
+    e = V.table(spark, d, "events").select("event_type", "ts", "value", "event_id")
+    key = ["event_type", "ts"]
+    base = e.where("event_id % 7 = 0").groupBy(*key).agg(F.min("value").alias("value"))
+    feed = e.where("event_id % 7 <> 0").unionByName(e.where("event_id % 7 = 0 AND event_id % 2 = 0").withColumn("value", F.col("value") + 1))
+    path, merged, conflicts = new_path(spark, "feed"), new_path(spark, "merged"), new_path(spark, "conflicts")
+    feed.select(*key, "value").repartitionByRange(3, "ts").write.parquet(path)  # three files, a batch each
+    merge = stream.insert_only_merge(base, key, merged, conflicts, part=F.to_date("ts"))
+    q = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(path).writeStream.foreachBatch(merge)
+    q.option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rows = base.unionByName(stream.merged_rows(spark, merged, base)).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("rows"))
+    met = spark.read.parquet(conflicts).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("conflicts"))
+    return rows.join(met, "day", "left").na.fill(0, ["conflicts"]).withColumn("rows", F.col("rows") + F.col("conflicts"))
+
+
 @register("t4_stream_running_mae", "SELECT event_type, round(avg(abs(value * 0.25)), 6) AS mae, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     f = _events(spark, d).select("event_type", "event_id", "ts", (F.col("value") * 1.25).alias("forecast"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators import grid
+from panelcast.operators import grid, intervals
 
 #: Columns of a raw panel; key: zone, variable, psr_type, resolution, timestamp_utc.
 RAW_SCHEMA = T.StructType(
@@ -208,17 +208,21 @@ def merge_requery(existing: DataFrame, fetched: DataFrame, key: list[str], value
     return existing.unionByName(add), add, conflicts
 
 
-def repair_windows(panel: DataFrame, fetched: DataFrame, windows: DataFrame, key: list[str], ts: str = "ts", value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Merge fetched rows that lie in listed windows (window, zone, variable[, psr_type], start, end); and rows returned and added by window.
+def rows_in_windows(df: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows with the windows (window, zone, variable[, psr_type], start, end) that they lie in: once for each.
 
-    A window's psr_type is its rows'; a null one means all. Joined on zone and variable.
+    A window's psr_type is its rows'; a null one means all. Joined on zone and variable
+    and by the windows' span.
     """
     w = windows if "psr_type" in windows.columns else windows.withColumn("psr_type", F.lit(None).cast("string"))
-    w = w.withColumnRenamed("psr_type", "_psr")
-    any_type = F.col("_psr").isNull() | (F.col("_psr") == F.col("psr_type")) if "psr_type" in fetched.columns else F.lit(True)
-    hit = fetched.join(w, ["zone", "variable"]).where(any_type).where((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
-    merged, add, _ = merge_requery(panel, hit.select(fetched.columns).distinct(), key, value)
-    in_w = lambda d: d.join(w, ["zone", "variable"]).where(any_type).where((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).groupBy("window").agg(F.count("*").alias("n"))
+    hit = intervals.points_in(df, w.withColumnRenamed("psr_type", "_psr"), ["zone", "variable"], ts, "start", "end")
+    return hit.where(F.col("_psr").isNull() | (F.col("_psr") == F.col("psr_type"))) if "psr_type" in df.columns else hit
+
+
+def repair_windows(panel: DataFrame, fetched: DataFrame, windows: DataFrame, key: list[str], ts: str = "ts", value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Merge fetched rows that lie in listed windows (see ``rows_in_windows``); and rows returned and added by window."""
+    merged, add, _ = merge_requery(panel, rows_in_windows(fetched, windows, ts).select(fetched.columns).distinct(), key, value)
+    in_w = lambda d: rows_in_windows(d, windows, ts).groupBy("window").agg(F.count("*").alias("n"))
     report = windows.select("window").join(in_w(fetched).withColumnRenamed("n", "rows_returned"), "window", "left").join(in_w(add).withColumnRenamed("n", "rows_added"), "window", "left")
     return merged, report.na.fill(0)
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelcast.sources import panel
-from panelcast.sources.scratch import new_path
+from panelcast.sources.scratch import new_path, stage
 
 
 def read_events(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
@@ -76,25 +77,56 @@ def dedupe(stream: DataFrame, key: list[str], ts: str = "ts", late: str = "2 hou
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def insert_only_merge(base: DataFrame, key: list[str], merged_path: str, conflict_path: str, value: str = "value") -> Callable[[DataFrame, int], None]:
+def insert_only_merge(base: DataFrame, key: list[str], merged_path: str, conflict_path: str, value: str = "value", part: Column | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows of new keys are appended, conflicts go to a table of their own.
 
-    Each batch's rows lie in a folder named by its number, so a batch that is run
-    again replaces what it wrote before.
+    ``part``, an expression of the key (its month, its zone), cuts the merged table: a
+    batch reads the parts of base and table that its rows fall into, however many
+    batches came before. Without it all rows are one part. Of rows that share a key
+    within a batch the first by value and other columns counts, the others are compared
+    with it. Each part's rows lie in a folder named by the batch's number, so a batch that
+    is run again replaces what it wrote and does not see it. ``merge.read`` lists the
+    bytes of the merged table that each batch read.
     """
+    part = F.lit("all") if part is None else part.cast("string")
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        seen = base
-        if n:
-            seen = base.unionByName(spark.read.option("basePath", merged_path).schema(base.schema.add("batch", "long")).parquet(merged_path).where(F.col("batch") < n).drop("batch"))
-        _, add, conflicts = panel.merge_requery(seen, batch, key, value)
-        add.write.mode("overwrite").parquet(f"{merged_path}/batch={n}")
-        conflicts.write.mode("overwrite").parquet(f"{conflict_path}/batch={n}")
-
+        batch = stage(batch.select(base.columns).withColumn("_part", part), "batch")
+        touched = [r[0] for r in batch.select("_part").distinct().collect()]  # parts of one batch
+        names = {p: "part=" + hashlib.md5(str(p).encode()).hexdigest() for p in touched}
+        seen = base.withColumn("_part", part).where(F.col("_part").isin([p for p in touched if p is not None]) | (F.col("_part").isNull() if None in touched else F.lit(False))).drop("_part")
+        hadoop, conf, old, size = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), [], 0
+        for name in names.values():
+            p = hadoop.Path(f"{merged_path}/{name}")
+            fs = p.getFileSystem(conf)
+            if fs.exists(p):
+                old += [f.getPath().toString() for f in fs.listStatus(p) if int(f.getPath().getName()[6:]) < n]
+        if old:
+            seen = seen.unionByName(spark.read.schema(base.schema).parquet(*old))
+            size = sum(int(hadoop.Path(o).getFileSystem(conf).getContentSummary(hadoop.Path(o)).getLength()) for o in old)
+        merge.read.append(size)
+        rest = [c for c in base.columns if c not in key]
+        order = [value, *[c for c in rest if c != value]]
+        one = batch.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*[F.struct(F.col(c).isNull(), c) for c in order])).alias("_r")).select(*key, "_r.*").select(base.columns)
+        _, add, _ = panel.merge_requery(seen, one, key, value)
+        add = stage(add.withColumn("_part", part), "add")
+        for p, name in names.items():
+            add.where(F.col("_part").eqNullSafe(F.lit(p))).drop("_part").write.mode("overwrite").parquet(f"{merged_path}/{name}/batch={n}")
+        kept = seen.select(*key, value).unionByName(add.select(*key, value))
+        both, same = kept.alias("k").join(batch.select(*key, value).distinct().alias("b"), [F.col(f"k.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]), F.col(f"k.{value}").eqNullSafe(F.col(f"b.{value}"))
+        both = both.where(~same).select(*[F.col(f"k.{c}").alias(c) for c in key], F.col(f"k.{value}").alias("kept"), F.col(f"b.{value}").alias("fetched"))
+        both.write.mode("overwrite").parquet(f"{conflict_path}/batch={n}")
+
+    merge.read = []
     return merge
 
 
+def merged_rows(spark: SparkSession, merged_path: str, like: DataFrame) -> DataFrame:
+    """All rows that a merge has added so far."""
+    return spark.read.schema(like.schema).parquet(f"{merged_path}/*/*")
+
+
 def running_mae(forecasts: DataFrame, observed: DataFrame, on: list[str], keys: list[str], ts: str = "ts", late: str = "2 hours") -> DataFrame:
     """(keys, mae, n) so far, from a stream-stream join on ``on`` and stamp; the state is one sum and count for each of ``keys``. Each batch gives a row for each key it touched; ``latest`` keeps the last."""
     f = forecasts.withWatermark(ts, late).select(*on, F.col(ts).alias("_tf"), "forecast")

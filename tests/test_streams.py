@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from panelcast.sources.scratch import new_path
 from panelcast.streaming import panel as stream
 
@@ -16,3 +18,19 @@ def test_a_stream_that_stops_is_reported_without_further_input(spark):
     s = spark.readStream.schema("k string, ts timestamp").parquet(path)
     got = stream.run_until_forgotten(stream.stalled_runs(s, "k", gap=1800, wait=2))
     assert sorted(tuple(r) for r in got.collect()) == [("a", t(0), t(0, 50), 2, False), ("a", t(3), t(3, 40), 2, False), ("a", t(3, 40), t(4, 10), 1, True), ("b", t(1), t(1, 30), 1, True)]
+
+
+def test_a_batch_reads_no_more_of_a_growing_table_than_its_own_parts(spark):
+    base = spark.createDataFrame([("k0", 0, 1.0)], "k string, day int, value double")
+    merged, conflicts = new_path(spark, "merged"), new_path(spark, "conflicts")
+    merge = stream.insert_only_merge(base, ["k", "day"], merged, conflicts, part=F.col("day"))
+    for n in range(5):  # two days a batch, one of them of the batch before
+        rows = [(f"k{i}", day, float(i)) for day in (n, n + 1) for i in range(50)] + [("k7", n + 1, 99.0), (None, n + 1, 0.0)]
+        merge(spark.createDataFrame(rows, base.schema), n)
+    first = merge.read[1]
+    assert merge.read[0] == 0 and first > 0 and all(r <= 1.1 * first for r in merge.read[1:])
+    got = stream.merged_rows(spark, merged, base)
+    assert got.count() == 6 * 50 - 1 + 5 and got.where("value = 99").count() == 0
+    assert sorted((r["k"], r["day"], r["kept"], r["fetched"]) for r in spark.read.parquet(conflicts).collect()) == [("k0", 0, 1.0, 0.0)] + [("k7", d, 7.0, 99.0) for d in range(1, 6)]
+    merge(spark.createDataFrame(rows, base.schema), 4)  # a batch that is run again
+    assert stream.merged_rows(spark, merged, base).count() == 6 * 50 - 1 + 5
