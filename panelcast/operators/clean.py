@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators import filters, grid, impute, quality
@@ -59,8 +59,12 @@ def clean_v2(raw: DataFrame, series: list[str], resolutions: list[str], start: s
     return grid.local_day_normalize(f, series, tz, ["imputed"], {"imputation_method": "none"})
 
 
-def build_model_panel(raw: DataFrame, series: list[str], tz: str) -> DataFrame:
-    """Hourly means on the local grid, the skipped hour filled, other gaps by the cascade, from the first day complete in all series."""
+def build_model_panel(raw: DataFrame, series: list[str], tz: str | Column, together: list[str] | None = None) -> DataFrame:
+    """Hourly means on the local grid, the skipped hour filled, other gaps by the cascade, from the first day complete in all series.
+
+    ``tz``: a time zone, or a column of ``series``. ``together``: columns of ``series`` (a
+    zone) whose series share a first complete day; all series do without.
+    """
     g = grid.fill_skipped_hours(grid.to_local_grid(raw, series, tz), series, tz)
     d = impute.impute_cascade(g, series, "local").withColumn("_all", F.lit(1))
-    return impute.trim_to_first_complete_day(d.withColumn("_s", F.concat_ws("|", *series)), ["_all"], "_s", "local").drop("_all", "_s", "n_utc")
+    return impute.trim_to_first_complete_day(d.withColumn("_s", F.concat_ws("|", *series)), together or ["_all"], "_s", "local").drop("_all", "_s", "n_utc")

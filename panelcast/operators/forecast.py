@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 import numpy as np
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.sources import dataset
+from panelcast.sources.scratch import stage
+
 
 def naive_forecast(df: DataFrame, keys: list[str], m: str | None = None, ts: str = "ts", value: str = "value") -> DataFrame:
     """The value of an earlier day at the same time: 'D' the day before, 'W' the week before, None the week before on Monday, Saturday and Sunday and the day before else. Stamps whose source is missing are absent."""
@@ -44,6 +48,25 @@ def resume_pending(days: DataFrame, forecasts: DataFrame, keys: list[str], slots
     return days.join(complete_days(forecasts, keys, slots), [*keys, "day"], "left_anti")
 
 
+def run_backtest(path: str, wanted: DataFrame, forecast: Callable[[DataFrame], DataFrame], parts: list[str], at_once: int = 64) -> DataFrame:
+    """Forecasts of all ``wanted`` blocks (``parts``: zone, window, block), those that a run before has committed read from ``path``.
+
+    Pending blocks are found by an anti join and computed ``at_once`` at a time: ``forecast``
+    maps their rows to rows of forecasts that carry ``parts``, and each lot is committed as
+    a whole. A run that is killed loses the lot it was at; one that is started again does
+    the rest. Returns everything committed so far.
+    """
+    spark = wanted.sparkSession
+    todo = wanted.select(parts).distinct()
+    if dataset.exists(spark, path):
+        todo = todo.join(dataset.read(spark, path).select(parts).distinct(), parts, "left_anti")
+    nth = F.row_number().over(Window.orderBy(*parts)) - 1  # blocks, not rows
+    todo = stage(todo.withColumn("_lot", F.floor(nth / at_once)), "pending")
+    for lot in range((todo.agg(F.max("_lot").alias("n")).first()["n"] or 0) + 1 if todo.limit(1).count() else 0):
+        dataset.append(forecast(todo.where(F.col("_lot") == lot).drop("_lot")), path, parts)
+    return dataset.read(spark, path)
+
+
 def feasible_windows(df: DataFrame, windows: list[int], ts: str = "ts", test_days: int = 728, floor: int = 56) -> DataFrame:
     """Test range (its last ``test_days`` days) and which calibration windows fit before it."""
     b = df.agg(F.min(F.to_date(ts)).alias("first"), F.max(F.to_date(ts)).alias("end")).withColumn("begin", F.date_sub("end", test_days - 1))

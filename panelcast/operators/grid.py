@@ -93,8 +93,12 @@ def to_utc(ts: Column, tz: str | Column) -> Column:
     return F.to_utc_timestamp(ts.cast("timestamp"), tz).cast("timestamp_ntz")
 
 
-def to_local_grid(df: DataFrame, keys: list[str], tz: str, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Hours by local stamp: the repeated autumn hour averaged, the grid completed, gaps null."""
+def to_local_grid(df: DataFrame, keys: list[str], tz: str | Column, ts: str = "ts", value: str = "value") -> DataFrame:
+    """Hours by local stamp: the repeated autumn hour averaged, the grid completed, gaps null.
+
+    Here and below ``tz`` is one time zone, or a column of the keys, as each zone of a
+    panel may have its own.
+    """
     loc = df.groupBy(*keys, to_local(F.col(ts), tz).alias("local")).agg(F.avg(value).alias(value), F.count("*").alias("n_utc"))
     return on_grid(loc, keys, "local")
 
@@ -104,7 +108,7 @@ def is_skipped(local: Column, tz: str | Column) -> Column:
     return to_local(to_utc(local, tz), tz) != local
 
 
-def fill_skipped_hours(df: DataFrame, keys: list[str], tz: str, local: str = "local", value: str = "value") -> DataFrame:
+def fill_skipped_hours(df: DataFrame, keys: list[str], tz: str | Column, local: str = "local", value: str = "value") -> DataFrame:
     """The skipped hour becomes the mean of its neighbours, if both are there; other gaps stay."""
     near = F.struct(F.col(value).alias("v"))
     d = carry.scan(df, keys, local, before={"_l": near}, after={"_r": near})
@@ -179,7 +183,7 @@ def dst_calendar(spark, first: int, last: int) -> DataFrame:
     return y.select(F.col("year").cast("int").alias("year"), sunday(3).alias("spring"), sunday(10).alias("autumn"))
 
 
-def local_day_normalize(df: DataFrame, keys: list[str], tz: str, flags: list[str], firsts: dict[str, str], ts: str = "ts", value: str = "value") -> DataFrame:
+def local_day_normalize(df: DataFrame, keys: list[str], tz: str | Column, flags: list[str], firsts: dict[str, str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Strict local days: the skipped hour the mean of its neighbours, the repeated one averaged; ``violation`` marks any other missing hour.
 
     ``flags`` are true if true in any hour merged; ``firsts`` keep the first value that
@@ -192,7 +196,7 @@ def local_day_normalize(df: DataFrame, keys: list[str], tz: str, flags: list[str
     return d.withColumn("violation", F.col(value).isNull()).drop("n_utc")
 
 
-def coverage_vs_grid(df: DataFrame, keys: list[str], tz: str, ts: str = "ts", max_gap: int = 3) -> DataFrame:
+def coverage_vs_grid(df: DataFrame, keys: list[str], tz: str | Column, ts: str = "ts", max_gap: int = 3) -> DataFrame:
     """Hours of the local grid, those missing (without hours that do not exist) and runs longer than ``max_gap``."""
     g = on_grid(df.groupBy(*keys, to_local(F.col(ts), tz).alias("local")).agg(F.lit(1).alias("_there")), keys, "local").where(~is_skipped(F.col("local"), tz))
     g = carry.scan(g, keys, "local", total={"_run": F.col("_there")})

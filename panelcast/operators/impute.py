@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable
 
 import numpy as np
@@ -60,11 +59,40 @@ def fill_by_shift(df: DataFrame, keys: list[str], step: int, passes: int, ts: st
     return d.where("_own <=> _bucket").drop("_chain", "_own", "_bucket")
 
 
+def prefix_medians(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Medians of the first ``n`` values for each n of ``lengths``; NaN for none.
+
+    Values are coded by rank, and the ranks are split by their bits from the highest on: at
+    each bit, counts of zeros tell all questions at once in which half their answer lies.
+    """
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    at = np.repeat(lengths.astype(np.int64), 2)
+    k = (at - 1) // 2
+    k[1::2] = at[1::2] // 2  # the two in the middle
+    lo, hi, found = np.zeros_like(at), at.copy(), np.zeros_like(at)
+    k = np.where(at > 0, k, 0)
+    for bit in range(max(len(values) - 1, 0).bit_length() - 1, -1, -1):
+        ones = (rank >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~ones)])
+        a, b = zeros[lo], zeros[hi]
+        left = k < b - a
+        found |= np.where(left, 0, 1 << bit)
+        k = np.where(left, k, k - (b - a))
+        lo, hi = np.where(left, a, zeros[-1] + lo - a), np.where(left, b, zeros[-1] + hi - b)
+        rank = np.concatenate([rank[~ones], rank[ones]])
+    if not len(values):
+        return np.full(len(lengths), np.nan)
+    got = np.where(at > 0, values[order][np.minimum(found, len(values) - 1)], np.nan).reshape(-1, 2)
+    return np.where(lengths % 2 == 1, got[:, 0], (got[:, 0] + got[:, 1]) / 2)
+
+
 def expanding_hour_median(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """Nulls take the median of all earlier values at their hour of day.
 
-    Only hours of keys that have a gap are sent to a task, which passes over them once
-    in order with a sorted list: one value for each day of a key's history.
+    Only hours of keys that have a gap are sent to a task: one value for each day of a
+    key's history, and all gaps of a group are answered at once (``prefix_medians``).
     """
     d = df.withColumn("_h", F.hour(ts))
     gaps = d.where(F.col(value).isNull()).select(*keys, "_h").distinct()
@@ -72,18 +100,12 @@ def expanding_hour_median(df: DataFrame, keys: list[str], ts: str = "ts", value:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
-        seen, at, out = [], [], []
-        for i, v in enumerate(pdf[value].to_numpy()):
-            if np.isnan(v):
-                n = len(seen)
-                if n:
-                    at.append(i)
-                    out.append(seen[n // 2] if n % 2 else (seen[n // 2 - 1] + seen[n // 2]) / 2)
-            else:
-                bisect.insort(seen, v)
-        got = pdf.iloc[at][[*keys, ts]].copy()
-        got["_m"] = np.array(out, float)
-        return got
+        v = pdf[value].to_numpy()
+        gap = np.isnan(v)
+        before = np.cumsum(~gap)[gap]
+        got = pdf.loc[gap, [*keys, ts]]
+        got["_m"] = prefix_medians(v[~gap], before)
+        return got[before > 0]
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in [*keys, ts]), "_m double"])
     med = d.join(gaps, [*keys, "_h"], "left_semi").select(*keys, "_h", ts, F.col(value).cast("double").alias(value)).groupBy(*keys, "_h").applyInPandas(run, schema)

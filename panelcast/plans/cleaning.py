@@ -166,6 +166,16 @@ def _(spark, d):
     return r6(grid.to_local_grid(V.spring(spark, d), ["series"], "Europe/Copenhagen"), "value")
 
 
+BY_ZONE = "tz AS (SELECT series, ts, value, CASE WHEN series < 'f' THEN 'Europe/Helsinki' ELSE 'Europe/Copenhagen' END AS tz FROM year), l AS (SELECT series, tz, timezone(tz, timezone('UTC', ts)) AS local, avg(value) AS value, count(*) AS n_utc FROM tz GROUP BY ALL), g AS (SELECT series, tz, unnest(generate_series(min(local), max(local), INTERVAL 1 HOUR)) AS local FROM l GROUP BY series, tz), j AS (SELECT g.*, value, n_utc, timezone(g.tz, timezone(g.tz, g.local)) <> g.local AS sk FROM g LEFT JOIN l ON g.series = l.series AND g.local = l.local), w AS (SELECT *, (lag(value) OVER o + lead(value) OVER o) / 2 AS m FROM j WINDOW o AS (PARTITION BY series ORDER BY local))"
+
+
+@register("g11_local_hours_by_zone", f"WITH {V.HOURLY}, {YEAR}, {BY_ZONE} SELECT series, tz, local, round(CASE WHEN value IS NULL AND sk THEN m ELSE value END, 6) AS value, CASE WHEN value IS NULL AND sk AND m IS NOT NULL THEN 'spring_interpolation' WHEN coalesce(n_utc, 1) > 1 THEN 'autumn_average' ELSE 'none' END AS dst_adjustment FROM w")
+def _(spark, d):
+    x = V.spring(spark, d).withColumn("tz", F.when(F.col("series") < "f", "Europe/Helsinki").otherwise("Europe/Copenhagen"))
+    keys, tz = ["series", "tz"], F.col("tz")
+    return r6(grid.fill_skipped_hours(grid.to_local_grid(x, keys, tz), keys, tz).drop("n_utc"), "value")
+
+
 @register("g10_skipped_hours", f"WITH {V.HOURLY}, {YEAR}, l AS (SELECT DISTINCT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS local FROM year) SELECT local FROM l WHERE timezone('Europe/Copenhagen', timezone('Europe/Copenhagen', local)) <> local")
 def _(spark, d):
     g = grid.complete_grid(V.spring(spark, d), [], "ts").withColumnRenamed("ts", "local")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from panelcast.operators import evaluate, explore, features, forecast, scale
 from panelcast.plans import views as V
 from panelcast.plans.registry import register
+from panelcast.sources.scratch import new_path
 from panelcast.plans.views import ZONES, r6, sf
 
 FILLED = V.GRIDDED + ", filled AS (SELECT series, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM gridded)"
@@ -252,6 +253,26 @@ def _(spark, d):
     return forecast.resume_pending(m.select("series", "day").distinct(), part, KS)
 
 
+@register("m8_resumed_backtest", f"WITH {MEMBERS} SELECT series, member, day(ts) // 7 AS block, ts, round(forecast, 6) AS forecast FROM fc")
+def _(spark, d):
+    """Half of the series in one run, a run that dies at its second lot, and one that does the rest."""
+    m = members(spark, d).select("series", "member", F.floor(F.dayofmonth("ts") / 7).alias("block"), "ts", "forecast")
+    parts, path, lots = ["series", "member", "block"], new_path(spark, "backtest"), []
+
+    def naive(pending):
+        lots.append(1)
+        if len(lots) == 3:
+            raise KeyboardInterrupt
+        return m.join(pending, parts)
+
+    forecast.run_backtest(path, m.where("series < 'f'"), naive, parts)
+    try:
+        forecast.run_backtest(path, m, naive, parts, at_once=8)
+    except KeyboardInterrupt:
+        pass
+    return r6(forecast.run_backtest(path, m, naive, parts), "forecast").select(*parts, "ts", "forecast")
+
+
 @register("m9_feasible_windows", f"WITH {V.DAILY}, b AS (SELECT min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS \"end\" FROM daily) SELECT first, CAST(\"end\" - 727 AS DATE) AS begin, \"end\", w AS \"window\", w >= 56 AND \"end\" - 727 - w >= first AS fits FROM b, (VALUES (28), (56), (84), (1092), (1456), (2000)) t(w)")
 def _(spark, d):
     return forecast.feasible_windows(V.daily(spark, d), [28, 56, 84, 1092, 1456, 2000])

@@ -78,6 +78,25 @@ def create(df: DataFrame, path: str, parts: list[str]) -> Version:
     return v
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, f"{path}/_manifests")
+    return fs.exists(p)
+
+
+def append(df: DataFrame, path: str, parts: list[str]) -> Version:
+    """Add partitions to a dataset, which is created if there is none; one that is there already is an error."""
+    spark = df.sparkSession
+    if not exists(spark, path):
+        return create(df, path, parts)
+    v = current(spark, path)
+    new = _commit(df.select(v.schema.names), path, parts)
+    if twice := sorted(set(v.commits) & set(new)):
+        raise ValueError(f"partitions are there already: {twice[:3]}")
+    after = Version(v.number + 1, v.schema, v.parts, v.commits | new)
+    publish(spark, path, after)
+    return after
+
+
 def read(spark: SparkSession, path: str, version: Version | None = None) -> DataFrame:
     """The rows of a version (the newest one); partition columns prune."""
     v = version or current(spark, path)

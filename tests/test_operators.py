@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -328,3 +329,23 @@ def test_two_thousand_series_make_no_row_for_a_pair_and_a_stamp(spark):
     p = explore.pairwise(d, "series")
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert p.count() == n * (n + 1) // 2 and "CartesianProduct" not in plan and "_t" not in plan.split("Join")[0]
+
+
+def test_prefix_medians_of_a_million_values():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 200):
+        v, at = r.integers(0, 9, n) * 0.5, r.integers(0, n + 1, 40)
+        got = impute.prefix_medians(v, at)
+        assert all((np.isnan(g) if k == 0 else g == np.median(v[:k])) for g, k in zip(got, at, strict=True))
+    v, at = r.normal(size=1_000_000), r.integers(1, 1_000_000, 300_000)
+    t = time.time()
+    got = impute.prefix_medians(v, at)
+    assert time.time() - t < 20 and all(got[i] == np.median(v[: at[i]]) for i in range(20))
+
+
+def test_each_zone_has_its_own_clock(spark):
+    h = hours(spark, "2024-03-30 20:00", list(range(12)), "DK1").withColumn("tz", F.lit(CPH))
+    h = h.unionByName(hours(spark, "2024-03-30 20:00", list(range(12)), "FI").withColumn("tz", F.lit("Europe/Helsinki")))
+    g = grid.fill_skipped_hours(grid.to_local_grid(h, ["series", "tz"], F.col("tz")), ["series", "tz"], F.col("tz"))
+    got = {(r["series"], r["local"].hour): r["value"] for r in g.where("dst_adjustment = 'spring_interpolation'").collect()}
+    assert got == {("DK1", 2): 4.5, ("FI", 3): 4.5}
