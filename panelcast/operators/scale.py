@@ -58,6 +58,15 @@ def zone_scaler_report(df: DataFrame, zone: str, slot: str, kind: str, value: st
     return g.crossJoin(least).withColumn("times_least", F.col("dispersion") / F.col("_least")).drop("_least")
 
 
+def equals_pooled(df: DataFrame, zone: str, kind: str, by_zone: list[str], pooled: list[str], value: str = "value", tol: float = 1e-9) -> DataFrame:
+    """(zone, equal, largest difference): whether scalers fitted zone by zone (keys ``by_zone``) and one pooled fit (keys ``pooled``) scale a zone's values alike."""
+    fits = [scaler_fit(df, keys, kind, value).select(*keys, F.col("centre").alias(f"_c{i}"), F.col("spread").alias(f"_s{i}")) for i, keys in enumerate((by_zone, pooled))]
+    both = df.join(fits[0], by_zone).join(fits[1], pooled)
+    gap = F.abs(_forward(kind, F.col(value), F.col("_c0"), F.col("_s0")) - _forward(kind, F.col(value), F.col("_c1"), F.col("_s1")))
+    g = both.groupBy(zone).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("difference"))
+    return g.select(zone, (F.col("difference") <= tol).alias("equal"), "difference")
+
+
 def round_trip_check(df: DataFrame, keys: list[str], kind: str, value: str = "value") -> DataFrame:
     """Largest error of scaling and back, and the deviation of the scaled values, by group."""
     p = scaler_fit(df, keys, kind, value)

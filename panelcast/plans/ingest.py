@@ -56,6 +56,25 @@ def _(spark, d):
     return panel.expand_sparse_points(p, ["zone"]).select("zone", "slot", "ts", "value")
 
 
+def _documents(spark, d):
+    """The hourly panel as market documents of a day each, with acknowledgements, read back."""
+    path, day = new_path(spark, "documents"), F.date_trunc("day", "ts").cast("timestamp_ntz")
+    h = V.hourly(spark, d).select(F.concat_ws("-", "series", F.date_format("ts", "MMdd")).alias("series"), day.alias("start"), (day + F.expr("interval 1 day")).alias("end"), F.lit("PT60M").alias("resolution"), (F.hour("ts") + 1).alias("position"), F.round("value", 6).alias("value"), F.lit("B16").alias("psr_type"), F.lit("A75").alias("business_type"), F.lit("MAW").alias("unit"))
+    codes = h.select(F.substring_index("series", "-", 1).alias("s")).distinct().select(F.when(F.col("s") < "f", "999").otherwise("A01").alias("code"), F.concat(F.lit("no data for "), "s").alias("text"))
+    panel.write_market_xml(h, path, codes)
+    return panel.read_market_xml(spark, path)
+
+
+@register("s4_market_documents", f"WITH {V.HOURLY} SELECT series || '-' || strftime(ts, '%m%d') AS series, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", 'PT60M' AS resolution, CAST(hour(ts) + 1 AS INTEGER) AS position, round(value, 6) AS value, 'B16' AS psr_type, 'A75' AS business_type, CAST(NULL AS VARCHAR) AS curve_type, 'MAW' AS unit, CAST(NULL AS VARCHAR) AS currency FROM hourly")
+def _(spark, d):
+    return _documents(spark, d)[0]
+
+
+@register("s4_rejections", "SELECT DISTINCT 'A01' AS code, 'no data for ' || event_type AS text FROM events WHERE event_type >= 'f'")
+def _(spark, d):
+    return _documents(spark, d)[1]
+
+
 @register("s6_collapse_publications_first", f"WITH {V.RAW} SELECT zone, ts, arg_min(value, ingest_seq) AS value FROM raw GROUP BY ALL")
 def _(spark, d):
     return panel.collapse_publications(V.raw(spark, d), ["zone", "ts"], "ingest_seq")

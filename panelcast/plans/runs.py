@@ -90,6 +90,19 @@ def _(spark, d):
     return r6(panel.read_members(spark, path, ["series"]).select("member", "series", "day", "slot", "forecast"), "forecast")
 
 
+@register("s15_member_files", f"WITH {M.MEMBERS}, k AS (SELECT member, series, day FROM fc WHERE NOT (day(ts) % 4 = 0 AND slot = 3) GROUP BY ALL HAVING count(forecast) = 24) SELECT 'window' AS kind, CASE fc.member WHEN 'D' THEN 56 ELSE 84 END AS member, fc.series, fc.day, CAST(fc.slot AS INTEGER) AS slot, round(forecast, 6) AS forecast FROM fc JOIN k ON k.member = fc.member AND k.series = fc.series AND k.day = fc.day WHERE fc.member <> 'N'")
+def _(spark, d):
+    m, out = M.members(spark, d).where("NOT (day(day) % 4 = 0 AND slot = 3)"), None
+    days = grid.day_matrix(m, ["series", "member"], "ts", "forecast")
+    for s in V.ZONES:  # a folder for each run
+        path = new_path(spark, "run")
+        for name, member in (("cw56", "D"), ("cw84", "W")):
+            panel.write_member_file(days.where((F.col("series") == s) & (F.col("member") == member)), path, name)
+        x = panel.read_member_files(spark, path, {"cw": "window", "seed": "seed"}).withColumn("series", F.lit(s))
+        out = x if out is None else out.unionByName(x)
+    return r6(out, "forecast")
+
+
 @register("s16_hourly_predictions", f"WITH {M.MEMBERS}, e AS (SELECT series, ts, avg(forecast) AS forecast FROM fc GROUP BY ALL) SELECT e.series, e.ts, round(e.forecast, 6) AS forecast, round(h.value, 6) AS observed FROM e LEFT JOIN hourly h ON h.series = e.series AND h.ts = e.ts")
 def _(spark, d):
     days = grid.day_matrix(forecast.ensemble_mean(M.members(spark, d), ["series", "ts"]), ["series"], "ts", "ensemble")

@@ -86,6 +86,18 @@ def _(spark, d):
     return r6(t.select("zone", "dispersion", (F.col("max_error") < 1e-3).alias("exact"), "constant_columns", "times_least"), "dispersion", "times_least")
 
 
+POOL = "p{i} AS (SELECT {k}, avg(price) AS c, CASE WHEN stddev_pop(price) = 0 THEN 1 ELSE stddev_pop(price) END AS s FROM wide GROUP BY ALL)"
+
+
+@register("x5_equals_pooled", f"WITH {V.WIDE}, {POOL.format(i=1, k='zone, hour(ts) AS slot')}, {POOL.format(i=2, k='hour(ts) AS slot')}, x AS (SELECT w.zone, max(abs((price - p1.c) / p1.s - (price - p2.c) / p2.s)) AS d FROM wide w JOIN p1 ON p1.zone = w.zone AND p1.slot = hour(ts) JOIN p2 ON p2.slot = hour(ts) GROUP BY 1) SELECT zone, 'columns' AS pooled, true AS equal, 0.0 AS difference FROM x UNION ALL SELECT zone, 'slots', d <= 1e-9, round(d, 6) FROM x")
+def _(spark, d):
+    w = V.wide(spark, d).withColumn("slot", F.hour("ts"))
+    own = ["zone", "slot"]
+    one = scale.equals_pooled(w, "zone", "Std", own, own, "price").withColumn("pooled", F.lit("columns"))  # a column a zone and slot: the same numbers
+    two = scale.equals_pooled(w, "zone", "Std", own, ["slot"], "price").withColumn("pooled", F.lit("slots"))  # zones in one column: others
+    return r6(one.unionByName(two), "difference")
+
+
 DIM = "dim AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{e}', '{t}', '{n}')" for i, (c, e, t, n) in enumerate(panel.ZONES)) + ") t(i, zone, eic, tz, name))"
 
 

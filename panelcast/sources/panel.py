@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,6 +140,31 @@ def read_market_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return points, reasons.where("code <> '999'")
 
 
+def write_market_xml(points: DataFrame, path: str, reasons: DataFrame | None = None) -> None:
+    """Market documents that ``read_market_xml`` reads: one time series for each (series, period), and rejections (code, text).
+
+    ``points`` has series, start, end, resolution, position, value and may have psr_type,
+    business_type, curve_type, unit and currency; what is null is left out.
+    """
+    have = lambda c: F.col(c) if c in points.columns else F.lit(None).cast("string")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm'Z'")
+    per = ["series", "start", "end", "resolution", *[c for c in ("psr_type", "business_type", "curve_type", "unit", "currency") if c in points.columns]]
+    g = points.groupBy(*per).agg(F.sort_array(F.collect_list(F.struct("position", F.col("value").alias("quantity")))).alias("_points"))
+    interval = F.struct(text("start").alias("start"), text("end").alias("end"))
+    doc = g.select(
+        F.col("series").cast("string").alias("mRID"),
+        have("business_type").alias("businessType"),
+        have("curve_type").alias("curveType"),
+        have("currency").alias("currency_Unit.name"),
+        have("unit").alias("quantity_Measure_Unit.name"),
+        F.when(have("psr_type").isNotNull(), F.struct(have("psr_type").alias("psrType"))).alias("MktPSRType"),
+        F.array(F.struct(interval.alias("timeInterval"), "resolution", F.col("_points").alias("Point"))).alias("Period"),
+    )
+    doc.write.format("xml").option("rootTag", "GL_MarketDocument").option("rowTag", "TimeSeries").mode("append").save(path)
+    if reasons is not None:
+        reasons.select("code", "text").write.format("xml").option("rootTag", "Acknowledgement_MarketDocument").option("rowTag", "Reason").mode("append").save(path)
+
+
 def step_minutes(resolution: Column) -> Column:
     """Minutes of an ISO resolution of the platform."""
     return F.when(resolution == "PT15M", 15).when(resolution == "PT30M", 30).when(resolution.isin("PT60M", "PT1H"), 60).when(resolution == "P1D", 1440).when(resolution == "P7D", 10080)
@@ -268,6 +295,35 @@ def read_members(spark: SparkSession, path: str, keys: list[str], slots: int = 2
     return df.join(whole, ["member", *keys, "day"], "left_semi")
 
 
+def write_member_file(days: DataFrame, path: str, name: str, slots: int = 24) -> None:
+    """One member's day arrays (day, slots) as a CSV of a column an hour: ``<name>.csv``, the name's number is the member's."""
+    days.select("day", *[F.get("slots", F.lit(i)).alias(f"h{i}") for i in range(slots)]).coalesce(1).write.csv(f"{path}/{name}.csv", header=True)
+
+
+def read_member_files(spark: SparkSession, path: str, kinds: dict[str, str], kind: str | None = None, slots: int = 24) -> DataFrame:
+    """(kind, member, day, slot, forecast) of a run's member files, named ``<prefix><number>.csv``, on the days each has whole.
+
+    ``kinds`` maps prefixes to kinds of members. Files of several kinds are an error unless
+    ``kind`` says which to read; names of another form are passed over; without files
+    there are no rows.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.csv")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    names = [m for s in found if (m := re.fullmatch(r"([A-Za-z_]*?)(\d+)\.csv", s.getPath().getName())) and m[1] in kinds]
+    there = sorted({kinds[m[1]] for m in names})
+    if kind is None and len(there) > 1:
+        raise ValueError(f"{path} holds members of kinds {' and '.join(there)}")
+    names = [m for m in names if kind in (None, kinds[m[1]])]
+    hours = [f"h{i}" for i in range(slots)]
+    schema = "day date, " + ", ".join(f"{h} double" for h in hours)
+    if not names:
+        return spark.createDataFrame([], "kind string, member int, day date, slot int, forecast double")
+    df = spark.read.csv([f"{path}/{m[0]}" for m in names], schema=schema, header=True).select("*", F.regexp_extract("_metadata.file_path", r"/([A-Za-z_]*?)(\d+)\.csv", 1).alias("_p"), F.regexp_extract("_metadata.file_path", r"/[A-Za-z_]*?(\d+)\.csv", 1).cast("int").alias("member"))
+    whole = df.where(F.greatest(*[F.col(h).isNull() for h in hours]) == F.lit(False))
+    label = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("_p")]
+    return whole.select(label.alias("kind"), "member", "day", F.posexplode(F.array(*hours)).alias("slot", "forecast"))
+
+
 def mixed_kinds(df: DataFrame, member: str = "member", kind: str = "kind") -> DataFrame:
     """Member kinds of a run beyond the first: a run of several is refused."""
     kinds = df.groupBy(kind).agg(F.count_distinct(member).alias("members"))

@@ -349,3 +349,19 @@ def test_each_zone_has_its_own_clock(spark):
     g = grid.fill_skipped_hours(grid.to_local_grid(h, ["series", "tz"], F.col("tz")), ["series", "tz"], F.col("tz"))
     got = {(r["series"], r["local"].hour): r["value"] for r in g.where("dst_adjustment = 'spring_interpolation'").collect()}
     assert got == {("DK1", 2): 4.5, ("FI", 3): 4.5}
+
+
+def test_member_files_by_number_and_kind(spark):
+    path = new_path(spark, "run")
+    day = lambda n, v: spark.createDataFrame([(dt.date(2024, 1, n), v)], "day date, slots array<double>")
+    kinds = {"cw": "window", "seed": "seed"}
+    panel.write_member_file(day(1, [float(i) for i in range(24)]), path, "cw112")
+    panel.write_member_file(day(2, [None, *[1.0] * 23]), path, "cw56")  # not whole
+    panel.write_member_file(day(1, [0.0] * 24), path, "notes")
+    got = panel.read_member_files(spark, path, kinds)
+    assert got.count() == 24 and got.where("kind = 'window' AND member = 112 AND slot = forecast").count() == 24
+    panel.write_member_file(day(1, [2.0] * 24), path, "seed3")
+    with pytest.raises(ValueError, match="seed and window"):
+        panel.read_member_files(spark, path, kinds)
+    assert [r["member"] for r in panel.read_member_files(spark, path, kinds, "seed").select("member").distinct().collect()] == [3]
+    assert panel.read_member_files(spark, new_path(spark, "none"), kinds).count() == 0
