@@ -235,10 +235,11 @@ def _(spark, d):
     return forecast.walk_forward_lasso(x, ["zone"], [56, 84, 1092], every=91)
 
 
-@register("m5_refit_schedule", f"WITH {ARR}, d AS (SELECT DISTINCT day FROM arr WHERE day >= DATE '2024-01-08') SELECT day, CAST(DATE '2024-01-08' + CAST(((day - DATE '2024-01-08') // 7) * 7 AS INTEGER) AS DATE) AS refit FROM d")
+@register("m5_refit_schedule", f"WITH {ARR}, d AS (SELECT DISTINCT day FROM arr), b AS (SELECT min(day) AS b FROM d) SELECT day, CAST(b + CAST(((day - b) // 7) * 7 AS INTEGER) AS DATE) AS refit FROM d, b")
 def _(spark, d):
-    days = _days(spark, d).select("day").distinct().where("day >= date'2024-01-08'")
-    return days.withColumn("refit", forecast.refit_day(F.col("day"), F.lit("2024-01-08").cast("date"), 7))
+    days = _days(spark, d).select("day").distinct()
+    begin = days.agg(F.min("day").alias("_begin"))  # one row
+    return days.crossJoin(F.broadcast(begin)).select("day", forecast.refit_day(F.col("day"), F.col("_begin"), 7).alias("refit"))
 
 
 @register("m7_ensemble_mean", f"WITH {MEMBERS} SELECT series, ts, round(avg(forecast), 6) AS ensemble FROM fc GROUP BY ALL HAVING count(forecast) = 3")

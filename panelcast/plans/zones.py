@@ -237,10 +237,10 @@ for _name in filters.LAYOUTS:
     _layout(_name)
 
 
-@register("j10_multi_zone_wide", f"WITH {V.HOURLY}, x AS (SELECT series, ts, value, value * 2 AS twice FROM hourly WHERE NOT (series = 'view' AND hour(ts) = 4)) SELECT ts, " + ", ".join(f"round(any_value(value) FILTER (series = '{z}'), 6) AS {z}_value, round(any_value(twice) FILTER (series = '{z}'), 6) AS {z}_twice" for z in ("click", "view")) + " FROM x WHERE series IN ('click', 'view') GROUP BY ts HAVING count(DISTINCT series) = 2")
+@register("j10_multi_zone_wide", f"WITH {V.HOURLY}, x AS (SELECT series, ts, value, value * 2 AS twice FROM hourly WHERE NOT (series = 'view' AND hour(ts) = 4)) SELECT ts, " + ", ".join(f"round(any_value(value) FILTER (series = '{z}'), 6) AS {z}_value, round(any_value(twice) FILTER (series = '{z}'), 6) AS {z}_twice" for z in ZONES) + " FROM x GROUP BY ts HAVING count(DISTINCT series) = 5")
 def _(spark, d):
     h = V.hourly(spark, d).where("NOT (series = 'view' AND hour(ts) = 4)").withColumn("twice", F.col("value") * 2)
-    out = panel.multi_zone_wide(h, ["click", "view"], ["value", "twice"], "series")
+    out = panel.multi_zone_wide(h, ZONES, ["value", "twice"], "series")
     return r6(out, *out.columns[1:])
 
 
