@@ -1,8 +1,11 @@
 """Replaces personal data by keyed surrogates of the same type and format.
 
-Found: e-mail addresses, phone numbers, card and social security numbers, IPv4
-addresses, access keys, and personal names by title, by a listed given name, or by what
-stands before them ("my name is", "Name:"). An entity's canonical
+Found: e-mail addresses, phone numbers (with a calling code, in groups of three and four,
+or national ones with a leading 0), card, bank account (IBAN) and social security
+numbers, IPv4 and IPv6 addresses, access keys and tokens by prefix, private key blocks,
+passwords after that word, and personal names by title, by a listed given name, or by
+what stands before them ("my name is", "Name:"); later in a text the family name alone
+is the same person. Card and account numbers count by their check digits. An entity's canonical
 form (digits of a number, lower case of an address) is replaced as follows, so that
 one entity has one surrogate everywhere and two never share one:
 
@@ -10,13 +13,15 @@ one entity has one surrogate everywhere and two never share one:
   length and alphabet (a Feistel network with HMAC rounds, walked until the value
   is valid again), and the characters are put back in the original's layout: case,
   punctuation, spaces and groups stay;
+* hosts keep their last label (and ``example`` before it), the others are permuted;
+* secrets of more than 40 characters go through a keyed stream instead;
 * names go through a keyed permutation of the list of given names of their gender
   and script, other words of a name through one of all letter runs of their script
   and layout: accents stay where they are, as do hyphens, apostrophes, ς and ß;
 
 A permutation keeps distinct entities distinct and changes each. ``checked`` verifies
 on the whole corpus that an entity has one surrogate and a surrogate one entity, and
-repairs what is not so (hosts of addresses are hashed). A surrogate may by chance be
+repairs what is not so. A surrogate may by chance be
 another entity of the corpus; ``collisions`` lists these.
 """
 
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import hmac
+import ipaddress
 import math
 import re
 import unicodedata
@@ -68,17 +74,27 @@ _GIVEN = "|".join(sorted(_OF, key=len, reverse=True))
 #: Capitalised words and initials before them; a title before another name is not one of them.
 _WORD = rf"(?:(?P<name>\p{{Lu}})\.? )*(?!(?:{_TITLE})\.? \p{{Lu}})(?P<name>{_FAMILY})"
 _PATTERN = regex.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
+    r"(?P<key_block>(?<=-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{0,4})[A-Za-z0-9+/][A-Za-z0-9+/=\s]{14,}[A-Za-z0-9+/=])"
+    r"|(?P<token>(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9]))"
+    r"|(?P<password>(?<=\b[Pp]ass(?:word|wd)(?:: ?|=))(?=\S*[A-Za-z])(?=\S*[0-9])[^\s,;\"'<>]{6,})"
+    r"|(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
     r"|(?P<access_key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?|[A-Z0-9]{11,30})(?![A-Za-z0-9]))"
+    r"|(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]))"
     r"|(?P<ip>(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\.?[0-9]))"
     r"|(?P<card>(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.])\+[0-9][0-9 ]{7,16}[0-9](?!\w))"
+    r"|(?P<card15>(?<![0-9-])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9-]))"
+    r"|(?P<phone>(?<![\w.])0[1-9][0-9]{1,4}[ /-][0-9]{5,9}(?!\w)|(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.])\+[0-9][0-9 ]{7,16}[0-9](?!\w))"
     rf"|(?P<person>\b(?:(?:(?:{_TITLE})\.? )+|(?P<name>{_GIVEN}) ){_WORD}(?: {_WORD})*\b)"
     rf"|(?<=\b[Mm]y name is )(?P<person>{_WORD}(?: {_WORD})*\b)|(?<=\b[Nn]ame: )(?P<person>{_WORD}(?: {_WORD})+\b)"
 )
 #: Each entity holds one of these pieces wherever it stands, so a text without them holds nothing.
-_SIGNS = re.compile(r"[@0-9]|A[KS]IA")
+_SIGNS = re.compile(r"[@0-9]|A[KS]IA|::|PRIVATE KEY|gh[pousr]_|github_pat|glpat-|sk-|xox|AIza")
+#: Kinds in the order in which a match is looked up, and what a match must be to count.
+_KINDS = ("key_block", "token", "password", "email", "access_key", "ssn", "iban", "ip6", "ip", "card", "card15", "phone", "person")
+_SECRETS, STREAM = ("key_block", "token", "password"), 40
+_PREFIX = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza|")
 _HEADS = re.compile("[Mm]y name is |[Nn]ame: |" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in ws if w[0] == c)})" for ws in [[t + r"\.? " for t in _TITLE.split("|")] + [g + " " for g in _OF]] for c in sorted({w[0] for w in ws})))
 
 
@@ -182,10 +198,39 @@ def _email(s: str, key: bytes) -> str:
     local, host = s.rsplit("@", 1)
     low = _lower(local)
     local = _cased(_runs(low, [DIGITS if c in DIGITS else _alphabet(c) for c in low], "email", key), local)
-    top = host.rsplit(".", 1)[1].lower()
-    name = "example.com" if host.lower().endswith("example.com") else f"example.{top if top in ('com', 'org', 'net') else 'com'}"
-    tag = hmac.digest(key, host.lower().encode(), "sha256").hex()[:12]
-    return f"{local}@h{tag}.{name}"
+    stays = re.search(r"((?:^|\.)example)?\.[A-Za-z]+$", host, re.I)[0]
+    low = _lower(host[: len(host) - len(stays)])
+    new = _runs(low, [DIGITS if c in DIGITS else LOWER if c in LOWER else "" for c in low], f"host|{stays.lower()}", key)
+    return f"{local}@{_cased(new, host[: len(host) - len(stays)])}{stays}"
+
+
+def _mod97(s: str) -> int:
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def _iban(s: str, key: bytes) -> str:
+    """Another account of the same country and form, with its check digits."""
+    own = s.replace(" ", "")
+    low = own[4:].lower()
+    body = "".join(_runs(list(low), [DIGITS if c in DIGITS else LOWER for c in low], f"iban|{own[:2]}", key)).upper()
+    check = 98 - _mod97(own[:2] + "00" + body)
+    return _fill(s, f"{own[:2]}{check:02d}{body}", str.isalnum)
+
+
+def _secret(s: str, tag: str, key: bytes) -> str:
+    """Letters for letters and digits for digits; a known prefix and signs stay."""
+    head = _PREFIX.match(s)[0] if tag == "token" else ""
+    body = s[len(head) :]
+    if sum(c.isalnum() for c in body) <= STREAM:
+        low = _lower(body)
+        return head + _cased(_runs(low, [DIGITS if c in DIGITS else _alphabet(c) for c in low], f"{tag}|{head}", key), body)
+    seed, out, pool = hmac.digest(key, f"{tag}|{body}".encode(), "sha256"), [], b""
+    for i, c in enumerate(body):
+        if i % 32 == 0:
+            pool = hmac.digest(seed, str(i).encode(), "sha256")
+        a = DIGITS if c in DIGITS else UPPER if c in UPPER else LOWER if c in LOWER else c
+        out.append(a[pool[i % 32] % len(a)])
+    return head + "".join(out)
 
 
 def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
@@ -194,13 +239,20 @@ def surrogate(kind: str, s: str, key: bytes = KEY) -> str:
         return _email(s, key)
     if kind == "access_key":
         return s[:4] + permute_run(s[4:], UPPER_DIGITS, f"key|{s[:4]}", key)
+    if kind in _SECRETS:
+        return _secret(s, kind, key)
+    if kind == "iban":
+        return _iban(s, key)
+    if kind == "ip6":
+        v = next(others(int(ipaddress.IPv6Address(s)), 1 << 128, "ip6", key))
+        return str(ipaddress.IPv6Address(v)) if "::" in s else ipaddress.IPv6Address(v).exploded
     digits = "".join(c for c in s if c.isdigit())
     if kind == "ssn":
         fine = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
         return _fill(s, permute_run(digits, DIGITS, "ssn", key, fine if fine(digits) else lambda d: not fine(d)), str.isdigit)
     if kind == "card":
-        good = _luhn(digits)
-        return _fill(s, digits[0] + permute_run(digits[1:], DIGITS, f"card|{digits[0]}", key, lambda d: _luhn(digits[0] + d) == good), str.isdigit)
+        good, head = _luhn(digits), digits[: 2 if len(digits) == 15 else 1]
+        return _fill(s, head + permute_run(digits[len(head) :], DIGITS, f"card|{head}", key, lambda d: _luhn(head + d) == good), str.isdigit)
     if kind == "ip":
         v = 0
         for part in s.split("."):
@@ -241,12 +293,39 @@ def find(text: str) -> Iterator[tuple[str, int, int, list[tuple[str, int, int]]]
     """(kind, start, end, parts) of every entity; parts are the pieces to replace."""
     if not _SIGNS.search(text) and not _HEADS.search(text):
         return
+    found, families = [], set()
     for m in _PATTERN.finditer(text):
-        kind = next(k for k in ("email", "access_key", "ssn", "ip", "card", "phone", "person") if m[k] is not None)
-        if kind != "person":
-            yield kind, m.start(), m.end(), [(kind, m.start(), m.end())]
-        else:
-            yield kind, m.start(), m.end(), [(_name_part(text[a:b]), a, b) for a, b in sorted(m.spans("name"))]
+        kind = next(k for k in _KINDS if m[k] is not None)
+        if kind == "person":
+            parts = [(_name_part(text[a:b]), a, b) for a, b in sorted(m.spans("name"))]
+            families |= {text[a:b] for k, a, b in parts[-1:] if k == "family" and b - a > 2}
+            found.append((kind, m.start(), m.end(), parts))
+        elif _counts(kind, m[0]):
+            kind = "card" if kind == "card15" else kind
+            found.append((kind, m.start(), m.end(), [(kind, m.start(), m.end())]))
+    if families:  # a family name alone is the person named before
+        spans = [(s, e) for _, s, e, _ in found]
+        first = min(s for k, s, *_ in found if k == "person")
+        for m in regex.finditer(rf"(?<![\p{{L}}\p{{M}}'’-])(?:{'|'.join(map(re.escape, sorted(families)))})(?![\p{{L}}\p{{M}}-])", text, pos=first):
+            if not any(s < m.end() and m.start() < e for s, e in spans):
+                found.append(("person", m.start(), m.end(), [("family", m.start(), m.end())]))
+        found.sort(key=lambda f: f[1])
+    yield from found
+
+
+def _counts(kind: str, s: str) -> bool:
+    """Whether what looks like an entity is one: its check digits are right, or it parses."""
+    if kind == "iban":
+        own = s.replace(" ", "")
+        return 15 <= len(own) <= 34 and _mod97(own) == 1
+    if kind == "card15":
+        return _luhn("".join(c for c in s if c.isdigit()))
+    if kind == "ip6":
+        try:
+            return int(ipaddress.IPv6Address(s)) > 1
+        except ValueError:
+            return False
+    return True
 
 
 def _part(kind: str, own: str, key: bytes, cache: dict) -> str:
@@ -286,6 +365,8 @@ def laid_out(kind: str, own: list[str], fixed: str) -> list[str]:
     if kind in ("phone", "card", "ssn"):
         digits = "".join(c for c in fixed if c.isdigit())
         return [_fill(own[0], digits[len(digits) - sum(map(str.isdigit, own[0])) :], str.isdigit)]
+    if kind == "iban":
+        return [_fill(own[0], fixed, str.isalnum)]
     if kind == "email":
         local, host = fixed.rsplit("@", 1)
         return ["".join(c.upper() if o.isupper() else c for c, o in zip(local, own[0], strict=False)) + "@" + host]
@@ -300,6 +381,10 @@ def canonical(kind: str, s: str) -> str:
         return f"+{HOME}{digits}" if home else ("+" if s[0] == "+" else "") + digits
     if kind == "ip":
         return ".".join(str(int(x)) for x in s.split("."))
+    if kind == "ip6":
+        return ipaddress.IPv6Address(s).exploded
+    if kind == "iban":
+        return s.replace(" ", "")
     return s.lower() if kind == "email" else s
 
 
@@ -351,6 +436,16 @@ def _again(kind: str, entity: str, key: bytes, turn: int) -> str:
     return canonical(kind, surrogate(kind, entity, k))
 
 
+def _drawn(key: bytes, turn: int):
+    """``_again`` over columns."""
+
+    @F.arrow_udf("string")
+    def again(kind: pa.Array, entity: pa.Array) -> pa.Array:
+        return pa.array([_again(k, e, key, turn) for k, e in zip(kind.to_pylist(), entity.to_pylist(), strict=True)], pa.string())
+
+    return again
+
+
 def conflicts(e: DataFrame) -> DataFrame:
     """Of distinct (kind, entity, surrogate): entities of several surrogates and surrogates of several entities, (kind, what, value, n)."""
     of = lambda c: e.groupBy("kind", F.col(c).alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit(c).alias("what"), "value", "n")
@@ -374,12 +469,8 @@ def repairs(e: DataFrame, key: bytes = KEY) -> DataFrame | None:
         if not m.where(lost).limit(1).count():
             return m.where("n > 1 OR turn > 0").select("kind", "entity", "surrogate")
 
-        @F.udf("string")
-        def again(kind: str, entity: str, turn: int = turn) -> str:
-            return _again(kind, entity, key, turn)
-
         kept = m.where(~lost).select("kind", "entity", "surrogate", "n", "turn")
-        m = kept.unionByName(m.where(lost).select("kind", "entity", again("kind", "entity").alias("surrogate"), "n", F.lit(turn).alias("turn")))
+        m = kept.unionByName(m.where(lost).select("kind", "entity", _drawn(key, turn)("kind", "entity").alias("surrogate"), "n", F.lit(turn).alias("turn")))
     raise RuntimeError(f"entities without a surrogate of their own after {TURNS} turns")
 
 
