@@ -235,18 +235,18 @@ def _score(k: int):
                 block, kind, dim = tuple(int(c[a]) for c in key[:5]), int(key[5][a]), int(key[0][a])
                 if block != now:
                     now, ids, firsts, cell, vecs = block, [], [], [], []
-                own, raw, m = batch.column("rep").slice(a, b - a).to_numpy(), batch.column("cell").slice(a, b - a).to_pylist(), _matrix(batch.column("vec").slice(a, b - a), dim)
+                own, m = batch.column("rep").slice(a, b - a).to_numpy(), _matrix(batch.column("vec").slice(a, b - a), dim)
                 if kind == 0:
                     ids.append(own)
                     firsts.append(batch.column("first").slice(a, b - a).to_numpy())
-                    cell.append(np.frombuffer(b"".join(raw), np.int64))
+                    cell.append(batch.column("no").slice(a, b - a).to_numpy())
                     vecs.append(m)
                     continue
                 if not ids:
                     continue
                 if len(ids) > 1:
                     ids, firsts, cell, vecs = [np.concatenate(ids)], [np.concatenate(firsts)], [np.concatenate(cell)], [np.concatenate(vecs)]
-                kinds, local = np.unique(cell[0], return_inverse=True)
+                raw, (kinds, local) = batch.column("cell").slice(a, b - a).to_pylist(), np.unique(cell[0], return_inverse=True)
                 for at in range(0, len(own), 256):
                     probed = [np.frombuffer(x, np.int64) for x in raw[at : at + 256]]
                     allowed = np.stack([np.isin(kinds, x, assume_unique=True) for x in probed])
@@ -273,11 +273,10 @@ def _search(hashed: DataFrame, queries: DataFrame, parts: dict[int, int], wide:
     data = data.withColumn("tab", F.col("tab").cast("long")).withColumn("grp", F.floor(F.col("no") / spans[F.col("dim")]))
     full = stage(data.groupBy("dim", "band", "tab", "grp").agg(F.ceil(F.count("*") / GROUP).alias("subs")), "groups")
     data = data.join(full, ["dim", "band", "tab", "grp"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")))
-    cols = [*_KEY, "kind", "rep", "first", "vec", "cell"]
-    le = F.reverse(F.unhex(F.lpad(F.hex("no"), 16, "0")))  # as numpy reads it
-    data = data.withColumn("cell", le).withColumn("kind", F.lit(0)).select(cols)
+    cols = [*_KEY, "kind", "rep", "first", "no", "vec", "cell"]
+    data = data.withColumns({"cell": F.lit(None).cast("binary"), "kind": F.lit(0)}).select(cols)
     ask = queries.select("rep", "dim", "vec").mapInArrow(_probe(parts, span, wide), f"dim long, tab long, grp long, rep long, vec {queries.schema['vec'].dataType.simpleString()}, cell binary")
-    ask = ask.join(full, ["dim", "tab", "grp"]).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).withColumns({"kind": F.lit(1), "first": F.lit(0).cast("long")}).select(cols)
+    ask = ask.join(full, ["dim", "tab", "grp"]).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).withColumns({"kind": F.lit(1), "first": F.lit(0).cast("long"), "no": F.lit(0).cast("long")}).select(cols)
     rows = data.unionByName(ask).repartition(tasks(hashed.sparkSession, n * TABLES, 64 * GROUP, GROUP), *_KEY).sortWithinPartitions(*_KEY, "kind")
     return rows.mapInArrow(_score(k), _FOUND)
 

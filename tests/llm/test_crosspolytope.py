@@ -54,6 +54,15 @@ def test_recall_order_and_scores(spark, monkeypatch):
         assert all(abs(s - float((vec[q] * vec[v]).sum())) < 1e-9 for v, s in found)
 
 
+def test_recall_of_scattered_vectors_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(C, "GROUP", 256)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2400, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    data = [(i, v.tolist(), "x", 1) for i, v in enumerate(x)]
+    assert recall(run(spark, data), brute(data, 20)) >= 0.93  # of all cells, those of negative axes too
+
+
 def test_copies_ties_and_other_dimensions(spark, monkeypatch):
     monkeypatch.setattr(C, "GROUP", 50)
     hot = [1.0, 2.0, -1.0, 0.5]
