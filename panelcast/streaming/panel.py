@@ -39,7 +39,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return got
 
 
-def run_until_forgotten(stream: DataFrame, seconds: float = 120.0, trigger: str = "1 second") -> DataFrame:
+def run_until_forgotten(stream: DataFrame, seconds: float = 600.0, trigger: str = "1 second") -> DataFrame:
     """A stream with timers into a table of the shared folder, until no key has state left (or ``seconds`` have passed: an error)."""
     spark = stream.sparkSession
     out, mark, provider = new_path(spark, "stream"), new_path(spark, "checkpoint"), "spark.sql.streaming.stateStore.providerClass"
