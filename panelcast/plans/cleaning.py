@@ -196,7 +196,7 @@ def _(spark, d):
 @register("g14_day_matrix", f"WITH {V.HOURLY}, g AS (SELECT series, CAST(ts AS DATE) AS day, hour(ts) AS h, value FROM hourly), x AS (SELECT s.series, s.day, r.h, g.value FROM (SELECT DISTINCT series, day FROM g) s, (SELECT unnest(range(24)) AS h) r LEFT JOIN g ON g.series = s.series AND g.day = s.day AND g.h = r.h) SELECT series, day, list(round(value, 6) ORDER BY h) AS slots FROM x GROUP BY series, day")
 def _(spark, d):
     m = grid.day_matrix(V.hourly(spark, d), ["series"], "ts")
-    return m.withColumn("slots", F.transform("slots", lambda x: F.round(x, 6)))
+    return m.withColumn("slots", F.transform("slots", lambda x: V.rounded(x, 6)))
 
 
 @register("g15_flatten_day_matrix", f"WITH {V.HOURLY} SELECT series, ts, round(value, 6) AS value FROM hourly")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators import grid
@@ -15,8 +15,18 @@ CPH = "timezone('Europe/Copenhagen', timezone('UTC', {}))"
 YEAR = "year AS (SELECT series, ts + INTERVAL 85 DAY AS ts, value FROM hourly)"
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """``x`` times a power of ten, rounded to an integer and divided again, as SQL engines round binary numbers.
+
+    Spark's own ``round`` looks at the shortest decimal of a number: a mean that lies one
+    bit below a tie then goes another way.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def r6(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+    return df.withColumns({c: rounded(F.col(c), 6) for c in cols})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ def _lags(pairs: list[tuple[str, int]]) -> str:
 
 
 def _rounded(df):
-    return df.select("zone", "day", F.transform("features", lambda x: F.round(x, 5)).alias("features"))
+    return df.select("zone", "day", F.transform("features", lambda x: V.rounded(x, 5)).alias("features"))
 
 
 PRICE, EXOG = [("price", k) for k in (1, 2, 3, 7)], [(c, k) for k in (1, 7, 0) for c in ("load", "wind")]
@@ -65,7 +65,7 @@ def _(spark, d):
 @register("x14_zone_matrix_cells", f"WITH {V.WARR} SELECT zone, day, list_transform(price, lambda x: round(x, 4)) AS price, list_transform(wind, lambda x: round(x, 5)) AS wind FROM warr")
 def _(spark, d):
     x, _ = features.zone_matrices(V.wide(spark, d), "zone", COLS)
-    return x.select("zone", "day", F.transform("price", lambda v: F.round(v, 4)).alias("price"), F.transform("wind", lambda v: F.round(v, 5)).alias("wind"))
+    return x.select("zone", "day", F.transform("price", lambda v: V.rounded(v, 4)).alias("price"), F.transform("wind", lambda v: V.rounded(v, 5)).alias("wind"))
 
 
 SPLIT = "CAST(ts AS DATE) < DATE '1998-01-01'"

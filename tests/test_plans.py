@@ -21,3 +21,17 @@ def test_empty_capacities_do_not_depend_on_the_order_of_zones(spark, monkeypatch
     zones = panel.zone_dimension
     monkeypatch.setattr(panel, "zone_dimension", lambda s: zones(s).orderBy(F.desc("zone")))
     assert agrees(spark, "a10_capacity_empty") == ""
+
+
+def hourly_events(spark, values: dict[dt.datetime, list[float]], tmp_path) -> str:
+    """A folder with events of one type that have these values in these hours."""
+    rows = [(i, t + dt.timedelta(seconds=n), 1, "view", v, "{}") for i, (t, n, v) in enumerate((t, n, v) for t, vs in values.items() for n, v in enumerate(vs))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_means_one_bit_below_a_tie_are_rounded_as_in_sql(spark, tmp_path):
+    hour = dt.datetime(2024, 1, 1)
+    d = hourly_events(spark, {hour: [43.472812499999996]}, tmp_path)
+    assert agrees(spark, "g14_day_matrix", d) == ""
+    assert agrees(spark, "g15_flatten_day_matrix", d) == ""
