@@ -331,6 +331,6 @@ def _(spark, d):
 
 @register("t5_stream_step_hold", "SELECT event_type, ts, last_value(CASE WHEN event_id % 10 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM events")
 def _(spark, d):
-    e = _events(spark, d).select("event_type", "ts", F.when(F.col("event_id") % 10 == 0, F.col("value")).alias("level"))
-    out = stream.run_once(stream.step_hold(e, "event_type"))
+    e = _events(spark, d).select("event_type", "ts", F.when(F.col("event_id") % 10 == 0, F.col("value")).alias("level"), "event_id")
+    out = stream.run_once(stream.step_hold(e, "event_type", seq="event_id"))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from panelcast.operators import carry
 from panelcast.sources import panel
 from panelcast.sources.scratch import new_path, stage
 
@@ -23,10 +25,26 @@ def read_events(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+@dataclass
+class ByBatch:
+    """A stream whose batches are turned into rows of ``schema`` by ``work(batch, n)``, which is called again if batch n is run again."""
+
+    stream: DataFrame
+    schema: str
+    work: Callable[[DataFrame, int], DataFrame]
+
+
+def run_once(stream: DataFrame | ByBatch, mode: str = "append") -> DataFrame:
     """All rows available now through the stream into a table of the shared folder (append), read back."""
-    spark = stream.sparkSession
+    spark = (stream.stream if isinstance(stream, ByBatch) else stream).sparkSession
     out, mark = new_path(spark, "stream"), new_path(spark, "checkpoint")
+    if isinstance(stream, ByBatch):
+        def put(batch: DataFrame, n: int) -> None:
+            stream.work(batch, n).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+        spark.createDataFrame([], stream.schema).write.parquet(f"{out}/none")
+        stream.stream.writeStream.foreachBatch(put).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{out}/*")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
     else:
@@ -155,26 +173,41 @@ def latest(updates: DataFrame, keys: list[str], n: str) -> DataFrame:
     return g.select(*keys, *[F.col("_r")[c].alias(c) for c in rest], n)
 
 
-def step_hold(stream: DataFrame, key: str, ts: str = "ts", level: str = "level") -> DataFrame:
-    """Each row with the last level of its key published so far; one number of state a key.
+def step_hold(stream: DataFrame, key: str, ts: str = "ts", level: str = "level", seq: str | None = None, state: str | None = None, width: int = 86400) -> ByBatch:
+    """Each row with the last level of its key published so far, (key, ts, level), for ``run_once``; one number of state a key.
 
-    Rows of a batch are taken in order of their stamps; a row older than the state's
-    stamp sees the level without changing it.
+    Rows of a batch are taken in order of their stamps, then of ``seq``; a row older than
+    the state's stamp sees the level without changing it; one without a stamp comes last
+    in its batch and is not remembered. A batch is scanned by buckets of ``width`` seconds,
+    so a key's rows are spread over tasks. The state is a table in the folder ``state``,
+    written anew for each batch: one that is run again starts from the batch before.
     """
-    schema = f"{key} string, ts timestamp, level double"
-
-    def hold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, now = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        new = rows[level] if at is None else rows[level].where(rows[ts] >= pd.Timestamp(at))
-        shown = new.ffill() if now is None else new.ffill().fillna(now)
-        if new.notna().any():
-            i = int(new.notna().to_numpy().nonzero()[0][-1])
-            at, now = rows[ts].iloc[i].to_pydatetime(), float(new.iloc[i])
-        state.update((at, now))
-        yield pd.DataFrame({key: k[0], "ts": rows[ts].to_numpy(), "level": shown.to_numpy(float)})
-
-    return stream.groupBy(key).applyInPandasWithState(hold, schema, "at timestamp, level double", "append", GroupStateTimeout.NoTimeout)
+    spark = stream.sparkSession
+    state, staged = state or new_path(spark, "levels"), new_path(spark, "batch")
+    kind = dict(stream.dtypes)[key]
+    schema = f"_k {kind}, _at long, _now double"
+
+    def work(batch: DataFrame, n: int) -> DataFrame:
+        spark, hadoop = batch.sparkSession, batch.sparkSession._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+        versions = [int(f.getPath().getName()[6:]) for f in fs.listStatus(hadoop.Path(state))] if fs.exists(hadoop.Path(state)) else []
+        old = sorted(i for i in versions if i < n)
+        held = spark.read.schema(schema).parquet(f"{state}/batch={old[-1]}") if old else spark.createDataFrame([], schema)
+        stamp = F.unix_micros(F.col(ts).cast("timestamp"))
+        rows = batch.select(F.col(key).alias("_key"), F.col(ts).cast("timestamp").alias("_ts"), F.coalesce(stamp, F.lit(2**63 - 1)).alias("_t"), (F.col(seq) if seq else F.lit(0)).alias("_seq"), F.col(level).cast("double").alias("_level"))
+        rows.write.mode("overwrite").parquet(staged)  # the rows of the batch before are no longer needed
+        rows = spark.read.schema(rows.schema).parquet(staged).join(held, F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+        rows = rows.withColumn("_new", F.when(F.col("_at").isNull() | (F.col("_t") >= F.col("_at")), F.col("_level")))
+        when = F.when(F.col("_new").isNotNull() & F.col("_ts").isNotNull(), F.struct("_t", "_seq"))
+        new = rows.groupBy(F.col("_key").alias("_k")).agg(F.max(when)["_t"].alias("_at"), F.max_by("_new", when).alias("_now")).where("_at IS NOT NULL")
+        kept = held.alias("h").join(new.alias("n"), F.col("h._k").eqNullSafe(F.col("n._k")), "left_anti")
+        kept.unionByName(new).write.mode("overwrite").parquet(f"{state}/batch={n}")
+        for i in old[:-1]:
+            fs.delete(hadoop.Path(f"{state}/batch={i}"), True)
+        out = carry.scan(rows, ["_key"], "_t", back={"_held": F.col("_new")}, order=("_seq",), width=width * 1_000_000)
+        return out.select(F.col("_key").alias(key), F.col("_ts").alias("ts"), F.coalesce("_held", "_now").alias("level"))
+
+    return ByBatch(stream, f"{key} {kind}, ts timestamp, level double", work)
 
 
 def sessions(stream: DataFrame, keys: list[str], ts: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
