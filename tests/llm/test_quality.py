@@ -104,3 +104,28 @@ def test_an_id_with_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
     hot = spark.range(100_000).selectExpr("CAST(1 AS long) AS doc_id", "concat('word ', id) AS text", "'en' AS score", "'s' AS source")
     Q.fit(df.unionByName(hot), spark.createDataFrame([*labels, (1, 1, 0)], "doc_id long, quality int, toxic int"))
     assert len(seen) == 1 and seen[0] <= len({i for i, *_ in labels} | {1})
+
+
+def test_all_marked_documents_make_the_model(spark):
+    docs, labels = rows()
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = Q.fit(df, lab, fit_rows=3000), Q.fit(df, lab, fit_rows=0)
+    marks = {i: m for i, m, _ in labels}
+    x = np.array([brute(t) for i, t, *_ in docs if i in marks])
+    good = np.array([marks[i] == 1 for i, *_ in docs if i in marks])
+    for m in (a, b):
+        z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -8, 8)
+        assert np.abs(m.mean - x.mean(0)).max() < 1e-9 and np.abs(m.spread - np.maximum(x.std(0), 1e-3)).max() < 1e-9
+        d = (z[good][:, None] - z[~good][None]).reshape(-1, x.shape[1])
+        gradient = 1e-3 * m.weights - (1 / (1 + np.exp(d @ m.weights))) @ d / len(d)
+        assert np.abs(gradient).max() < 1e-5 and (m.worth(x) < m.cut).sum() == (~good).sum()
+
+
+def test_groups_hold_each_document_once_and_a_rare_mark_in_each(spark):
+    docs = [(i, f"word{i} text " * (1 + i % 7), int(i % 100 > 0)) for i in range(800)]
+    df = spark.createDataFrame(docs * 2, "id long, text string, good int")
+    t = Q._featured(df).join(df.select("id", "good").distinct(), "id")
+    got = Q._groups(t, 20, {0: 20, 1: 1}, 3).collect()
+    assert len(got) == 20 and sum(r["n_good"] for r in got) == 792 and sum(r["n_bad"] for r in got) == 8
+    assert all(len(r["bad"]) == 8 * 8 * Q.WIDTH and len(r["good"]) == 8 * r["n_good"] * Q.WIDTH for r in got)
