@@ -211,8 +211,8 @@ _KINDS = [pa.int64(), pa.int8(), pa.int64(), pa.list_(pa.int64()), pa.binary(),
 _SCHEMA = "block long, kind tinyint, no long, ids array<long>, one binary, two binary, three binary"
 
 
-#: Pieces of a block whose numbers fit one byte; level of compression.
-OFTEN, LEVEL = 255, 3
+#: Pieces of a block whose numbers fit one byte; times in a block from which on a piece is numbered by frequency; level of compression.
+OFTEN, REPEATED, LEVEL = 255, 8, 12
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -253,8 +253,9 @@ def _cut(raw, pattern: str, buckets: int):
             known = np.fromiter((ranks.get(k, -1) for k in index), np.int64, len(index))
             of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            # frequent pieces come first, all others by bucket and bytes: both compress well
-            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")[:OFTEN]
+            # repeated pieces come first, the most frequent ahead, all others by bucket and bytes: both compress well
+            count = np.bincount(flat, minlength=len(words))
+            often = np.argsort(-count, kind="stable")[: max(OFTEN, int((count >= REPEATED).sum()))]
             rest = np.setdiff1d(np.arange(len(words)), often)
             order = [often, *(np.array(sorted(at.tolist(), key=words.__getitem__), np.int64) for _, at in _groups(rest, of))]
             order = np.concatenate(order)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 from panelcast.llm import bpe
@@ -63,3 +64,15 @@ def test_query_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_repeated_pieces_of_a_block_are_numbered_by_frequency(monkeypatch):
+    r = random.Random(3)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q" for i in (int(400 * r.random() ** 3) for _ in range(20_000)))
+    raw = type("Raw", (), {"value": RAW})
+    monkeypatch.setattr(bpe, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Own", (), {"partitionId": lambda _: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1], pa.int64()), "text": [text]})
+    rows = [r for b in bpe._cut(raw, P.PATTERN, 2)([batch]) for r in b.to_pylist() if r["kind"] == bpe.TEXT]
+    times = np.bincount(np.concatenate([bpe.expand_codes(r["two"], r["three"]) for r in rows]))
+    most = times[: int((times >= bpe.REPEATED).sum())]
+    assert len(most) > bpe.OFTEN and most.min() >= bpe.REPEATED and (np.diff(most) <= 0).all()
