@@ -27,6 +27,8 @@ from panelcast.llm.util import release_memory, stage, tasks
 
 #: About the number of documents of each mark, and the number of preference pairs, that the start of the fit is found on.
 FIT_ROWS, FIT_PAIRS = 3000, 40_000
+#: Pairs whose differences the driver holds at once.
+PAIR_LOT = 4096
 #: Marked documents of a group whose good and bad ones are paired, least of a mark in a group, documents of a task.
 GROUP, LEAST, LOT = 512, 16, 20_000
 #: Hash buckets of words and of word pairs.
@@ -131,13 +133,16 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, bad_share: float | None = None, q
     if not len(g) or not len(b):
         return QualityModel(mean, spread, np.zeros(x.shape[1]), 0.0 if len(g) or not len(b) else 1e-9)
     i = np.arange(pairs, dtype=np.int64)
-    d = z[g[i % len(g)]] - z[b[(i * 7919 + i // len(g)) % len(b)]]
-    w = np.zeros(d.shape[1])
+    i, j = g[i % len(g)], b[(i * 7919 + i // len(g)) % len(b)]
+    w = np.zeros(z.shape[1])
     for _ in range(30):  # Newton steps on the logistic loss of differences
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = ridge * w - d.T @ p / len(d)
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
+        grad, hess = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for k in range(0, pairs, PAIR_LOT):
+            d = z[i[k : k + PAIR_LOT]] - z[j[k : k + PAIR_LOT]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            grad -= d.T @ p
+            hess += (d * (p * (1 - p))[:, None]).T @ d
+        step = np.linalg.solve(hess / pairs + ridge * np.eye(len(w)), ridge * w + grad / pairs)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -207,20 +212,29 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield g, b, np.concatenate([g[:n_good], b[:n_bad]])
 
 
-def _added(groups: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all groups of the ``size`` numbers ``of`` gives: by task, then of eighths of the tasks; eight rows reach the driver."""
+def _sums(groups: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> DataFrame:
+    """(task, x): sums of the ``size`` numbers ``of`` gives of groups, by task, then of eighths of the tasks; tasks without rows give none, so at most eight rows come out however many tasks there are."""
 
     def total(rows: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x = np.zeros(size)
+        x, met = np.zeros(size), False
         for r in rows:
             x += r
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["task", "x"])
+            met = True
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["task", "x"])
         release_memory()
 
     parts = groups.mapInArrow(lambda batches: total(of(*m) for batch in batches for m in _matrices(batch)), "task int, x binary")
     parts = parts.repartition(8, F.col("task") % 8).sortWithinPartitions("task")
-    got = parts.mapInArrow(lambda batches: total(np.frombuffer(x.as_py()) for batch in batches for x in batch.column(1)), "task int, x binary").collect()
-    return np.sum([np.frombuffer(r["x"]) for r in sorted(got)], axis=0)
+    return parts.mapInArrow(lambda batches: total(np.frombuffer(x.as_py()) for batch in batches for x in batch.column(1)), "task int, x binary")
+
+
+def _added(groups: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all groups of the ``size`` numbers ``of`` gives; eight rows reach the driver."""
+    out = np.zeros(size)
+    for r in sorted(_sums(groups, of, size).collect()):
+        out += np.frombuffer(r["x"])
+    return out
 
 
 def _pair_sums(model: QualityModel) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:

@@ -129,3 +129,14 @@ def test_groups_hold_each_document_once_and_a_rare_mark_in_each(spark):
     got = Q._groups(t, 20, {0: 20, 1: 1}, 3).collect()
     assert len(got) == 20 and sum(r["n_good"] for r in got) == 792 and sum(r["n_bad"] for r in got) == 8
     assert all(len(r["bad"]) == 8 * 8 * Q.WIDTH and len(r["good"]) == 8 * r["n_good"] * Q.WIDTH for r in got)
+
+
+def test_few_sums_reach_the_driver_from_many_tasks(spark, monkeypatch):
+    docs = [(i, f"word{i} text " * (1 + i % 7), i % 2) for i in range(300)]
+    df = spark.createDataFrame(docs, "id long, text string, good int")
+    groups = Q._groups(Q._featured(df).join(df.select("id", "good"), "id"), 20, {0: 1, 1: 1}, 60).localCheckpoint()
+    deal = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda d, n, *cols: deal(d, max(n, 90), *cols))
+    rows = Q._sums(groups, lambda g, b, own: np.array([len(own)]), 1).collect()
+    assert len(rows) <= 8 and sum(np.frombuffer(r["x"])[0] for r in rows) == 300
+    assert Q._added(groups.where("at < 0"), lambda g, b, own: np.ones(3), 3).tolist() == [0, 0, 0]
