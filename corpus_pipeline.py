@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm import bpe, jaccard_join, langid, mixing, pii, quality
-from panelcast.llm.util import fresh, join_hot, stage
+from panelcast.llm.util import fresh, join_hot, may_be_in, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +42,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     def joined(d: DataFrame, f: DataFrame, how: str) -> DataFrame:
         return d.join(f, d["doc_id"].eqNullSafe(f["doc_id"]) & (d[key] == f[key]), how)
 
+    # only texts that may have to go, or stay once, are shuffled
+    sought = may_be_in(found, "doc_id", key)(F.col("doc_id"), F.col(key))
+    rest, keyed = keyed.where(~sought).select(docs.columns), keyed.where(sought)
     kept, again = joined(keyed, found.where("NOT stays"), "left_anti"), found.where("stays")
     if not again.limit(1).count():
-        return kept.select(docs.columns)
+        return rest.unionByName(kept.select(docs.columns))
     order = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))
     first = joined(keyed, again, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(order))).where(F.col(nth) == 1)
-    return joined(kept, again, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    return rest.unionByName(joined(kept, again, "left_anti").select(docs.columns)).unionByName(first.select(docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

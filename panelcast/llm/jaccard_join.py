@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.shingles import mix, pieces, shingle_sets, text_buffers
-from panelcast.llm.util import connected_components, fresh, join_hot, release_memory, stage
+from panelcast.llm.util import connected_components, filter_bits, filter_flags, filter_slot, fresh, in_filter, join_hot, release_memory, stage
 
 #: Most bits of a bucket of frequent shingles (a byte each in every task), shingles of a bucket, and the least count kept.
 MOST_BITS, PER_BUCKET, LEAST = 24, 16, 6
@@ -45,8 +45,6 @@ SHORT = 16
 BLOCK, BLOCK_SHINGLES, MOST_ELL = 1024, 1_000_000, 16
 #: Cost of one verification in postings, for each 100 shingles.
 VERIFY = 4.0
-#: Bits for each text in the filter of those whose sets are wanted, and most bits in all as a power of two.
-FILTER_SHARE, FILTER_BITS = 16, 26
 _U = np.uint64
 
 
@@ -147,9 +145,7 @@ def _wanted_sets(k: int, bits: np.ndarray, shared: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            slot = batch.column(1).to_numpy(zero_copy_only=False)
-            hit = (bits[slot >> 3] >> (slot & 7)) & 1
-            part = batch.column(0).filter(pa.array(hit.astype(bool)))
+            part = batch.column(0).filter(pa.array(in_filter(bits, batch.column(1))))
             data, offs = text_buffers(part)
             for i, j in pieces(offs):
                 sets, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
@@ -315,19 +311,12 @@ def linked_rows(docs: DataFrame, carry: list[str], text_col: str = "text", k: in
     routes = stage(_short_pairs(many.where(F.col("m") <= SHORT), num, den).withColumn("long", F.lit(False)).unionByName(many.where((F.col("m") > SHORT) & (F.col("hub") != F.col("node"))).select("hub", "node", F.lit(True).alias("long"))).groupBy("hub", "node").agg(F.max("long").alias("long")), "routes")
     # one text of each class concerned: a filter over its row's slot
     wanted = stage(routes.select("node").union(routes.select("hub")).distinct(), "wanted")
-    fbits = _log2(FILTER_SHARE * wanted.count(), 16, FILTER_BITS)
-    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << fbits))
+    fbits = filter_bits(wanted.count())
     own = [f"c{i}" for i in range(len(carry))]
-    reps = rows.where("n > 0").groupBy("node").agg(F.min(slot(*own)).alias("slot"), F.max("n").alias("n"))
+    reps = rows.where("n > 0").groupBy("node").agg(F.min(filter_slot(fbits, *own)).alias("slot"), F.max("n").alias("n"))
     reps = stage(wanted.join(reps, "node"), "reps")
-    slots = reps.select((F.col("slot") + 1).alias("s"))  # bit s - 1 stands for s
-    maps = slots.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    flags = np.zeros(max((1 << fbits) // 8, 4096), np.uint8)
-    for m in maps:  # at most 2**FILTER_BITS / 32768 rows of 4 KB
-        first = (m["bucket"] - 1) * 4096
-        flags[first : first + 4096] = np.frombuffer(m["bits"], np.uint8)
-    flt = spark.sparkContext.broadcast(flags)
-    sets = d.select(text, slot(*carry).alias("slot")).mapInArrow(lambda it: _wanted_sets(k, flt.value, shared)(it), "node long, shingles binary")
+    flt = spark.sparkContext.broadcast(filter_flags(reps, fbits))
+    sets = d.select(text, filter_slot(fbits, *carry).alias("slot")).mapInArrow(lambda it: _wanted_sets(k, flt.value, shared)(it), "node long, shingles binary")
     links = _links(routes, sets, reps.select("node", "n"), num, den)
     comp = connected_components(links)
     out = rows.join(comp, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))

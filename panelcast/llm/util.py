@@ -6,12 +6,15 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits for each row in a filter of rows, and most bits in all as a power of two.
+FILTER_SHARE, FILTER_BITS = 16, 26
 _OWN: dict[str, str] = {}
 
 
@@ -79,6 +82,45 @@ def join_hot(df: DataFrame, dim: DataFrame, key: str, salts: int = 16) -> DataFr
     return own.join(dim.withColumn(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, s], "left").drop(s)
 
 
+def filter_bits(rows: int) -> int:
+    """Bits of a filter of so many rows, as a power of two."""
+    return max(16, min(FILTER_BITS, int(np.log2(max(FILTER_SHARE * rows, 1)))))
+
+
+def filter_slot(bits: int, *cols: Column | str) -> Column:
+    """A row's bit in a filter."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << bits))
+
+
+def filter_flags(slots: DataFrame, bits: int) -> np.ndarray:
+    """A filter as bytes, from its rows' ``slot``; at most 2**FILTER_BITS / 32768 rows of 4 KB reach the driver."""
+    slots = slots.select((F.col("slot") + 1).alias("s"))  # bit s - 1 stands for s
+    maps = slots.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    flags = np.zeros(max((1 << bits) // 8, 4096), np.uint8)
+    for m in maps:
+        first = (m["bucket"] - 1) * 4096
+        flags[first : first + 4096] = np.frombuffer(m["bits"], np.uint8)
+    return flags
+
+
+def in_filter(flags: np.ndarray, slot: pa.Array) -> np.ndarray:
+    """Whether each slot's bit is set."""
+    slot = slot.to_numpy(zero_copy_only=False)
+    return ((flags[slot >> 3] >> (slot & 7)) & 1).astype(bool)
+
+
+def may_be_in(rows: DataFrame, *cols: str) -> Callable[..., Column]:
+    """A test of columns of the same types as ``cols``: true for all that stand in ``rows``, false for most others, so that a join need not shuffle these."""
+    bits = filter_bits(rows.count())
+    held = rows.sparkSession.sparkContext.broadcast(filter_flags(rows.select(filter_slot(bits, *cols).alias("slot")), bits))
+
+    @F.arrow_udf("boolean")
+    def run(slot: pa.Array) -> pa.Array:
+        return pa.array(in_filter(held.value, slot))
+
+    return lambda *c: run(filter_slot(bits, *c))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node of ``edges`` (a, b): (node, comp).
 

@@ -80,3 +80,15 @@ def test_duplicates_by_row(spark):
 def test_every_stage_takes_an_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     assert all(f(spark, docs, DIR).count() == 0 for _, f in C.STAGES)
+
+
+def test_only_texts_that_may_go_are_joined(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(9))
+    data = [(i, text(i % 1900), "en", "s", 1) for i in range(2000)] + [(None, text(2000), "en", "s", 1), (None, text(2000), "de", "s", 1), (None, text(5), "en", "s", 1)]
+    docs, joins = spark.createDataFrame(data, schema), []
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda d, other, on=None, how=None: (how == "left_anti" and joins.append(d.count()), join(d, other, on, how))[1])
+    got = C.drop_near_duplicates(spark, docs, DIR).collect()
+    assert len(joins) == 2 and max(joins) < 400
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame([*data[:1900], (None, text(2000), "de", "s", 1)], schema).collect())
