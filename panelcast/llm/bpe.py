@@ -35,6 +35,8 @@ from panelcast.llm.util import release_memory, stage, tasks
 NONE = np.int32(2**31 - 1)
 #: Characters of text of a block and of a row of it, and bytes of pieces that are replayed together.
 BLOCK_CHARS, ROW_CHARS, REPLAY_BYTES = 16 << 20, 1 << 19, 6 << 20
+#: Pairs of bytes that are looked up at once as a replay begins.
+PAIR_LOT = 1 << 18
 #: Most bytes of text whose pieces make a bucket, and least if that leaves cores idle.
 BUCKET_MOST, BUCKET_LEAST = 128 << 20, 64 << 20
 #: Most buckets: a block has a row for each. Beyond, a bucket's blocks are dealt to several tasks, each of which encodes its pieces.
@@ -112,8 +114,9 @@ class MergeReplay(Decoder):
         nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[starts + lens - 1], prv[starts] = n, -1
         pr = np.full(n, NONE, np.int32)
-        inner = np.flatnonzero(nxt < n)
-        pr[inner] = self.pair_rank(tok[inner], tok[inner + 1])
+        for k in range(0, n - 1, PAIR_LOT):
+            e = min(k + PAIR_LOT, n - 1)
+            pr[k:e] = np.where(nxt[k:e] < n, self.pair_rank(tok[k:e], tok[k + 1 : e + 1]), NONE)
         odd: list[np.ndarray] = []
         for w in np.flatnonzero(whole >= 0).tolist():
             s, e = starts[w], starts[w] + lens[w]

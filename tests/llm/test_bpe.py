@@ -76,3 +76,17 @@ def test_repeated_pieces_of_a_block_are_numbered_by_frequency(monkeypatch):
     times = np.bincount(np.concatenate([bpe.expand_codes(r["two"], r["three"]) for r in rows]))
     most = times[: int((times >= bpe.REPEATED).sum())]
     assert len(most) > bpe.OFTEN and most.min() >= bpe.REPEATED and (np.diff(most) <= 0).all()
+
+
+def test_a_replay_begins_in_lots(monkeypatch):
+    ranks, seen = bpe.load_ranks(RAW), []
+    words = [w.encode() for w in texts()[4:60] if w]
+    replay = bpe.MergeReplay(ranks)
+    want = [replay.alone(w) for w in words if w not in ranks]
+    monkeypatch.setattr(bpe, "PAIR_LOT", 7)
+    look = replay.pair_rank
+    monkeypatch.setattr(replay, "pair_rank", lambda a, b: (seen.append(len(a)), look(a, b))[1])
+    toks, counts = replay.encode([w for w in words if w not in ranks])
+    assert [x.tolist() for x in np.split(toks, np.cumsum(counts)[:-1])] == want
+    n = sum(len(w) for w in words if w not in ranks)
+    assert max(seen[: -(-(n - 1) // 7)]) <= 7 and sum(seen[: -(-(n - 1) // 7)]) == n - 1
