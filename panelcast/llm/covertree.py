@@ -7,10 +7,14 @@ of its classes, and each class goes to the nearest centre; children's covering r
 measured. Level by level, pairs of nodes are judged by their centres' distance and their
 radii: too far apart, they are dropped; near enough for all their pairs to link, they
 are accepted whole; all others are split further. Only nodes of undecided pairs are split.
+A node that splits leave nearly as large and as wide again and again (many vectors about
+equally far from each other and nearer to one in their midst) is not split any more, so
+rounds grow with logarithms of its size and radius.
 
-Nodes that are small enough become chunks. Undecided pairs of chunks meet in tiles of
-bounded size, where each chunk becomes a cover tree of halving radii and pairs of its
-nodes are judged the same way, down to dot products.
+Nodes that are small enough, or not split any more, become chunks. Undecided pairs of
+chunks meet in tiles of bounded size, where each chunk becomes a cover tree of halving
+radii and pairs of its nodes are judged the same way, down to dot products; where more
+pairs would have to be met than pays, all rows of the two nodes above are compared.
 
 Counts of links are summed by class, so neither copies nor pairs of a dense group are
 listed: of the links a spanning forest is kept, which gives the components. Vectors too
@@ -19,7 +23,7 @@ scattered for any radius to tell apart leave all pairs of chunks undecided.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ from panelcast.llm.util import chance, connected_components, join_hot, stage
 CHUNK, SAMPLE, FAN, LEAF, SIDE, SLACK = 1024, 512, 32, 8, 4, 1e-9
 #: Distances nearer to the threshold than this are decided by dot products alone.
 CLOSE = 1e-7
+#: A child of more than this share of its node's classes and of its radius is no progress; splits without progress before a node is left as it is.
+SHRINK, PATIENCE = 0.75, 3
+#: Dot products that take no longer than one step of a traversal.
+STEP = 8192
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,8 +123,6 @@ def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, c
         # kids of one row each are compared at once
         ones = [np.array([len(t.rows[k]) == 1 for k in ks]) for t, ks in ((a, ka), (b, kb))]
         single = ones[0].sum() > 1 and ones[1].sum() > 1
-        if single:
-            compare(np.concatenate([a.rows[k] for k in ka[ones[0]]]), np.concatenate([b.rows[k] for k in kb[ones[1]]]), whole)
         d = _apart(a.x[[a.rows[k][0] for k in ka]], b.x[[b.rows[k][0] for k in kb]])
         reach = np.array([a.radius[k] for k in ka])[:, None] + np.array([b.radius[k] for k in kb])[None, :]
         live = d <= far + reach + SLACK
@@ -125,6 +131,11 @@ def dual_traversal(a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, c
         if whole:
             live &= np.triu(np.ones(live.shape, bool))
         inside = live & (d + reach < far - CLOSE)
+        if live.sum() * STEP >= len(a.rows[i]) * len(b.rows[j]):
+            compare(a.rows[i], b.rows[j], whole)
+            continue
+        if single:
+            compare(np.concatenate([a.rows[k] for k in ka[ones[0]]]), np.concatenate([b.rows[k] for k in kb[ones[1]]]), whole)
         for p, q in np.argwhere(live).tolist():
             if inside[p, q]:
                 accept(a.rows[ka[p]], b.rows[kb[q]], whole and p == q)
@@ -297,6 +308,11 @@ def _compare(cosine: float):
     return run
 
 
+def _of_nodes(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
+    """Pairs (label, dim, a, b) with what ``side`` has of a and of b. A pair is a byte or so on disk and 160 in a broadcast table, so Spark must not broadcast pairs for their files' size."""
+    return pairs.hint("merge").join(side("a"), ["label", "dim", "a"]).hint("merge").join(side("b"), ["label", "dim", "b"])
+
+
 def _levels(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """Split nodes until all pairs are decided or between nodes of at most CHUNK classes.
 
@@ -309,7 +325,7 @@ def _levels(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, Da
     kind = dict(classes.dtypes)["vec"][6:-1]
     members = classes.select("label", "dim", F.lit("").alias("node"), "key", "vec", "w")
     stats = (F.count("*").alias("n"), F.sum("w").alias("wsum"), F.min("key").alias("rep"))
-    cur = members.groupBy(_AT).agg(*stats).withColumns({"centre": F.lit(None).cast("array<double>"), "radius": F.lit(4.0), "flat": F.lit(False), "acc": F.lit(0).cast("long"), "own": F.lit(False), "anchor": F.lit(None).cast("long")})
+    cur = members.groupBy(_AT).agg(*stats).withColumns({"centre": F.lit(None).cast("array<double>"), "radius": F.lit(4.0), "flat": F.lit(False), "acc": F.lit(0).cast("long"), "own": F.lit(False), "anchor": F.lit(None).cast("long"), "stuck": F.lit(0)})
     cur = stage(cur, "nodes")
     pairs = stage(cur.select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b")), "pairs")
     settled, edges, rounds = [], [], 0
@@ -332,12 +348,14 @@ def _levels(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame, Da
         settled.append(members.join(centres.select(*_AT), _AT, "left_anti"))
         members = moved.where("key IS NOT NULL").select(*_AT, "key", "vec", "w")
         kids = members.groupBy(_AT).agg(*stats).join(moved.where("key IS NULL").groupBy(_AT).agg(F.max("radius").alias("radius"), F.first("centre").alias("centre"), F.first("flat").alias("flat")), _AT)
-        up = cur.select("label", "dim", F.col("node").alias("parent"), "acc", "own", "anchor")
+        up = cur.select("label", "dim", F.col("node").alias("parent"), "acc", "own", "anchor", *[F.col(c).alias(f"{c}_up") for c in ("n", "radius", "stuck")])
         kids = kids.withColumn("parent", F.expr("substring(node, 1, length(node) - 3)")).join(up, ["label", "dim", "parent"])
+        large = (F.col("n") > SHRINK * F.col("n_up")) & (F.col("radius") > SHRINK * F.col("radius_up"))
+        kids = kids.withColumn("stuck", F.when(large, F.col("stuck_up") + 1).otherwise(0)).withColumn("flat", F.col("flat") | (F.col("stuck") >= PATIENCE)).drop("n_up", "radius_up", "stuck_up")
         still = cur.join(centres.select(*_AT), _AT, "left_anti")
         step = stage(kids.unionByName(still.withColumn("parent", F.col("node"))), "step")
         side = lambda s: step.select("label", "dim", F.col("parent").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "wsum", "rep", "centre", "radius")])
-        met = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).where("a <> b OR node_a <= node_b")
+        met = _of_nodes(pairs, side).where("a <> b OR node_a <= node_b")
         dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         d, reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)), F.col("radius_a") + F.col("radius_b")
         one = F.col("node_a") == F.col("node_b")
@@ -384,7 +402,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     no = F.row_number().over(Window.partitionBy("label", "dim").orderBy("node", "part")) - 1
     numbers = stage(chunks.select(*_AT, "part", no.cast("long").alias("no")), "numbers")
     side = lambda s: numbers.select("label", "dim", F.col("node").alias(s), F.col("no").alias(f"no_{s}"))
-    meet = pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).where("a <> b OR no_a <= no_b")
+    meet = _of_nodes(pairs, side).where("a <> b OR no_a <= no_b")
     lo, hi = F.least("no_a", "no_b"), F.greatest("no_a", "no_b")
     tile = ["label", "dim", "ta", "tb"]
     meet = stage(meet.select("label", "dim", F.floor(lo / SIDE).alias("ta"), F.floor(hi / SIDE).alias("tb"), lo.alias("no"), hi.alias("no2")), "meet")

@@ -76,10 +76,15 @@ def chance(*cols: Column | str) -> Column:
 
 
 def join_hot(df: DataFrame, dim: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Left join with a table of one row a key, where one key may hold a third of ``df``: keys are dealt to ``salts`` tasks each."""
+    """Left join with a table of one row a key, where one key may hold a third of ``df``: keys are dealt to ``salts`` tasks each.
+
+    Spark takes the salted table for about as large as ``dim``'s files and would broadcast
+    ``salts`` times as many rows as it means to, all of them by the driver's memory.
+    """
     s = fresh("_salt", [*df.columns, *dim.columns])
     own = df.withColumn(s, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    return own.join(dim.withColumn(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, s], "left").drop(s)
+    salted = dim.withColumn(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return own.join(salted.hint("merge"), [key, s], "left").drop(s)
 
 
 def filter_bits(rows: int) -> int:

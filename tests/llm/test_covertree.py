@@ -81,3 +81,46 @@ def test_dense_groups_are_accepted_whole():
     m = x @ x.T >= 0.98
     np.fill_diagonal(m, False)
     assert (na + nb).tolist() == m.sum(1).tolist() and len(edges) < 20_000
+
+
+def hub(r: random.Random, dims: int, at: int, n: int, spread: float) -> list[list[float]]:
+    """Vectors about equally far from each other and nearer to axis ``at``."""
+    out = []
+    for _ in range(n):
+        x = [r.gauss(0, 1) for _ in range(dims)]
+        x[at] = 0.0
+        s = spread / math.sqrt(sum(v * v for v in x))
+        out.append([v * s for v in x[:at]] + [1.0] + [v * s for v in x[at + 1 :]])
+    return out
+
+
+def test_a_hub_does_not_cost_a_round_for_some_of_its_spokes(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 16)
+    monkeypatch.setattr(C, "FAN", 4)
+    r, rounds, stage = random.Random(5), [], C.stage
+
+    def counted(df, name):
+        rounds.extend([name] * (name == "centres"))
+        assert len(rounds) <= 12
+        return stage(df, name)
+
+    monkeypatch.setattr(C, "stage", counted)
+    data = [(i, v, 1, "x", 1) for i, v in enumerate(hub(r, 40, 0, 200, 0.12) + hub(r, 40, 0, 100, 0.001))]
+    assert run(spark, data) == brute(data)
+
+
+def test_pairs_of_a_hub_are_compared_in_blocks():
+    r = random.Random(6)
+    a, b = (C._unit(np.array(hub(r, 64, 0, 400, 0.115))) for _ in range(2))
+    w = np.ones(400, np.int64)
+    na, nb, edges = C.dual_traversal(C.CoverTree(a), C.CoverTree(b), w, w, 0.98, False)
+    m = a @ b.T >= 0.98
+    assert 0 < m.sum() and na.tolist() == m.sum(1).tolist() and nb.tolist() == m.sum(0).tolist() and len(edges) < 800
+
+
+def test_pairs_of_nodes_are_not_broadcast(spark):
+    pairs = spark.createDataFrame([(1, 3, "a", "b")], "label long, dim long, a string, b string")
+    nodes = spark.createDataFrame([(1, 3, "a", 7), (1, 3, "b", 8)], "label long, dim long, node string, no long")
+    out = C._of_nodes(pairs, lambda s: nodes.select("label", "dim", nodes["node"].alias(s), nodes["no"].alias(f"no_{s}")))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(x["no_a"], x["no_b"]) for x in out.collect()] == [(7, 8)]
