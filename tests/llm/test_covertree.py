@@ -119,8 +119,8 @@ def test_pairs_of_a_hub_are_compared_in_blocks():
 
 
 def test_pairs_of_nodes_are_not_broadcast(spark):
-    pairs = spark.createDataFrame([(1, 3, "a", "b")], "label long, dim long, a string, b string")
-    nodes = spark.createDataFrame([(1, 3, "a", 7), (1, 3, "b", 8)], "label long, dim long, node string, no long")
+    pairs = C.stage(spark.createDataFrame([(1, 3, "a", "b")], "label long, dim long, a string, b string"), "pairs")
+    nodes = C.stage(spark.createDataFrame([(1, 3, "a", 7), (1, 3, "b", 8)], "label long, dim long, node string, no long"), "nodes")
     out = C._of_nodes(pairs, lambda s: nodes.select("label", "dim", nodes["node"].alias(s), nodes["no"].alias(f"no_{s}")))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(x["no_a"], x["no_b"]) for x in out.collect()] == [(7, 8)]
